@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("language_id", "quality", "sentencepiece_tokens", "decontamination")
+MODULES = ("ngram_join", "language_id", "quality", "sentencepiece_tokens", "decontamination")
 
 
 def queries() -> dict:
