@@ -13,6 +13,7 @@ and 1 are ignored, repeated label rows count as often as they occur, other colum
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,21 +72,25 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> dict:
     return {"mean": mean, "spread": spread, "weights": w}
 
 
-def learn(rows: DataFrame, dictionary_docs: int = DICTIONARY_DOCS, curve_docs: int = CURVE_DOCS) -> dict:
-    """The model from rows (text, label). At most dictionary_docs + curve_docs texts of a label are used, in
-    expectation; they are chosen by a hash of the text, and brought to the driver, which fits on them."""
-    rows = rows.where("label in (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), "label")
-    n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+def learn(docs: DataFrame, labels: DataFrame, dictionary_docs: int = DICTIONARY_DOCS, curve_docs: int = CURVE_DOCS, id_col: str = "doc_id") -> dict:
+    """The model from docs and labels (id, label). At most dictionary_docs + curve_docs rows of a label are
+    used, in expectation; a hash of the id chooses them. Only their ids are broadcast, and their texts
+    brought to the driver, which fits on them; no other text moves."""
+    labels = labels.where("label in (0, 1)").where(F.col(id_col).isNotNull())
+    n = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     if len(n) < 2:
         return {"share": float(next(iter(n))) if n else 0.5}
     want = dictionary_docs + curve_docs
     rate = F.when(F.col("label") == 1, want / n[1]).otherwise(want / n[0])
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < rate * 1_000_003)
+    chosen = labels.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < rate * 1_000_003)
+    picked = docs.join(F.broadcast(chosen), id_col).select(F.coalesce("text", F.lit("")).alias("text"), "label")
     texts: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in picked.orderBy(F.xxhash64("text", F.lit(1)), "text").collect():
-        texts[r["label"]].append(r["text"].encode())
+    for label, text in sorted(map(tuple, picked.select("label", "text").collect()), key=lambda x: hashlib.md5(x[1].encode()).digest()):
+        texts[label].append(text.encode())
     cut = {k: min(dictionary_docs, len(v) // 2) for k, v in texts.items()}
     dicts = {k: dictionary(v[: cut[k]]) for k, v in texts.items()}
+    if not (texts[0] and texts[1]):
+        return {"share": n[1] / (n[0] + n[1])}
     c = Compressors(dicts[1], dicts[0])
     rest = [(c.features(t.decode()), k) for k, v in texts.items() for t in v[cut[k] :]]
     # Each label is thinned at its own rate; the curve's intercept takes that back.
@@ -121,9 +126,8 @@ def held_out(column: str = "doc_id"):
 
 def learned(spark: SparkSession, sf_dir: str) -> dict:
     """The model from the labels that aren't held out."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where("doc_id is not null")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return learn(docs.join(labels.where(~held_out()), "doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return learn(table(spark, sf_dir, "documents").select("doc_id", "text"), labels.where(~held_out()))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
