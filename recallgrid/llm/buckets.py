@@ -12,25 +12,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SCHEMA = "bucket int, kind int, owners binary, runs binary, keys binary"
-_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("owners", pa.binary()), ("runs", pa.binary()), ("keys", pa.binary())])
+SCHEMA = "bucket int, kind int, owners binary, runs binary, keys binary, extras binary"
+_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("owners", pa.binary()), ("runs", pa.binary()), ("keys", pa.binary()), ("extras", pa.binary())])
 
 
-def pack(keys: np.ndarray, owners: np.ndarray, kinds: np.ndarray, buckets: int, narrow: bool) -> Iterator[pa.RecordBatch]:
-    """Rows of SCHEMA. narrow keeps 32 bits of a key beside its bucket (a superset filter), else all 64."""
+def pack(keys: np.ndarray, owners: np.ndarray, kinds: np.ndarray, buckets: int, narrow: bool, extras: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA. narrow keeps 32 bits of a key beside its bucket (a superset filter), else all 64.
+
+    extras, if given, is a 64-bit value of each record.
+    """
     if not len(keys):
         return
     where = (keys % np.uint64(buckets)).astype(np.int32)
-    yield from pack_at(where, keys, owners, kinds, narrow)
+    yield from pack_at(where, keys, owners, kinds, narrow, extras)
 
 
-def pack_at(where: np.ndarray, keys: np.ndarray, owners: np.ndarray, kinds: np.ndarray, narrow: bool) -> Iterator[pa.RecordBatch]:
+def pack_at(where: np.ndarray, keys: np.ndarray, owners: np.ndarray, kinds: np.ndarray, narrow: bool, extras: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """As pack, with the bucket of each record given."""
     if not len(keys):
         return
     order = np.lexsort((owners, kinds, where))
     where, keys, owners, kinds = where[order], keys[order], owners[order], kinds[order]
     keys = (keys >> np.uint64(32)).astype(np.uint32) if narrow else keys
+    extras = None if extras is None else extras[order]
     group = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1]) | (kinds[1:] != kinds[:-1]))))
     run = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1]) | (kinds[1:] != kinds[:-1]) | (owners[1:] != owners[:-1]))))
     size = np.diff(np.append(run, len(keys))).astype(np.uint32)
@@ -43,6 +47,7 @@ def pack_at(where: np.ndarray, keys: np.ndarray, owners: np.ndarray, kinds: np.n
             pa.array([owners[run[a:b]].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
             pa.array([size[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
             pa.array([keys[a:b].tobytes() for a, b in zip(end[:-1], end[1:])], pa.binary()),
+            pa.array([b"" if extras is None else extras[a:b].tobytes() for a, b in zip(end[:-1], end[1:])], pa.binary()),
         ],
         schema=_ARROW,
     )
@@ -56,6 +61,11 @@ def unpack(rows: pa.Table, narrow: bool) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.concatenate(keys), np.concatenate(owners), np.repeat(kind, [len(k) for k in keys])
 
 
+def unpack_extras(rows: pa.Table) -> np.ndarray:
+    """The records' extras, in the order of unpack."""
+    return np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in rows["extras"]])
+
+
 def first_of(sorted_keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys starts."""
     return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(sorted_keys) else np.zeros(0, np.int64)
