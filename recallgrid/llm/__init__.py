@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ngram_join", "substring_dedup", "language_id", "line_dedup", "warc_fixity", "quality", "license_scan", "sentencepiece_tokens", "decontamination")
+MODULES = ("ngram_join", "substring_dedup", "language_id", "line_dedup", "warc_fixity", "quality", "license_scan", "sentencepiece_tokens", "decontamination", "topk_search")
 
 
 def queries() -> dict:
