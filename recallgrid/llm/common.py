@@ -40,8 +40,8 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def only(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
-    """Rows of df whose key is (left_semi) or isn't (left_anti) in ids, a stored one-column table.
+def only(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:
+    """Rows of df whose key is (left_semi) or isn't (left_anti) in ids, a stored table of keys.
 
     The ids are broadcast only when there are at most BROADCAST_IDS of them; otherwise Spark shuffles.
     """

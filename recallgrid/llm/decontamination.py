@@ -124,6 +124,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pa
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs, with their own columns only, in which no window of the benchmark occurs."""
+    return contaminated(docs, benchmark, window).where("size(_wm_hits) = 0").select(*docs.columns)
+
+
 def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The digest of each row of contaminated()."""
     for b in batches:

@@ -207,17 +207,53 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFra
     return rows, components(every_link)
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id) of each row; class_id is the smallest id with the same set."""
+def named(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(profile of each row, (node, class_id, component_id) of each class with an id)."""
     rows, joined = linked(docs, n, percent)
-    classes = rows.groupBy("node").agg(F.min("doc_id").alias("class_id")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"))
+    classes = classes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = classes.join(smallest, "component").select("node", "class_id", "component_id")
-    full = rows.where("n_shingles > 0").join(named, "node", "left").select("doc_id", "n_shingles", "component_id", "class_id")
+    return rows, classes.join(smallest, "component").select("node", "class_id", "component_id")
+
+
+def ngram_jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id) of each row; class_id is the smallest id with the same set."""
+    rows, names = named(docs, n, percent)
+    full = rows.where("n_shingles > 0").join(names, "node", "left").select("doc_id", "n_shingles", "component_id", "class_id")
     empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
     return full.union(empty)
 
 
+def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with their own columns only, of which one stays for each component: the smallest id's.
+
+    Rows without words stay, and so do rows without an id unless a row with an id has the same set.
+    """
+    rows, names = named(docs, n, percent)
+    mine = names.where("class_id = component_id").select("node", F.col("class_id").alias("doc_id"))
+    unnamed = rows.where("n_shingles > 0 and doc_id is null").select("node").distinct().join(names, "node", "left_anti")
+    keep = stored(mine.select("node", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")).union(unnamed.select("node", F.lit("").alias("_id"))).withColumnRenamed("node", "_node"))
+    own_columns = docs.columns
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, row, gram in gram_sets(b["text"], n):
+                _, node = signatures(row, gram, j - i)
+                part = b.slice(i, j - i)
+                ids = pa.array([str(x) if x is not None else "" for x in part["doc_id"].to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(node, pa.int64()), ids], names=[*own_columns, "_node", "_id"])
+
+    shape = docs.withColumns({"_node": F.lit(0).cast("long"), "_id": F.lit("").cast("string")}).schema
+    marked = docs.mapInArrow(mark, shape)
+    empty = marked.where("_node = 0")
+    kept = only(marked.where("_node <> 0"), keep, ["_node", "_id"])
+    # Equal rows are copies too: ids that several rows with one set share are made single.
+    again = stored(rows.where("n_shingles > 0").groupBy("node", "doc_id").count().where("count > 1").select(F.col("node").alias("_node"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")))
+    if again.count():
+        kept = only(kept, again, ["_node", "_id"], "left_anti").unionByName(only(kept, again, ["_node", "_id"]).dropDuplicates(["_node", "_id"]))
+    return kept.unionByName(empty).drop("_node", "_id")
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
