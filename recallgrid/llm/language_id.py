@@ -79,9 +79,6 @@ class Scorer:
 
     def __init__(self, model: dict, remember: int = 400_000) -> None:
         self.langs, self.orders, self.log10, self.remember = model["langs"], model["orders"], model["log10"], remember
-        self.clear()
-
-    def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.table = np.zeros((1024, max(1, len(self.langs))))
 
@@ -117,14 +114,15 @@ class Scorer:
         counts = Counter(WORD.findall(text.lower())) if text and self.langs else None
         if not counts:
             return "und", 0.0
-        if len(self.at) + len(counts) > self.remember:
-            self.clear()
-        if new := list(counts.keys() - self.at.keys()):
-            self.add(new)
         at = self.at
+        if new := [w for w in counts if w not in at]:
+            self.add(new)
         n = np.fromiter(counts.values(), float, len(counts))
         mean = n @ self.table[[at[w] for w in counts]] / n.sum()
         best = int(mean.argmax())
+        if len(at) > self.remember:  # what came first is mostly what is frequent
+            for w in new:
+                del at[w]
         p = np.exp((mean - mean[best]) * np.log(10) * min(n.sum(), CONFIDENT_WORDS))
         return self.langs[best], float(1 / p.sum())
 
