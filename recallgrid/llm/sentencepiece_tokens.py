@@ -163,7 +163,7 @@ class Codec:
         """(ids, whether both libraries agree) of each text."""
         parts = [self.segments(t) for t in texts]
         wanted = set().union(*parts) if parts else set()
-        new = wanted - self.seen.keys()
+        new = {s for s in wanted if s not in self.seen}
         # A text's first segment may lack the marker and its last may be markers only; these can't be joined.
         plain = [s for s in new if s[0] == MARK and s[-1] != MARK]
         self.learn(plain)
