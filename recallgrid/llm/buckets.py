@@ -69,3 +69,18 @@ def unpack_extras(rows: pa.Table) -> np.ndarray:
 def first_of(sorted_keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys starts."""
     return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(sorted_keys) else np.zeros(0, np.int64)
+
+
+def by_owner(owners: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
+    """Distinct owners and, for each array of values, the bytes of each owner's values."""
+    order = np.argsort(owners, kind="stable")
+    owners = owners[order]
+    begin = first_of(owners)
+    end = np.append(begin, len(owners))
+    return owners[begin], [[v[order][a:b].tobytes() for a, b in zip(end[:-1], end[1:])] for v in values]
+
+
+def answers(owners: np.ndarray, values: np.ndarray, kinds: np.ndarray, buckets: int) -> pa.Table:
+    """Packed rows that take values back to their owners' buckets, as many as there are buckets at most."""
+    where = (owners.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+    return pa.Table.from_batches(list(pack_at(where, values, owners, kinds, False)), schema=_ARROW)

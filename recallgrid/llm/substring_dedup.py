@@ -109,19 +109,21 @@ def anchors(docs: DataFrame, block: int) -> DataFrame:
             hit = ((low != high) | (low == -1)) & (np.minimum.reduceat(kinds, begin) == BLOCK)
             take = np.repeat(hit, size) & (owners != -1)
             done_keys, done_owners = np.concatenate((done_keys, keys[take])), np.concatenate((done_owners, owners[take]))
-        order = np.argsort(done_owners, kind="stable")
-        done_keys, done_owners = done_keys[order], done_owners[order]
-        begin = B.first_of(done_owners)
-        end = np.append(begin, len(done_owners))
-        return pa.table({"doc_id": pa.array(done_owners[begin], pa.int64()), "keys": pa.array([done_keys[x:y].tobytes() for x, y in zip(end[:-1], end[1:])], pa.binary())})
+        return B.answers(done_owners, done_keys, np.zeros(len(done_keys), np.int8), parts)
 
-    sent = docs.mapInArrow(send, B.SCHEMA)
-    return sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(meet, "doc_id long, keys binary")
+    return told(docs.mapInArrow(send, B.SCHEMA), meet, parts, narrow=True)
 
 
-def joined_keys(parts: DataFrame) -> DataFrame:
-    """One row (doc_id, keys) per document: the list of its packed parts, bounded by its own words."""
-    return parts.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
+def told(sent: DataFrame, meet, parts: int, narrow: bool) -> DataFrame:
+    """(doc_id, keys) of each document that gets answers: records meet by key, answers go back by document."""
+
+    def gather(rows: pa.Table) -> pa.Table:
+        keys, owners, _ = B.unpack(rows, narrow)
+        ids, (mine,) = B.by_owner(owners, keys)
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "keys": pa.array(mine, pa.binary())})
+
+    back = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(meet, B.SCHEMA)
+    return back.repartition(parts, "bucket").groupBy("bucket").applyInArrow(gather, "doc_id long, keys binary")
 
 
 def repeats(near: DataFrame, block: int, window: int, parts: int) -> DataFrame:
@@ -136,7 +138,7 @@ def repeats(near: DataFrame, block: int, window: int, parts: int) -> DataFrame:
             for i, j, row, h, _ in word_hashes(b["text"]):
                 place, key = gram_rows(h, row, block)
                 # A hit's key is looked for in its own text's keys only: both are made distinct by the row.
-                mine = [np.frombuffer(x, np.uint32) for k in b["keys"].slice(i, j - i).to_pylist() for x in [b"".join(k)]]
+                mine = [np.frombuffer(x, np.uint32) for x in b["keys"].slice(i, j - i).to_pylist()]
                 tagged = np.repeat(np.arange(j - i, dtype=np.uint64) << np.uint64(32), [len(x) for x in mine]) | np.concatenate(mine).astype(np.uint64)
                 hit = np.zeros(len(h) + 1, np.int64)
                 hit[place[np.isin(row[place].astype(np.uint64) << np.uint64(32) | key >> np.uint64(32), tagged)]] = 1
@@ -166,14 +168,9 @@ def repeats(near: DataFrame, block: int, window: int, parts: int) -> DataFrame:
         smallest = np.repeat(owners[begin], np.diff(np.append(begin, len(keys)))) if len(begin) else owners
         later = owners > smallest
         done_keys, done_owners = np.concatenate((done_keys, keys[later])), np.concatenate((done_owners, owners[later]))
-        order = np.argsort(done_owners, kind="stable")
-        done_keys, done_owners = done_keys[order], done_owners[order]
-        begin = B.first_of(done_owners)
-        end = np.append(begin, len(done_owners))
-        return pa.table({"doc_id": pa.array(done_owners[begin], pa.int64()), "keys": pa.array([done_keys[x:y].tobytes() for x, y in zip(end[:-1], end[1:])], pa.binary())})
+        return B.answers(done_owners, done_keys, np.zeros(len(done_keys), np.int8), parts)
 
-    sent = near.mapInArrow(send, B.SCHEMA)
-    return sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(meet, "doc_id long, keys binary")
+    return told(near.mapInArrow(send, B.SCHEMA), meet, parts, narrow=False)
 
 
 def covered_words(texts, keys: pa.Array, window: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -182,7 +179,7 @@ def covered_words(texts, keys: pa.Array, window: int) -> Iterator[tuple[int, np.
         at, full = gram_rows(h, row, window)
         bound = np.searchsorted(row[at], np.arange(j - i + 1))
         for r in range(j - i):
-            mine = np.frombuffer(b"".join(keys[i + r].as_py() or []), np.uint64)
+            mine = np.frombuffer(keys[i + r].as_py() or b"", np.uint64)
             a = at[bound[r] : bound[r + 1]]
             starts = a[np.isin(full[bound[r] : bound[r + 1]], mine)] - first[r]
             step = np.zeros(first[r + 1] - first[r] + 1, np.int64)
@@ -199,9 +196,9 @@ def substring_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     rows = stored(rows.join(first, ["whole_sha256", "n_words"], "left"))
     alone = stored(rows.where(f"n_words >= {window} and copy_of = doc_id").select("doc_id").distinct())
     texts = only(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), alone, "doc_id")
-    hits = stored(joined_keys(anchors(texts, block)))
+    hits = stored(anchors(texts, block))
     near = only(texts, stored(hits.select("doc_id")), "doc_id").join(hits, "doc_id")
-    found = stored(joined_keys(repeats(near, block, window, n_buckets(docs.sparkSession, docs))))
+    found = stored(repeats(near, block, window, n_buckets(docs.sparkSession, docs)))
     return rows, found
 
 
