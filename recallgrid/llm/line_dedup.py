@@ -121,15 +121,6 @@ def line_slices(texts) -> Iterator[tuple[int, int, Lines]]:
         yield i, j, Lines(data, offsets)
 
 
-def by_owner(owners: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
-    """Distinct owners and, for each array of values, the bytes of each owner's values."""
-    order = np.argsort(owners, kind="stable")
-    owners = owners[order]
-    begin = B.first_of(owners)
-    end = np.append(begin, len(owners))
-    return owners[begin], [[v[order][a:b].tobytes() for a, b in zip(end[:-1], end[1:])] for v in values]
-
-
 def equal_lines(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, gone, flagged): hashes of lines that an earlier document has, and (32 bits of) hashes of
     lines that share a half with a different line."""
@@ -185,13 +176,21 @@ def equal_lines(docs: DataFrame, min_words: int) -> DataFrame:
             met = (np.minimum.reduceat(fulls[take], begin) != np.maximum.reduceat(fulls[take], begin)) | (np.maximum.reduceat(kinds[take], begin) == MANY)
             mine = take[np.repeat(met, np.diff(np.append(begin, len(take)))) & (kinds[take] == HALF)]
             flagged = np.concatenate((flagged[0], owners[mine])), np.concatenate((flagged[1], fulls[mine]))
-        ids, (one,) = by_owner(*gone)
-        ids2, (two,) = by_owner(flagged[0], (flagged[1] >> _32).astype(np.uint32))
-        return pa.table({"doc_id": pa.array(np.concatenate((ids, ids2)), pa.int64()), "gone": pa.array(one + [None] * len(two), pa.binary()), "flagged": pa.array([None] * len(one) + two, pa.binary())})
+        owner, full = (np.concatenate((gone[k], flagged[k])) for k in (0, 1))
+        return B.answers(owner, full, np.repeat(np.array([GONE, FLAGGED], np.int8), [len(gone[0]), len(flagged[0])]), parts)
+
+    def gather(rows: pa.Table) -> pa.Table:
+        fulls, owners, kinds = B.unpack(rows, narrow=False)
+        ids = np.unique(owners)
+        out = {}
+        for name, kind, values in (("gone", GONE, fulls), ("flagged", FLAGGED, (fulls >> _32).astype(np.uint32))):
+            some, (mine,) = B.by_owner(owners[kinds == kind], values[kinds == kind])
+            of = dict(zip(some.tolist(), mine))
+            out[name] = pa.array([of.get(i) for i in ids.tolist()], pa.binary())
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), **out})
 
-    sent = docs.mapInArrow(send, B.SCHEMA)
-    answers = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(meet, "doc_id long, gone binary, flagged binary")
-    return answers.groupBy("doc_id").agg(F.collect_list("gone").alias("gone"), F.collect_list("flagged").alias("flagged"))
+    back = docs.mapInArrow(send, B.SCHEMA).repartition(parts, "bucket").groupBy("bucket").applyInArrow(meet, B.SCHEMA)
+    return back.repartition(parts, "bucket").groupBy("bucket").applyInArrow(gather, "doc_id long, gone binary, flagged binary")
 
 
 def near_partners(marked: DataFrame, parts: int) -> DataFrame:
@@ -207,7 +206,7 @@ def near_partners(marked: DataFrame, parts: int) -> DataFrame:
                 for r, (gone, flagged) in enumerate(zip(b["gone"].slice(i, j - i).to_pylist(), b["flagged"].slice(i, j - i).to_pylist())):
                     mine = line[bound[r] : bound[r + 1]]
                     full = ls.full[mine]
-                    chosen.append(mine[np.isin((full >> _32).astype(np.uint32), np.frombuffer(b"".join(flagged), np.uint32)) & ~np.isin(full, np.frombuffer(b"".join(gone), np.uint64))])
+                    chosen.append(mine[np.isin((full >> _32).astype(np.uint32), np.frombuffer(flagged or b"", np.uint32)) & ~np.isin(full, np.frombuffer(gone or b"", np.uint64))])
                 line = np.concatenate(chosen)
                 each, k, key = ls.variants(line)
                 at = ls.number.astype(np.uint64) << _32
@@ -300,11 +299,11 @@ def gone_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, gone, near): the hashes of each document's lines that go because of other lines."""
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = stored(equal_lines(texts, min_words))
-    flagged = marks.where("size(flagged) > 0")
+    flagged = marks.where("flagged is not null")
     near = only(texts, stored(flagged.select("doc_id")), "doc_id").join(flagged, "doc_id")
     partners = stored(near_partners(near, n_buckets(docs.sparkSession, docs)))
     close = verified(texts, partners)
-    return marks.select("doc_id", "gone").where("size(gone) > 0").join(close, "doc_id", "full_outer")
+    return marks.select("doc_id", "gone").where("gone is not null").join(close, "doc_id", "full_outer")
 
 
 def rewritten(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -326,7 +325,7 @@ def rewritten(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 for r in range(j - i):
                     own = b["text"][i + r].as_py()
                     goes = again[bound[r] : bound[r + 1]]
-                    keys = b"".join(b["_gone"][i + r].as_py() or []) + np.array(b["_near"][i + r].as_py() or [], np.int64).tobytes()
+                    keys = (b["_gone"][i + r].as_py() or b"") + np.array(b["_near"][i + r].as_py() or [], np.int64).tobytes()
                     if keys:
                         goes = goes | (np.isin(ls.full[bound[r] : bound[r + 1]], np.frombuffer(keys, np.uint64)) & (ls.size[bound[r] : bound[r + 1]] > 0))
                     n.append(len(goes) if own is not None else 0)
