@@ -121,11 +121,16 @@ def single_counts(docs: DataFrame, n: int = N) -> DataFrame:
         first = B.first_of(keys)
         same = (np.minimum.reduceat(owners, first) == np.maximum.reduceat(owners, first)) & (np.maximum.reduceat(kinds, first) == ASK)
         node, singles = np.unique(owners[first[same]], return_counts=True)
-        return pa.table({"node": pa.array(node, pa.int64()), "singles": pa.array(singles, pa.int64())})
+        return B.answers(node, singles.astype(np.uint64), np.zeros(len(node), np.int8), parts)
+
+    def add(rows: pa.Table) -> pa.Table:
+        singles, owners, _ = B.unpack(rows, narrow=False)
+        node, at = np.unique(owners, return_inverse=True)
+        return pa.table({"node": pa.array(node, pa.int64()), "singles": pa.array(np.bincount(at, singles, len(node)).astype(np.int64))})
 
     sent = docs.select("text").mapInArrow(send, B.SCHEMA)
-    answers = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(count, "node long, singles long")
-    return answers.groupBy("node").agg(F.sum("singles").alias("singles"))
+    back = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(count, B.SCHEMA)
+    return back.repartition(parts, "bucket").groupBy("bucket").applyInArrow(add, "node long, singles long")
 
 
 def least_overlap(n: str, percent: int) -> str:
