@@ -15,7 +15,7 @@ A document's set is its distinct word n-grams (the whole word sequence where it
    fragment counts the overlap of a pair's two segments, and the sum per pair is held against the threshold.
 
 Linked classes are joined to components. Following Rong et al., Fast and scalable distributed set
-similarity joins for big data analytics (2017), and the prefix, length and shared-count bounds usual there.
+similarity joins for big data analytics (2017), and the prefix, length, shared-count and segment-length bounds usual there.
 
 Defined results: a text that is null or has no word has an empty set and is its own component. Rows with
 equal ids keep a row each; a row's component is the smallest id of all rows reached. Rows whose id is null
@@ -146,6 +146,29 @@ def may_link(a: str, b: str, percent: int) -> str:
     )
 
 
+#: Fragments by which segment lengths bound an overlap.
+LENGTHS = 32
+
+
+def segment_lengths(listed: DataFrame) -> DataFrame:
+    """(node, lengths): how many of a class's shared n-grams fall into each of LENGTHS fragments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [np.bincount(np.asarray(g.values, np.int64) & (LENGTHS - 1), minlength=LENGTHS) for g in b["grams"]]
+            flat = pa.array(np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32))
+            ends = pa.array(np.arange(0, LENGTHS * len(rows) + 1, LENGTHS, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([b["node"], pa.ListArray.from_arrays(ends, flat)], names=["node", "lengths"])
+
+    return listed.select("node", F.expr("transform(grams, x -> x.gram)").alias("grams")).mapInArrow(run, "node long, lengths array<int>")
+
+
+def lengths_allow(a: str, b: str, percent: int) -> str:
+    """SQL: two segments share no more than the shorter one has; the sum of that over fragments allows a link."""
+    most = f"aggregate(zip_with({a}.lengths, {b}.lengths, (x, y) -> least(x, y)), 0, (sum, x) -> sum + x)"
+    return f"{100 + percent} * {most} >= {percent} * ({a}.n + {b}.n)"
+
+
 def links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b, na, nb) whose fragments' overlaps sum up to the threshold."""
     mine = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
@@ -202,10 +225,10 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFra
     placed = stored(posts.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
     sizes = placed.groupBy("gram", "component").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("gram").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    mixed = placed.join(largest, "gram")
-    rest = mixed.where("component <> main").select("gram", F.struct("node", "n", "s", "component").alias("p"))
-    every = mixed.select("gram", F.struct("node", "n", "s", "component", (F.col("component") == F.col("main")).alias("main")).alias("t"))
-    across = rest.join(every, "gram").where("p.component <> t.component and (t.main or p.node < t.node)").where(may_link("p", "t", percent))
+    mixed = stored(placed.join(largest, "gram").join(segment_lengths(listed), "node"))
+    rest = mixed.where("component <> main").select("gram", F.struct("node", "n", "s", "component", "lengths").alias("p"))
+    every = mixed.select("gram", F.struct("node", "n", "s", "component", "lengths", (F.col("component") == F.col("main")).alias("main")).alias("t"))
+    across = rest.join(every, "gram").where("p.component <> t.component and (t.main or p.node < t.node)").where(may_link("p", "t", percent)).where(lengths_allow("p", "t", percent))
     pairs = across.selectExpr(*ordered).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
     second = links(stored(pairs), segments, percent)
     every_link = first.union(second).select(F.col("a").alias("u"), F.col("b").alias("v"))
