@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import registry
 
-MODULES = ("operators.predicates",)
+MODULES = ("operators.predicates", "operators.keyword", "operators.vector")
 
 
 def _load() -> None:
