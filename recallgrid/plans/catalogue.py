@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import registry
 
-MODULES = ("operators.predicates", "operators.keyword", "operators.vector")
+MODULES = tuple(f"operators.{m}" for m in ("predicates", "keyword", "vector", "ranking", "graph", "entity", "reports"))
 
 
 def _load() -> None:
