@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import registry
 
-MODULES = tuple(f"operators.{m}" for m in ("predicates", "keyword", "vector", "ranking", "graph", "entity", "reports"))
+MODULES = (
+    "operators.predicates", "operators.keyword", "operators.vector", "operators.ranking", "operators.routing", "operators.graph", "operators.entity",
+    "operators.reports", "operators.lifecycle", "operators.documents", "sources.transfer", "streaming.jobs", "plans.search",
+)
 
 
 def _load() -> None:
@@ -18,7 +21,9 @@ def _load() -> None:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["scan_table"](spark, sf_dir)
+    from .search import entry as flagship
+
+    return flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
