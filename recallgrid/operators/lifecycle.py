@@ -103,7 +103,7 @@ def greedy_dedup(pairs: DataFrame, rounds: int = 100) -> DataFrame:
         seen = earlier.groupBy(F.col("b").alias("id")).agg(F.min(F.when(F.col("a_done") & F.col("a_parent").isNull(), F.col("a"))).alias("kept"), F.min(F.when(~F.col("a_done"), F.col("a"))).alias("waiting"))
         merged = state.join(seen, "id", "left")
         # An earliest kept neighbour settles a row once no earlier one is still open.
-        ready = ~F.col("done") & (F.col("waiting").isNull() | (F.col("kept") < F.col("waiting")))
+        ready = ~F.col("done") & F.coalesce(F.col("waiting").isNull() | (F.col("kept") < F.col("waiting")), F.lit(False))
         state = merged.select("id", F.when(ready, F.col("kept")).otherwise(F.col("parent")).alias("parent"), (F.col("done") | ready).alias("done")).checkpoint()
     raise RuntimeError("dedup didn't settle")
 
@@ -292,14 +292,14 @@ def _link(spark, d):
     return read(spark, d, "lineitem").where("l_partkey % 10 = 0").select(F.col("l_orderkey").alias("from_id"), F.col("l_partkey").alias("to_id"), F.col("l_returnflag").alias("relationship_type")).distinct()
 
 
-@query("dedup_pairs", """WITH RECURSIVE p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.5),
+@query("dedup_pairs", """WITH RECURSIVE p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3),
 n AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT a AS id FROM p UNION SELECT b FROM p)),
 s(k, kept, claimed) AS (SELECT 0::BIGINT, []::BIGINT[], []::STRUCT(id BIGINT, parent BIGINT)[] UNION ALL
  SELECT s.k + 1, CASE WHEN c.parent IS NULL THEN list_append(kept, n.id) ELSE kept END, CASE WHEN c.parent IS NULL THEN claimed ELSE list_append(claimed, {'id': n.id, 'parent': c.parent}) END
  FROM s JOIN n ON n.k = s.k + 1, LATERAL (SELECT min(p.a) AS parent FROM p WHERE p.b = n.id AND list_contains(s.kept, p.a)) c)
 SELECT x.id, x.parent FROM (SELECT unnest(claimed) AS x FROM (SELECT claimed FROM s ORDER BY k DESC LIMIT 1))""")
 def _dedup(spark, d):
-    return greedy_dedup(similar_pairs(read(spark, d, "embeddings"), 0.5, "vec_id", "label").select("a", "b"))
+    return greedy_dedup(similar_pairs(read(spark, d, "embeddings"), 0.3, "vec_id", "label").select("a", "b"))
 
 
 @query("files_dedup", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 16 = b.vec_id % 16 AND a.vec_id < b.vec_id WHERE a.label <> b.label AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.2")
