@@ -82,8 +82,9 @@ def runs_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     first = np.cumsum(size) - size
     at = np.arange(int(first[-1] + size[-1])) - np.repeat(first, size)
     values = (data[np.repeat(starts, size) + at].astype(np.uint64) + _U(1)) * _POW[at & (_BLOCK - 1)]
-    if int(size.max()) > _BLOCK:
-        values = mix(values + (at >> 16).astype(np.uint64) * _ODD)
+    if int(size.max()) > _BLOCK:  # the powers start again; bytes beyond a block are told apart by its number
+        far = at >= _BLOCK
+        values[far] = mix(values[far] + (at[far] // _BLOCK).astype(np.uint64) * _ODD)
     return mix(np.add.reduceat(values, first) + size.astype(np.uint64) * _ODD)
 
 
