@@ -190,3 +190,41 @@ def _edges(spark, d):
 def _promote(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.col("lang").alias("type"))
     return promote(docs, docs.where("doc_id % 2 = 0"), "doc_id", "promoted")
+
+
+def _written(df: DataFrame, name: str) -> str:
+    """df's lines as text files in a folder that all executors share."""
+    from ..streaming.jobs import shared
+
+    path = f"{shared(df.sparkSession)}/{name}"
+    df.write.text(path)
+    return path
+
+
+@query("ingest_transcript_lines", "SELECT CAST(conv_id AS VARCHAR) AS session, conv_id || '-' || turn AS id, role, text FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> ''")
+def _lines(spark, d):
+    c = read(spark, d, "conversations")
+    message = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct("role", F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content")))).otherwise(F.to_json(F.struct("role", F.col("text").alias("content"))))
+    head = F.to_json(F.struct(F.col("role").alias("type"), F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("uuid"), F.col("conv_id").cast("string").alias("sessionId")))
+    line = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"message":'), message, F.lit("}"))
+    return transcript_lines(spark, _written(c.select(line.alias("value")), "transcript")).select("session", "id", "role", "text")
+
+
+@query("walk_files")
+def _walk(spark, d):
+    return walk(spark, _written(read(spark, d, "documents").select(F.regexp_replace("text", "\n", " ").alias("value")), "tree"), ["_SUCCESS", ".crc"]).select("length", "sha256")
+
+
+@query("sync_tasks", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM orders")
+def _tasks(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), "o_orderdate")
+    later = o.where("o_orderkey % 4 = 0").withColumn("status", F.lit("X")).withColumn("o_orderdate", F.col("o_orderdate") + F.expr("INTERVAL 1 DAY"))
+    return newer_wins(o, later, ["o_orderkey"], "o_orderdate").select("o_orderkey", "status")
+
+
+@query("sync_embeddings", "SELECT vec_id, count(*) AS n FROM embeddings GROUP BY 1")
+def _vectors(spark, d):
+    """Vectors are keyed by item, kind and content, so that running an import again adds nothing."""
+    v = read(spark, d, "embeddings").select("vec_id", F.lit("default").alias("kind"), F.sha2(F.to_json("embedding").cast("binary"), 256).alias("content_hash"), "embedding")
+    twice = upsert(upsert(v, v, ["vec_id", "kind", "content_hash"]), v, ["vec_id", "kind", "content_hash"])
+    return twice.groupBy("vec_id").agg(F.count("*").alias("n"))

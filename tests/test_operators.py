@@ -179,3 +179,19 @@ def test_rrf_is_order_free(spark):
     ch = [spark.createDataFrame(list(zip(p, (1, 2, 3))), "id long, rank int") for p in itertools.islice(itertools.permutations((1, 2, 3)), 2)]
     a, b = (sorted((r["id"], round(r["score"], 9)) for r in ranking.rrf(x).collect()) for x in (ch, ch[::-1]))
     assert a == b
+
+
+def test_communities_of_two_cliques(spark):
+    from recallgrid.operators import extras
+
+    cliques = [(a, b, 1.0) for group in (range(5), range(10, 15)) for a in group for b in group if a < b]
+    e = spark.createDataFrame([*cliques, (4, 10, 1.0), (20, 21, 2.0)], "from_id long, to_id long, weight double")
+    got = {r["id"]: r["cluster"] for r in extras.communities(e).collect()}
+    assert got == {**dict.fromkeys(range(5), 0), **dict.fromkeys(range(10, 15), 10), 20: 20, 21: 20}
+
+
+def test_inference_defaults(spark):
+    from recallgrid.operators import extras
+
+    got = col(spark, ["claude-3", None, "llama-3", "zzz"]).select(extras.infer_provider(F.col("x"))).collect()
+    assert [r[0] for r in got] == ["anthropic", "other", "local", "other"]
