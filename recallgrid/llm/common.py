@@ -13,10 +13,21 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 1_000_000
 
 #: Bytes of text for which one bucket of packed keys is laid out.
-BUCKET_TEXT_BYTES = 32 << 20
+BUCKET_TEXT_BYTES = 8 << 20
+
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, unless someone has set a size of their own."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read back: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -315,24 +315,25 @@ def rewritten(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text: list[str | None] = []
-            n, removed = [], []
             for i, j, ls in line_slices(b["text"]):
-                first = ls.firsts()
+                text: list[str | None] = []
+                n, removed = [], []
                 again = ls.size > 0
-                again[first] = False
+                again[ls.firsts()] = False
                 bound = np.searchsorted(ls.row, np.arange(j - i + 1))
                 for r in range(j - i):
                     own = b["text"][i + r].as_py()
-                    goes = again[bound[r] : bound[r + 1]]
+                    mine = slice(bound[r], bound[r + 1])
+                    goes = again[mine]
                     keys = (b["_gone"][i + r].as_py() or b"") + np.array(b["_near"][i + r].as_py() or [], np.int64).tobytes()
                     if keys:
-                        goes = goes | (np.isin(ls.full[bound[r] : bound[r + 1]], np.frombuffer(keys, np.uint64)) & (ls.size[bound[r] : bound[r + 1]] > 0))
+                        goes = goes | (np.isin(ls.full[mine], np.frombuffer(keys, np.uint64)) & (ls.size[mine] > 0))
                     n.append(len(goes) if own is not None else 0)
                     removed.append(int(goes.sum()))
                     text.append("\n".join([x for x, g in zip(own.split("\n"), goes) if not g]) if removed[-1] else own)
-            columns = [pa.array(text, pa.string()) if name == "text" else b[name] for name in own_columns]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*own_columns, "_lines", "_removed"])
+                part = b.slice(i, j - i)
+                columns = [pa.array(text, pa.string()) if name == "text" else part[name] for name in own_columns]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*own_columns, "_lines", "_removed"])
 
     return joined.mapInArrow(cut, out)
 

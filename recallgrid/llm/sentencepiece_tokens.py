@@ -30,7 +30,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL_SETTING = "spark.recallgrid.sentencepiece.model"
 THREADS = 2
 #: Segments a task remembers.
-REMEMBER = 500_000
+REMEMBER = 250_000
 #: Segments that are encoded as one string, and texts that are handled together.
 TOGETHER = 512
 MARK = "▁"

@@ -62,9 +62,19 @@ INDEX = "ids binary, lengths binary, terms binary, df binary, docs binary, tf bi
 def index(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per shard: ids and lengths of its documents (ordered by length), terms, and postings by term."""
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            ids = b[id_col].to_numpy(zero_copy_only=False)
+            held.append(b)
+            if sum(x["text"].nbytes for x in held) >= SHARD_BYTES:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in gathered(batches):
+            ids = b[id_col].to_numpy()
             for i, j, row, term, tf, length in term_counts(b["text"], SHARD_BYTES):
                 place = np.empty(j - i, np.int64)
                 by_length = np.argsort(length, kind="stable")
