@@ -11,9 +11,12 @@ QUERIES, ORACLES = catalogue.queries(), catalogue.oracle_sql()
 
 
 def plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return "null"
-    return f"{round(float(v), 6)!r}" if isinstance(v, float) else str(v)
+    if isinstance(v, float):  # whole numbers beside missing ones are floats in pandas
+        v = round(float(v), 6)
+        return str(int(v)) if v.is_integer() else repr(v)
+    return str(v)
 
 
 def rows(df):
