@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +86,51 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str, block: str)
     return a.join(b, block).where("a < b").withColumn("score", cosine(F.col("ea"), F.col("eb"))).where(F.col("score") >= threshold).select("a", "b", "score")
 
 
+#: Vectors in one side of a cell of cross_pairs.
+CELL_ROWS = 2000
+
+
+def cross_pairs(vectors: DataFrame, threshold: float, id_col: str, group: str, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(a, b, score) of all vectors of different groups with cosine of at least threshold, a < b.
+
+    Exact: ids are dealt by hash into shares of about cell_rows vectors, and each pair of shares meets in one
+    task, so no key gathers more than two shares. The work grows with the square of the rows.
+    """
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), "embedding", F.col(group).alias("g")).dropna()
+    shares = max(1, -(-v.count() // cell_rows))
+    share = F.pmod(F.xxhash64("id"), F.lit(shares))
+    both = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<bigint>"))
+    dealt = v.withColumn("share", share).withColumn("other", both).withColumns({"x": F.least("share", "other"), "y": F.greatest("share", "other")})
+
+    def meet(rows: pa.Table) -> pa.Table:
+        ids, share = (rows[c].to_numpy() for c in ("id", "share"))
+        codes = rows["g"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        lists = rows["embedding"].combine_chunks()
+        size = lists.value_lengths().to_numpy(zero_copy_only=False)
+        m = np.zeros((len(ids), int(size.max())))
+        m[np.arange(m.shape[1]) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+        norm = np.sqrt((m * m).sum(1))
+        left = np.flatnonzero(share == rows["x"][0].as_py())
+        right = np.flatnonzero(share == rows["y"][0].as_py())
+        alone = rows["x"][0] == rows["y"][0]
+        out = []
+        for i in range(0, len(left), 500):
+            one = left[i : i + 500]
+            length = norm[one][:, None] * norm[right]
+            fits = (length != 0) & (size[one][:, None] == size[right])
+            score = np.where(fits, m[one] @ m[right].T / np.where(fits, length, 1.0), 0.0)
+            wanted = (score >= threshold) & (codes[one][:, None] != codes[right])
+            if alone:
+                wanted &= ids[one][:, None] < ids[right]
+            p, q = np.nonzero(wanted)
+            s, t = ids[one[p]], ids[right[q]]
+            out.append((np.minimum(s, t), np.maximum(s, t), score[p, q]))
+        a, b, score = (np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(3))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "score": pa.array(score, pa.float64())})
+
+    return dealt.groupBy("x", "y").applyInArrow(meet, "a long, b long, score double")
+
+
 def greedy_dedup(pairs: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, parent): each row claimed by its first unclaimed earlier neighbour, from sparse pairs (a < b).
 
@@ -304,10 +351,8 @@ def _dedup(spark, d):
 
 @query("files_dedup", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 16 = b.vec_id % 16 AND a.vec_id < b.vec_id WHERE a.label <> b.label AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.2")
 def _fdedup(spark, d):
-    v = read(spark, d, "embeddings").withColumn("block", F.col("vec_id") % 16)
-    p = similar_pairs(v, 0.2, "vec_id", "block")
-    label = v.select(F.col("vec_id").alias("a"), F.col("label").alias("la"))
-    return p.join(label, "a").join(label.select(F.col("a").alias("b"), F.col("la").alias("lb")), "b").where("la <> lb").select("a", "b", F.round("score", 6).alias("score"))
+    p = cross_pairs(read(spark, d, "embeddings"), 0.2, "vec_id", "label")
+    return p.select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query("promotability", f"SELECT user_id, round(ln(1 + count(*)) * least(1, greatest(0, avg(value) / 100)) * exp(-date_diff('second', max(ts), TIMESTAMP '2024-02-10 00:00:00') / 86400.0 / 30), 6) AS score FROM events WHERE user_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1 HAVING score >= 0.3 ORDER BY score DESC, user_id LIMIT 40")
