@@ -182,7 +182,7 @@ g AS (SELECT name, max_by(id, (j, -id)) AS entity_id, 'fuzzy' AS how FROM f WHER
 def _resolve(spark, d):
     e = read(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.lit("part").alias("entity_type"))
     name = F.when(F.col("entity_id") % 2 == 0, F.upper("name")).otherwise(F.concat("name", F.lit(" extra")))
-    names = e.where("entity_id % 20 < 2").select(name.alias("name"), F.lit("part").alias("type"))
+    names = e.select(name.alias("name"), F.lit("part").alias("type"))
     return resolve(names, e, 0.6)
 
 
@@ -212,7 +212,7 @@ def _surface(spark, d):
 @query("entity_graph_expand", "WITH m AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_orderkey % 5 = 0), s0 AS (SELECT p_partkey AS p FROM part WHERE p_name LIKE '%blue%' ORDER BY p_name, p_partkey LIMIT 5), h1 AS (SELECT DISTINCT b.p FROM m a JOIN m b ON a.s = b.s WHERE a.p IN (SELECT p FROM s0)), k AS (SELECT p FROM (SELECT p FROM s0 UNION SELECT p FROM h1) ORDER BY p LIMIT 100) SELECT DISTINCT l_orderkey AS memory_id FROM lineitem WHERE l_partkey IN (SELECT p FROM k)")
 def _expand(spark, d):
     line = read(spark, d, "lineitem")
-    m = line.where("l_orderkey % 5 = 0").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    m = line.select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
     seeds = read(spark, d, "part").where("p_name like '%blue%'").orderBy("p_name", "p_partkey").limit(5).select(F.col("p_partkey").alias("p"))
     near = m.join(seeds, "p", "left_semi").select("s").distinct().join(m, "s").select("p")
     kept = seeds.union(near).distinct().orderBy("p").limit(100)  # the cap on nodes is the operator's

@@ -197,7 +197,7 @@ def _extras(spark, d):
 
     v = read(spark, d, "embeddings")
     near = with_query(v, v.where("vec_id = 0")).select(F.col("vec_id").alias("id"), cosine(F.col("embedding"), F.col("q")).alias("s"))
-    rows = read(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"))
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("id"))
     return rows.join(near, "id", "left").select("id", F.round(F.coalesce("s", F.lit(0.1)), 6).alias("score"))
 
 
@@ -293,7 +293,7 @@ def _stale(spark, d):
 
 @query("redundant_pairs", "WITH m AS (SELECT DISTINCT s_nationkey AS c, o_custkey % 200 AS x FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 20 = 0), n AS (SELECT c, count(*) AS n FROM m GROUP BY 1), o AS (SELECT a.c AS a, b.c AS b, count(*) AS k FROM m a JOIN m b ON a.x = b.x AND a.c < b.c GROUP BY ALL) SELECT a, b, round(k / (p.n + q.n - k), 6) AS jaccard FROM o JOIN n p ON p.c = a JOIN n q ON q.c = b WHERE k / (p.n + q.n - k) >= 0.6")
 def _redundant(spark, d):
-    line = read(spark, d, "lineitem").where("l_orderkey % 20 = 0").join(read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    line = read(spark, d, "lineitem").join(read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     m = line.select(F.col("s_nationkey").alias("c"), (F.col("o_custkey") % 200).alias("x")).distinct()
     n = m.groupBy("c").agg(F.count("*").alias("n"))
     a, b = m.select(F.col("c").alias("a"), "x"), m.select(F.col("c").alias("b"), "x")

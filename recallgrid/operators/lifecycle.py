@@ -336,7 +336,7 @@ def _writes(spark, d):
 
 @query("link_bulk", "SELECT DISTINCT l_orderkey AS from_id, l_partkey AS to_id, l_returnflag AS relationship_type FROM lineitem WHERE l_partkey % 10 = 0")
 def _link(spark, d):
-    return read(spark, d, "lineitem").where("l_partkey % 10 = 0").select(F.col("l_orderkey").alias("from_id"), F.col("l_partkey").alias("to_id"), F.col("l_returnflag").alias("relationship_type")).distinct()
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("from_id"), F.col("l_partkey").alias("to_id"), F.col("l_returnflag").alias("relationship_type")).distinct()
 
 
 @query("dedup_pairs", """WITH RECURSIVE p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3),

@@ -38,3 +38,15 @@ def test_cross_pairs_by_brute_force(spark, cell_rows):
                     want[a, b] = round(float(s), 6)
     got = {(r["a"], r["b"]): round(r["score"], 6) for r in lifecycle.cross_pairs(frame, 0.55, "vec_id", "label", cell_rows).collect()}
     assert got == want and (101, 103) in got
+
+
+FILTERS = {
+    "redundant_pairs": " WHERE l_orderkey % 20 = 0", "score_extras": " WHERE d.doc_id % 3 = 0", "entity_graph_expand": " WHERE l_orderkey % 5 = 0", "entity_resolve": " WHERE id % 20 < 2",
+    "link_bulk": " WHERE l_partkey % 10 = 0", "greatest_least": " WHERE l_orderkey % 10 = 0", "referenced_dates": " WHERE o_orderkey % 5 = 0", "claim_lease": " WHERE event_id % 11 = 0",
+}
+
+
+@pytest.mark.parametrize("name", sorted(FILTERS))
+def test_whole_tables_are_read(spark, duck, data, name):
+    assert FILTERS[name] in ORACLES[name]
+    assert rows(QUERIES[name](spark, data).toPandas()) == whole(duck, name, (FILTERS[name], ""))
