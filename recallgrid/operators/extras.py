@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -32,8 +33,8 @@ CHANGE_AGENTS = [
     ("manual", ["manual"]),
 ]
 PATHS = r"(?:[A-Za-z]:\\(?:[^\\\s]+\\)*|/(?:home|Users)/(?:[^/\s]+/)*)([^\\/\s]+)"
-#: Members of a cluster, and nodes of a component that are clustered in one task; larger components are cut in order.
-CLUSTER_CAP, COMPONENT_CAP = 60, 2000
+#: Members of a cluster; larger ones are cut in order, as the reference does.
+CLUSTER_CAP = 60
 
 
 def infer_provider(model: Column) -> Column:
@@ -76,51 +77,63 @@ def extract_with(docs: DataFrame, extractor: Callable[[str], list[tuple[str, str
     return docs.select(id_col, text).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, name string, kind string")
 
 
+def greedy_modularity(edges: list[tuple[int, int, float]], total: float) -> list[list[int]]:
+    """Communities of one component's edges (a, b, weight), total being the weight of the whole graph's edges.
+
+    The pair of the best gain is merged until none gains; ties go to smaller ids. A gain only falls while a
+    pair's weight stays, so what the heap holds is a bound that is looked at again when it comes up.
+    """
+    between: dict = {}
+    degree: dict = {}
+    for x, y, z in edges:
+        between.setdefault(x, {})[y] = between.setdefault(y, {})[x] = z / (2 * total)
+        for n in (x, y):
+            degree[n] = degree.get(n, 0.0) + z / (2 * total)
+    members = {n: [n] for n in degree}
+    gain = lambda p, q: 2 * (between[p][q] - degree[p] * degree[q])
+    heap = [(-gain(p, q), p, q) for p in between for q in between[p] if p < q]
+    heapq.heapify(heap)
+    while heap:
+        bound, x, y = heapq.heappop(heap)
+        if y not in between.get(x, ()):
+            continue
+        now = -gain(x, y)
+        if now != bound:
+            if now > bound:  # else a later entry has its new weight
+                heapq.heappush(heap, (now, x, y))
+            continue
+        if -now <= 1e-12:
+            break
+        degree[x] += degree.pop(y)
+        members[x] += members.pop(y)
+        for n, z in between.pop(y).items():
+            del between[n][y]
+            if n != x:
+                between[x][n] = between[n][x] = between[x].get(n, 0.0) + z
+                p, q = min(x, n), max(x, n)
+                heapq.heappush(heap, (-gain(p, q), p, q))
+    return [sorted(group) for group in members.values()]
+
+
 def communities(edges: DataFrame, cap: int = CLUSTER_CAP) -> DataFrame:
     """(id, cluster): greedy modularity communities (Clauset, Newman and Moore, 2004) of weighted edges.
 
-    Components are found on Spark; each of at most COMPONENT_CAP nodes is clustered by itself in a task, larger
-    ones are cut into ranges of that many nodes in order of id. Clusters above cap are cut in order; a cluster
-    is named by its smallest member.
+    Merges never leave a component, so components are found on Spark and each is clustered by itself, whole, with
+    the weight of the whole graph: the result is that of one run over all edges. The merges of one component are
+    sequential and are done in one task. Clusters above cap are cut in order; a cluster is named by its smallest
+    member.
     """
     e = edges.where("from_id <> to_id").groupBy(F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b")).agg(F.sum("weight").alias("w"))
     c = components(e.select(F.col("a").alias("from_id"), F.col("b").alias("to_id")))
-    size = c.groupBy("component").agg(F.count("*").alias("size"))
-    big = c.join(size.where(F.col("size") > COMPONENT_CAP), "component")
-    rank = F.row_number().over(Window.partitionBy("component").orderBy("id"))
-    cut = big.withColumn("part", F.floor((rank - 1) / COMPONENT_CAP).cast("long")).select("id", "component", "part")
-    placed = c.join(size.where(F.col("size") <= COMPONENT_CAP), "component").select("id", "component", F.lit(0).cast("long").alias("part")).unionByName(cut)
-    ends = e.join(placed.select(F.col("id").alias("a"), F.col("component").alias("ca"), F.col("part").alias("pa")), "a").join(placed.select(F.col("id").alias("b"), F.col("part").alias("pb")), "b")
-    inner = ends.where("pa = pb").select("a", "b", "w", F.col("ca").alias("component"), F.col("pa").alias("part"))
+    total = e.agg(F.sum("w").cast("double").alias("total"))
+    inner = e.join(c.select(F.col("id").alias("a"), "component"), "a").crossJoin(F.broadcast(total)).select("a", "b", "w", "component", "total")
 
     def merge(rows: pa.Table) -> pa.Table:
-        a, b, w = (rows[x].to_pylist() for x in ("a", "b", "w"))
-        total = sum(w)
-        between: dict = {}
-        degree: dict = {}
-        for x, y, z in zip(a, b, w):
-            between.setdefault(x, {})[y] = between.setdefault(y, {})[x] = z / (2 * total)
-            for n in (x, y):
-                degree[n] = degree.get(n, 0.0) + z / (2 * total)
-        members = {n: [n] for n in degree}
-        while True:
-            gain, x, y = max(((2 * (z - degree[p] * degree[q]), -p, -q) for p in between for q, z in between[p].items() if p < q), default=(0.0, 0, 0))
-            if gain <= 1e-12:
-                break
-            x, y = -x, -y
-            for n, z in between.pop(y).items():
-                del between[n][y]
-                if n != x:
-                    between[x][n] = between[n][x] = between[x].get(n, 0.0) + z
-            degree[x] += degree.pop(y)
-            members[x] += members.pop(y)
-        out = []
-        for group in members.values():
-            group.sort()
-            out += [(i, part[0]) for k in range(0, len(group), cap) for part in [group[k : k + cap]] for i in part]
+        found = greedy_modularity(sorted(zip(*(rows[x].to_pylist() for x in ("a", "b", "w")))), rows["total"][0].as_py())
+        out = [(i, part[0]) for group in found for k in range(0, len(group), cap) for part in [group[k : k + cap]] for i in part]
         return pa.table({"id": pa.array([o[0] for o in out], pa.int64()), "cluster": pa.array([o[1] for o in out], pa.int64())})
 
-    return inner.groupBy("component", "part").applyInArrow(merge, "id long, cluster long")
+    return inner.groupBy("component").applyInArrow(merge, "id long, cluster long")
 
 
 def any_end_join(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recallgrid.operators import lifecycle
+from recallgrid.operators import extras, lifecycle
 from recallgrid.plans import catalogue
 from test_oracles import rows
 
@@ -50,3 +50,50 @@ FILTERS = {
 def test_whole_tables_are_read(spark, duck, data, name):
     assert FILTERS[name] in ORACLES[name]
     assert rows(QUERIES[name](spark, data).toPandas()) == whole(duck, name, (FILTERS[name], ""))
+
+
+def naive_communities(edges):
+    """Greedy modularity over the whole graph, all pairs looked at for each merge."""
+    weight, total = {}, sum(edges.values())
+    degree, members = {}, {}
+    for (a, b), w in edges.items():
+        weight[a, b] = w / (2 * total)
+        for n in (a, b):
+            degree[n] = degree.get(n, 0.0) + w / (2 * total)
+            members[n] = [n]
+    while weight:
+        best, a, b = max((2 * (z - degree[p] * degree[q]), -p, -q) for (p, q), z in weight.items())
+        a, b = -a, -b
+        if best <= 1e-12:
+            break
+        degree[a] += degree.pop(b)
+        members[a] += members.pop(b)
+        for (p, q), z in list(weight.items()):
+            if b in (p, q):
+                del weight[p, q]
+                n = p if q == b else q
+                if n != a:
+                    weight[min(a, n), max(a, n)] = weight.get((min(a, n), max(a, n)), 0.0) + z
+    return {i: min(group) for group in members.values() for i in group}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_communities_use_the_whole_graphs_weight(spark, seed):
+    rng = np.random.default_rng(seed)
+    edges = {}
+    for part, (n, m) in enumerate([(40, 90), (25, 30), (6, 9), (2, 1), (30, 200)]):
+        for a, b in rng.integers(0, n, (m, 2)):
+            if a != b:
+                edges[100 * part + int(min(a, b)), 100 * part + int(max(a, b))] = float(rng.integers(1, 5))
+    frame = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "from_id long, to_id long, weight double")
+    assert {r["id"]: r["cluster"] for r in extras.communities(frame, 1000).collect()} == naive_communities(edges)
+
+
+def test_communities_keep_large_components_whole(spark):
+    ids = [int(i) for i in np.random.default_rng(5).permutation(2101)]
+    frame = spark.createDataFrame([(a, b, 1.0) for a, b in zip(ids, ids[1:])], "from_id long, to_id long, weight double")
+    got = {r["id"]: r["cluster"] for r in extras.communities(frame, 10_000).collect()}
+    assert len(got) == 2101
+    assert sum(got[a] == got[b] for a, b in zip(ids, ids[1:])) == 2101 - len(set(got.values()))  # each is one run of the chain
+    edges = {(min(a, b), max(a, b)): 1.0 for a, b in zip(ids, ids[1:])}
+    assert got == naive_communities(edges)
