@@ -264,8 +264,7 @@ def _adaptive(spark, d):
 
 @query("content_dedup", f"WITH {_H}, r AS (SELECT *, row_number() OVER (PARTITION BY trim(content[1:30]) ORDER BY score DESC, id) AS r FROM h) SELECT id, round(score, 6) AS score FROM r WHERE r = 1 OR trim(content[1:30]) = '' ORDER BY r.score DESC, id LIMIT 30")
 def _dedup(spark, d):
-    c = candidates(spark, d).withColumn("head", F.substring("content", 1, 30))
-    return _out(content_dedup(c, "head", 30))
+    return _out(content_dedup(candidates(spark, d), "content", 30))
 
 
 @query("explain", f"WITH {_H} SELECT id, 'keyword=' || printf('%.3f', 0.3 / (1 + abs(bm25))) || CASE WHEN importance > 0 THEN '; importance=' || printf('%.3f', 0.15 * importance) ELSE '' END AS reason FROM h")

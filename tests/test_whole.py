@@ -97,3 +97,34 @@ def test_communities_keep_large_components_whole(spark):
     assert sum(got[a] == got[b] for a, b in zip(ids, ids[1:])) == 2101 - len(set(got.values()))  # each is one run of the chain
     edges = {(min(a, b), max(a, b)): 1.0 for a, b in zip(ids, ids[1:])}
     assert got == naive_communities(edges)
+
+
+PREFIXES = {
+    "content_dedup": ("content[1:30]", "content"), "is_temporal": ("text[1:40]", "text"), "route_vector_weight": ("text[1:40]", "text"), "auto_branch": ("text[1:40]", "text"),
+    "event_sentences": ("text[1:60]", "text"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PREFIXES))
+def test_whole_texts_are_read(spark, duck, data, name):
+    assert PREFIXES[name][0] in ORACLES[name]
+    assert rows(QUERIES[name](spark, data).toPandas()) == whole(duck, name, PREFIXES[name])
+
+
+@pytest.mark.parametrize("name,table,change", [
+    ("content_dedup", "documents", lambda t: "The same opening of all texts. " + t),
+    ("event_sentences", "conversations", lambda t: "nothing is said for a long time, for a very long time here. Anna released it on Friday! " + t),
+])
+def test_what_comes_after_a_prefix_counts(spark, data, tmp_path, name, table, change):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    for t in ("documents", "labels", "embeddings", "conversations"):
+        df = pd.read_parquet(f"{data}/{t}.parquet")
+        if t == table:
+            df["text"] = [change(x or "") for x in df["text"]]
+        df.to_parquet(tmp_path / f"{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    have = rows(QUERIES[name](spark, str(tmp_path)).toPandas())
+    assert have == whole(con, name, PREFIXES[name]) and have != rows(con.execute(ORACLES[name]).df())
