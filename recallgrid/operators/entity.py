@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,18 +100,58 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 0.0).otherwise(100 * (1 - F.levenshtein(s(a), s(b)) / longest))
 
 
-def coalesce_candidates(entities: DataFrame, fuzzy: float = MERGE_FUZZY) -> DataFrame:
-    """(a, b, ratio, band) of names (id, name) that share a block: merge, or review where a guard objects.
+def segment_keys(text: str, fuzzy: float) -> set[tuple[bool, str]]:
+    """(long, key) of a text, as the shorter and as the longer one of a pair.
 
-    Blocks are first tokens; pairs are only made of names that share a second token as well or have just one,
-    so that no block meets itself whole.
+    A pair of lengths l <= n has at most k = n * (1 - fuzzy / 100) edits, so of k + 1 segments of the shorter text
+    one is whole in the longer text, at most k places away (Li, Deng, Wang and Feng, Pass-Join, 2011).
     """
-    toks = X.tokens(F.col("name"))
-    keyed = entities.where(~F.col("name").rlike(r"^\s*$|^[^\w]|^\d")).select("id", "name", block_key(F.col("name")).alias("block"), F.explode(F.array_distinct(F.when(F.size(toks) > 1, F.slice(toks, 2, 1000)).otherwise(toks))).alias("t"))
-    a, b = keyed.select(F.col("id").alias("a"), F.col("name").alias("na"), "block", "t"), keyed.select(F.col("id").alias("b"), F.col("name").alias("nb"), "block", "t")
-    pairs = a.join(b, ["block", "t"]).where("a < b").select("a", "b", "na", "nb").distinct().withColumn("ratio", token_sort_ratio(F.col("na"), F.col("nb"))).where(F.col("ratio") >= fuzzy)
+    most = lambda n: int(n * (100 - fuzzy) / 100 + 1e-9)
+    size, out = len(text), set()
+
+    def segments(length: int, k: int):
+        bounds = [length * i // (k + 1) for i in range(k + 2)]
+        return enumerate(zip(bounds, bounds[1:]))
+
+    n = size
+    while n - size <= most(n) and most(n) <= n:
+        out |= {(False, f"{size}.{n}.{i}.{text[p:q]}") for i, (p, q) in segments(size, most(n))}
+        n += 1
+        if fuzzy <= 0 or n > size / (fuzzy / 100) + 2:
+            break
+    k = most(size)
+    for less in range(max(0, size - k), size + 1):
+        for i, (p, q) in segments(less, k):
+            out |= {(True, f"{less}.{size}.{i}.{text[s : s + q - p]}") for s in range(max(0, p - k), min(size - (q - p), p + k) + 1)}
+    return out
+
+
+def coalesce_candidates(entities: DataFrame, fuzzy: float = MERGE_FUZZY, vectors: DataFrame | None = None) -> DataFrame:
+    """(a, b, ratio, band) of names (id, name) that share a block, their first token.
+
+    All pairs with a ratio of at least fuzzy: merge from MERGE_COSINE on, else review, as where a guard objects. With
+    vectors (id, embedding), also all pairs of a lesser ratio whose cosine is at least FLAG_COSINE, for review.
+    """
+    from .lifecycle import block_pairs
+
+    kept = entities.where(~F.col("name").rlike(r"^\s*$|^[^\w]|^\d")).select("id", "name", block_key(F.col("name")).alias("g"))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, g, far, key) for i, g, s in zip(*(b[c].to_pylist() for c in ("id", "g", "s"))) for far, key in segment_keys(s, fuzzy)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in enumerate((pa.int64(), pa.string(), pa.bool_(), pa.string()))], names=["id", "g", "far", "key"])
+
+    keys = kept.select(F.col("id").cast("long").alias("id"), "g", F.array_join(F.array_sort(X.tokens(F.col("name"))), " ").alias("s")).mapInArrow(send, "id long, g string, far boolean, key string")
+    near = keys.where("not far").select(F.col("id").alias("i"), "g", "key").join(keys.where("far").select(F.col("id").alias("j"), "g", "key"), ["g", "key"]).where("i <> j")
+    found = near.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct().withColumn("close", F.lit(False))
+    if vectors is not None:
+        found = found.unionByName(block_pairs(kept.join(vectors, "id"), FLAG_COSINE).select("a", "b").withColumn("close", F.lit(True)))
+        found = found.groupBy("a", "b").agg(F.max("close").alias("close"))
+    name = kept.select("id", "name")
+    both = found.join(name.toDF("a", "na"), "a").join(name.toDF("b", "nb"), "b").withColumn("ratio", token_sort_ratio(F.col("na"), F.col("nb"))).where((F.col("ratio") >= fuzzy) | F.col("close"))
     guarded = numeric_collision(F.col("na"), F.col("nb")) | underscore_collision(F.col("na"), F.col("nb"))
-    return pairs.select("a", "b", "ratio", F.when(guarded, "review").otherwise("merge").alias("band"))
+    sure = (F.col("ratio") >= fuzzy) & (F.col("ratio") >= 100 * MERGE_COSINE)
+    return both.select("a", "b", "ratio", F.when(guarded | ~sure, "review").otherwise("merge").alias("band"))
 
 
 def representative(members: DataFrame) -> DataFrame:
@@ -229,7 +271,10 @@ def _blocks(spark, d):
 
 @query("coalesce_detect")
 def _coalesce(spark, d):
-    return coalesce_candidates(read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+    from .vector import hash_embedding
+
+    names = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return coalesce_candidates(names, vectors=hash_embedding(names.toDF("doc_id", "text")).toDF("id", "embedding"))
 
 
 @query("pick_representative", "SELECT s_nationkey AS cluster, max_by(s_suppkey, (n, length(s_name), -s_suppkey)) AS id FROM supplier JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey GROUP BY 1")

@@ -102,33 +102,46 @@ def cross_pairs(vectors: DataFrame, threshold: float, id_col: str, group: str, c
     both = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<bigint>"))
     dealt = v.withColumn("share", share).withColumn("other", both).withColumns({"x": F.least("share", "other"), "y": F.greatest("share", "other")})
 
-    def meet(rows: pa.Table) -> pa.Table:
-        ids, share = (rows[c].to_numpy() for c in ("id", "share"))
-        codes = rows["g"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        lists = rows["embedding"].combine_chunks()
-        size = lists.value_lengths().to_numpy(zero_copy_only=False)
-        m = np.zeros((len(ids), int(size.max())))
-        m[np.arange(m.shape[1]) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
-        norm = np.sqrt((m * m).sum(1))
-        left = np.flatnonzero(share == rows["x"][0].as_py())
-        right = np.flatnonzero(share == rows["y"][0].as_py())
-        alone = rows["x"][0] == rows["y"][0]
-        out = []
-        for i in range(0, len(left), 500):
-            one = left[i : i + 500]
-            length = norm[one][:, None] * norm[right]
-            fits = (length != 0) & (size[one][:, None] == size[right])
-            score = np.where(fits, m[one] @ m[right].T / np.where(fits, length, 1.0), 0.0)
-            wanted = (score >= threshold) & (codes[one][:, None] != codes[right])
-            if alone:
-                wanted &= ids[one][:, None] < ids[right]
-            p, q = np.nonzero(wanted)
-            s, t = ids[one[p]], ids[right[q]]
-            out.append((np.minimum(s, t), np.maximum(s, t), score[p, q]))
-        a, b, score = (np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(3))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "score": pa.array(score, pa.float64())})
-
-    return dealt.groupBy("x", "y").applyInArrow(meet, "a long, b long, score double")
+    return dealt.groupBy("x", "y").applyInArrow(lambda rows: _cell(rows, threshold, True), "a long, b long, score double")
+
+
+def block_pairs(vectors: DataFrame, threshold: float, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(a, b, score) of all (id, embedding, g) of equal g with cosine of at least threshold, a < b; a block is
+    dealt into shares as in cross_pairs."""
+    v = vectors.select(F.col("id").cast("long").alias("id"), "embedding", "g").dropna()
+    shares = v.groupBy("g").agg(F.ceil(F.count("*") / cell_rows).alias("shares"))
+    dealt = v.join(shares, "g").withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)))
+    cells = dealt.drop("shares").withColumns({"x": F.least("share", "other"), "y": F.greatest("share", "other")})
+    return cells.groupBy("g", "x", "y").applyInArrow(lambda rows: _cell(rows, threshold, False), "a long, b long, score double")
+
+
+def _cell(rows: pa.Table, threshold: float, differ: bool) -> pa.Table:
+    ids, share = (rows[c].to_numpy() for c in ("id", "share"))
+    codes = rows["g"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    lists = rows["embedding"].combine_chunks()
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    m = np.zeros((len(ids), int(size.max())))
+    m[np.arange(m.shape[1]) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    norm = np.sqrt((m * m).sum(1))
+    left = np.flatnonzero(share == rows["x"][0].as_py())
+    right = np.flatnonzero(share == rows["y"][0].as_py())
+    alone = rows["x"][0] == rows["y"][0]
+    out = []
+    for i in range(0, len(left), 500):
+        one = left[i : i + 500]
+        length = norm[one][:, None] * norm[right]
+        fits = (length != 0) & (size[one][:, None] == size[right])
+        score = np.where(fits, m[one] @ m[right].T / np.where(fits, length, 1.0), 0.0)
+        wanted = score >= threshold
+        if differ:
+            wanted &= codes[one][:, None] != codes[right]
+        if alone:
+            wanted &= ids[one][:, None] < ids[right]
+        p, q = np.nonzero(wanted)
+        s, t = ids[one[p]], ids[right[q]]
+        out.append((np.minimum(s, t), np.maximum(s, t), score[p, q]))
+    a, b, score = (np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(3))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "score": pa.array(score, pa.float64())})
 
 
 def greedy_dedup(pairs: DataFrame, rounds: int = 100) -> DataFrame:

@@ -115,15 +115,19 @@ def _audit(spark, d):
     return _rows(spark, d).groupBy(F.size("embedding").cast("long").alias("dim"), (F.col("label") % 2).alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.col("label") < 5).alias("n_low"))
 
 
-@query("embed_text", None)
-def _embed(spark, d):
-    """A deterministic hashing embedder in place of a model server: signed token counts by hash, unit length."""
+def hash_embedding(docs: DataFrame) -> DataFrame:
+    """(doc_id, embedding) of (doc_id, text): signed token counts by hash, unit length; without tokens no row."""
     from ..functions.text import tokens
 
-    docs = read(spark, d, "documents")
     h = F.explode(F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t))).alias("h")
     placed = docs.select("doc_id", h).groupBy("doc_id", F.pmod("h", F.lit(32)).alias("pos")).agg(F.sum(F.when(F.pmod(F.shiftright("h", 8), F.lit(2)) == 0, 1.0).otherwise(-1.0)).alias("v"))
     whole = placed.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("m"))
     full = whole.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0.0))).alias("e"))
     size = norm(F.col("e"))
     return full.select("doc_id", F.transform("e", lambda x: F.when(size == 0, 0.0).otherwise(x / size)).alias("embedding"))
+
+
+@query("embed_text", None)
+def _embed(spark, d):
+    """A deterministic hashing embedder in place of a model server."""
+    return hash_embedding(read(spark, d, "documents"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recallgrid.operators import extras, lifecycle
+from recallgrid.operators import entity, extras, lifecycle, vector
 from recallgrid.plans import catalogue
 from test_oracles import rows
 
@@ -128,3 +128,25 @@ def test_what_comes_after_a_prefix_counts(spark, data, tmp_path, name, table, ch
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
     have = rows(QUERIES[name](spark, str(tmp_path)).toPandas())
     assert have == whole(con, name, PREFIXES[name]) and have != rows(con.execute(ORACLES[name]).df())
+
+
+def test_coalescing_meets_all_pairs_of_a_block(spark):
+    rng = np.random.default_rng(9)
+    names = ["acme corporation", "acme corporations", "corporation acme", "acme", "acmes", "beta industries of the north", "beta industries of the south", "beta industry of the north"]
+    for _ in range(60):
+        base = list(names[int(rng.integers(0, 8))] + " " + "".join("abc"[i] for i in rng.integers(0, 3, 12)))
+        for _ in range(int(rng.integers(0, 4))):
+            base[int(rng.integers(5, len(base)))] = "xyz "[int(rng.integers(0, 4))]
+        names.append("".join(base))
+    frame = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    vectors = vector.hash_embedding(frame.toDF("doc_id", "text")).toDF("id", "embedding")
+    x = frame.withColumn("g", entity.block_key(F.col("name"))).join(vectors, "id")
+    a, b = x.toDF("a", "na", "g", "ea"), x.toDF("b", "nb", "g", "eb")
+    every = a.join(b, "g").where("a < b").select("a", "b", entity.token_sort_ratio(F.col("na"), F.col("nb")).alias("r"), vector.cosine(F.col("ea"), F.col("eb")).alias("c")).collect()
+    assert (0, 1) in {(r["a"], r["b"]) for r in every if r["r"] >= 90}
+    for fuzzy in (90, 75):
+        assert {(r["a"], r["b"]) for r in entity.coalesce_candidates(frame, fuzzy).collect()} == {(r["a"], r["b"]) for r in every if r["r"] >= fuzzy}
+    got = {(r["a"], r["b"]): r["band"] for r in entity.coalesce_candidates(frame, vectors=vectors).collect()}
+    edge = {(r["a"], r["b"]) for r in every if r["r"] < 90 and abs(r["c"] - 0.8) < 1e-9}
+    assert set(got) - edge == {(r["a"], r["b"]) for r in every if r["r"] >= 90 or r["c"] >= 0.8} - edge
+    assert all(got[r["a"], r["b"]] == "review" for r in every if (r["a"], r["b"]) in got and r["r"] < 95)
