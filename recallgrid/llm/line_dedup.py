@@ -23,6 +23,7 @@ rows with equal ids are ordered by their place alone. Further columns are kept a
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,7 @@ from .common import n_buckets, only, stored, table
 from .kernel import SPACED, mix, runs_hash, slices, words
 
 MIN_WORDS = 8
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _U = np.uint64
 _BASE, _BACK = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
 _32 = _U(32)
@@ -254,6 +256,11 @@ def near_partners(marked: DataFrame, parts: int) -> DataFrame:
     return best.select("doc_id", "line", "p.partner_id", "p.partner_line")
 
 
+def split_words(line: str) -> list[str]:
+    """The words of a line as the keys take them: parted by space and U+0009 to U+000D only."""
+    return WORD.findall(line)
+
+
 def within_one_edit(a: list[str], b: list[str]) -> bool:
     """Whether the word edit distance of a and b is at most one."""
     if len(a) > len(b):
@@ -286,7 +293,7 @@ def verified(docs: DataFrame, partners: DataFrame) -> DataFrame:
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([within_one_edit(x.as_py().split(), y.as_py().split()) for x, y in zip(b["words"], b["partner_words"])], pa.bool_())).select(["doc_id", "full"])
+            yield b.filter(pa.array([within_one_edit(split_words(x.as_py()), split_words(y.as_py())) for x, y in zip(b["words"], b["partner_words"])], pa.bool_())).select(["doc_id", "full"])
 
     with_lines = only(docs, stored(wanted.select("doc_id")), "doc_id").join(wanted, "doc_id").where("text is not null")
     found = stored(with_lines.select("doc_id", "text", "lines").mapInArrow(pick, "doc_id long, line long, words string, full long"))

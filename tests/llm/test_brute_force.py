@@ -170,6 +170,15 @@ def test_line_dedup(spark):
         assert out.columns[:-2] == frame(spark, rows).columns
 
 
+def test_line_dedup_words_with_other_spaces(spark):
+    rest = "one two three four five six seven eight nine"
+    rows = [(1, f"{rest} 10\u00a0000"), (2, f"{rest} 20\u00a0500"), (3, f"{rest} a\u3000b\u2028c"), (4, f"x\u0085y {rest}"), (5, f"a\u001cb {rest}"), (6, f"other\u00a0line {rest} and\u00a0more")]
+    flat = [(i, SPACED.findall(t)) for i, t in rows]
+    gone = {i for a, (i, w) in enumerate(flat) if any(edits(v, w) <= 1 for _, v in flat[:a])}
+    out = {r["doc_id"]: r["text"] for r in line_dedup.rewritten(frame(spark, rows)).collect()}
+    assert gone == {2, 3, 5} and {i for i, t in out.items() if t == ""} == gone
+
+
 BENCH = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
