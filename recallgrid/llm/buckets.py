@@ -16,19 +16,43 @@ SCHEMA = "bucket int, kind int, owners binary, runs binary, keys binary, extras
 _ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("owners", pa.binary()), ("runs", pa.binary()), ("keys", pa.binary()), ("extras", pa.binary())])
 
 
-def pack(keys: np.ndarray, owners: np.ndarray, kinds: np.ndarray, buckets: int, narrow: bool, extras: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows of SCHEMA. narrow keeps 32 bits of a key beside its bucket (a superset filter), else all 64.
+#: Records that a task gathers before it packs them.
+TOGETHER = 500_000
 
-    extras, if given, is a 64-bit value of each record.
+
+class Packer:
+    """Gathers the records of a task's slices and packs many at a time, so that a row holds many records of its bucket.
+
+    narrow keeps 32 bits of a key beside its bucket (a superset filter), else all 64. extras, if given, is a
+    64-bit value of each record.
     """
-    if not len(keys):
-        return
-    where = (keys % np.uint64(buckets)).astype(np.int32)
-    yield from pack_at(where, keys, owners, kinds, narrow, extras)
+
+    def __init__(self, buckets: int, narrow: bool) -> None:
+        self.buckets, self.narrow = buckets, narrow
+        self.held: list[tuple] = []
+        self.n = 0
+
+    def add(self, keys: np.ndarray, owners: np.ndarray, kinds: np.ndarray | int, extras: np.ndarray | None = None, by_owner: bool = False) -> None:
+        """Records for the buckets of their keys, or (by_owner) of their owners."""
+        if len(keys):
+            where = ((owners.view(np.uint64) if by_owner else keys) % np.uint64(self.buckets)).astype(np.int32)
+            kinds = np.full(len(keys), kinds, np.int8) if np.isscalar(kinds) else kinds
+            self.held.append((where, keys, owners, kinds, extras))
+            self.n += len(keys)
+
+    def full(self) -> Iterator[pa.RecordBatch]:
+        if self.n >= TOGETHER:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            where, keys, owners, kinds, extras = (None if x[0] is None else np.concatenate(x) for x in zip(*self.held))
+            self.held, self.n = [], 0
+            yield from pack_at(where, keys, owners, kinds, self.narrow, extras)
 
 
 def pack_at(where: np.ndarray, keys: np.ndarray, owners: np.ndarray, kinds: np.ndarray, narrow: bool, extras: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """As pack, with the bucket of each record given."""
+    """Rows of SCHEMA from records and the bucket of each."""
     if not len(keys):
         return
     order = np.lexsort((owners, kinds, where))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,19 +19,43 @@ BROADCAST_IDS = 1_000_000
 #: Bytes of text for which one bucket of packed keys is laid out.
 BUCKET_TEXT_BYTES = 8 << 20
 
-#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
-BATCH_ROWS = 2000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_LIBC = ctypes.CDLL(None)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches, unless someone has set a size of their own."""
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+def trim() -> None:
+    """Gives what this Python worker has freed back to the system: workers live on, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def thrifty(run: Callable) -> Callable:
+    """run, a function over batches for mapInArrow or mapInPandas, that trims at its end."""
+
+    @functools.wraps(run)
+    def trimmed(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return trimmed
+
+
+def thrifty_group(run: Callable) -> Callable:
+    """run, a function of one group for applyInArrow, that trims at its end."""
+
+    @functools.wraps(run)
+    def trimmed(rows: pa.Table) -> pa.Table:
+        try:
+            return run(rows)
+        finally:
+            trim()
+
+    return trimmed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,12 +74,48 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read back: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
-    small_batches(spark)
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """names, with underscores before those that df has a column of, so that added columns never clash."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
+def need_whole_ids(docs: DataFrame, id_col: str = "doc_id") -> None:
+    """Refuses ids that aren't whole numbers: operators that order or pack ids take them as 64-bit integers."""
+    kind = dict(docs.dtypes)[id_col]
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"{id_col} has to be a whole number (bigint, int, smallint or tinyint), not {kind}")
+
+
+#: Rows of one key from which a join takes the key's other side by broadcast, so that it needn't land in one task.
+HOT = 1000
+
+
+def joined_spread(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, how: str = "left", row_bytes: int = 200) -> DataFrame:
+    """rows joined (left or inner) with keyed, a stored table of one row for each key with the number of rows it meets in count.
+
+    Keys with HOT rows or more are joined by broadcast (their number is at most a thousandth of the rows; its bound
+    is checked), the others by a shuffle in which no key is large. count isn't in the result.
+    """
+    hot = keyed.where(F.col(count) >= HOT)
+    n = hot.count()
+    if not n or n * row_bytes > BROADCAST_IDS * 64:
+        return rows.join(keyed.drop(count), keys, how)
+    hot = F.broadcast(hot.drop(count))
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(keyed.where(F.col(count) < HOT).drop(count), keys, how))
+
+
 def only(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:
     """Rows of df whose key is (left_semi) or isn't (left_anti) in ids, a stored table of keys.
 

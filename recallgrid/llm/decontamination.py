@@ -13,6 +13,7 @@ equal ids keep their own results, and other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, thrifty, unused
 from .kernel import ALNUM, LOWER
 
 WINDOW = 10
 #: Words of benchmark text searched for in one pass; a larger benchmark takes several passes.
-PASS_WORDS = 2_000_000
+PASS_WORDS = 250_000
 
 #: Word bytes are kept, in lower case; all others become spaces.
 _CLEAN = bytes(int(LOWER[b]) if ALNUM[b] else 32 for b in range(256))
@@ -36,10 +37,15 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WuManber:
-    """The windows of one length: shift and suffix tables over blocks of min(2, length) words."""
+    """The windows of one length: shift and suffix tables over blocks of min(2, length) words.
+
+    A window is a place in the list of all items' words; the windows of a suffix block are told apart by their
+    first word before they are compared.
+    """
 
     def __init__(self, length: int) -> None:
         self.length, self.block = length, min(2, length)
+        self.flat: list[bytes] = []
         self.shift: dict = {}
         self.ending: dict = {}
         self.default = length - self.block + 1
@@ -47,28 +53,33 @@ class WuManber:
     def key(self, words: list[bytes], end: int):
         return words[end - 1] if self.block == 1 else (words[end - 2], words[end - 1])
 
-    def add(self, pattern: tuple[bytes, ...], item: int) -> None:
-        for end in range(self.block, self.length + 1):
-            k = self.key(pattern, end)
-            self.shift[k] = min(self.shift.get(k, self.default), self.length - end)
-        self.ending.setdefault(self.key(pattern, self.length), {}).setdefault(pattern, set()).add(item)
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, set[int]]]:
+    def add(self, words: list[bytes], item: int) -> None:
+        """All windows of an item's words."""
+        base, length = len(self.flat), self.length
+        self.flat += words
+        for end in range(self.block, len(words) + 1):  # a block is nearest to a window's end in the first window that holds it
+            k = self.key(words, end)
+            self.shift[k] = min(self.shift.get(k, self.default), max(0, length - end))
+        for start in range(len(words) - length + 1):
+            self.ending.setdefault(self.key(words, start + length), {}).setdefault(words[start], []).append((base + start, item))
+
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, list[int]]]:
         """(start, items) of each occurrence."""
-        end, n, shift, default, length = self.length, len(words), self.shift.get, self.default, self.length
+        end, n, shift, default, length, flat = self.length, len(words), self.shift.get, self.default, self.length, self.flat
         if self.block == 1:
             for i, w in enumerate(words):
                 if w in self.ending:
-                    yield i, self.ending[w][(w,)]
+                    yield i, [item for _, item in self.ending[w][w]]
             return
         while end <= n:
             step = shift((words[end - 2], words[end - 1]), default)
             if step:
                 end += step
                 continue
-            for pattern, items in self.ending[words[end - 2], words[end - 1]].items():
-                if tuple(words[end - length : end]) == pattern:
-                    yield end - length, items
+            window = words[end - length : end]
+            items = [item for at, item in self.ending[words[end - 2], words[end - 1]].get(window[0], ()) if flat[at : at + length] == window]
+            if items:
+                yield end - length, items
             end += 1
 
 
@@ -78,27 +89,39 @@ def patterns(items: list[tuple[str | None, str | None]], window: int) -> tuple[l
     by_length: dict[int, WuManber] = {}
     for item, text in items:
         words = words_of(text)
-        n = min(window, len(words))
-        for i in range(len(words) - n + 1 if n else 0):
-            by_length.setdefault(n, WuManber(n)).add(tuple(words[i : i + n]), ids.setdefault(item, len(ids)))
+        if n := min(window, len(words)):
+            by_length.setdefault(n, WuManber(n)).add(words, ids.setdefault(item, len(ids)))
     return list(ids), list(by_length.values())
 
 
-def find(docs: DataFrame, items: list[tuple[str | None, str | None]], window: int) -> DataFrame:
-    """docs with `_wm_hits` (start, end of words, in turn) and `_wm_found` (item ids) extended by what items occur."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+_COMPILED: dict[str, tuple[list[str | None], list[WuManber]]] = {}
+
+
+def compiled(name: str, items, window: int) -> tuple[list[str | None], list[WuManber]]:
+    """The worker's search tables of one pass, made once; there are those of one pass at a time."""
+    if name not in _COMPILED:
+        _COMPILED.clear()
+        _COMPILED[name] = patterns(items.value, window)
+    return _COMPILED[name]
 
+
+def find(docs: DataFrame, items: list[tuple[str | None, str | None]], window: int, columns: list[str]) -> DataFrame:
+    """docs with its columns of hits (start, end of words, in turn) and found (item ids) extended by what items occur."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+    hits_col, found_col, n_col = columns
+
+    @thrifty
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, searchers = patterns(shared.value, window)
+        ids, searchers = compiled(name, shared, window)
         for batch in batches:
             hits, found, sizes = [], [], []
-            for text, old_hits, old_found in zip(batch["text"], batch["_wm_hits"].to_pylist(), batch["_wm_found"].to_pylist()):
+            for text, old_hits, old_found in zip(batch["text"], batch[hits_col].to_pylist(), batch[found_col].to_pylist()):
                 words = words_of(text.as_py())
                 items_here: set[int] = set()
                 for s in searchers:
                     for start, got in s.search(words):
                         old_hits += (start, start + s.length)
-                        items_here |= got
+                        items_here.update(got)
                 hits.append(old_hits)
                 found.append(old_found + [x for i in items_here if (x := ids[i]) is not None])
                 sizes.append(len(words))
@@ -108,27 +131,36 @@ def find(docs: DataFrame, items: list[tuple[str | None, str | None]], window: in
     return docs.mapInArrow(scan, docs.schema)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
-    """docs and, of each row: `_wm_hits` (word spans, start and end in turn), `_wm_found` (item ids), `_wm_n_words`.
+ADDED = ["_wm_hits", "_wm_found", "_wm_n_words"]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS, columns: list[str] = ADDED) -> DataFrame:
+    """docs and, of each row, three columns: word spans that are hit (start and end in turn), ids of items, number of words.
 
     The benchmark is a stated, small set of queries. It is read in parts of about pass_words words, one
-    pass over docs for each part, so what is broadcast is bounded however large the benchmark is.
+    pass over docs for each part, so what is broadcast is bounded however large the benchmark is. columns
+    names the added columns; docs must not have them.
     """
+    if clash := {c.lower() for c in docs.columns} & {c.lower() for c in columns}:
+        raise ValueError(f"docs already has columns {sorted(clash)}; give other names in columns")
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null").distinct()
     total = items.agg(F.sum(F.length("text") / 5 + 1)).first()[0] or 0
     parts = int(total // pass_words) + 1
-    out = docs.withColumns({"_wm_hits": F.array().cast("array<int>"), "_wm_found": F.array().cast("array<string>"), "_wm_n_words": F.lit(0).cast("long")})
+    hits_col, found_col, n_col = columns
+    out = docs.withColumns({hits_col: F.array().cast("array<int>"), found_col: F.array().cast("array<string>"), n_col: F.lit(0).cast("long")})
     for part in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else items
-        out = find(stored(out) if part else out, [tuple(r) for r in mine.collect()], window)
+        out = find(stored(out) if part else out, [tuple(r) for r in mine.collect()], window, columns)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs, with their own columns only, in which no window of the benchmark occurs."""
-    return contaminated(docs, benchmark, window).where("size(_wm_hits) = 0").select(*docs.columns)
+    columns = unused(docs, *ADDED)
+    return contaminated(docs, benchmark, window, columns=columns).where(F.size(columns[0]) == 0).select(*docs.columns)
 
 
+@thrifty
 def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The digest of each row of contaminated()."""
     for b in batches:

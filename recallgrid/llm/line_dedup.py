@@ -16,8 +16,10 @@ or near line comes earlier, in order of document id and place in the text; this
 Records are packed binary and pre-aggregated within each map task; a common line costs a record per task.
 
 Defined results: a null text stays null and counts no lines; lines without words always stay; the kept
-lines are joined by line feeds. Rows whose id is null only lose what repeats within themselves. Lines of
-rows with equal ids are ordered by their place alone. Further columns are kept as they are.
+lines are joined by line feeds. Rows whose id is null only lose what repeats within themselves. Rows
+with equal ids are one document to each other: a line that only they have stays in each. Ids have to be whole
+numbers. A text of any length is read whole: a slice of text is a few documents or one long one. Further columns
+are kept as they are.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import buckets as B
-from .common import n_buckets, only, stored, table
+from .common import joined_spread, n_buckets, need_whole_ids, only, stored, table, thrifty, thrifty_group, unused
 from .kernel import SPACED, mix, runs_hash, slices, words
 
 MIN_WORDS = 8
@@ -128,20 +130,21 @@ def equal_lines(docs: DataFrame, min_words: int) -> DataFrame:
     lines that share a half with a different line."""
     parts = n_buckets(docs.sparkSession, docs)
 
+    @thrifty
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = B.Packer(parts, narrow=False)
         for b in batches:
             ids = b["doc_id"].to_numpy(zero_copy_only=False)
             for i, j, ls in line_slices(b["text"]):
+                yield from packer.full()
                 line = ls.firsts()
                 owner, full = ids[i:j][ls.row[line]], ls.full[line]
                 order = np.lexsort((owner, full))
                 line, owner, full = line[order], owner[order], full[order]
                 begin = B.first_of(full)
                 lead = owner == np.repeat(owner[begin], np.diff(np.append(begin, len(full))))
-                kind = np.full(len(line), FULL, np.int8)
-                yield from B.pack(full[lead], owner[lead], kind[lead], parts, False, full[lead])
-                gone = ~lead
-                yield from B.pack_at((owner[gone] % parts).astype(np.int32), full[gone], owner[gone], np.full(int(gone.sum()), GONE, np.int8), False, full[gone])
+                packer.add(full[lead], owner[lead], FULL, full[lead])
+                packer.add(full[~lead], owner[~lead], GONE, full[~lead], by_owner=True)
                 # Of the lines that are earliest here, the halves.
                 owner_of = np.zeros(len(ls.row), np.int64)
                 owner_of[line] = owner
@@ -154,11 +157,13 @@ def equal_lines(docs: DataFrame, min_words: int) -> DataFrame:
                     continue
                 same = np.minimum.reduceat(ls.full[mine], begin) == np.maximum.reduceat(ls.full[mine], begin)
                 met = np.repeat(~same, size)
-                yield from B.pack(key[~met], owner_of[mine[~met]], np.full(int((~met).sum()), HALF, np.int8), parts, False, ls.full[mine[~met]])
-                yield from B.pack_at((owner_of[mine[met]] % parts).astype(np.int32), key[met], owner_of[mine[met]], np.full(int(met.sum()), FLAGGED, np.int8), False, ls.full[mine[met]])
+                packer.add(key[~met], owner_of[mine[~met]], HALF, ls.full[mine[~met]])
+                packer.add(key[met], owner_of[mine[met]], FLAGGED, ls.full[mine[met]], by_owner=True)
                 some = begin[~same]
-                yield from B.pack(key[some], np.zeros(len(some), np.int64), np.full(len(some), MANY, np.int8), parts, False, key[some])
+                packer.add(key[some], np.zeros(len(some), np.int64), MANY, key[some])
+        yield from packer.rest()
 
+    @thrifty_group
     def meet(rows: pa.Table) -> pa.Table:
         keys, owners, kinds = B.unpack(rows, narrow=False)
         fulls = B.unpack_extras(rows)
@@ -181,6 +186,7 @@ def equal_lines(docs: DataFrame, min_words: int) -> DataFrame:
         owner, full = (np.concatenate((gone[k], flagged[k])) for k in (0, 1))
         return B.answers(owner, full, np.repeat(np.array([GONE, FLAGGED], np.int8), [len(gone[0]), len(flagged[0])]), parts)
 
+    @thrifty_group
     def gather(rows: pa.Table) -> pa.Table:
         fulls, owners, kinds = B.unpack(rows, narrow=False)
         ids = np.unique(owners)
@@ -198,7 +204,9 @@ def equal_lines(docs: DataFrame, min_words: int) -> DataFrame:
 def near_partners(marked: DataFrame, parts: int) -> DataFrame:
     """(doc_id, line, partner_id, partner_line) of lines that have a near line earlier; marked is (doc_id, text, gone, flagged)."""
 
+    @thrifty
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = B.Packer(parts, narrow=False)
         for b in batches:
             ids = b["doc_id"].to_numpy(zero_copy_only=False)
             for i, j, ls in line_slices(b["text"]):
@@ -212,9 +220,12 @@ def near_partners(marked: DataFrame, parts: int) -> DataFrame:
                 line = np.concatenate(chosen)
                 each, k, key = ls.variants(line)
                 at = ls.number.astype(np.uint64) << _32
-                yield from B.pack(ls.full[line], ids[i:j][ls.row[line]], np.full(len(line), LINE, np.int8), parts, False, at[line])
-                yield from B.pack(key, ids[i:j][ls.row[each]], np.full(len(each), VARIANT, np.int8), parts, False, at[each] + (k + 1).astype(np.uint64))
+                packer.add(ls.full[line], ids[i:j][ls.row[line]], LINE, at[line])
+                packer.add(key, ids[i:j][ls.row[each]], VARIANT, at[each] + (k + 1).astype(np.uint64))
+                yield from packer.full()
+        yield from packer.rest()
 
+    @thrifty_group
     def meet(rows: pa.Table) -> pa.Table:
         keys, owners, kinds = B.unpack(rows, narrow=False)
         extras = B.unpack_extras(rows)
@@ -276,6 +287,7 @@ def verified(docs: DataFrame, partners: DataFrame) -> DataFrame:
     wanted = partners.select("doc_id", "line").union(partners.select("partner_id", "partner_line")).distinct()
     wanted = stored(wanted.groupBy("doc_id").agg(F.collect_list("line").alias("lines")))
 
+    @thrifty
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, ls in line_slices(b["text"]):
@@ -291,19 +303,24 @@ def verified(docs: DataFrame, partners: DataFrame) -> DataFrame:
                             full.append(int(ls.full[head[r] + n].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(number, pa.int64()), pa.array(text, pa.string()), pa.array(full, pa.int64())], names=["doc_id", "line", "words", "full"])
 
+    @thrifty
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([within_one_edit(split_words(x.as_py()), split_words(y.as_py())) for x, y in zip(b["words"], b["partner_words"])], pa.bool_())).select(["doc_id", "full"])
 
     with_lines = only(docs, stored(wanted.select("doc_id")), "doc_id").join(wanted, "doc_id").where("text is not null")
     found = stored(with_lines.select("doc_id", "text", "lines").mapInArrow(pick, "doc_id long, line long, words string, full long"))
-    partner = found.select(F.col("doc_id").alias("partner_id"), F.col("line").alias("partner_line"), F.col("words").alias("partner_words"))
-    held = partners.join(found, ["doc_id", "line"]).join(partner, ["partner_id", "partner_line"]).select("doc_id", "full", "words", "partner_words")
+    # A line that is the partner of very many is joined by broadcast, so that they needn't meet in one task.
+    followers = partners.groupBy("partner_id", "partner_line").agg(F.count("*").alias("followers"))
+    partner = found.select(F.col("doc_id").alias("partner_id"), F.col("line").alias("partner_line"), F.col("words").alias("partner_words")).join(followers, ["partner_id", "partner_line"])
+    own = stored(partners.join(found, ["doc_id", "line"]))
+    held = joined_spread(own, stored(partner), ["partner_id", "partner_line"], "followers", "inner", 2000).select("doc_id", "full", "words", "partner_words")
     return held.mapInArrow(hold, "doc_id long, full long").distinct().groupBy("doc_id").agg(F.collect_list("full").alias("near"))
 
 
 def gone_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, gone, near): the hashes of each document's lines that go because of other lines."""
+    need_whole_ids(docs)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marks = stored(equal_lines(texts, min_words))
     flagged = marks.where("flagged is not null")
@@ -313,13 +330,23 @@ def gone_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return marks.select("doc_id", "gone").where("gone is not null").join(close, "doc_id", "full_outer")
 
 
-def rewritten(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the lines that go removed from text, and `_lines`, `_removed`: how many there were and went."""
-    gone = stored(gone_lines(docs, min_words)).withColumnsRenamed({"doc_id": "_id", "gone": "_gone", "near": "_near"})
-    joined = docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left").drop("_id")
+ADDED = ["_lines", "_removed"]
+
+
+def rewritten(docs: DataFrame, min_words: int = MIN_WORDS, columns: list[str] = ADDED) -> DataFrame:
+    """docs with the lines that go removed from text, and two columns: how many lines there were and went.
+
+    columns names the added columns; docs must not have them.
+    """
+    if clash := {c.lower() for c in docs.columns} & {c.lower() for c in columns}:
+        raise ValueError(f"docs already has columns {sorted(clash)}; give other names in columns")
+    id_col, gone_col, near_col = unused(docs, "_id", "_gone", "_near")
+    gone = stored(gone_lines(docs.select("doc_id", "text"), min_words)).withColumnsRenamed({"doc_id": id_col, "gone": gone_col, "near": near_col})
+    joined = docs.join(gone, docs["doc_id"].cast("long") == gone[id_col], "left").drop(id_col)
     own_columns = docs.columns
-    out = docs.withColumns({"_lines": F.lit(0).cast("long"), "_removed": F.lit(0).cast("long")}).schema
+    out = docs.withColumns({c: F.lit(0).cast("long") for c in columns}).schema
 
+    @thrifty
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, ls in line_slices(b["text"]):
@@ -332,19 +359,20 @@ def rewritten(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     own = b["text"][i + r].as_py()
                     mine = slice(bound[r], bound[r + 1])
                     goes = again[mine]
-                    keys = (b["_gone"][i + r].as_py() or b"") + np.array(b["_near"][i + r].as_py() or [], np.int64).tobytes()
+                    keys = (b[gone_col][i + r].as_py() or b"") + np.array(b[near_col][i + r].as_py() or [], np.int64).tobytes()
                     if keys:
                         goes = goes | (np.isin(ls.full[mine], np.frombuffer(keys, np.uint64)) & (ls.size[mine] > 0))
                     n.append(len(goes) if own is not None else 0)
                     removed.append(int(goes.sum()))
                     text.append("\n".join([x for x, g in zip(own.split("\n"), goes) if not g]) if removed[-1] else own)
                 part = b.slice(i, j - i)
-                columns = [pa.array(text, pa.string()) if name == "text" else part[name] for name in own_columns]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*own_columns, "_lines", "_removed"])
+                own_fields = [pa.array(text, pa.string()) if name == "text" else part[name] for name in own_columns]
+                yield pa.RecordBatch.from_arrays([*own_fields, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*own_columns, *columns])
 
     return joined.mapInArrow(cut, out)
 
 
+@thrifty
 def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sha = pa.array([hashlib.sha256((t or "").encode()).hexdigest() for t in b["text"].to_pylist()], pa.string())

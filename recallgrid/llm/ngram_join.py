@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import buckets as B
-from .common import n_buckets, only, stored, table
+from .common import n_buckets, only, stored, table, thrifty, thrifty_group, unused
 from .components import components
 from .kernel import LOWER, SPACED, gram_rows, grams, mix, runs_hash, slices, words
 
@@ -79,6 +79,7 @@ def signatures(row: np.ndarray, gram: np.ndarray, n_rows: int) -> tuple[np.ndarr
 def profile(docs: DataFrame, n: int = N) -> DataFrame:
     """(doc_id, n_shingles, node) of each row; node names the set."""
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, row, gram in gram_sets(b["text"], n):
@@ -95,7 +96,9 @@ def single_counts(docs: DataFrame, n: int = N) -> DataFrame:
     """(node, singles): how many n-grams of a class no other class has; classes without any are left out."""
     parts = n_buckets(docs.sparkSession, docs)
 
+    @thrifty
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = B.Packer(parts, narrow=True)
         for b in batches:
             for i, j, row, gram in gram_sets(b["text"], n):
                 _, node = signatures(row, gram, j - i)
@@ -112,8 +115,11 @@ def single_counts(docs: DataFrame, n: int = N) -> DataFrame:
                 keys = np.concatenate((gram[one], gram[two]))
                 owners = np.concatenate((owner[one], np.zeros(len(two), np.int64)))
                 kinds = np.concatenate((np.full(len(one), ASK, np.int8), np.full(len(two), KNOWN, np.int8)))
-                yield from B.pack(keys, owners, kinds, parts, narrow=True)
+                packer.add(keys, owners, kinds)
+                yield from packer.full()
+        yield from packer.rest()
 
+    @thrifty_group
     def count(rows: pa.Table) -> pa.Table:
         keys, owners, kinds = B.unpack(rows, narrow=True)
         order = np.argsort(keys, kind="stable")
@@ -123,6 +129,7 @@ def single_counts(docs: DataFrame, n: int = N) -> DataFrame:
         node, singles = np.unique(owners[first[same]], return_counts=True)
         return B.answers(node, singles.astype(np.uint64), np.zeros(len(node), np.int8), parts)
 
+    @thrifty_group
     def add(rows: pa.Table) -> pa.Table:
         singles, owners, _ = B.unpack(rows, narrow=False)
         node, at = np.unique(owners, return_inverse=True)
@@ -153,6 +160,7 @@ LENGTHS = 32
 def segment_lengths(listed: DataFrame) -> DataFrame:
     """(node, lengths): how many of a class's shared n-grams fall into each of LENGTHS fragments."""
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [np.bincount(np.asarray(g.values, np.int64) & (LENGTHS - 1), minlength=LENGTHS) for g in b["grams"]]
@@ -188,6 +196,7 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFra
         .where("doc_id is not null")
     )
 
+    @thrifty
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, row, gram in gram_sets(b["text"], n):
@@ -257,29 +266,33 @@ def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFram
 
     Rows without words stay, and so do rows without an id unless a row with an id has the same set.
     """
-    rows, names = named(docs, n, percent)
-    mine = names.where("class_id = component_id").select("node", F.col("class_id").alias("doc_id"))
+    rows, names = named(docs.select("doc_id", "text"), n, percent)
+    node_col, id_col = unused(docs, "_node", "_id")
+    as_text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    mine = names.where("class_id = component_id").select(F.col("node").alias(node_col), as_text("class_id").alias(id_col))
     unnamed = rows.where("n_shingles > 0 and doc_id is null").select("node").distinct().join(names, "node", "left_anti")
-    keep = stored(mine.select("node", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")).union(unnamed.select("node", F.lit("").alias("_id"))).withColumnRenamed("node", "_node"))
+    keep = stored(mine.union(unnamed.select(F.col("node").alias(node_col), F.lit("").alias(id_col))))
     own_columns = docs.columns
 
+    @thrifty
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, row, gram in gram_sets(b["text"], n):
                 _, node = signatures(row, gram, j - i)
                 part = b.slice(i, j - i)
                 ids = pa.array([str(x) if x is not None else "" for x in part["doc_id"].to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(node, pa.int64()), ids], names=[*own_columns, "_node", "_id"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(node, pa.int64()), ids], names=[*own_columns, node_col, id_col])
 
-    shape = docs.withColumns({"_node": F.lit(0).cast("long"), "_id": F.lit("").cast("string")}).schema
+    shape = docs.withColumns({node_col: F.lit(0).cast("long"), id_col: F.lit("").cast("string")}).schema
     marked = docs.mapInArrow(mark, shape)
-    empty = marked.where("_node = 0")
-    kept = only(marked.where("_node <> 0"), keep, ["_node", "_id"])
+    both = [node_col, id_col]
+    empty = marked.where(F.col(node_col) == 0)
+    kept = only(marked.where(F.col(node_col) != 0), keep, both)
     # Equal rows are copies too: ids that several rows with one set share are made single.
-    again = stored(rows.where("n_shingles > 0").groupBy("node", "doc_id").count().where("count > 1").select(F.col("node").alias("_node"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")))
+    again = stored(rows.where("n_shingles > 0").groupBy("node", "doc_id").count().where("count > 1").select(F.col("node").alias(node_col), as_text("doc_id").alias(id_col)))
     if again.count():
-        kept = only(kept, again, ["_node", "_id"], "left_anti").unionByName(only(kept, again, ["_node", "_id"]).dropDuplicates(["_node", "_id"]))
-    return kept.unionByName(empty).drop("_node", "_id")
+        kept = only(kept, again, both, "left_anti").unionByName(only(kept, again, both).dropDuplicates(both))
+    return kept.unionByName(empty).drop(*both)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

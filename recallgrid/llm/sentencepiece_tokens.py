@@ -21,18 +21,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, thrifty
 
 #: The model file; sessions may name another in spark.recallgrid.sentencepiece.model.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MODEL_SETTING = "spark.recallgrid.sentencepiece.model"
 THREADS = 2
-#: Segments a task remembers.
-REMEMBER = 250_000
-#: Segments that are encoded as one string, and texts that are handled together.
+#: Bytes of segments and their ids that a worker remembers.
+REMEMBER_BYTES = 24 << 20
+#: What Python's strings, bytes and table entries cost besides their contents.
+ENTRY_BYTES = 200
+#: Segments that are encoded as one string.
 TOGETHER = 512
+#: Bytes of text that are handled together; a longer text is handled alone.
+TEXT_BYTES = 256 << 10
 MARK = "▁"
 # Kinds of pieces and models in the published protobuf schema.
 UNKNOWN, CONTROL, BYTE = 2, 3, 6
@@ -119,6 +124,7 @@ class Codec:
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.encode() for p, _, kind in self.model["pieces"]]
         self.bytes[self.model["unk_id"]] = " ⁇ ".encode()
         self.seen: dict[str, bytes] = {}  # a segment's ids, as int32
+        self.seen_bytes = 0
         self.differ: set[str] = set()
 
     def segments(self, text: str | None) -> list[str]:
@@ -170,10 +176,13 @@ class Codec:
         for s in new.difference(plain):
             self.learn_alone(s)
         out = [(np.frombuffer(b"".join(map(self.seen.__getitem__, p)), np.int32), not self.differ or self.differ.isdisjoint(p)) for p in parts]
-        if len(self.seen) > REMEMBER:  # what came first is mostly what is frequent
+        size = sum(ENTRY_BYTES + len(s) + len(self.seen[s]) for s in new)
+        if self.seen_bytes + size > REMEMBER_BYTES:  # what came first is mostly what is frequent
             for s in new:
                 del self.seen[s]
             self.differ.difference_update(new)
+        else:
+            self.seen_bytes += size
         return out
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
@@ -198,15 +207,39 @@ def model_bytes(spark: SparkSession) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
 
+_LOADED: dict[tuple[bytes, int], Codec] = {}
+
+
+def loaded(raw_model: bytes, threads: int) -> Codec:
+    """The worker's codec of a model; it outlives the task, as workers do, and there is one at a time."""
+    key = (hashlib.sha256(raw_model).digest(), threads)
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Codec(raw_model, threads)
+    return _LOADED[key]
+
+
+def runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of texts of at most TEXT_BYTES together."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + TEXT_BYTES, "right")))
+        yield i, j
+        i = j
+
+
 def encode(docs: DataFrame, raw_model: bytes, id_col: str = "doc_id", text_col: str = "text", threads: int = THREADS) -> DataFrame:
     """(id, ids array<int>, parity boolean, round_trip boolean) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(raw_model)
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value, threads)
+        codec = loaded(shared.value, threads)
         for whole in batches:
-            for i in range(0, whole.num_rows, TOGETHER):
-                b = whole.slice(i, TOGETHER)
+            for i, j in runs(whole[text_col]):
+                b = whole.slice(i, j - i)
                 texts = b[text_col].to_pylist()
                 got = codec.encode(texts)
                 trip = [codec.decode(ids.tolist()) == (t or "") for (ids, _), t in zip(got, texts)]
@@ -222,8 +255,9 @@ def decode(rows: DataFrame, raw_model: bytes, id_col: str = "doc_id") -> DataFra
     """(id, text) of rows (id, ids)."""
     shared = rows.sparkSession.sparkContext.broadcast(raw_model)
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = loaded(shared.value, THREADS)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b[id_col], pa.array([codec.decode(x or []) for x in b["ids"].to_pylist()], pa.string())], names=[id_col, "text"])
 
@@ -231,6 +265,7 @@ def decode(rows: DataFrame, raw_model: bytes, id_col: str = "doc_id") -> DataFra
     return rows.select(id_col, "ids").mapInArrow(run, f"{id_col} {kind}, text string")
 
 
+@thrifty
 def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids = [np.asarray(x.values, np.int32) if x.is_valid else np.zeros(0, np.int32) for x in b["ids"]]

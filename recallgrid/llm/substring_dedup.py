@@ -16,7 +16,8 @@ Texts with equal word sequences form a class; only its smallest id takes part, t
 (if there are at least `window`). Windows are compared by 64-bit hashes of their words.
 
 Defined results: a null text has no words; ids that are equal aren't smaller than each other, so equal rows
-get equal results; rows whose id is null keep all words and take no part. Other columns are ignored.
+get equal results; rows whose id is null keep all words and take no part. Ids have to be whole numbers. A text of any length is read
+whole: a slice of text is a few documents or one long one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import buckets as B
-from .common import n_buckets, only, stored, table
+from .common import joined_spread, n_buckets, need_whole_ids, only, stored, table, thrifty, thrifty_group
 from .kernel import SPACED, gram_rows, runs_hash, slices, words
 
 WINDOW = 50
@@ -42,6 +43,7 @@ _SPACES = bytes(b if SPACED[b] else 32 for b in range(256))
 def profile(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, whole_sha256) of each row; the hash is of all words joined by one space."""
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, digest = [], []
@@ -68,7 +70,9 @@ def anchors(docs: DataFrame, block: int) -> DataFrame:
     """(doc_id, keys): 32-bit keys of the probes of each text that hit a block of another text."""
     parts = n_buckets(docs.sparkSession, docs)
 
+    @thrifty
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = B.Packer(parts, narrow=True)
         for b in batches:
             ids = b["doc_id"].to_numpy(zero_copy_only=False)
             for i, j, row, h, first in word_hashes(b["text"]):
@@ -84,16 +88,18 @@ def anchors(docs: DataFrame, block: int) -> DataFrame:
                 size = np.diff(np.append(begin, len(key)))
                 shared = np.repeat(size > 1, size)
                 kind = np.where(aligned, BLOCK, PROBE).astype(np.int8)
-                yield from B.pack(key[~shared], owner[~shared], kind[~shared], parts, narrow=True)
+                packer.add(key[~shared], owner[~shared], kind[~shared])
                 # Hashes that texts here share are hits without asking. They go to buckets by text, and only
                 # one record of each, without a text, tells the hash's own bucket of it.
-                known = np.full(int(shared.sum()), KNOWN, np.int8)
-                yield from B.pack_at((owner[shared] % parts).astype(np.int32), key[shared], owner[shared], known, narrow=True)
+                packer.add(key[shared], owner[shared], KNOWN, by_owner=True)
                 some = begin[size > 1]
                 if len(some):
                     any_block = np.logical_or.reduceat(aligned, begin)[size > 1]
-                    yield from B.pack(key[some], np.full(len(some), -1), np.where(any_block, BLOCK, PROBE).astype(np.int8), parts, narrow=True)
+                    packer.add(key[some], np.full(len(some), -1), np.where(any_block, BLOCK, PROBE).astype(np.int8))
+                yield from packer.full()
+        yield from packer.rest()
 
+    @thrifty_group
     def meet(rows: pa.Table) -> pa.Table:
         keys, owners, kinds = B.unpack(rows, narrow=True)
         passed = kinds == KNOWN
@@ -117,6 +123,7 @@ def anchors(docs: DataFrame, block: int) -> DataFrame:
 def told(sent: DataFrame, meet, parts: int, narrow: bool) -> DataFrame:
     """(doc_id, keys) of each document that gets answers: records meet by key, answers go back by document."""
 
+    @thrifty_group
     def gather(rows: pa.Table) -> pa.Table:
         keys, owners, _ = B.unpack(rows, narrow)
         ids, (mine,) = B.by_owner(owners, keys)
@@ -132,7 +139,9 @@ def repeats(near: DataFrame, block: int, window: int, parts: int) -> DataFrame:
     near has (doc_id, text, keys).
     """
 
+    @thrifty
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = B.Packer(parts, narrow=False)
         for b in batches:
             ids = b["doc_id"].to_numpy(zero_copy_only=False)
             for i, j, row, h, _ in word_hashes(b["text"]):
@@ -154,9 +163,12 @@ def repeats(near: DataFrame, block: int, window: int, parts: int) -> DataFrame:
                 full, owner = full[new], owner[new]
                 lead = np.zeros(len(full), bool)  # of the texts here, the smallest asks; the others are answered
                 lead[B.first_of(full)] = True
-                yield from B.pack(full[lead], owner[lead], np.full(int(lead.sum()), PROBE, np.int8), parts, narrow=False)
-                yield from B.pack_at((owner[~lead] % parts).astype(np.int32), full[~lead], owner[~lead], np.full(int((~lead).sum()), KNOWN, np.int8), narrow=False)
+                packer.add(full[lead], owner[lead], PROBE)
+                packer.add(full[~lead], owner[~lead], KNOWN, by_owner=True)
+                yield from packer.full()
+        yield from packer.rest()
 
+    @thrifty_group
     def meet(rows: pa.Table) -> pa.Table:
         keys, owners, kinds = B.unpack(rows, narrow=False)
         passed = kinds == KNOWN
@@ -190,10 +202,12 @@ def covered_words(texts, keys: pa.Array, window: int) -> Iterator[tuple[int, np.
 
 def substring_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(profile with `copy_of`, the smallest id with the same words; repeats as (doc_id, keys))."""
+    need_whole_ids(docs)
     block = window // 2
     rows = stored(profile(docs))
-    first = rows.where("doc_id is not null").groupBy("whole_sha256", "n_words").agg(F.min("doc_id").alias("copy_of"))
-    rows = stored(rows.join(first, ["whole_sha256", "n_words"], "left"))
+    first = rows.where("doc_id is not null").groupBy("whole_sha256", "n_words").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"))
+    first = stored(first)
+    rows = stored(joined_spread(rows, first, ["whole_sha256", "n_words"], "copies"))
     alone = stored(rows.where(f"n_words >= {window} and copy_of = doc_id").select("doc_id").distinct())
     texts = only(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), alone, "doc_id")
     hits = stored(anchors(texts, block))
@@ -220,6 +234,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.when(F.col("copy"), F.lit(NOTHING)).otherwise(F.col("whole_sha256")).alias("kept_sha256"), F.lit(None).cast("string").alias("kept"),
     )
 
+    @thrifty
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, removed, digest, kept = [], [], [], []
