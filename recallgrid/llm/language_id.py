@@ -8,7 +8,7 @@ score per language is the mean over its words.
 Defined results: a null text or one without a letter is `und` with score 0, and so is every text when no
 language could be learned. Words are runs of letters, lower-cased. Ties go to the language first in
 alphabetical order. Rows whose id is null are not learned from and not held out. Repeated rows each get
-their own, equal, result; other columns of the input are ignored.
+their own, equal, result; a text of any length is scored whole; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -19,44 +19,66 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, thrifty
 
+#: Runs of what may be letters; numerals that aren't decimal digits are taken out afterwards.
 WORD = re.compile(r"[^\W\d_]+")
-#: Words in Spark's regular expressions (Java): letters and the marks that Python counts as word characters.
-JAVA_WORD = r"[\p{L}]+"
 #: Documents per language that are learned from, as a bound on the expected sample.
 LEARN_DOCS = 2000
 #: Entries kept per language and order: words, and n-grams of each length.
 TOP = 20_000
 MAX_N = 5
+#: Languages that can be told apart: bounds what is broadcast.
+MAX_LANGS = 1000
 #: log10 frequency given to what a language's model lacks.
 PENALTY = -7.0
 #: Texts weigh as at most so many words when the score is made a probability.
 CONFIDENT_WORDS = 10
 
 
-def learn(rows: DataFrame, learn_docs: int = LEARN_DOCS, top: int = TOP, max_n: int = MAX_N) -> dict:
-    """The model from rows (text, lang): the languages, and by order (0: words, n: n-grams) the row of `log10` that each has.
+def word_counts(text: str | None) -> Counter:
+    """How often each word is in a text: runs of letters, lower-cased. Learning and scoring both use it."""
+    counts = Counter(WORD.findall(text.lower())) if text else Counter()
+    for w in [w for w in counts if not w.isalpha()]:
+        n = counts.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            counts[part] += n
+    return counts
 
-    A language with more than learn_docs rows is thinned by a hash of its texts to learn_docs in expectation;
+
+@thrifty
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n) of each batch's words."""
+    for b in batches:
+        by_lang: dict[str, Counter] = {}
+        for lang, text in zip(b["lang"].to_pylist(), b["text"]):
+            by_lang.setdefault(lang, Counter()).update(word_counts(text.as_py()))
+        langs = [x for x, c in by_lang.items() for _ in c]
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([w for c in by_lang.values() for w in c], pa.string()), pa.array([n for c in by_lang.values() for n in c.values()], pa.int64())], names=["lang", "word", "n"])
+
+
+def learn(rows: DataFrame, learn_docs: int = LEARN_DOCS, top: int = TOP, max_n: int = MAX_N, id_col: str = "doc_id") -> dict:
+    """The model from rows (id, text, lang): the languages, and by order (0: words, n: n-grams) the row of `log10` that each has.
+
+    A language with more than learn_docs rows is thinned by a hash of id and text to learn_docs in expectation;
     counts run on Spark. The model is bounded: at most top entries for each language and order.
     """
-    rows = rows.where("text is not null and lang is not null").select("text", "lang")
-    rate = rows.groupBy("lang").agg((F.lit(float(learn_docs)) / F.count("*")).alias("_rate"))
-    picked = rows.join(F.broadcast(rate), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.col("_rate") * 1_000_003)
-    words = stored(
-        picked.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(JAVA_WORD), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    )
+    rows = rows.where("text is not null and lang is not null").select(id_col, "text", "lang")
+    rate = stored(rows.groupBy("lang").agg((F.lit(float(learn_docs)) / F.count("*")).alias("_rate")))
+    if rate.count() > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    picked = rows.join(F.broadcast(rate), "lang").where(F.pmod(F.xxhash64(id_col, "text"), F.lit(1_000_003)) < F.col("_rate") * 1_000_003)
+    words = picked.select("lang", "text").mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     padded = F.concat(F.lit(" "), "word", F.lit(" "))
-    ngram = lambda n: words.where(F.length(padded) >= n).select(
-        "lang", F.lit(n).alias("ord"), F.explode(F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: padded.substr(i, F.lit(n)))).alias("gram"), "n"
-    )
-    grams = words.select("lang", F.lit(0).alias("ord"), F.col("word").alias("gram"), "n")
-    for n in range(1, max_n + 1):
-        grams = grams.unionByName(ngram(n))
+    # Each distinct word once, as itself (order 0) and as its n-grams of all orders.
+    starts = lambda n: F.when(F.length(padded) >= n, F.sequence(F.lit(1), F.length(padded) - n + 1)).otherwise(F.array().cast("array<int>"))
+    of_order = lambda n: F.transform(starts(n), lambda i: F.struct(F.lit(n).alias("ord"), padded.substr(i, F.lit(n)).alias("gram")))
+    itself = F.array(F.struct(F.lit(0).alias("ord"), F.col("word").alias("gram")))
+    grams = words.select("lang", "n", F.explode(F.concat(itself, *[of_order(n) for n in range(1, max_n + 1)])).alias("g")).select("lang", "g.ord", "g.gram", "n")
     counts = stored(grams.groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n")))
     total = counts.groupBy("lang", "ord").agg(F.sum("n").alias("total"))
     rank = F.row_number().over(Window.partitionBy("lang", "ord").orderBy(F.desc("n"), "gram"))
@@ -111,7 +133,7 @@ class Scorer:
         self.table[at : len(self.at)] = (sums + (of - known) * PENALTY) / of
 
     def text(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(WORD.findall(text.lower())) if text and self.langs else None
+        counts = word_counts(text) if self.langs else None
         if not counts:
             return "und", 0.0
         at = self.at
@@ -131,6 +153,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id") -> DataFrame:
     """(id, lang_pred, score) for each row; the model goes to the executors as a broadcast of bounded size."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @thrifty
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for pdf in batches:
