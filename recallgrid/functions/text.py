@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,19 +41,32 @@ REDACTION_GROUPS = {
     ],
 }
 FRAMING_TAGS = ["system-reminder", "task-notification"]
-SAFETY_PATTERNS = [r"(?i)<script[^>]*>", r"(?i)__import__\s*\(", r"(?i)ignore (?:all )?previous instructions", r"(?i);\s*drop\s+table"]
-GENERIC_ROLES = ["", "user", "assistant", "system", "unknown"]
-SEARCH_PUNCTUATION = "-_/:.,;!?"
+SAFETY_PATTERNS = [
+    r"(?iU)<script\b",
+    r"(?iU)javascript:",
+    r"(?iU)__import__|\bexec\s*\(|\beval\s*\(",
+    r"(?iU)(?:ignore|disregard)\s+(?:all\s+)?(?:previous|prior)\s+instructions",
+]
+GENERIC_ROLES = ["user", "assistant", "system", "tool"]
+SEARCH_PUNCTUATION = "?!:.,;/\"'"
+
+#: Statements that change a schema or delete rows, as a whole content or after a semicolon.
+SQL_CHANGES = r"(?i)(?:^|;)\s*(?:drop\s+(?:table|view|index|schema|database)|delete\s+from|alter\s+(?:table|view|index|schema|database))\s+\S"
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def sanitize(text: Column) -> Column:
     """A search query without operator words and punctuation: 500 characters, letters, digits and _ of any script."""
     cut = F.regexp_replace(F.substring(text, 1, 500), r"\b(?:OR|AND|NOT|NEAR)\b", " ")
-    return F.trim(F.regexp_replace(cut, r"(?U)[^\w\s]", " "))
+    return strip(F.regexp_replace(cut, r"(?U)[^\w\s]", " "))
 
 
 def searchable(text: Column) -> Column:
-    """Lower case, with the punctuation that splits identifiers as spaces."""
+    """Lower case, with the punctuation that the index drops as spaces."""
     return F.translate(F.lower(text), SEARCH_PUNCTUATION, " " * len(SEARCH_PUNCTUATION))
 
 
@@ -71,45 +86,95 @@ def title_overlap(query: Column, title: Column) -> Column:
 
 
 def title_with_role(title: Column, role: Column) -> Column:
-    """`[role] title`, unless the role is generic or the title already starts with a bracket."""
-    r = F.lower(F.trim(F.coalesce(role, F.lit(""))))
-    return F.when(r.isin(GENERIC_ROLES) | F.startswith(title, F.lit("[")), title).otherwise(F.concat(F.lit("["), r, F.lit("] "), title))
+    """`[role] title`, unless the role is missing or generic or the title already starts with a bracket."""
+    t, r = strip(F.coalesce(title, F.lit(""))), strip(F.coalesce(role, F.lit("")))
+    plain = F.startswith(t, F.lit("[")) | (r == "") | F.lower(r).isin(GENERIC_ROLES)
+    return F.when(plain, t).otherwise(strip(F.concat(F.lit("["), r, F.lit("] "), t)))
+
+
+#: For each pattern of a group, strings of which a text must contain one for the pattern to match; `i:` in any case.
+GATES = {
+    "api_keys": [["sk-ant-"], ["sk-proj-"], ["sk-"], ["xai-"], ["AIza"]],
+    "bearer_tokens": [["i:bearer"], ["i:bearer"]],
+    "jwt": [["eyJ"]],
+    "aws_keys": [["AKIA", "ASIA"], ["i:aws"], ["i:x-amz", "i:aws"], ["i:signature"]],
+    "github_tokens": [["ghp_"], ["gho_"], ["ghu_"], ["ghs_"], ["ghr_"]],
+    "pii": [["@"], list("0123456789"), list("0123456789")],
+}
+
+
+def _open(x: Column, gate: list[str]) -> Column:
+    hits = [F.lower(x).contains(g[2:]) if g.startswith("i:") else x.contains(g) for g in gate]
+    return functools.reduce(lambda a, b: a | b, hits, F.lit(False)) if gate else F.lit(True)
+
+
+def _scrubber(group: str, pattern: str, gate: list[str]):
+    """text -> text without the pattern's matches; the pattern runs only where the gate is open."""
+    return lambda x: F.when(_open(x, gate), F.regexp_replace(x, pattern, f"[REDACTED:{group}]")).otherwise(x)
+
+
+def _counter(group: str, pattern: str, gate: list[str]):
+    """(text, n) -> the same with what _scrubber replaces replaced and counted."""
+
+    def count(x: Column) -> Column:
+        done = F.struct(F.regexp_replace(x["text"], pattern, f"[REDACTED:{group}]").alias("text"), (x["n"] + F.regexp_count(x["text"], F.lit(pattern))).alias("n"))
+        return F.when(_open(x["text"], gate), done).otherwise(x)
+
+    return count
 
 
 def redact(text: Column, groups: list[str] | None = None, custom: list[str] | None = None) -> tuple[Column, Column]:
-    """(text with matches of each group, in order, replaced by [REDACTED:group]; how many were replaced)."""
-    chosen = [(g, REDACTION_GROUPS[g]) for g in groups or REDACTION_GROUPS if g != "pii"]
-    chosen += [("custom_regex", custom)] if custom else []
-    chosen += [("pii", REDACTION_GROUPS["pii"])] if groups is None or "pii" in groups else []
-    count = F.lit(0)
-    for group, patterns in chosen:
-        for p in patterns:
-            count = count + F.regexp_count(text, F.lit(p))
-            text = F.regexp_replace(text, p, f"[REDACTED:{group}]")
-    return text, count
+    """(text with matches of each group, in order, replaced by [REDACTED:group]; how many were replaced).
+
+    A pattern only runs over texts that hold what it can't match without, so a clean text costs a few searches.
+    """
+    chosen = [(g, REDACTION_GROUPS[g], GATES[g]) for g in groups or REDACTION_GROUPS if g != "pii"]
+    chosen += [("custom_regex", custom, [[]] * len(custom))] if custom else []
+    chosen += [("pii", REDACTION_GROUPS["pii"], GATES["pii"])] if groups is None or "pii" in groups else []
+    counted = F.struct(text.alias("text"), F.when(text.isNotNull(), 0).alias("n"))
+    for group, patterns, gates in chosen:
+        for pattern, gate in zip(patterns, gates):
+            text = F.transform(F.array(text), _scrubber(group, pattern, gate))[0]
+            counted = F.transform(F.array(counted), _counter(group, pattern, gate))[0]
+    return text, counted["n"]
 
 
 def strip_framing(text: Column, tags: list[str] | None = None) -> Column:
-    """Text without blocks of control tags; blank lines left behind are collapsed."""
-    pattern = "|".join(rf"<{t}[^>]*>.*?</{t}>" for t in tags or FRAMING_TAGS)
-    stripped = F.regexp_replace(text, rf"(?is){pattern}", "")
-    tidy = F.trim(F.regexp_replace(stripped, r"\n{3,}", "\n\n"))
-    return F.when(stripped == text, text).otherwise(tidy)
+    """Text without blocks of control tags; where there was one, the blank lines it leaves are collapsed and the ends stripped."""
+    names = "|".join(tags or FRAMING_TAGS)
+    block = rf"(?is)<({names})\b[^>]*>.*?</\1>"
+    tidy = strip(F.regexp_replace(F.regexp_replace(text, block, ""), r"\n[ \t]*\n[ \t]*\n+", "\n\n"))
+    return F.when(text.rlike(rf"(?i)<(?:{names})") & text.rlike(block), tidy).otherwise(text)
 
 
 def is_unsafe(text: Column) -> Column:
-    hit = F.lit(False)
+    """Whether a content matches a safety pattern, or is SQL that drops, deletes or alters; false for null."""
+    text = F.coalesce(text, F.lit(""))
+    hit = text.rlike(SQL_CHANGES)
     for p in SAFETY_PATTERNS:
-        hit = hit | F.coalesce(text, F.lit("")).rlike(p)
+        hit = hit | text.rlike(p)
     return hit
 
 
 def glob_pattern(glob: str) -> str:
-    """A shell glob as an anchored regular expression."""
-    out = ""
-    for c in glob:
-        out += ".*" if c == "*" else "." if c == "?" else c if c in "[]" else "\\" + c if c in r".^$+{}()|\/" else c
-    return f"^(?:{out})$"
+    """A shell glob as an anchored regular expression: * any run, ? one character, [a-c] and [^a-c] classes.
+
+    A bracket first in a class stands for itself; an open bracket that nothing closes matches nothing.
+    """
+    out, i = "", 0
+    while i < len(glob):
+        c, i = glob[i], i + 1
+        if c == "[":
+            negated = glob[i : i + 1] == "^"
+            first = i + negated
+            end = glob.find("]", first + 1)
+            if end < 0:
+                return r"(?!)"
+            inside = "".join("\\" + x if x in r"\[]&^" else x for x in glob[first:end])
+            out, i = out + f"[{'^' * negated}{inside}]", end + 1
+        else:
+            out += ".*" if c == "*" else "." if c == "?" else "\\" + c if c in r".^$+{}()|\/]" else c
+    return f"(?s)^(?:{out})$"
 
 
 def slug(text: Column) -> Column:

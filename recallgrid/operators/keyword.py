@@ -43,13 +43,30 @@ def compile_query(raw: str, mode: str = "hybrid") -> Compiled:
     if len(raw) > 1 and raw[0] == raw[-1] and raw[0] in "\"'":
         terms = [t for t in re.split(r"[^\w]+", raw[1:-1].lower()) if t]
         return Compiled(bool(terms), terms, "phrase")
-    clean = re.sub(r"[^\w\s]", " ", re.sub(r"\b(?:OR|AND|NOT|NEAR)\b", " ", raw[:500])).lower().replace("_", " ")
+    clean = re.sub(r"[^\w\s]", " ", re.sub(r"\b(?:OR|AND|NOT|NEAR)\b", " ", raw[:500])).lower()
     terms = clean.split()
     if not terms:
         return Compiled(False, [])
     return Compiled(True, terms, "any" if mode == "fts5" else "all", len(terms) == 1 and terms[0].isalnum())
 
 
+def compile_fts(q: Column, mode: str = "hybrid") -> tuple[Column, Column]:
+    """(match expression, whether there is anything to match) of a raw query.
+
+    Quoted: that phrase, with quotes inside doubled. Else the sanitised words, in lower case: any of them in mode
+    fts5, all of them otherwise; a single alphanumeric word is a prefix.
+    """
+    ends = lambda mark: F.startswith(q, F.lit(mark)) & F.endswith(q, F.lit(mark))
+    exact = ends('"') | ends("'")
+    inner = F.substring(q, F.lit(2), F.greatest(F.char_length(q) - 2, F.lit(0)))
+    phrase = F.concat(F.lit('"'), F.replace(inner, F.lit('"'), F.lit('""')), F.lit('"'))
+    clean = X.strip(X.searchable(X.sanitize(q)))
+    words = F.split(clean, r"(?U)\s+")
+    one = F.when(clean.rlike(r"^[\p{L}\p{N}]+$"), F.concat(clean, F.lit("*"))).otherwise(clean)
+    plain = F.when(F.size(words) > 1, F.array_join(words, " OR ")).otherwise(one) if mode == "fts5" else one
+    return F.when(exact, phrase).when(clean == "", "").otherwise(plain), exact | (clean != "")
+
+
 def _occurrences(words: Column, term: str, prefix: bool) -> Column:
     return F.size(F.filter(words, lambda w: F.startswith(w, F.lit(term)) if prefix else w == term))
 
@@ -127,12 +144,12 @@ def _search_phrase(spark, d):
     return _rounded(keyword_search(_items(spark, d).select("id", "content"), '"GNU General Public"').select("id", "bm25"))
 
 
-@query("fts_sanitize", r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(text[1:500], '\b(?:OR|AND|NOT|NEAR)\b', ' ', 'g'), '[^\p{L}\p{N}\p{M}_\s]', ' ', 'g'), ' ')) AS q FROM documents")
+@query("fts_sanitize", r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text[1:500], '\b(?:OR|AND|NOT|NEAR)\b', ' ', 'g'), '[^\p{L}\p{N}\p{M}_\s]', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS q FROM documents")
 def _sanitize(spark, d):
     return read(spark, d, "documents").select("doc_id", F.sha2(X.sanitize(F.col("text")).cast("binary"), 256).alias("q"))
 
 
-@query("fts_normalize", "SELECT doc_id, sha256(translate(lower(text), '-_/:.,;!?', '         ')) AS q FROM documents")
+@query("fts_normalize", "SELECT doc_id, sha256(replace(replace(translate(lower(text), '?!:.,;/', '       '), chr(34), ' '), chr(39), ' ')) AS q FROM documents")
 def _normalize(spark, d):
     return read(spark, d, "documents").select("doc_id", F.sha2(X.searchable(F.col("text")).cast("binary"), 256).alias("q"))
 
@@ -158,10 +175,23 @@ def _overlap(spark, d):
     return read(spark, d, "part").select("p_partkey", F.round(X.title_overlap(F.lit("antique-blue GREEN of steel"), F.col("p_name")), 6).alias("overlap"))
 
 
-@query("title_role_augment", "SELECT conv_id, turn, CASE WHEN role IN ('user', 'assistant', 'system') OR starts_with(text, '[') THEN text[1:30] ELSE '[' || role || '] ' || text[1:30] END AS title FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'tool' ELSE role END AS role, text FROM conversations)")
+@query("title_role_augment", "SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN t WHEN 1 THEN t WHEN 2 THEN trim('[Caroline] ' || t) WHEN 3 THEN '[x] ' || t ELSE trim('[unknown] ' || t) END AS title FROM (SELECT conv_id, turn, regexp_replace(text[1:30], '^\\s+|\\s+$', '', 'g') AS t FROM conversations)")
 def _role(spark, d):
-    role = F.when(F.col("turn") % 3 == 0, "tool").otherwise(F.col("role"))
-    return read(spark, d, "conversations").select("conv_id", "turn", X.title_with_role(F.substring("text", 1, 30), role).alias("title"))
+    k = F.col("turn") % 5
+    role = F.when(k == 0, "Tool").when(k == 1, " user ").when(k == 2, " Caroline ").when(k == 3, "Caroline").otherwise("unknown")
+    title = F.concat(F.when(k == 3, "  [x] ").otherwise(" "), F.substring("text", 1, 30), F.lit(" \n"))
+    clean = F.when(k == 3, F.concat(F.lit("[x] "), X.strip(F.substring("text", 1, 30)))).otherwise(title)
+    return read(spark, d, "conversations").select("conv_id", "turn", X.title_with_role(clean, role).alias("title"))
+
+
+_ASKED = ['"alpha"beta"', "'MIT License'", "who is Anna", "licence", "  AND, OR! ", "C++", "well-known snake_case", "\""]
+
+
+@query("fts_compile", "SELECT event_id, CASE event_id % 8 WHEN 0 THEN '\"alpha\"\"beta\"' WHEN 1 THEN '\"MIT License\"' WHEN 2 THEN 'who OR is OR anna' WHEN 3 THEN 'licence*' WHEN 4 THEN '' WHEN 5 THEN 'c*' WHEN 6 THEN 'well OR known OR snake_case' ELSE '\"\"' END AS fts5, CASE event_id % 8 WHEN 0 THEN '\"alpha\"\"beta\"' WHEN 1 THEN '\"MIT License\"' WHEN 2 THEN 'who is anna' WHEN 3 THEN 'licence*' WHEN 4 THEN '' WHEN 5 THEN 'c*' WHEN 6 THEN 'well known snake_case' ELSE '\"\"' END AS hybrid, event_id % 8 <> 4 AS ok FROM events")
+def _compile(spark, d):
+    q = F.element_at(F.array(*map(F.lit, _ASKED)), (F.col("event_id") % len(_ASKED) + 1).cast("int"))
+    any_of, all_of = compile_fts(q, "fts5"), compile_fts(q, "hybrid")
+    return read(spark, d, "events").select("event_id", any_of[0].alias("fts5"), all_of[0].alias("hybrid"), any_of[1].alias("ok"))
 
 
 @query("chatlog_search", f"WITH {bm25_sql('conversations', 'conv_id * 1000 + turn', 'text', ['the'], ', role', True)} SELECT id, role, round(bm25, 6) AS bm25 FROM scored WHERE len(list_filter(words, lambda w: starts_with(w, 'the'))) > 0 AND role = 'assistant' ORDER BY scored.bm25, id LIMIT 15")

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..registry import query, read
 from .predicates import validity
 from .reports import INPUTS_SQL, LEDGER_SQL, corroboration_inputs, ledger
@@ -172,21 +173,54 @@ def forget(table: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return table.join(ids.select(F.col("id").alias(column)), column, "left_anti")
 
 
-EPHEMERAL = r"(?i)(?:\bPID\s*\d+|\bprocess[_\s]+id[\s:=]*\d+|\bport\s*\d{4,5}|\bbatches/[A-Za-z0-9_-]{12,}|\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b|/tmp/[A-Za-z0-9._/-]+)"
-STATUS = r"(?i)\b(?:completion[:\s]+\d+\.?\d*\s*%|cost[:\s]+\$?\d+\.\d+|\d+\s*/\s*\d+\s+(?:in_?progress|done|pending|sessions)|workers?\s+alive[:\s]+\d+|slice\s+\d+\s+poll\s*#?\d+)"
-SIGNAL = r"(?i)```|\bdecid(?:e|ed|ing|sion)\b|\bbecause\b|\btherefore\b|\bremember\b|\bnever\b|\balways\b|\bIMPORTANT\b|\bnote that\b|\bgotcha\b|\bTODO\b"
+# Patterns and words that decide whether a chat turn is noise, and how far into a turn they are looked for.
+EPHEMERAL = (
+    r"(?i)(?:\bPID\s*\d+|\bprocess[_\s]+id[\s:=]*\d+|\bport\s*\d{4,5}"
+    r"|\bbatches/[A-Za-z0-9_-]{12,}"
+    r"|\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"
+    r"|/tmp/[A-Za-z0-9._/-]+|AppData[\\/]+Local[\\/]+Temp)"
+)
+STATUS = (
+    r"(?i)\b(?:completion[:\s]+\d+\.?\d*\s*%|cost[:\s]+\$?\d+\.\d+"
+    r"|\d+\s*/\s*\d+\s+(?:in_?progress|done|pending|sessions)"
+    r"|workers?\s+alive[:\s]+\d+|slice\s+\d+\s+poll\s*#?\d+)"
+)
 REFUSALS = ["no", "stop", "kill", "abort", "wait", "hold"]
+STATUS_REQUEST = (
+    r"(?i)\b(status|progress|any\s+update|update\??|how('?s| is)\s+it\s+going"
+    r"|where\s+are\s+we|eta|done\s*\??|finished\s*\??|ready\s*\??)\b"
+)
+STATUS_RESPONSE = (
+    r"(?i)(\bstatus\b|\bprogress\b|\d+\s*%|\d+\s*/\s*\d+|\bremaining\b|\bso far\b"
+    r"|\bin[_\s]?progress\b|\bcompleted?\b|\bpending\b|\bworkers?\b|\beta\b)"
+)
+SIGNAL = (
+    r"(?i)```|\bdecid(e|ed|ing|sion)\b|\bbecause\b|\btherefore\b|\bremember\b"
+    r"|\bnever\b|\balways\b|\bIMPORTANT\b|\bnote that\b|\bgotcha\b|\bTODO\b"
+)
+DURABLE = (
+    r"(?i)\b(we (decided|chose|went with|will use)|decision:|settled on|going with"
+    r"|the plan is to|production footgun|the rule is|canonical (form|way) is"
+    r"|from now on|going forward|always (use|do|prefer)|never (use|do)"
+    r"|by default|prefer \w+ (over|to)|hostname is|runs on port \d|listening on \d"
+    r"|configured (to|with)|the (endpoint|url|path|model|db|database) (is|=|:)"
+    r"|installed (at|in)|API key|lives (at|in) /|stored (at|in))\b"
+)
+STRUCTURE = r"(?m)(^|\n)\s*(#{1,3}\s|\*\s|-\s|\d+[.)]\s)"
+HARD_NOISE = ["short_cmd", "repeat_status_req", "repeat_status_resp"]
+SNIPPET, SCANNED, KEY_HEAD, KEY_LENGTH, QUESTION_HEAD = 2000, 20_000, 400, 120, 200
 
 
 def is_ephemeral(content: Column) -> Column:
-    head = F.substring(content, 1, 2000)
-    short = F.trim(head)
+    head = F.substring(content, 1, SNIPPET)
+    short = X.strip(head)
     return head.rlike(EPHEMERAL) | head.rlike(STATUS) | ((F.char_length(short) <= 30) & (short.rlike(r"^\{") | short.rlike(r"^[-+]*\d+$")))
 
 
 def is_short_command(role: Column, content: Column) -> Column:
-    words = F.split(F.trim(F.lower(content)), r"\s+")
-    return (F.lower(role) == "user") & (content != "") & ~content.contains("?") & ~F.arrays_overlap(words, F.array(*[F.lit(w) for w in REFUSALS])) & (F.size(words) <= 4)
+    s = X.strip(F.lower(content))
+    words = F.split(s, r"(?U)\s+")
+    return (F.lower(role) == "user") & (content != "") & ~s.contains("?") & ~F.arrays_overlap(words, F.array(*[F.lit(w) for w in REFUSALS])) & (F.size(words) <= 4)
 
 
 def decay_factor(role: Column, content: Column, age_days: Column) -> Column:
@@ -197,20 +231,53 @@ def decay_factor(role: Column, content: Column, age_days: Column) -> Column:
 
 
 def norm_key(content: Column) -> Column:
-    s = F.regexp_replace(F.lower(F.substring(content, 1, 400)), EPHEMERAL, " ")
+    """What turns that repeat each other share: the head in lower case, without ids, hexadecimal and other numbers and marks."""
+    s = F.regexp_replace(F.lower(F.substring(content, 1, KEY_HEAD)), EPHEMERAL, " ")
     for p in (r"[0-9a-f]{6,}", r"\d+", r"[^a-z ]+", r"\s+"):
         s = F.regexp_replace(s, p, " ")
-    return F.substring(F.trim(s), 1, 120)
+    return F.substring(F.trim(s), 1, KEY_LENGTH)
 
 
-def chat_class(role: Column, content: Column, importance: Column, cluster: Column, min_cluster: int = 5) -> Column:
-    """Noise class of a turn, null to keep: keep rules first, then ephemeral, short command, repeats, generic."""
-    return (
-        F.when(importance > 0.4, None).when(F.substring(content, 1, 200).contains("?"), None).when(content.rlike(SIGNAL), None)
-        .when(is_ephemeral(content), "ephemeral").when(is_short_command(role, content), "short_cmd").when(cluster >= min_cluster, "repeat").when(importance <= 0.3, "generic_low")
-    )
+def chat_class(role: Column, content: Column, importance: Column, cluster: Column, min_cluster: int = 5, keep_floor: float = 0.4, generic_max: float | None = 0.3) -> Column:
+    """Noise class of a turn, null to keep it: keep rules first, then ephemeral, short command, repeated requests for a
+    status and answers to them, and what is of low importance (generic_max None: not that). cluster is how many turns
+    have the same norm_key; turns whose key is empty have 0."""
+    content, role = F.coalesce(content, F.lit("")), F.lower(F.coalesce(role, F.lit("")))
+    probe = F.substring(content, 1, SCANNED)
+    out = F.when(importance > keep_floor, None).when(F.substring(content, 1, QUESTION_HEAD).contains("?"), None).when(probe.rlike(SIGNAL), None)
+    out = out.when((content != "") & is_ephemeral(content), "ephemeral").when(is_short_command(role, content), "short_cmd")
+    out = out.when((cluster >= min_cluster) & (role == "user") & probe.rlike(STATUS_REQUEST), "repeat_status_req")
+    out = out.when((cluster >= min_cluster) & role.isin("assistant", "tool", "") & probe.rlike(STATUS_RESPONSE), "repeat_status_resp")
+    return out if generic_max is None else out.when(importance.isNull() | (importance <= generic_max), "generic_low")
 
 
+def is_protected(content: Column, long: int = 300) -> Column:
+    """Whether a turn is at most suppressed: durable or strong signals, or long and structured."""
+    probe = F.substring(content, 1, SCANNED)
+    structured = (F.char_length(content) >= long) & (F.regexp_count(content, F.lit(STRUCTURE)) >= 2)
+    return F.coalesce((content != "") & (probe.rlike(DURABLE) | probe.rlike(SIGNAL) | structured), F.lit(False))
+
+
+def chat_prune(turns: DataFrame, now: str, fresh_days: int = 14, prune_days: int = 45, long: int = 300, delete_below: int = 300, **classes) -> DataFrame:
+    """(id, class, action, importance) of noisy turns (id, role, content, importance, created_at, decayed) older than fresh_days.
+
+    `decay` lowers the importance of noise that is younger than prune_days or protected, once; `prune` is for deletion;
+    `kept` has been decayed before. Repeats are counted over all turns that are old enough.
+    """
+    old = turns.where(F.col("created_at") < F.to_timestamp(F.lit(now)) - F.expr(DAY.format(fresh_days)))
+    keyed = old.withColumns({"_key": norm_key(F.coalesce("content", F.lit(""))), "importance": F.coalesce("importance", F.lit(0.3))})
+    sizes = keyed.where("_key <> ''").groupBy("_key").agg(F.count("*").alias("_size"))
+    sized = keyed.join(sizes, "_key", "left")
+    named = sized.withColumn("class", chat_class(F.col("role"), F.col("content"), F.col("importance"), F.coalesce("_size", F.lit(0)), **classes)).where("class is not null")
+    generic = (F.col("class") == "generic_low") & (F.char_length("content") >= delete_below)
+    guarded = ~F.col("class").isin(HARD_NOISE) & (is_protected(F.col("content"), long) | generic)
+    young = F.col("created_at") >= F.to_timestamp(F.lit(now)) - F.expr(DAY.format(prune_days))
+    action = F.when((young | guarded) & F.col("decayed"), "kept").when(young | guarded, "decay").otherwise("prune")
+    lower = F.round(F.least("importance", F.lit(0.3)) * 0.2, 4)
+    return named.withColumn("action", action).select("id", "class", "action", F.when(F.col("action") == "decay", lower).otherwise(F.col("importance")).alias("importance"))
+
+
+# From each task state, the states that may follow.
 TRANSITIONS = {
     "pending": ["in_progress", "blocked", "cancelled"],
     "in_progress": ["blocked", "completed", "failed", "cancelled"],
@@ -302,13 +369,22 @@ def _refresh(spark, d):
 
 
 _SHORT_SQL = "lower(role) = 'user' AND text <> '' AND NOT contains(text, '?') AND NOT list_has_any(string_split_regex(trim(lower(text)), '\\s+'), ['no', 'stop', 'kill', 'abort', 'wait', 'hold']) AND len(string_split_regex(trim(lower(text)), '\\s+')) <= 4"
-_CHAT = "(SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN text[1:12] WHEN turn % 5 = 1 THEN 'run PID 123 now please and then go on' ELSE text END AS text FROM conversations)"
-_EPH_SQL = f"(regexp_matches(text[1:2000], '{EPHEMERAL}') OR regexp_matches(text[1:2000], '{STATUS}') OR (length(trim(text[1:2000])) <= 30 AND (regexp_matches(trim(text[1:2000]), '^\\{{') OR regexp_matches(trim(text[1:2000]), '^[-+]*\\d+$'))))"
+_SAID = ["run PID 123 now please and then go on", "it lies in C:\\Users\\me\\AppData\\Local\\Temp for now", "so far 40% is through, I would say", "we go with plan b because it scales", "from now on we go by train"]
+_SAID_SQL = "['run PID 123 now please and then go on', 'it lies in C:\\Users\\me\\AppData\\Local\\Temp for now', 'so far 40% is through, I would say', 'we go with plan b because it scales', 'from now on we go by train']"
+_CHAT = f"(SELECT conv_id, turn, role, TIMESTAMP '{NOW}' - to_days(CAST(conv_id % 60 AS INT)) AS created_at, CASE WHEN turn % 3 = 0 THEN text[1:12] WHEN (conv_id + turn) % 7 < 5 THEN {_SAID_SQL}[CAST((conv_id + turn) % 7 + 1 AS INT)] ELSE text END AS text FROM conversations)"
+# What the patterns find in these texts, written as SQL by itself.
+_EPH_SQL = r"(regexp_matches(text[1:2000], '\bPID \d+|AppData[\\/]+Local[\\/]+Temp') OR (length(trim(text[1:2000])) <= 30 AND regexp_matches(trim(text[1:2000]), '^\{|^[-+]*\d+$')))"
+_SIGNAL_SQL = r"regexp_matches(text[1:20000], '(?i)```|\b(?:decide|decided|because|therefore|remember|never|always|important|note that|gotcha|todo)\b')"
+_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text[1:400]), '\bpid \d+|appdata[\\/]+local[\\/]+temp', ' ', 'g'), '[0-9a-f]{6,}', ' ', 'g'), '\d+', ' ', 'g'), '[^a-z ]+', ' ', 'g'), '\s+', ' ', 'g'))[1:120]"
+_CLASS_SQL = f"CASE WHEN imp > 0.4 OR contains(text[1:200], '?') OR {_SIGNAL_SQL} THEN NULL WHEN {_EPH_SQL} THEN 'ephemeral' WHEN {_SHORT_SQL} THEN 'short_cmd' WHEN size >= 5 AND k <> '' AND role = 'user' AND regexp_matches(text, '(?i)\\b(?:status|progress|update|eta|done|finished|ready)\\b') THEN 'repeat_status_req' WHEN size >= 5 AND k <> '' AND role <> 'user' AND regexp_matches(text, '(?i)\\d\\s*%|\\b(?:status|progress|remaining|so far|completed?|pending|workers?|eta)\\b') THEN 'repeat_status_resp' WHEN imp <= 0.3 THEN 'generic_low' END"
 
 
 def _chat(spark, d) -> DataFrame:
-    text = F.when(F.col("turn") % 3 == 0, F.substring("text", 1, 12)).when(F.col("turn") % 5 == 1, "run PID 123 now please and then go on").otherwise(F.col("text"))
-    return read(spark, d, "conversations").select("conv_id", "turn", "role", text.alias("text"))
+    k = (F.col("conv_id") + F.col("turn")) % 7
+    said = F.element_at(F.array(*map(F.lit, _SAID)), (F.least(k, F.lit(4)) + 1).cast("int"))
+    text = F.when(F.col("turn") % 3 == 0, F.substring("text", 1, 12)).when(k < 5, said).otherwise(F.col("text"))
+    created = F.to_timestamp(F.lit(NOW)) - F.make_dt_interval((F.col("conv_id") % 60).cast("int"))
+    return read(spark, d, "conversations").select("conv_id", "turn", "role", text.alias("text"), created.alias("created_at"), ((F.col("turn") % 5) / 10).alias("imp"))
 
 
 @query("chatlog_decay", f"SELECT conv_id, turn, CASE WHEN {_SHORT_SQL} THEN CASE WHEN conv_id % 10 < 1 THEN 0.5 WHEN conv_id % 10 < 3 THEN 0.1 ELSE 0.02 END WHEN {_EPH_SQL} THEN CASE WHEN conv_id % 10 < 1 THEN 1.0 WHEN conv_id % 10 < 3 THEN 0.5 WHEN conv_id % 10 < 7 THEN 0.2 ELSE 0.05 END END AS factor FROM {_CHAT}")
@@ -316,14 +392,17 @@ def _decay(spark, d):
     return _chat(spark, d).select("conv_id", "turn", decay_factor(F.col("role"), F.col("text"), F.col("conv_id") % 10).alias("factor"))
 
 
-_NORM = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text[1:400]), '{EPHEMERAL}', ' ', 'g'), '[0-9a-f]{{6,}}', ' ', 'g'), '\\d+', ' ', 'g'), '[^a-z ]+', ' ', 'g'), '\\s+', ' ', 'g'))[1:120]"
+@query("chatlog_classify", f"WITH c AS (SELECT *, {_NORM} AS k, (turn % 5) / 10.0 AS imp FROM {_CHAT}), n AS (SELECT *, count(*) OVER (PARTITION BY k) AS size FROM c) SELECT conv_id, turn, {_CLASS_SQL} AS class FROM n")
+def _classify(spark, d):
+    c = _chat(spark, d).withColumn("k", norm_key(F.col("text")))
+    sizes = c.where("k <> ''").groupBy("k").agg(F.count("*").alias("size"))
+    return c.join(sizes, "k", "left").select("conv_id", "turn", chat_class(F.col("role"), F.col("text"), F.col("imp"), F.coalesce("size", F.lit(0))).alias("class"))
 
 
-@query("chatlog_classify", f"WITH c AS (SELECT *, {_NORM} AS k, (turn % 5) / 10.0 AS imp FROM {_CHAT}), n AS (SELECT *, count(*) OVER (PARTITION BY k) AS size FROM c) SELECT conv_id, turn, CASE WHEN imp > 0.4 THEN NULL WHEN contains(text[1:200], '?') THEN NULL WHEN regexp_matches(text, '{SIGNAL}') THEN NULL WHEN {_EPH_SQL} THEN 'ephemeral' WHEN {_SHORT_SQL} THEN 'short_cmd' WHEN size >= 5 THEN 'repeat' WHEN imp <= 0.3 THEN 'generic_low' END AS class FROM n")
-def _classify(spark, d):
-    c = _chat(spark, d).withColumns({"k": norm_key(F.col("text")), "imp": (F.col("turn") % 5) / 10})
-    sizes = c.groupBy("k").agg(F.count("*").alias("size"))
-    return c.join(sizes, "k").select("conv_id", "turn", chat_class(F.col("role"), F.col("text"), F.col("imp"), F.col("size")).alias("class"))
+@query("chatlog_prune", f"WITH c AS (SELECT *, {_NORM} AS k, (turn % 5) / 10.0 AS imp FROM {_CHAT} WHERE created_at < TIMESTAMP '{NOW}' - INTERVAL 14 DAY), n AS (SELECT *, count(*) OVER (PARTITION BY k) AS size FROM c), x AS (SELECT *, {_CLASS_SQL} AS class FROM n), g AS (SELECT *, class NOT IN ('short_cmd', 'repeat_status_req', 'repeat_status_resp') AND (regexp_matches(text, '(?i)\\bfrom now on\\b') OR (class = 'generic_low' AND length(text) >= 300)) AS guarded FROM x WHERE class IS NOT NULL), a AS (SELECT *, CASE WHEN created_at >= TIMESTAMP '{NOW}' - INTERVAL 45 DAY OR guarded THEN CASE WHEN turn % 2 = 1 THEN 'kept' ELSE 'decay' END ELSE 'prune' END AS action FROM g) SELECT conv_id * 1000 + turn AS id, class, action, CASE WHEN action = 'decay' THEN round(least(imp, 0.3) * 0.2, 4) ELSE imp END AS importance FROM a")
+def _prune(spark, d):
+    turns = _chat(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role", F.col("text").alias("content"), F.col("imp").alias("importance"), "created_at", (F.col("turn") % 2 == 1).alias("decayed"))
+    return chat_prune(turns, NOW)
 
 
 @query("contradiction_detect", "WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, CASE WHEN s > 0.92 AND a % 5 <> b % 5 THEN 'supersede' WHEN s >= 0.95 THEN 'corroborate' ELSE 'related' END AS kind FROM p WHERE s > 0.7")
