@@ -1,21 +1,18 @@
-"""Operators for preparing large text corpora. Nothing else in the package imports this one."""
+"""Operators for preparing large text corpora. Nothing else in the package imports this one.
+
+All modules are imported at once, so a part that can't be imported shows here and not when queries are listed.
+"""
 
 from __future__ import annotations
 
-from importlib import import_module
+from . import decontamination, language_id, license_scan, line_dedup, ngram_join, quality, sentencepiece_tokens, substring_dedup, topk_search, warc_fixity
 
-MODULES = ("ngram_join", "substring_dedup", "language_id", "line_dedup", "warc_fixity", "quality", "license_scan", "sentencepiece_tokens", "decontamination", "topk_search")
+MODULES = (ngram_join, substring_dedup, language_id, line_dedup, warc_fixity, quality, license_scan, sentencepiece_tokens, decontamination, topk_search)
 
 
 def queries() -> dict:
-    out: dict = {}
-    for m in MODULES:
-        out |= import_module(f"{__name__}.{m}").QUERIES
-    return out
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    out: dict = {}
-    for m in MODULES:
-        out |= import_module(f"{__name__}.{m}").ORACLES
-    return out
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
