@@ -1,11 +1,16 @@
-"""Exact top-k search by BM25: an inverted index per shard, block-max pruning, an exact merge.
+"""Exact top-k search by BM25: an inverted index per shard, block-max WAND, an exact merge by rounds.
 
-A shard is a run of documents of one map task, indexed where it is read. Its documents lie in blocks, in
-order of length; for each term the largest contribution in each block bounds what the block can add. A
-query's blocks are taken from the highest bound down: the first ones give a threshold (the k-th best score
-so far, which shards of one task hand on), and blocks whose bound stays below it are skipped (block-max
-WAND, Ding and Suel, 2011). What is left is scored in full, so nothing is lost. Every shard scores with the
-collection's own counts, so shards' best lists merge exactly.
+A shard is a run of documents of one map task, indexed where it is read. Alike documents lie side by side in
+blocks; a term's postings are in order of document, with the largest contribution of each block in which the
+term is (block-max WAND, Ding and Suel, 2011). For each query, the sum of its terms' block maxima bounds what
+a block can give, and blocks below the threshold are skipped. In the others, the lists of rarer terms are scored;
+then a block goes when its best document and the maxima of the frequent terms stay below the threshold (the
+pivot is between the two). What is left is scored in full, so nothing is lost. Every shard scores with the collection's own counts, so shards' best lists merge exactly.
+
+Shards are searched in rounds, a small part of them first and GROWTH times as many in each further round. After
+each round, the k-th best score so far is a query's threshold in all shards of the next, so a round gives few
+rows beyond what replaces earlier ones: about k * GROWTH for a query, however many shards there are. A task
+merges its shards' lists and raises its own threshold as it goes.
 
 Queries are a stated set of rows. They are searched for in blocks of bounded size, one pass over the index
 for each, so that what is broadcast is bounded. Scores are rounded to 4 places; ties go to the smaller id.
@@ -13,12 +18,15 @@ for each, so that what is broadcast is bounded. Scores are rounded to 4 places;
 Terms are runs of ASCII letters (lower-cased), digits and non-ASCII characters, by 64-bit hash.
 
 Defined results: documents without terms are counted in the collection's size and mean length but are never
-found; queries without terms find nothing; fewer than k results are given where fewer documents share a
-term. Repeated rows are documents of their own. Other columns are ignored.
+found; rows without an id are no part of the collection; queries without terms find nothing; fewer than k
+results are given where fewer documents share a term. Repeated rows are documents of their own; rows with equal
+ids are one query, whose term counts are the largest of any of them. Ids have to be whole numbers. A text of any
+length is read whole; one longer than a shard is a shard by itself. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,20 +34,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
-from .kernel import ALNUM, LOWER, runs_hash, slices, words
+from .common import need_whole_ids, stored, table, thrifty
+from .kernel import ALNUM, LOWER, SLICE_BYTES, runs_hash, slices, words
 
 K1, B, K = 1.2, 0.75, 10
 SHARD_BYTES = 16 << 20
 BLOCK = 64
 #: Query terms searched for in one pass over the index.
 PASS_TERMS = 2_000_000
-#: Terms in at least this share of a shard's documents are scored as a dense matrix.
-DENSE = 0.02
+#: Share of a shard's documents from which a term's list is kept as a row.
+COMMON = 0.125
+#: Bound of half precision's error, as a share of the largest score.
+ROUGH = 1e-4
+#: Shards of the first round, at most, and how many times as many there are after each round.
+FIRST_SHARDS = 8
+GROWTH = 8
+#: Groups of documents with alike words in a shard, and the most frequent terms they are told apart by.
+GROUPS = 8
+GROUP_TERMS = 128
 PLACES = 4
 #: Scores nearer than this may be equal when rounded; thresholds leave it as slack.
 SLACK = 2 * 10**-PLACES
-QUERIES_TOGETHER = 128
 
 
 def term_counts(texts, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -59,8 +74,31 @@ def term_counts(texts, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.nd
 INDEX = "ids binary, lengths binary, terms binary, df binary, docs binary, tf binary"
 
 
+def similar(row: np.ndarray, term: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The rows of a shard in an order that puts alike ones side by side: by group (k-means over the shard's most
+    frequent terms), then by length. Any order gives the same results; this one makes blocks' maxima tighter."""
+    n = len(length)
+    own, df = np.unique(term, return_counts=True)
+    top = np.sort(own[np.argsort(-df, kind="stable")[:GROUP_TERMS]])
+    x = np.zeros((n, max(1, len(top))), np.float32)
+    some = np.flatnonzero(np.isin(term, top))
+    x[row[some], np.searchsorted(top, term[some])] = 1 + np.log(tf[some])
+    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
+    by_length = np.argsort(length, kind="stable")
+    centre = x[by_length[np.linspace(0, n - 1, min(n, GROUPS)).astype(int)]]
+    group = np.zeros(n, np.int64)
+    for _ in range(5):
+        group = (x @ centre.T).argmax(axis=1)
+        for g in range(len(centre)):
+            if (group == g).any():
+                c = x[group == g].mean(axis=0)
+                centre[g] = c / (np.linalg.norm(c) + 1e-9)
+    return np.lexsort((length, group))
+
+
 def index(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per shard: ids and lengths of its documents (ordered by length), terms, and postings by term."""
+    """One row per shard: ids and lengths of its documents (alike ones side by side), terms, and postings by term."""
+    need_whole_ids(docs, id_col)
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held: list[pa.RecordBatch] = []
@@ -72,19 +110,27 @@ def index(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         if held:
             yield pa.Table.from_batches(held).combine_chunks()
 
+    @thrifty
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in gathered(batches):
-            ids = b[id_col].to_numpy()
-            for i, j, row, term, tf, length in term_counts(b["text"], SHARD_BYTES):
-                place = np.empty(j - i, np.int64)
-                by_length = np.argsort(length, kind="stable")
-                place[by_length] = np.arange(j - i)
-                at = place[row]
-                order = np.lexsort((at, term))
-                term, at, tf = term[order], at[order], tf[order]
-                first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.zeros(0, np.int64)
-                columns = (ids[i:j][by_length].astype(np.int64), length[by_length].astype(np.uint32), term[first], np.diff(np.append(first, len(term))).astype(np.uint32), at.astype(np.uint32), tf.astype(np.uint32))
-                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["ids", "lengths", "terms", "df", "docs", "tf"])
+            ids = b[id_col].to_numpy().astype(np.int64)
+            rows, terms, tfs, lengths = [], [], [], []
+            for i, _, row, term, tf, length in term_counts(b["text"], SLICE_BYTES):
+                rows.append((row + i).astype(np.int32))
+                terms.append(term)
+                tfs.append(tf.astype(np.int32))
+                lengths.append(length)
+            row, term, tf, length = (np.concatenate(x) for x in (rows, terms, tfs, lengths))
+            del rows, terms, tfs
+            order = similar(row, term, tf, length)
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order))
+            at = place[row]
+            by_term = np.lexsort((at, term))
+            term, at, tf = term[by_term], at[by_term], tf[by_term]
+            first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.zeros(0, np.int64)
+            columns = (ids[order], length[order].astype(np.uint32), term[first], np.diff(np.append(first, len(term))).astype(np.uint32), at.astype(np.uint32), tf.astype(np.uint32))
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["ids", "lengths", "terms", "df", "docs", "tf"])
 
     return docs.where(F.col(id_col).isNotNull()).select(id_col, "text").mapInArrow(build, INDEX)
 
@@ -92,86 +138,145 @@ def index(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def query_terms(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(query_id, term, qtf) of each query."""
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b[id_col].to_numpy(zero_copy_only=False)
-            for i, j, row, term, tf, _ in term_counts(b["text"], SHARD_BYTES):
+            for i, j, row, term, tf, _ in term_counts(b["text"], SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][row], pa.int64()), pa.array(term.view(np.int64)), pa.array(tf, pa.int64())], names=["query_id", "term", "qtf"])
 
     return rows.select(id_col, "text").mapInArrow(run, "query_id long, term long, qtf long").groupBy("query_id", "term").agg(F.max("qtf").alias("qtf"))
 
 
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[i] .. start[i] + size[i], one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class Shard:
-    """A shard's postings of the terms that a block of queries has."""
+    """A shard's postings with their block maxima, for a block of queries' terms."""
 
     def __init__(self, row: dict, terms: np.ndarray, mean_length: float) -> None:
         self.ids = np.frombuffer(row["ids"], np.int64)
         length = np.frombuffer(row["lengths"], np.uint32).astype(float)
         own, df = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["df"], np.uint32).astype(np.int64)
-        start = np.cumsum(df) - df
-        spot = np.minimum(np.searchsorted(own, terms), max(0, len(own) - 1))
-        have = np.flatnonzero(own[spot] == terms) if len(own) else np.zeros(0, np.int64)
-        self.df = np.zeros(len(terms), np.int64)
-        self.df[have] = df[spot[have]]
-        self.start = np.zeros(len(terms), np.int64)
-        self.start[have] = start[spot[have]]
-        self.docs = np.frombuffer(row["docs"], np.uint32)
+        self.n = len(self.ids)
+        self.blocks = -(-self.n // BLOCK)
+        #: Where each of the queries' terms is among the shard's, or -1.
+        self.at = np.full(len(terms), -1)
+        if len(terms) and len(own):
+            spot = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
+            hit = np.flatnonzero(terms[spot] == own)
+            self.at[spot[hit]] = hit
+        self.df, self.start = df, np.cumsum(df) - df
+        self.docs = np.frombuffer(row["docs"], np.uint32).astype(np.int64)
         tf = np.frombuffer(row["tf"], np.uint32).astype(float)
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.docs] / mean_length))
-        self.n = len(self.ids)
+        # Sparse block maxima: an entry for each block in which a term is.
+        block = self.docs // BLOCK
+        new = np.ones(len(block), bool)
+        new[1:] = block[1:] != block[:-1]
+        new[self.start] = True
+        self.entry = np.flatnonzero(new)
+        self.entry_size = np.diff(np.append(self.entry, len(block)))
+        self.entry_block = block[self.entry]
+        self.entry_most = np.maximum.reduceat(self.impact, self.entry) if len(self.entry) else self.impact
+        self.first = np.searchsorted(self.entry, self.start)
+        self.n_entries = np.diff(np.append(self.first, len(self.entry)))
         self.edges = np.arange(0, self.n, BLOCK)
-        common = np.flatnonzero(self.df >= max(2, DENSE * self.n))
-        self.dense_at = np.full(len(terms), -1)
-        self.dense_at[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), self.n))
+        self.sizes = np.diff(np.append(self.edges, self.n))
+        # Lists as long as an eighth of the shard are kept as rows of contributions, once more in half the precision.
+        common = np.flatnonzero((df >= max(2, self.n * COMMON)) & np.isin(own, terms, assume_unique=True)) if len(terms) else own[:0]
+        self.row = np.full(len(own), -1)
+        self.row[common] = np.arange(len(common))
+        self.long = np.zeros((len(common), self.n))
         for k, t in enumerate(common):
-            p = slice(self.start[t], self.start[t] + self.df[t])
-            self.dense[k, self.docs[p]] = self.impact[p]
-        #: The largest contribution of each common term in each block.
-        self.most = np.maximum.reduceat(self.dense, self.edges, axis=1) if len(common) else np.zeros((0, len(self.edges)))
-
-    def rare(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """What uncommon terms add to each document."""
-        size = self.df[terms]
-        at = np.repeat(self.start[terms] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return np.bincount(self.docs[at], self.impact[at] * np.repeat(weights, size), self.n)
-
-    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], threshold: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query, ids, scores): each query's best k here that can be among its best k overall."""
-        weights = np.zeros((len(queries), len(self.dense)))
-        score = np.empty((len(queries), self.n))
-        for q, (terms, w) in enumerate(queries):
-            at = self.dense_at[terms]
-            weights[q, at[at >= 0]] = w[at >= 0]
-            score[q] = self.rare(terms[at < 0], w[at < 0])
-        bound = weights @ self.most + np.maximum.reduceat(score, self.edges, axis=1)
-        done = np.zeros(bound.shape, bool)
-        # The two blocks of the highest bounds of each query first, then all whose bound the threshold doesn't exclude.
-        wanted = np.zeros(bound.shape, bool)
-        np.put_along_axis(wanted, np.argsort(-bound, axis=1)[:, :2], True, axis=1)
-        for last in (False, True):
-            wanted &= (bound >= threshold[:, None] - SLACK) & (bound > 0) & ~done
-            for b in np.flatnonzero(wanted.any(axis=0)):
-                q, part = np.flatnonzero(wanted[:, b]), slice(self.edges[b], min(self.n, self.edges[b] + BLOCK))
-                score[q, part] += weights[q] @ self.dense[:, part]
-            done |= wanted
-            scored = np.where(np.repeat(done, np.diff(np.append(self.edges, self.n)), axis=1), score, 0.0)
-            if self.n >= k:
-                threshold = np.maximum(threshold, np.partition(scored, self.n - k, axis=1)[:, self.n - k])
-            wanted = ~done if not last else wanted
-        for q in range(len(queries)):
-            at = np.flatnonzero(scored[q] >= max(threshold[q] - SLACK, 1e-9))
-            if len(at):
-                s = np.round(scored[q, at], PLACES)
-                best = np.lexsort((self.ids[at], -s))[:k]
-                yield q, self.ids[at[best]], s[best]
+            p = slice(self.start[t], self.start[t] + df[t])
+            self.long[k, self.docs[p]] = self.impact[p]
+        self.long_rough = self.long.astype(np.float32)
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the best k documents here that reach the threshold; terms are places in the queries' terms."""
+        at = self.at[terms]
+        weights, at = weights[at >= 0], at[at >= 0]
+        none = self.ids[:0], self.impact[:0]
+        if not len(at):
+            return none
+        order = np.argsort(self.df[at], kind="stable")  # rare terms first: they decide most and cost least
+        at, weights = at[order], weights[order]
+        n_entries = self.n_entries[at]
+        entry = spans(self.first[at], n_entries)
+        block = self.entry_block[entry]
+        most = self.entry_most[entry] * np.repeat(weights, n_entries)
+        rest = np.bincount(block, most, self.blocks)  # what terms not yet scored can add in each block
+        least = threshold - SLACK
+        live = rest >= least
+        if not live.any():
+            return none
+        score = np.zeros(self.n)
+        rare = int(np.searchsorted(self.row[at] >= 0, True))  # longer lists come last
+        if rare:
+            n_rare = int(n_entries[:rare].sum())
+            if live.mean() > 0.5:  # few blocks to skip: whole lists
+                start, size, w = self.start[at[:rare]], self.df[at[:rare]], weights[:rare]
+            else:
+                some = np.flatnonzero(live[block[:n_rare]])
+                start = self.entry[entry[some]]
+                size = self.entry_size[entry[some]]
+                w = np.repeat(weights[:rare], n_entries[:rare])[some]
+            p = spans(start, size)
+            score = np.bincount(self.docs[p], self.impact[p] * np.repeat(w, size), self.n)
+            # The pivot moves: blocks whose best document can't reach the threshold with the long lists' maxima are skipped.
+            rest -= np.bincount(block[:n_rare], most[:n_rare], self.blocks)
+            live &= np.maximum.reduceat(score, self.edges) + rest >= least
+            if not live.any():
+                return none
+        inside = np.flatnonzero(np.repeat(live, self.sizes))
+        if rare < len(at):
+            rows, w = self.row[at[rare:]], weights[rare:]
+            total = score[inside] + (w.astype(np.float32) @ self.long_rough[rows])[inside]
+            # Half precision decides only what can't be near the threshold, or near the k-th best.
+            slack = SLACK + ROUGH * float(np.abs(total).max(initial=0.0))
+            if len(total) > k:
+                least = max(least, np.partition(total, len(total) - k)[len(total) - k] - slack)
+            near = total >= least - slack
+            inside = inside[near]
+            score = score[inside] + w @ self.long[np.ix_(rows, inside)]
+        else:
+            score = score[inside]
+        found = score >= max(threshold - SLACK, 1e-9)
+        ids, s = self.ids[inside[found]], np.round(score[found], PLACES)
+        best = np.lexsort((ids, -s))[:k]
+        return ids[best], s[best]
+
+
+FOUND = "query_id long, doc_id long, score double"
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): each query's best k rows of found."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def rounds(n_shards: int) -> list[tuple[float, float]]:
+    """(from, to) of the shares of shards searched in turn: about FIRST_SHARDS shards first, then GROWTH times as many."""
+    ends = [1.0]
+    while ends[-1] * n_shards > FIRST_SHARDS:
+        ends.append(ends[-1] / GROWTH)
+    ends = ends[::-1]
+    return list(zip([0.0, *ends[:-1]], ends))
 
 
 def search(shards: DataFrame, queries: DataFrame, k: int = K, pass_terms: int = PASS_TERMS) -> DataFrame:
     """(query_id, rank, doc_id, score): the best k documents of each query. shards is a stored index()."""
     spark = shards.sparkSession
     queries = stored(queries)
+    n_shards = shards.count()
+    # A shard's place in the order of rounds: a hash of its ids, so that any part of the order is a fair part of the collection.
+    place = F.pmod(F.xxhash64("ids"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
+    @thrifty
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length = [np.frombuffer(x.as_buffer(), np.uint32) for x in b["lengths"]]
@@ -180,54 +285,80 @@ def search(shards: DataFrame, queries: DataFrame, k: int = K, pass_terms: int =
     n, total = shards.select("lengths").mapInArrow(sizes, "n long, total long").agg(F.sum("n"), F.sum("total")).first()
     mean_length = max(1.0, (total or 0) / max(1, n or 0))
     passes = 1 + queries.count() // pass_terms
-    parts = []
+    found = []
     for part in range(passes):
         mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == part).orderBy("query_id", "term").toArrow()
         term, inverse = np.unique(mine["term"].to_numpy().view(np.uint64), return_inverse=True)
         query = mine["query_id"].to_numpy()
         cut = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1], [True]))) if len(query) else np.zeros(1, np.int64)
+        ids = query[cut[:-1]] if len(query) else query
         shared_terms = spark.sparkContext.broadcast(term)
 
+        @thrifty
         def count(batches: Iterator[pa.RecordBatch], shared=shared_terms) -> Iterator[pa.RecordBatch]:
             wanted = shared.value
+            total = np.zeros(len(wanted), np.int64)
             for b in batches:
                 for terms, df in zip(b["terms"], b["df"]):
                     own, df = np.frombuffer(terms.as_buffer(), np.uint64), np.frombuffer(df.as_buffer(), np.uint32)
-                    spot = np.searchsorted(wanted, own)
-                    spot[spot == len(wanted)] = 0
-                    hit = wanted[spot] == own if len(wanted) else np.zeros(len(own), bool)
-                    yield pa.RecordBatch.from_arrays([pa.array(spot[hit], pa.int64()), pa.array(df[hit], pa.int64())], names=["at", "df"])
+                    if len(wanted):
+                        spot = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+                        hit = wanted[spot] == own
+                        total[spot[hit]] += df[hit]  # a term is once in a shard
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["at", "df"])
 
         counted = shards.select("terms", "df").mapInArrow(count, "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).toArrow()
+        shared_terms.destroy()
         df = np.zeros(len(term))
         df[counted["at"].to_numpy()] = counted["df"].to_numpy()
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5)) if len(term) else df
         weight = idf[inverse] * mine["qtf"].to_numpy() if len(term) else df
-        shared = spark.sparkContext.broadcast((term, inverse, weight, query[cut[:-1]] if len(query) else query, cut))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            term, inverse, weight, ids, cut = shared.value
-            threshold = np.zeros(len(ids))
-            for b in batches:
-                for row in b.to_pylist():
-                    shard = Shard(row, term, mean_length)
-                    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                    for a in range(0, len(ids), QUERIES_TOGETHER):
-                        some = range(a, min(a + QUERIES_TOGETHER, len(ids)))
-                        queries = [(inverse[cut[q] : cut[q + 1]], weight[cut[q] : cut[q + 1]]) for q in some]
-                        for q, doc, s in shard.search(queries, threshold[a : a + len(queries)], k):
-                            found.append((np.full(len(doc), ids[a + q]), doc, s))
-                            if len(s) == k:
-                                threshold[a + q] = max(threshold[a + q], s[-1])
-                    columns = [np.concatenate([f[c] for f in found]) if found else np.zeros(0) for c in range(3)]
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "doc_id", "score"])
-
-        parts.append(shards.mapInArrow(run, "query_id long, doc_id long, score double"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+        threshold = np.zeros(len(ids))
+        so_far = None
+        for low, high in rounds(n_shards):
+            shared = spark.sparkContext.broadcast((term, inverse, weight, ids, cut, threshold))
+
+            @thrifty
+            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                term, inverse, weight, ids, cut, threshold = shared.value
+                threshold = threshold.copy()
+                best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # a query's best k of the task's shards
+                for b in batches:
+                    for r in range(b.num_rows):
+                        shard = Shard({c: b[c][r].as_buffer() for c in ("ids", "lengths", "terms", "df", "docs", "tf")}, term, mean_length)
+                        for q in range(len(ids)):
+                            mine = slice(cut[q], cut[q + 1])
+                            doc, s = shard.search(inverse[mine], weight[mine], threshold[q], k)
+                            if len(doc):
+                                if q in best:
+                                    doc, s = np.concatenate((best[q][0], doc)), np.concatenate((best[q][1], s))
+                                    order = np.lexsort((doc, -s))[:k]
+                                    doc, s = doc[order], s[order]
+                                best[q] = doc, s
+                                if len(s) == k:
+                                    threshold[q] = max(threshold[q], s[-1])
+                        del shard
+                qs = sorted(best)
+                for a in range(0, len(qs), 10_000):
+                    some = qs[a : a + 10_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(ids[some], [len(best[q][0]) for q in some]), pa.int64()), pa.array(np.concatenate([best[q][0] for q in some]), pa.int64()), pa.array(np.concatenate([best[q][1] for q in some]), pa.float64())],
+                        names=["query_id", "doc_id", "score"],
+                    )
+
+            here = shards.where((place >= low) & (place < high))
+            got = here.select("ids", "lengths", "terms", "df", "docs", "tf").mapInArrow(run, FOUND)
+            so_far = stored(best_of(got if so_far is None else got.union(so_far.select("query_id", "doc_id", "score")), k))
+            shared.destroy()
+            if high < 1:
+                reached = so_far.where(F.col("rank") == k).select("query_id", "score").toArrow()
+                at = np.searchsorted(ids, reached["query_id"].to_numpy())
+                threshold[at] = reached["score"].to_numpy()
+        if so_far is not None:
+            found.append(so_far)
+    every = functools.reduce(DataFrame.union, found) if found else spark.createDataFrame([], FOUND + ", rank int")
+    return every.select("query_id", "rank", "doc_id", "score")
 
 
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +367,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ORACLE = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE doc_id IS NOT NULL),
 c AS (SELECT count(*) AS n, greatest(1.0, sum(len(w)) / count(*)) AS mean FROM d),
 p AS (SELECT doc_id, len, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS t FROM d) GROUP BY ALL),
 f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
