@@ -217,7 +217,7 @@ def _jaccard(spark, d):
 
 
 @query("entity_resolve", r"""WITH e AS (SELECT p_partkey AS id, p_name AS name, list_distinct(list_filter(string_split_regex(lower(p_name), '[^\p{L}\p{N}_]+'), lambda t: t <> '')) AS w FROM part),
-n AS (SELECT DISTINCT CASE WHEN id % 2 = 0 THEN upper(name) ELSE name || ' extra' END AS name FROM e WHERE id % 20 < 2), nw AS (SELECT name, list_distinct(list_filter(string_split_regex(lower(name), '[^\p{L}\p{N}_]+'), lambda t: t <> '')) AS w FROM n),
+n AS (SELECT DISTINCT CASE WHEN id % 2 = 0 THEN upper(name) ELSE name || ' extra' END AS name FROM e), nw AS (SELECT name, list_distinct(list_filter(string_split_regex(lower(name), '[^\p{L}\p{N}_]+'), lambda t: t <> '')) AS w FROM n),
 x AS (SELECT n.name, min(e.id) AS entity_id, 'exact' AS how FROM n JOIN e ON lower(n.name) = lower(e.name) GROUP BY 1),
 f AS (SELECT nw.name, e.id, len(list_intersect(nw.w, e.w)) / len(list_distinct(list_concat(nw.w, e.w))) AS j FROM nw JOIN e ON list_has_any(nw.w, e.w) WHERE nw.name NOT IN (SELECT name FROM x)),
 g AS (SELECT name, max_by(id, (j, -id)) AS entity_id, 'fuzzy' AS how FROM f WHERE j >= 0.6 GROUP BY 1) SELECT * FROM x UNION ALL SELECT * FROM g""")
@@ -251,7 +251,7 @@ def _surface(spark, d):
     return surface(items, m, ["Brand#11", "Brand#12", "Brand#13"], 3).select("conversation_id", "memory_id", "pos")
 
 
-@query("entity_graph_expand", "WITH m AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_orderkey % 5 = 0), s0 AS (SELECT p_partkey AS p FROM part WHERE p_name LIKE '%blue%' ORDER BY p_name, p_partkey LIMIT 5), h1 AS (SELECT DISTINCT b.p FROM m a JOIN m b ON a.s = b.s WHERE a.p IN (SELECT p FROM s0)), k AS (SELECT p FROM (SELECT p FROM s0 UNION SELECT p FROM h1) ORDER BY p LIMIT 100) SELECT DISTINCT l_orderkey AS memory_id FROM lineitem WHERE l_partkey IN (SELECT p FROM k)")
+@query("entity_graph_expand", "WITH m AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), s0 AS (SELECT p_partkey AS p FROM part WHERE p_name LIKE '%blue%' ORDER BY p_name, p_partkey LIMIT 5), h1 AS (SELECT DISTINCT b.p FROM m a JOIN m b ON a.s = b.s WHERE a.p IN (SELECT p FROM s0)), k AS (SELECT p FROM (SELECT p FROM s0 UNION SELECT p FROM h1) ORDER BY p LIMIT 100) SELECT DISTINCT l_orderkey AS memory_id FROM lineitem WHERE l_partkey IN (SELECT p FROM k)")
 def _expand(spark, d):
     line = read(spark, d, "lineitem")
     m = line.select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()

@@ -191,7 +191,7 @@ def _neighbors(spark, d):
     return neighbor_sessions(read(spark, d, "conversations"), _seeds(spark, d), 1, 4).select("conv_id", "turn")
 
 
-@query("score_extras", "SELECT d.doc_id AS id, round(coalesce(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 0.1), 6) AS score FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE d.doc_id % 3 = 0")
+@query("score_extras", "SELECT d.doc_id AS id, round(coalesce(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 0.1), 6) AS score FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q")
 def _extras(spark, d):
     from .vector import cosine, with_query
 
@@ -291,7 +291,7 @@ def _stale(spark, d):
     return validity(read(spark, d, "events")).groupBy("user_id").agg(F.round(F.avg(F.col("valid_to").isNotNull().cast("double")), 6).alias("stale"))
 
 
-@query("redundant_pairs", "WITH m AS (SELECT DISTINCT s_nationkey AS c, o_custkey % 200 AS x FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 20 = 0), n AS (SELECT c, count(*) AS n FROM m GROUP BY 1), o AS (SELECT a.c AS a, b.c AS b, count(*) AS k FROM m a JOIN m b ON a.x = b.x AND a.c < b.c GROUP BY ALL) SELECT a, b, round(k / (p.n + q.n - k), 6) AS jaccard FROM o JOIN n p ON p.c = a JOIN n q ON q.c = b WHERE k / (p.n + q.n - k) >= 0.6")
+@query("redundant_pairs", "WITH m AS (SELECT DISTINCT s_nationkey AS c, o_custkey % 200 AS x FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey), n AS (SELECT c, count(*) AS n FROM m GROUP BY 1), o AS (SELECT a.c AS a, b.c AS b, count(*) AS k FROM m a JOIN m b ON a.x = b.x AND a.c < b.c GROUP BY ALL) SELECT a, b, round(k / (p.n + q.n - k), 6) AS jaccard FROM o JOIN n p ON p.c = a JOIN n q ON q.c = b WHERE k / (p.n + q.n - k) >= 0.6")
 def _redundant(spark, d):
     line = read(spark, d, "lineitem").join(read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     m = line.select(F.col("s_nationkey").alias("c"), (F.col("o_custkey") % 200).alias("x")).distinct()

@@ -426,7 +426,7 @@ def _writes(spark, d):
     return latest(changes, ["id"], ["ts", "event_id"])
 
 
-@query("link_bulk", "SELECT DISTINCT l_orderkey AS from_id, l_partkey AS to_id, l_returnflag AS relationship_type FROM lineitem WHERE l_partkey % 10 = 0")
+@query("link_bulk", "SELECT DISTINCT l_orderkey AS from_id, l_partkey AS to_id, l_returnflag AS relationship_type FROM lineitem")
 def _link(spark, d):
     return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("from_id"), F.col("l_partkey").alias("to_id"), F.col("l_returnflag").alias("relationship_type")).distinct()
 
@@ -441,7 +441,7 @@ def _dedup(spark, d):
     return greedy_dedup(similar_pairs(read(spark, d, "embeddings"), 0.3, "vec_id", "label").select("a", "b"))
 
 
-@query("files_dedup", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 16 = b.vec_id % 16 AND a.vec_id < b.vec_id WHERE a.label <> b.label AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.2")
+@query("files_dedup", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.label <> b.label AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.2")
 def _fdedup(spark, d):
     p = cross_pairs(read(spark, d, "embeddings"), 0.2, "vec_id", "label")
     return p.select("a", "b", F.round("score", 6).alias("score"))

@@ -136,7 +136,7 @@ def _gist(spark, d):
     return gist_turns(e).select(F.col("conv_id").alias("user_id"), "turn.event_id")
 
 
-_LOG = "(SELECT user_id AS group_id, ts, event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'claim' WHEN 'click' THEN 'claim' WHEN 'purchase' THEN 'success' ELSE 'limited' END AS event FROM events WHERE event_id % 11 = 0)"
+_LOG = "(SELECT user_id AS group_id, ts, event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'claim' WHEN 'click' THEN 'claim' WHEN 'purchase' THEN 'success' ELSE 'limited' END AS event FROM events)"
 
 
 @query("claim_lease", f"WITH l AS (SELECT group_id, max_by(event, (ts, event)) AS event, max(ts) AS ts, count(*) FILTER (WHERE event = 'failed') AS attempts FROM {_LOG} GROUP BY 1), s AS (SELECT *, CASE WHEN event = 'success' THEN 'success' WHEN attempts >= 3 THEN 'dead_letter' WHEN event = 'claim' AND ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 3600 SECOND THEN 'in_progress' WHEN event = 'failed' THEN 'failed' ELSE 'pending' END AS state FROM l) SELECT group_id, state, attempts, CASE WHEN state = 'failed' THEN strftime(date_trunc('second', ts) + INTERVAL 1 SECOND * CAST(30 * pow(2, attempts - 1) AS INT), '%Y-%m-%d %H:%M:%S') END AS retry_at FROM s")
