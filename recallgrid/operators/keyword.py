@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,24 +24,18 @@ class Compiled:
     kind: str = "all"
     prefix: bool = False
 
-    def matches(self, words: Column, text: Column) -> Column:
+    def matches(self, text: Column) -> Column:
+        """Whether a text matches; words are whole but for a prefix, those of a phrase follow each other."""
         if not self.ok:
             return F.lit(False)
         if self.kind == "phrase":
-            return F.array_join(words, " ").contains(" ".join(self.terms))
-        if self.prefix:
-            return F.exists(words, lambda w: F.startswith(w, F.lit(self.terms[0])))
-        hits = [F.array_contains(words, t) for t in self.terms]
-        out = hits[0]
-        for h in hits[1:]:
-            out = out | h if self.kind == "any" else out & h
-        return out
+            return _rlike_words(F.lower(text), self.terms, False)
+        hits = [_rlike_words(F.lower(text), [t], self.prefix) for t in self.terms]
+        return functools.reduce(lambda a, b: a | b if self.kind == "any" else a & b, hits)
 
 
 def compile_query(raw: str, mode: str = "hybrid") -> Compiled:
     """Quoted: a phrase. Else sanitised terms: any of them in mode fts5, else all; one alphanumeric term is a prefix."""
-    import re
-
     if len(raw) > 1 and raw[0] == raw[-1] and raw[0] in "\"'":
         terms = [t for t in re.split(r"[^\w]+", raw[1:-1].lower()) if t]
         return Compiled(bool(terms), terms, "phrase")
@@ -67,33 +63,52 @@ def compile_fts(q: Column, mode: str = "hybrid") -> tuple[Column, Column]:
     return F.when(exact, phrase).when(clean == "", "").otherwise(plain), exact | (clean != "")
 
 
-def _occurrences(words: Column, term: str, prefix: bool) -> Column:
-    return F.size(F.filter(words, lambda w: F.startswith(w, F.lit(term)) if prefix else w == term))
+# A word is a run of letters, digits and _ of any script, as in functions.text.tokens.
+_WORD = r"[\p{L}\p{N}_]"
+
+
+def _word_pattern(terms: list[str], prefix: bool) -> str:
+    """A regular expression of words that follow each other in a lower-cased text."""
+    body = rf"[^\p{{L}}\p{{N}}_]+".join(re.escape(t) for t in terms)
+    return rf"(?<!{_WORD}){body}" + ("" if prefix else rf"(?!{_WORD})")
+
+
+def _holds(low: Column, terms: list[str]) -> Column:
+    """A cheap test that every text with the terms passes."""
+    return functools.reduce(lambda a, b: a & b, [low.contains(t) for t in terms])
+
+
+def _rlike_words(low: Column, terms: list[str], prefix: bool) -> Column:
+    return _holds(low, terms) & low.rlike(_word_pattern(terms, prefix))
+
+
+def _occurrences(low: Column, term: str, prefix: bool) -> Column:
+    return F.when(low.contains(term), F.regexp_count(low, F.lit(_word_pattern([term], prefix)))).otherwise(0)
 
 
 def bm25(items: DataFrame, terms: list[str], text: str = "content", k1: float = K1, b: float = B, prefix: bool = False) -> DataFrame:
-    """items with `bm25`, the negated score (lower is better), and `_words`.
+    """items with `bm25`, the negated score (lower is better).
 
-    Term counts come from each row's own words, and the collection's counts from one aggregate row that is
-    broadcast: no postings are exploded or shuffled.
+    Term counts come from each row's own text, and the collection's counts from one aggregate row that is
+    broadcast: no postings are exploded or shuffled, and terms are only looked for in texts that hold their letters.
     """
-    counted = items.withColumn("_words", X.tokens(F.col(text)))
-    counted = counted.withColumns({f"_tf{i}": _occurrences(F.col("_words"), t, prefix) for i, t in enumerate(terms)})
-    stats = counted.agg(
-        F.count("*").alias("_n"), F.avg(F.size("_words")).alias("_mean"), *[F.sum((F.col(f"_tf{i}") > 0).cast("int")).alias(f"_df{i}") for i in range(len(terms))]
-    )
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    columns = {f"_tf{i}": _occurrences(low, t, prefix) for i, t in enumerate(terms)}
+    counted = items.withColumns({"_length": F.regexp_count(low, F.lit(_WORD + "+")), **columns})
+    stats = counted.agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean"), *[F.sum((F.col(f"_tf{i}") > 0).cast("int")).alias(f"_df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):
         idf = F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
-        score = score + idf * F.col(f"_tf{i}") * (k1 + 1) / (F.col(f"_tf{i}") + k1 * (1 - b + b * F.size("_words") / F.col("_mean")))
-    return counted.crossJoin(F.broadcast(stats)).withColumn("bm25", -score).select(*items.columns, "_words", "bm25")
+        some = idf * F.col(f"_tf{i}") * (k1 + 1) / (F.col(f"_tf{i}") + k1 * (1 - b + b * F.col("_length") / F.col("_mean")))
+        score = score + F.when(F.col(f"_tf{i}") > 0, some).otherwise(0.0)
+    return counted.crossJoin(F.broadcast(stats)).withColumn("bm25", -score).select(*items.columns, "bm25")
 
 
 def keyword_search(items: DataFrame, raw: str, limit: int = 20, mode: str = "hybrid", id_col: str = "id", text: str = "content") -> DataFrame:
     """Matching rows with bm25, best first."""
     q = compile_query(raw, mode)
-    scored = bm25(items, q.terms, text, prefix=q.prefix).where(q.matches(F.col("_words"), F.col(text)))
-    return scored.drop("_words").orderBy("bm25", id_col).limit(limit)
+    scored = bm25(items, q.terms, text, prefix=q.prefix).where(q.matches(F.col(text)))
+    return scored.orderBy("bm25", id_col).limit(limit)
 
 
 def short_circuit(items: DataFrame, raw: str, k: int, id_col: str = "id", text: str = "content") -> DataFrame:
@@ -139,7 +154,7 @@ def _search_prefix(spark, d):
     return _rounded(keyword_search(_items(spark, d).select("id", "content"), "licens").select("id", "bm25"))
 
 
-@query("keyword_search_phrase", f"WITH {bm25_sql('documents', 'doc_id', 'text', ['gnu', 'general', 'public'])} SELECT id, round(bm25, 6) AS bm25 FROM scored WHERE contains(array_to_string(words, ' '), 'gnu general public') ORDER BY scored.bm25, id LIMIT 20")
+@query("keyword_search_phrase", f"WITH {bm25_sql('documents', 'doc_id', 'text', ['gnu', 'general', 'public'])} SELECT id, round(bm25, 6) AS bm25 FROM scored WHERE contains(' ' || array_to_string(words, ' ') || ' ', ' gnu general public ') ORDER BY scored.bm25, id LIMIT 20")
 def _search_phrase(spark, d):
     return _rounded(keyword_search(_items(spark, d).select("id", "content"), '"GNU General Public"').select("id", "bm25"))
 
@@ -198,7 +213,7 @@ def _compile(spark, d):
 def _chat(spark, d):
     turns = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"), "role")
     q = compile_query("the")
-    hits = bm25(turns, q.terms, prefix=q.prefix).where(q.matches(F.col("_words"), F.col("content")) & (F.col("role") == "assistant"))
+    hits = bm25(turns, q.terms, prefix=q.prefix).where(q.matches(F.col("content")) & (F.col("role") == "assistant"))
     return _rounded(hits.orderBy("bm25", "id").limit(15).select("id", "role", "bm25"))
 
 

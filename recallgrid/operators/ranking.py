@@ -172,7 +172,7 @@ TERMS = ["license", "the"]
 
 def candidates(spark, d) -> DataFrame:
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source", "lang")
-    scored = bm25(docs, TERMS).drop("_words")
+    scored = bm25(docs, TERMS)
     v = read(spark, d, "embeddings")
     near = with_query(v, v.where("vec_id = 0")).select(F.col("vec_id").alias("id"), cosine(F.col("embedding"), F.col("q")).alias("cos"), "embedding")
     importance = read(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("double").alias("importance"))
@@ -262,7 +262,7 @@ def _adaptive(spark, d):
     return elbow_trim(pool(spark, d), floor=0.3).agg(F.least(F.greatest(F.count("*"), F.lit(5)), F.lit(15)).alias("k"))
 
 
-@query("content_dedup", f"WITH {_H}, r AS (SELECT *, row_number() OVER (PARTITION BY trim(content[1:30]) ORDER BY score DESC, id) AS r FROM h) SELECT id, round(score, 6) AS score FROM r WHERE r = 1 OR trim(content[1:30]) = '' ORDER BY r.score DESC, id LIMIT 30")
+@query("content_dedup", f"WITH {_H}, r AS (SELECT *, row_number() OVER (PARTITION BY trim(content) ORDER BY score DESC, id) AS r FROM h) SELECT id, round(score, 6) AS score FROM r WHERE r = 1 OR trim(content) = '' ORDER BY r.score DESC, id LIMIT 30")
 def _dedup(spark, d):
     return _out(content_dedup(candidates(spark, d), "content", 30))
 
