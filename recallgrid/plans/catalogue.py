@@ -11,7 +11,7 @@ from .. import registry
 
 MODULES = (
     "operators.predicates", "operators.keyword", "operators.vector", "operators.ranking", "operators.routing", "operators.graph", "operators.entity",
-    "operators.reports", "operators.lifecycle", "operators.documents", "operators.extras", "sources.transfer", "streaming.jobs", "plans.search",
+    "operators.reports", "operators.lifecycle", "operators.documents", "operators.extras", "sources.transfer", "operators.stores", "streaming.jobs", "plans.search",
 )
 
 

@@ -43,7 +43,17 @@ def expanded(hits: DataFrame, edges: DataFrame, rows: DataFrame, scope: str, k:
 
 
 def formatted(hits: DataFrame) -> DataFrame:
-    return hits.select("position", F.format_string("%d. [%d] %.3f", F.col("position"), F.col("id"), F.col("score")).alias("line"))
+    """(position, line) of hits (id, score, position, and type, title and reason where there are such)."""
+    of = lambda c: F.coalesce(F.col(c), F.lit("")) if c in hits.columns else F.lit("")
+    kind = F.when(of("type") == "", "unknown").otherwise(of("type"))
+    line = F.format_string("%d. [%s] score=%.4f  type: %s  title: %s", F.col("position"), F.col("id").cast("string"), F.col("score"), kind, of("title"))
+    return hits.select("position", F.concat(line, F.when(of("reason") != "", F.concat(F.lit("\n   Why: "), of("reason"))).otherwise("")).alias("line"))
+
+
+def once(df: DataFrame) -> DataFrame:
+    """df computed once, in the shared folder, for a composed query that uses it several times."""
+    graph._shared(df.sparkSession)
+    return df.checkpoint()
 
 
 @query("search_scored")
@@ -56,9 +66,18 @@ def _formatted(spark, d):
     return formatted(scored(candidates(spark, d), 10, diversify=False))
 
 
+@query("suggest", f"WITH {ranking._H}, t AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS position FROM h QUALIFY position <= 5) SELECT CAST(position AS INT) AS position, printf('%d. [%d] score=%.4f  type: %s  title: %s', position, id, score, lang, source) || chr(10) || '   Why: keyword=' || printf('%.3f', 0.3 / (1 + abs(bm25))) || CASE WHEN importance > 0 THEN '; importance=' || printf('%.3f', 0.15 * importance) ELSE '' END AS line FROM t")
+def _suggest(spark, d):
+    """What would be retrieved, and why."""
+    reason = ranking.explain({"keyword": 0.3 / (1 + F.abs("bm25")), "title": ranking.TITLE_BOOST * F.col("title"), "importance": ranking.IMPORTANCE_WEIGHT * F.col("importance")})
+    best = candidates(spark, d).withColumn("reason", reason).orderBy(F.desc("score"), "id").limit(5)
+    hits = best.select("id", "score", "reason", F.col("lang").alias("type"), F.col("source").alias("title"), F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("position"))
+    return formatted(hits)
+
+
 @query("smart_expand", f"WITH {ranking._H}, a AS (SELECT id, score, valid_from FROM h ORDER BY score DESC, id LIMIT 20), b AS (SELECT id, cos AS score, valid_from FROM h ORDER BY cos DESC, id LIMIT 20), f AS (SELECT id, max(score) AS score, max(valid_from) AS v FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id) SELECT id, round(score + 0.1 * (row_number() OVER (ORDER BY v, id) - 1) / (count(*) OVER () - 1), 6) AS score FROM f")
 def _smart(spark, d):
-    c = candidates(spark, d)
+    c = once(candidates(spark, d).select("id", "score", "cos", "valid_from"))
     a = c.orderBy(F.desc("score"), "id").limit(20)
     b = c.orderBy(F.desc("cos"), "id").limit(20).withColumn("score", F.col("cos"))
     return smart_expand(a, b).select("id", F.round("score", 6).alias("score"))
@@ -66,7 +85,7 @@ def _smart(spark, d):
 
 @query("expand_routed")
 def _expand(spark, d):
-    c = candidates(spark, d).withColumn("scope", F.when(F.col("lang") == "en", "agent").otherwise("org"))
+    c = once(candidates(spark, d).select("id", "score", "cos", F.when(F.col("lang") == "en", "agent").otherwise("org").alias("scope")))
     edges = c.select(F.col("id").alias("from_id"), (F.col("id") + 1).alias("to_id"))
     return expanded(c.orderBy(F.desc("score"), "id").limit(10), edges, c.select("id", "score", "scope"), "agent", 10)
 
@@ -74,7 +93,7 @@ def _expand(spark, d):
 @query("search_routed")
 def _routed(spark, d):
     """Fused retrieval, expansion under the guard, a sharp trim, and the penalty for superseded hits."""
-    c = candidates(spark, d).withColumn("scope", F.when(F.col("lang") == "en", "agent").otherwise("org"))
+    c = once(candidates(spark, d).select("id", "score", "cos", F.when(F.col("lang") == "en", "agent").otherwise("org").alias("scope")))
     near = c.select("id", F.col("cos").alias("score")).orderBy(F.desc("score"), "id").limit(30)
     fused = ranking.max_fusion([near, c.select("id", "score").orderBy(F.desc("score"), "id").limit(30)], 15)
     edges = c.select(F.col("id").alias("from_id"), (F.col("id") + 1).alias("to_id"))

@@ -180,12 +180,6 @@ def _items(spark, d):
     return sync_items(e, incoming, "event_id", ["value"]).select("event_id", "value")
 
 
-@query("sync_edges", "SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10)")
-def _edges(spark, d):
-    e = read(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    return e.join(read(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").join(read(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
-
-
 @query("promote_across_stores", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'promoted' END AS type FROM documents")
 def _promote(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.col("lang").alias("type"))
