@@ -61,7 +61,7 @@ def scrub_shared(text: Column, names: list[str]) -> Column:
     """Text fit for sharing: secrets and personal data redacted, home paths cut to their last part, names replaced."""
     out = F.regexp_replace(X.redact(text)[0], PATHS, "$1")
     for n in sorted(names, key=len, reverse=True):
-        out = F.regexp_replace(out, rf"(?i)\b{n}\b", "[user]")
+        out = F.regexp_replace(out, rf"(?iU)(?<!\w)\Q{n}\E(?!\w)", "[user]")
     return out
 
 

@@ -50,25 +50,31 @@ def neighbor_sessions(turns: DataFrame, seeds: DataFrame, width: int = 1, cap: i
 
 
 def tree(nodes: DataFrame, root, depth: int = 20) -> DataFrame:
-    """(id, parent_id, depth) of the living descendants of root; a dead node cuts off what is below it."""
-    spark = nodes.sparkSession
-    view = f"tree_{abs(hash((id(nodes), str(root))))}"
-    nodes.select("id", "parent_id", "live").createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE t(id, parent_id, depth) MAX RECURSION LEVEL {depth + 2} AS (
-          SELECT id, parent_id, 0 FROM {view} WHERE id = '{root}' AND live
-          UNION ALL SELECT n.id, n.parent_id, t.depth + 1 FROM t JOIN {view} n ON n.parent_id = t.id WHERE n.live AND t.depth < {depth})
-        SELECT * FROM t""")
-
-
-def neighborhood(edges: DataFrame, root: int, depth: int) -> DataFrame:
-    """(id, hop) by a recursive walk in both directions; a node may stand at several hops, the root too."""
-    spark = edges.sparkSession
-    view = f"pairs_{abs(hash((id(edges), root)))}"
-    both_ways(edges).createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE w(id, hop) AS (SELECT cast({root} AS BIGINT), 0 UNION ALL SELECT e.b, w.hop + 1 FROM w JOIN {view} e ON e.a = w.id WHERE w.hop < {depth})
-        SELECT DISTINCT id, hop FROM w""")
+    """(id, parent_id, depth) of the living descendants of root; a dead node cuts off what is below it.
+
+    A level is joined to its children at a time, and stored, so a tree of any width or depth is walked.
+    """
+    _shared(nodes.sparkSession)
+    live = nodes.where("live").select("id", "parent_id")
+    level = live.where(F.col("id") == F.lit(root)).withColumn("depth", F.lit(0)).checkpoint()
+    found = level
+    for k in range(1, depth + 1):
+        level = live.join(level.select(F.col("id").alias("parent_id")), "parent_id").select("id", "parent_id", F.lit(k).alias("depth")).checkpoint()
+        if level.isEmpty():
+            break
+        found = found.union(level)
+    return found
+
+
+def neighborhood(edges: DataFrame, root, depth: int) -> DataFrame:
+    """(id, hop) of a walk in both directions; a node may stand at several hops, the root too."""
+    pairs = both_ways(edges)
+    level = edges.sparkSession.range(1).select(F.lit(root).cast(edges.schema["from_id"].dataType).alias("id"))
+    found = level.withColumn("hop", F.lit(0))
+    for hop in range(1, depth + 1):
+        level = level.join(pairs, level["id"] == pairs["a"]).select(F.col("b").alias("id")).distinct()
+        found = found.union(level.withColumn("hop", F.lit(hop)))
+    return found
 
 
 def _shared(spark) -> str:
@@ -137,13 +143,20 @@ def cluster_measures(members: DataFrame, edges: DataFrame) -> DataFrame:
     return x.select("cluster", "size", ratio.alias("backbone_ratio"), (F.col("provenance") / (F.col("provenance") + 2)).alias("provenance"), kas.alias("kas"))
 
 
+#: Bins of scores from 0 to 1.
+BINS = 10_000
+
+
 def low_anchor_flags(measures: DataFrame, adrift: float = 0.15) -> DataFrame:
     """Clusters adrift, or among five and more at or under the 20th percentile (by index) and half the median.
 
     The percentiles are index picks over the sorted scores; one row of scores is broadcast back.
     """
-    # The picks need order statistics only: ranks are counted from a grouped histogram of the scores.
-    ranked = measures.groupBy("kas").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("kas")))
+    # The picks need order statistics only: scores are counted in bins of bounded number, and ranked within a bin.
+    bin_of = F.floor(F.col("kas") * BINS)
+    bins = measures.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("bin")) - F.col("n")).select("bin", "before")
+    inside = F.sum("n").over(Window.partitionBy("bin").orderBy("kas"))
+    ranked = measures.groupBy(bin_of.alias("bin"), "kas").agg(F.count("*").alias("n")).withColumn("inside", inside).join(bins, "bin").select("kas", (F.col("before") + F.col("inside")).alias("upto"))
     total = measures.agg(F.count("*").alias("total"))
     pick = lambda q: F.min(F.when(F.col("upto") > F.floor(q * F.col("total")), F.col("kas")))
     stats = ranked.crossJoin(F.broadcast(total)).agg(pick(0.2).alias("p20"), pick(0.5).alias("p50"), F.max("total").alias("total"))

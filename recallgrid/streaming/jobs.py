@@ -1,7 +1,7 @@
 """Continuous work as Structured Streaming: write-behind sinks, windows with watermarks, leases, notices.
 
 Every function takes a streaming (or batch) DataFrame; the queries run the same transforms over a bounded
-directory source with availableNow, or as batches where the twin in SQL is a batch.
+directory source with availableNow, so that their sinks can be held against SQL.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,17 +36,27 @@ def stream_of(spark: SparkSession, sf_dir: str, table: str, **options: str) -> D
     return spark.readStream.schema(whole.schema).options(pathGlobFilter=f"{table}.parquet", **options).parquet(sf_dir)
 
 
-def run_now(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream gives for the files that are there now, exactly once, from its sink."""
+def run_now(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """What a stream gives for the files that are there now, exactly once, from its sink.
+
+    In mode update, keys name the rows: of each, the one of the latest micro-batch counts.
+    """
     spark, out = stream.sparkSession, shared(stream.sparkSession)
     schema = stream.schema
     if mode == "append":
         q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     else:
-        write = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/rows")
+        at = (lambda n: f"{out}/rows/batch={n}") if mode == "update" else (lambda n: f"{out}/rows/batch=0")
+        write = lambda df, n: df.write.mode("overwrite").parquet(at(n))
         q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{out}/rows")
+    if mode == "append":
+        return spark.read.schema(schema).parquet(f"{out}/rows")
+    rows = spark.read.option("basePath", f"{out}/rows").parquet(f"{out}/rows")
+    if mode == "update":
+        newest = Window.partitionBy(*(keys or stream.columns)).orderBy(F.desc("batch"))
+        rows = rows.withColumn("_r", F.row_number().over(newest)).where("_r = 1")
+    return rows.select(*stream.columns)
 
 
 def tumbling(events: DataFrame, minutes: int = 10, late: str = "1 hour") -> DataFrame:
@@ -55,15 +67,17 @@ def tumbling(events: DataFrame, minutes: int = 10, late: str = "1 hour") -> Data
 
 
 def write_behind(stream: DataFrame, keys: list[str], path: str, checkpoint: str):
-    """Appends each micro-batch without rows that repeat within it; the checkpoint replays what wasn't finished."""
+    """Appends rows whose keys haven't been seen, in this micro-batch or any before; the checkpoint replays what wasn't
+    finished. The keys seen are kept as state; with a watermark on the stream and its column among keys, old ones go."""
 
     def flush(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={number}")  # a replay overwrites itself
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")  # a replay overwrites itself
 
-    return stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.dropDuplicates(keys).writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     w = events.withWatermark("ts", late) if events.isStreaming else events
     return w.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
@@ -81,6 +95,42 @@ def gist_turns(turns: DataFrame, first: int = 10, stride: int = 5) -> DataFrame:
     return turns.withColumn("n", n).where((F.col("n") >= first) & ((F.col("n") - first) % stride == 0))
 
 
+def turn_windows_stream(turns: DataFrame, size: int = 3) -> DataFrame:
+    """turn_windows of a stream (conv_id, turn, text), for output mode update: a window's text grows as its turns arrive.
+
+    A conversation's state is how many turns it has had and the texts of its last, open window.
+    """
+
+    def extend(key, batches, state):
+        n, held = (state.get[0], list(state.get[1])) if state.exists else (0, [])
+        rows = pd.concat(list(batches)).sort_values("turn")
+        out: dict[int, str] = {}
+        for text in rows["text"]:
+            held = [text] if n % size == 0 else [*held, text]
+            out[n // size] = "\n".join(x for x in held if x is not None)
+            n += 1
+        state.update((n, held))
+        yield pd.DataFrame({"conv_id": key[0], "window": list(out), "text": list(out.values())})
+
+    kind = dict(turns.dtypes)["conv_id"]
+    return turns.select("conv_id", "turn", "text").groupBy("conv_id").applyInPandasWithState(extend, f"conv_id {kind}, window long, text string", "n long, held array<string>", "update", "NoTimeout")
+
+
+def gist_turns_stream(turns: DataFrame, by: str, order: list[str], first: int = 10, stride: int = 5) -> DataFrame:
+    """gist_turns of a stream: (by, order columns, n) of the turns after which a gist is due; the state is a count."""
+
+    def count(key, batches, state):
+        n = state.get[0] if state.exists else 0
+        rows = pd.concat(list(batches)).sort_values(order)
+        rows["n"] = np.arange(n + 1, n + 1 + len(rows))
+        state.update((n + len(rows),))
+        yield rows[(rows["n"] >= first) & ((rows["n"] - first) % stride == 0)][[by, *order, "n"]]
+
+    kinds = dict(turns.dtypes)
+    shape = ", ".join(f"{c} {kinds[c]}" for c in [by, *order])
+    return turns.select(by, *order).groupBy(by).applyInPandasWithState(count, f"{shape}, n long", "n long", "append", "NoTimeout")
+
+
 def lease_state(log: DataFrame, now: str, by: str = "group_id") -> DataFrame:
     """(by, state, attempts, retry_at) of work items from their log (by, ts, event: claim, success, failed, limited).
 
@@ -98,13 +148,12 @@ def lease_state(log: DataFrame, now: str, by: str = "group_id") -> DataFrame:
     return last.select(by, state.alias("state"), "attempts", F.when(state == "failed", F.timestamp_seconds(F.unix_timestamp("l.ts") + wait)).alias("retry_at"))
 
 
-def notices(events: DataFrame, key: list[str], column: str, seconds: int = 3600) -> DataFrame:
-    """At most one row per key within each period; on streams the watermark bounds the state."""
-    if events.isStreaming:
-        return events.withWatermark(column, f"{seconds} seconds").dropDuplicatesWithinWatermark(key)
-    slot = F.floor(F.unix_timestamp(column) / seconds)
-    w = Window.partitionBy(*key, slot).orderBy(column, "event_id")
-    return events.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def notices(events: DataFrame, key: list[str], column: str, order: str, seconds: int = 3600, late: str = "1 hour") -> DataFrame:
+    """The first row of each key within each period (by time, then order); on streams the watermark bounds the state."""
+    timed = events.withColumn(column, F.col(column).cast("timestamp"))
+    timed = timed.withWatermark(column, late) if events.isStreaming else timed
+    first = F.min_by(F.struct(*events.columns), F.struct(column, order)).alias("e")
+    return timed.groupBy(*key, F.window(column, f"{seconds} seconds").alias("_w")).agg(first).select("e.*")
 
 
 @query("tumbling_throughput", "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
@@ -115,25 +164,33 @@ def _tumbling(spark, d):
 
 @query("session_grouping", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")
 def _sessions(spark, d):
-    return sessions(read(spark, d, "events"))
+    out = run_now(sessions(stream_of(spark, d, "events")), "complete")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
 @query("write_behind", "SELECT DISTINCT user_id, event_type FROM events")
 def _behind(spark, d):
     out = shared(spark)
     write_behind(stream_of(spark, d, "events").select("user_id", "event_type"), ["user_id", "event_type"], f"{out}/rows", f"{out}/state").awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select("user_id", "event_type").distinct()
+    return spark.read.parquet(f"{out}/rows").select("user_id", "event_type")
 
 
 @query("sliding_turn_window", "WITH n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS win FROM conversations) SELECT conv_id, win AS \"window\", sha256(string_agg(text, chr(10) ORDER BY turn)) AS text FROM n GROUP BY ALL")
 def _turns(spark, d):
+    turns = stream_of(spark, d, "conversations").select("conv_id", "turn", "text")
+    out = run_now(turn_windows_stream(turns), "update", ["conv_id", "window"])
+    return out.withColumn("text", F.sha2(F.col("text").cast("binary"), 256))
+
+
+@query("turn_windows", "WITH n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS win FROM conversations) SELECT conv_id, win AS \"window\", sha256(string_agg(text, chr(10) ORDER BY turn)) AS text FROM n GROUP BY ALL")
+def _turns_batch(spark, d):
     return turn_windows(read(spark, d, "conversations")).withColumn("text", F.sha2(F.col("text").cast("binary"), 256))
 
 
 @query("gist_stride", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n >= 10 AND (n - 10) % 5 = 0")
 def _gist(spark, d):
-    e = read(spark, d, "events").select(F.col("user_id").alias("conv_id"), F.struct("ts", "event_id").alias("turn"))
-    return gist_turns(e).select(F.col("conv_id").alias("user_id"), "turn.event_id")
+    e = stream_of(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    return run_now(gist_turns_stream(e, "user_id", ["ts", "event_id"])).select("user_id", "event_id")
 
 
 _LOG = "(SELECT user_id AS group_id, ts, event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'claim' WHEN 'click' THEN 'claim' WHEN 'purchase' THEN 'success' ELSE 'limited' END AS event FROM events)"
@@ -149,4 +206,4 @@ def _lease(spark, d):
 
 @query("file_watch", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, floor(epoch(ts) / 3600) ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
 def _watch(spark, d):
-    return notices(read(spark, d, "events"), ["user_id", "event_type"], "ts").select("event_id")
+    return run_now(notices(stream_of(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id"), "complete").select("event_id")
