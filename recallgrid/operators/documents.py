@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -61,24 +62,112 @@ def pack_paragraphs(text: str, target: int = TARGET, most: int = MAX, least: int
     return out
 
 
-def pack_sections(text: str, least: int = 50, most: int = 16_000) -> list[str]:
-    """Sections of a Markdown text: from heading to heading outside fenced code; short ones join the one before."""
-    sections: list[list[str]] = [[]]
-    fenced = False
-    for line in text.split("\n"):
-        fenced ^= line.lstrip().startswith(("```", "~~~"))
-        if not fenced and re.match(r"#{1,6}\s", line) and sections[-1]:
-            sections.append([])
-        sections[-1].append(line)
-    out: list[str] = []
-    for s in ("\n".join(x).strip() for x in sections):
-        if s and out and len(s) < least:
-            out[-1] += "\n\n" + s
-        elif s:
-            out += [s[i : i + most] for i in range(0, len(s), most)]
+# Deepest heading that starts a section, least length of a preamble, most of a section.
+HEADING_DEPTH, PREAMBLE_LEAST, SECTION_MOST = 3, 50, 16_000
+
+
+@dataclass
+class Section:
+    """A part of a Markdown text: its path of heading anchors, its heading, where it is and how sure its bounds are."""
+
+    path: str
+    label: str
+    start: int
+    end: int
+    sure: float
+    text: str
+
+
+def anchor(label: str) -> str:
+    """A heading as part of a path: lower case, words joined by dashes."""
+    kept = "".join(c for c in label.lower() if c.isalnum() or c in "_-" or c.isspace())
+    return "-".join(x for x in re.split(r"[\s_-]+", kept) if x) or "section"
+
+
+def _body_start(text: str) -> int:
+    """Where a text begins after YAML (---) or TOML (+++) front matter."""
+    for mark in ("---", "+++"):
+        lines = text.splitlines(keepends=True)
+        if lines and lines[0].rstrip() == mark and lines[0].endswith("\n"):
+            at = len(lines[0])
+            for line in lines[1:]:
+                at += len(line)
+                if line.rstrip() == mark and line.endswith("\n"):
+                    return at
+    return 0
+
+
+def _headings(text: str, begin: int) -> Iterator[tuple[int, int, str]]:
+    """(where, depth, label) of each heading that starts a section, outside fenced code."""
+    fenced, at = False, begin
+    for line in text[begin:].split("\n"):
+        if line.startswith("```"):
+            fenced = not fenced
+        depth = len(line) - len(line.lstrip("#"))
+        label = line[depth:].strip()
+        if not fenced and 0 < depth <= HEADING_DEPTH and label and line[depth].isspace():
+            yield at, depth, re.sub(r"\s+#+$", "", label)
+        at += len(line) + 1
+
+
+def _cut(path: str, label: str, start: int, text: str) -> Iterator[Section]:
+    """A section that is too long, in runs of whole paragraphs."""
+    runs: list[list[str]] = [[]]
+    size = 0
+    for p in re.split(r"\n\s*\n", text):
+        if runs[-1] and size + len(p) + 2 > SECTION_MOST:
+            runs.append([])
+            size = 0
+        runs[-1].append(p)
+        size += len(p) + 2
+    for k, run in enumerate(runs, 1):
+        chunk = "\n\n".join(run).strip()
+        alone = len(runs) == 1
+        yield Section(path if alone else f"{path}/part-{k}", label if alone else f"{label} (part {k})", start, start + len(chunk), 0.6, chunk)
+        start += len(chunk) + 2
+
+
+def markdown_sections(text: str) -> list[Section]:
+    """The sections of a Markdown text, each with the path of the headings above it.
+
+    Front matter is left out. What stands before the first heading is a preamble if it is long enough; a text
+    without headings is one, whatever its length. Too long sections are cut between paragraphs.
+    """
+    begin = _body_start(text)
+    heads = list(_headings(text, begin))
+    out: list[Section] = []
+
+    def add(path: str, label: str, start: int, end: int, sure: float) -> None:
+        body = text[start:end].strip()
+        if len(body) > SECTION_MOST:
+            out.extend(_cut(path, label, start, body))
+        elif body:
+            out.append(Section(path, label, start, end, sure, body))
+
+    if not heads:
+        add("preamble", "(whole file)", begin, len(text), 0.9)
+    elif len(text[begin : heads[0][0]].strip()) >= PREAMBLE_LEAST:
+        add("preamble", "preamble", begin, heads[0][0], 0.9)
+    above: list[tuple[int, str]] = []
+    for (start, depth, label), end in zip(heads, [*(h[0] for h in heads[1:]), len(text)]):
+        above = [x for x in above if x[0] < depth] + [(depth, anchor(label))]
+        add("/".join(x[1] for x in above), label, start, end, 1.0)
     return out
 
 
+def chunk_markdown(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, part, path, label, start, end, sure, chunk): the sections of each Markdown text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, k, s.path, s.label, s.start, s.end, s.sure, s.text) for i, t in zip(b[id_col].to_pylist(), b[text].to_pylist()) for k, s in enumerate(markdown_sections(t or ""))]
+            kinds = [b.schema.field(id_col).type, pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
+            columns = zip(*rows) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[id_col, "part", "path", "label", "start", "end", "sure", "chunk"])
+
+    return docs.select(id_col, text).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, part int, path string, label string, start long, end long, sure double, chunk string")
+
+
 def chunk_with(docs: DataFrame, id_col: str, text: str, chunker) -> DataFrame:
     """(id, part, chunk) by a function from a text to its chunks, run on Arrow batches."""
 
@@ -142,9 +231,12 @@ def _text(spark, d):
     return chunk_with(_docs(spark, d).withColumn("text", F.regexp_replace("text", "\n", "\n\n")), "doc_id", "text", pack_paragraphs)
 
 
-@query("chunk_markdown")
+@query("chunk_markdown", "WITH l AS (SELECT conv_id, turn, len(string_split(text, chr(10))) AS n, text FROM conversations WHERE NOT contains(text, '#')) SELECT conv_id, turn, 0 AS part, 'head' AS path, sha256('# Head' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS chunk FROM l UNION ALL SELECT conv_id, turn, 1, 'head/sub-part', sha256('## Sub_part!' || chr(10) || '```' || chr(10) || '# no head' || chr(10) || '```') FROM l UNION ALL SELECT conv_id, turn, 2, 'next', sha256('# Next #' || chr(10) || 'end') FROM l")
 def _markdown(spark, d):
-    return chunk_with(_docs(spark, d).withColumn("text", F.concat(F.lit("# Head\n"), F.regexp_replace("text", "\n", "\n## Part\n"))), "doc_id", "text", pack_sections)
+    text = F.concat(F.lit("---\ntitle: x\n---\nshort\n# Head\n"), F.regexp_replace("text", r"^\s+|\s+$", ""), F.lit("\n\n## Sub_part!\n```\n# no head\n```\n# Next #\nend\n"))
+    docs = read(spark, d, "conversations").where("not contains(text, '#')").select(F.struct("conv_id", "turn").alias("k"), text.alias("text"))
+    out = chunk_markdown(docs.select((F.col("k.conv_id") * 1000 + F.col("k.turn")).alias("id"), "text"), "id", "text")
+    return out.select(F.floor(F.col("id") / 1000).alias("conv_id"), (F.col("id") % 1000).alias("turn"), "part", "path", F.sha2(F.col("chunk").cast("binary"), 256).alias("chunk"))
 
 
 @query("file_identity", "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'doc:' || page_id ELSE 'path:' || url END AS identity, sha256(html) AS content_sha256 FROM pages")

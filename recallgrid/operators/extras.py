@@ -115,13 +115,13 @@ def greedy_modularity(edges: list[tuple[int, int, float]], total: float) -> list
     return [sorted(group) for group in members.values()]
 
 
-def communities(edges: DataFrame, cap: int = CLUSTER_CAP) -> DataFrame:
+def communities(edges: DataFrame, cap: int = CLUSTER_CAP, nodes: DataFrame | None = None) -> DataFrame:
     """(id, cluster): greedy modularity communities (Clauset, Newman and Moore, 2004) of weighted edges.
 
     Merges never leave a component, so components are found on Spark and each is clustered by itself, whole, with
     the weight of the whole graph: the result is that of one run over all edges. The merges of one component are
     sequential and are done in one task. Clusters above cap are cut in order; a cluster is named by its smallest
-    member.
+    member. nodes (id), if given, that no edge touches are clusters of their own.
     """
     e = edges.where("from_id <> to_id").groupBy(F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b")).agg(F.sum("weight").alias("w"))
     c = components(e.select(F.col("a").alias("from_id"), F.col("b").alias("to_id")))
@@ -133,7 +133,12 @@ def communities(edges: DataFrame, cap: int = CLUSTER_CAP) -> DataFrame:
         out = [(i, part[0]) for group in found for k in range(0, len(group), cap) for part in [group[k : k + cap]] for i in part]
         return pa.table({"id": pa.array([o[0] for o in out], pa.int64()), "cluster": pa.array([o[1] for o in out], pa.int64())})
 
-    return inner.groupBy("component").applyInArrow(merge, "id long, cluster long")
+    found = inner.groupBy("component").applyInArrow(merge, "id long, cluster long")
+    if nodes is None:
+        return found
+    linked = c.select("id")
+    alone = nodes.select(F.col("id").cast("long").alias("id")).distinct().join(linked, "id", "left_anti")
+    return found.unionByName(alone.select("id", F.col("id").alias("cluster")))
 
 
 def any_end_join(nodes: DataFrame, edges: DataFrame) -> DataFrame:

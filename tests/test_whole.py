@@ -64,6 +64,20 @@ def test_communities_use_the_whole_graphs_weight(spark, seed):
     assert {r["id"]: r["cluster"] for r in extras.communities(frame, 1000).collect()} == naive_communities(edges)
 
 
+@pytest.mark.parametrize("shape", ["star", "ring"])
+def test_communities_lose_no_node(spark, shape):
+    n = 5000
+    edges = [(0, i, 1.0) for i in range(1, n + 1)] if shape == "star" else [(i, (i + 1) % n, 1.0) for i in range(n)]
+    frame = spark.createDataFrame(edges, "from_id long, to_id long, weight double")
+    nodes = spark.createDataFrame([(i,) for i in (*range(n), 9001, 9002, 9002)], "id long")
+    got = [(r["id"], r["cluster"]) for r in extras.communities(frame, nodes=nodes).collect()]
+    assert sorted(i for i, _ in got) == [*range(n + (shape == "star")), 9001, 9002]
+    sizes = {}
+    for i, c in got:
+        sizes.setdefault(c, []).append(i)
+    assert max(map(len, sizes.values())) <= extras.CLUSTER_CAP and all(c == min(m) for c, m in sizes.items()) and sizes[9001] == [9001]
+
+
 def test_communities_keep_large_components_whole(spark):
     ids = [int(i) for i in np.random.default_rng(5).permutation(2101)]
     frame = spark.createDataFrame([(a, b, 1.0) for a, b in zip(ids, ids[1:])], "from_id long, to_id long, weight double")
