@@ -56,6 +56,79 @@ def prefix_lookup(items: DataFrame, key: str, id_col: str, size: int = 8) -> Dat
     return found.join(found.agg(F.count("*").alias("_n")).where("_n = 1"), how="left_semi")
 
 
+def scan(items: DataFrame, where: Column, columns: list[str]) -> DataFrame:
+    """Columns of the rows that match; both reach the files where items is read from Parquet."""
+    return items.where(where).select(*columns)
+
+
+def of_identity(vectors: DataFrame, size: int, models: list, embedding: str = "embedding", model: str = "label") -> DataFrame:
+    """Vectors of one size made by one of some models; others can't be compared with them."""
+    return vectors.where((F.size(embedding) == size) & F.col(model).isin(models))
+
+
+def json_text(column: str, key: str) -> Column:
+    return F.get_json_object(column, f"$.{key}")
+
+
+def json_int(column: str, key: str) -> Column:
+    """A whole number in a JSON text; null where there is none."""
+    return json_text(column, key).try_cast("long")
+
+
+def json_valid(column: str) -> Column:
+    """Whether a text is one JSON value and nothing else; as an element of an array, what follows it shows."""
+    inside = F.from_json(F.concat(F.lit("["), F.col(column), F.lit("]")), "array<variant>")
+    return F.coalesce(F.try_parse_json(column).isNotNull() & (F.size(inside) == 1), F.lit(False))
+
+
+def json_fields(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """rows with the fields of a JSON text as columns; texts that aren't valid give nulls."""
+    parsed = F.when(json_valid(column), F.from_json(F.col(column), schema))
+    fields = [f.split()[0] for f in schema.split(",")]
+    return rows.withColumns({f: parsed[f] for f in fields})
+
+
+def within_minutes(column: str, minutes: int, now: str) -> Column:
+    """Whether a time is in the minutes before now."""
+    t = F.to_timestamp(F.lit(now))
+    return (F.col(column) >= t - F.expr(f"INTERVAL {int(minutes)} MINUTES")) & (F.col(column) < t)
+
+
+def day_counts(rows: DataFrame, column: str) -> DataFrame:
+    """(day, n)"""
+    return rows.groupBy(F.date_format(column, "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+
+
+def joined_values(rows: DataFrame, by: str, value: str, name: str, mark: str = ",") -> DataFrame:
+    """(by, name): each group's values in order, joined by a mark."""
+    return rows.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(value)), mark).alias(name))
+
+
+def listed(rows: DataFrame, order: list, limit: int, where: Column | None = None, offset: int = 0) -> DataFrame:
+    """A page of the matching rows in an order that leaves no ties open."""
+    rows = rows if where is None else rows.where(where)
+    rows = rows.orderBy(*order)
+    return (rows.offset(offset) if offset else rows).limit(limit)
+
+
+def core_selected(items: DataFrame, importance: DataFrame, id_col: str, least: float, types: list[str], excluded: str, limit: int, type_: str = "type", content: str = "content") -> DataFrame:
+    """Items of at least some importance or of the core's types, without contents that a pattern excludes, by id."""
+    rated = items.join(importance.select(id_col, F.col("importance").alias("_importance")), id_col, "left")
+    chosen = ((F.col("_importance") >= least) | F.col(type_).isin(types)) & ~F.col(content).rlike(excluded)
+    return rated.where(chosen).drop("_importance").orderBy(id_col).limit(limit)
+
+
+def refresh_due(items: DataFrame, by: str, now: str, limit: int, time: str = "ts", id_col: str = "event_id") -> DataFrame:
+    """(by, id): each owner's latest row where it is older than now, the oldest first."""
+    last = items.groupBy(by).agg(F.max(F.struct(time, id_col)).alias("m")).select(by, f"m.{id_col}", f"m.{time}")
+    return last.where(F.col(time) < F.to_timestamp(F.lit(now))).orderBy(time, id_col).limit(limit).select(by, id_col)
+
+
+def file_rows(files: DataFrame, content: str, *columns: str) -> DataFrame:
+    """Columns of files with the length and the hash of their content."""
+    return files.select(*columns, F.char_length(content).cast("long").alias("n_chars"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
+
+
 def documents_as_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the shape of items: type is the source, scope and agent follow from language and id."""
     d = read(spark, sf_dir, "documents")
@@ -83,7 +156,7 @@ VALIDITY_SQL = "(SELECT *, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id
 
 @query("scan_table", "SELECT event_id, user_id, value FROM events WHERE event_type <> 'error' AND value > 50")
 def _scan(spark, d):
-    return read(spark, d, "events").where("event_type <> 'error' and value > 50").select("event_id", "user_id", "value")
+    return scan(read(spark, d, "events"), (F.col("event_type") != "error") & (F.col("value") > 50), ["event_id", "user_id", "value"])
 
 
 @query("scope_predicates", f"SELECT id, type FROM {ITEMS_SQL} WHERE user_id = 'u1' AND scope = 'agent' AND type LIKE 'src1%' AND lower(agent_id) = 'agent2'")
@@ -113,20 +186,18 @@ def _as_of(spark, d):
 
 @query("embedding_identity_filter", "SELECT vec_id, label FROM embeddings WHERE len(embedding) = 64 AND label IN (0, 1, 2)")
 def _identity(spark, d):
-    return read(spark, d, "embeddings").where((F.size("embedding") == 64) & F.col("label").isin(0, 1, 2)).select("vec_id", "label")
+    return of_identity(read(spark, d, "embeddings"), 64, [0, 1, 2]).select("vec_id", "label")
 
 
 @query("json_extract", "SELECT event_id, json_extract_string(props, '$.k') AS k_text, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k_int, json_valid(props) AS valid, json_extract_string(props, '$.missing') AS missing FROM events")
 def _json(spark, d):
-    k = F.get_json_object("props", "$.k")
-    return read(spark, d, "events").select("event_id", k.alias("k_text"), k.try_cast("long").alias("k_int"), F.coalesce(F.expr("try_parse_json(props) is not null"), F.lit(False)).alias("valid"), F.get_json_object("props", "$.missing").alias("missing"))
+    return read(spark, d, "events").select("event_id", json_text("props", "k").alias("k_text"), json_int("props", "k").alias("k_int"), json_valid("props").alias("valid"), json_text("props", "missing").alias("missing"))
 
 
 @query("json_column_to_dict", "SELECT event_id, TRY_CAST(json_extract_string(CASE WHEN event_id % 7 = 0 THEN NULL ELSE props END, '$.k') AS BIGINT) AS k FROM events")
 def _json_dict(spark, d):
     broken = F.when(F.col("event_id") % 7 == 0, F.concat("props", F.lit("}{"), F.lit("oops"))).otherwise(F.col("props"))
-    tolerant = F.when(F.col("event_id") % 7 == 0, F.lit(None)).otherwise(F.from_json(broken, "k long")["k"])
-    return read(spark, d, "events").select("event_id", tolerant.alias("k"))
+    return json_fields(read(spark, d, "events").select("event_id", broken.alias("props")), "props", "k long").select("event_id", "k")
 
 
 @query("glob_match", "SELECT p_partkey, p_name FROM part WHERE p_name GLOB '*a[!b-k]?e*' AND lower(p_brand) = lower('BRAND#11')")
@@ -141,13 +212,12 @@ def _age(spark, d):
 
 @query("now_minus_minutes", f"SELECT event_id FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 600 MINUTE AND ts < TIMESTAMP '{NOW}'")
 def _minutes(spark, d):
-    now = F.to_timestamp(F.lit(NOW))
-    return read(spark, d, "events").where((F.col("ts") >= now - F.expr("INTERVAL 600 MINUTES")) & (F.col("ts") < now)).select("event_id")
+    return read(spark, d, "events").where(within_minutes("ts", 600, NOW)).select("event_id")
 
 
 @query("day_bucket", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
 def _day(spark, d):
-    return read(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+    return day_counts(read(spark, d, "events"), "ts")
 
 
 @query("greatest_least", "SELECT l_orderkey, l_linenumber, greatest(l_discount, l_tax) AS most, least(l_discount, l_tax) AS least FROM lineitem")
@@ -157,12 +227,12 @@ def _greatest(spark, d):
 
 @query("group_concat", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY 1")
 def _concat(spark, d):
-    return read(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("names"))
+    return joined_values(read(spark, d, "nation"), "n_regionkey", "n_name", "names")
 
 
 @query("offset_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 25 OFFSET 50")
 def _offset(spark, d):
-    return read(spark, d, "orders").orderBy("o_orderdate", "o_orderkey").offset(50).limit(25).select("o_orderkey", "o_totalprice")
+    return listed(read(spark, d, "orders"), ["o_orderdate", "o_orderkey"], 25, offset=50).select("o_orderkey", "o_totalprice")
 
 
 @query("prefix_lookup", "WITH x AS (SELECT md5(CAST(doc_id AS VARCHAR)) AS id, doc_id FROM documents), f AS (SELECT * FROM x WHERE id[1:8] = (SELECT md5('7')[1:8])) SELECT * FROM f WHERE (SELECT count(*) FROM f) = 1")
@@ -221,42 +291,43 @@ def _framing(spark, d):
 
 @query("core_select", "SELECT doc_id, source FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) USING (doc_id) WHERE (q >= 1 OR source IN ('src1', 'src2')) AND NOT regexp_matches(text, 'MIT License') ORDER BY doc_id LIMIT 5000")
 def _core(spark, d):
-    importance = read(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
-    docs = read(spark, d, "documents").join(importance, "doc_id", "left")
-    return docs.where("(q >= 1 or source in ('src1', 'src2')) and not text rlike 'MIT License'").orderBy("doc_id").limit(5000).select("doc_id", "source")
+    importance = read(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("importance"))
+    return core_selected(read(spark, d, "documents"), importance, "doc_id", 1, ["src1", "src2"], "MIT License", 5000, "source", "text").select("doc_id", "source")
 
 
 @query("inbox", "SELECT event_id, user_id, ts FROM events WHERE event_type = 'error' AND user_id = 7 ORDER BY ts DESC, event_id LIMIT 20")
 def _inbox(spark, d):
-    return read(spark, d, "events").where("event_type = 'error' and user_id = 7").orderBy(F.desc("ts"), "event_id").limit(20).select("event_id", "user_id", "ts")
+    mine = (F.col("event_type") == "error") & (F.col("user_id") == 7)
+    return listed(read(spark, d, "events"), [F.desc("ts"), "event_id"], 20, mine).select("event_id", "user_id", "ts")
 
 
 @query("refresh_queue", f"SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND ts < TIMESTAMP '{NOW}' ORDER BY ts, event_id LIMIT 50")
 def _refresh(spark, d):
-    last = read(spark, d, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("m")).select("user_id", "m.event_id", "m.ts")
-    return last.where(F.col("ts") < F.to_timestamp(F.lit(NOW))).orderBy("ts", "event_id").limit(50).select("user_id", "event_id")
+    return refresh_due(read(spark, d, "events"), "user_id", NOW, 50)
 
 
 @query("agent_list", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0 ORDER BY s_name, s_suppkey LIMIT 100")
 def _agents(spark, d):
-    return read(spark, d, "supplier").where("s_acctbal > 0").orderBy("s_name", "s_suppkey").limit(100).select("s_suppkey", "s_name")
+    return listed(read(spark, d, "supplier"), ["s_name", "s_suppkey"], 100, F.col("s_acctbal") > 0).select("s_suppkey", "s_name")
 
 
 @query("task_list", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderpriority, o_orderdate, o_orderkey LIMIT 100")
 def _tasks(spark, d):
-    return read(spark, d, "orders").where("o_orderstatus = 'O'").orderBy("o_orderpriority", "o_orderdate", "o_orderkey").limit(100).select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    open_ = F.col("o_orderstatus") == "O"
+    return listed(read(spark, d, "orders"), ["o_orderpriority", "o_orderdate", "o_orderkey"], 100, open_).select("o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
 @query("notifications_poll", "SELECT event_id, user_id FROM events WHERE event_type = 'signup' AND event_id > 500 ORDER BY event_id LIMIT 50")
 def _notices(spark, d):
-    return read(spark, d, "events").where("event_type = 'signup' and event_id > 500").orderBy("event_id").limit(50).select("event_id", "user_id")
+    new = (F.col("event_type") == "signup") & (F.col("event_id") > 500)
+    return listed(read(spark, d, "events"), ["event_id"], 50, new).select("event_id", "user_id")
 
 
 @query("files_index", "SELECT page_id, url, length(html) AS n_chars FROM pages ORDER BY url, page_id LIMIT 200")
 def _files(spark, d):
-    return read(spark, d, "pages").orderBy("url", "page_id").limit(200).select("page_id", "url", F.char_length("html").cast("long").alias("n_chars"))
+    return listed(file_rows(read(spark, d, "pages"), "html", "page_id", "url"), ["url", "page_id"], 200).select("page_id", "url", "n_chars")
 
 
 @query("files_get", "SELECT page_id, url, sha256(html) AS sha256 FROM pages WHERE page_id = 42")
 def _file(spark, d):
-    return read(spark, d, "pages").where("page_id = 42").select("page_id", "url", F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
+    return file_rows(read(spark, d, "pages").where("page_id = 42"), "html", "page_id", "url").select("page_id", "url", "sha256")

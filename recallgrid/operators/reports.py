@@ -62,6 +62,81 @@ def content_hash(turns: DataFrame, by: str, id_col: str, order: str, content: st
     return whole.select(by, F.sha2(F.col("w").cast("binary"), 256).alias("source_hash"), F.greatest(F.lit(1), F.ceil(F.col("n") / 1024)).cast("long").alias("size_k"))
 
 
+def conversations(turns: DataFrame, by: str = "conv_id", order: str = "turn", role: str = "role") -> DataFrame:
+    """(by, turns, first, last, last_role) of each conversation."""
+    return turns.groupBy(by).agg(F.count("*").alias("turns"), F.min(order).alias("first"), F.max(order).alias("last"), F.max_by(role, order).alias("last_role"))
+
+
+def lifecycle_summary(history: DataFrame, now: str, kind: str, owner: str, against: list[str], days: int = 7, top: int = 5, time: str = "ts") -> DataFrame:
+    """(part, key, n) over the days before now: changes by kind, and the owners most often revised and contradicted."""
+    t = F.to_timestamp(F.lit(now))
+    recent = history.where((F.col(time) >= t - F.expr(f"INTERVAL {int(days)} DAYS")) & (F.col(time) < t))
+    most = lambda rows, name: rows.groupBy(owner).agg(F.count("*").alias("n")).orderBy(F.desc("n"), owner).limit(top).select(F.lit(name).alias("part"), F.col(owner).cast("string").alias("key"), "n")
+    every = recent.groupBy(F.lit("event").alias("part"), F.col(kind).alias("key")).agg(F.count("*").alias("n"))
+    return every.union(most(recent, "revised")).union(most(recent.where(F.col(kind).isin(against)), "contradicted"))
+
+
+def consolidation_candidates(items: DataFrame, by: list[str], order: str, keep: int) -> DataFrame:
+    """Of each group larger than keep, all rows but the last keep in order."""
+    big = items.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > keep)
+    w = Window.partitionBy(*by).orderBy(order)
+    return items.join(big, by).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("_n") - keep).drop("_n", "_r")
+
+
+def counts_by(rows: DataFrame, *by, least: int = 0, n: str = "n") -> DataFrame:
+    """How many rows each group has, of groups with at least least."""
+    counted = rows.groupBy(*by).agg(F.count("*").alias(n))
+    return counted.where(F.col(n) >= least) if least else counted
+
+
+def eligible_groups(turns: DataFrame, least: int, limit: int, by: str = "conv_id", order: str = "turn", role: str = "role") -> DataFrame:
+    """(by, turns, n) of the largest groups with at least least turns; turns are role:order, in order."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, role))), lambda x: F.concat(x[role], F.lit(":"), x[order].cast("string")))
+    grouped = turns.groupBy(by).agg(F.array_join(listed, ",").alias("turns"), F.count("*").alias("n"))
+    return grouped.where(F.col("n") >= least).orderBy(F.desc("n"), by).limit(limit)
+
+
+def timeline(history: DataFrame, by: str, value: str, order: list[str]) -> DataFrame:
+    """history with prev_<value>: the value before, of the same kind."""
+    return history.withColumn(f"prev_{value}", F.lag(value).over(Window.partitionBy(by).orderBy(*order)))
+
+
+def recently_changed(history: DataFrame, by: str, limit: int, time: str = "ts") -> DataFrame:
+    """(by, last): the owners changed last."""
+    return history.groupBy(by).agg(F.max(time).alias("last")).orderBy(F.desc("last"), by).limit(limit)
+
+
+def files_stats(files: DataFrame, by: str, source: str, size: str) -> DataFrame:
+    return files.groupBy(by).agg(F.count("*").alias("files"), F.sum(size).alias("chars"), F.countDistinct(source).alias("sources"), F.max(size).alias("longest"))
+
+
+def corpora(files: DataFrame, url: str = "url") -> DataFrame:
+    """(corpus, files) by host."""
+    return files.groupBy(F.regexp_extract(url, r"^https?://([^/]+)", 1).alias("corpus")).agg(F.count("*").alias("files"))
+
+
+def failures(log: DataFrame, by: str, id_col: str, time: str = "ts") -> DataFrame:
+    """(by, failed, last_error) of a log of failures."""
+    return log.groupBy(by).agg(F.count("*").alias("failed"), F.max_by(id_col, F.struct(time, id_col)).alias("last_error"))
+
+
+def dashboard_counts(turns: DataFrame, session: Column, content: str) -> DataFrame:
+    """(sessions, texts, n); turns without a session are one legacy session."""
+    named = F.coalesce(F.nullif(session, F.lit("")), F.lit("legacy"))
+    return turns.agg(F.countDistinct(named).alias("sessions"), F.countDistinct(F.md5(content)).alias("texts"), F.count("*").alias("n"))
+
+
+def embedded_counts(items: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """(total, unembedded)"""
+    have = vectors.select(key).distinct().withColumn("_have", F.lit(True))
+    return items.join(have, key, "left").agg(F.count("*").alias("total"), F.count_if(F.col("_have").isNull()).alias("unembedded"))
+
+
+def weekly_audit(log: DataFrame, owner: str, failed: Column, time: str = "ts") -> DataFrame:
+    """(week, n, users, errors)"""
+    return log.groupBy(F.date_trunc("week", time).alias("week")).agg(F.count("*").alias("n"), F.countDistinct(owner).alias("users"), F.count_if(failed).alias("errors"))
+
+
 def ledger(spark, d) -> DataFrame:
     """events as a trust ledger: errors contradict, everything else corroborates with its value."""
     e = read(spark, d, "events")
@@ -88,24 +163,18 @@ def _price(spark, d):
 
 @query("list_conversations", "SELECT conv_id, count(*) AS turns, min(turn) AS first, max(turn) AS last, max_by(role, turn) AS last_role FROM conversations GROUP BY 1 ORDER BY conv_id DESC LIMIT 40 OFFSET 10")
 def _conversations(spark, d):
-    c = read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.min("turn").alias("first"), F.max("turn").alias("last"), F.max_by("role", "turn").alias("last_role"))
-    return c.orderBy(F.desc("conv_id")).offset(10).limit(40)
+    return conversations(read(spark, d, "conversations")).orderBy(F.desc("conv_id")).offset(10).limit(40)
 
 
 @query("lifecycle_summary", f"WITH w AS (SELECT * FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND ts < TIMESTAMP '{NOW}') SELECT 'event' AS part, event_type AS key, count(*) AS n FROM w GROUP BY ALL UNION ALL SELECT 'revised', CAST(user_id AS VARCHAR), n FROM (SELECT user_id, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, user_id LIMIT 5) UNION ALL SELECT 'contradicted', CAST(user_id AS VARCHAR), n FROM (SELECT user_id, count(*) AS n FROM w WHERE event_type = 'error' GROUP BY 1 ORDER BY n DESC, user_id LIMIT 5)")
 def _summary(spark, d):
-    now = F.to_timestamp(F.lit(NOW))
-    w = read(spark, d, "events").where((F.col("ts") >= now - F.expr("INTERVAL 7 DAYS")) & (F.col("ts") < now))
-    top = lambda rows, name: rows.groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(5).select(F.lit(name).alias("part"), F.col("user_id").cast("string").alias("key"), "n")
-    return w.groupBy(F.lit("event").alias("part"), F.col("event_type").alias("key")).agg(F.count("*").alias("n")).union(top(w, "revised")).union(top(w.where("event_type = 'error'"), "contradicted"))
+    return lifecycle_summary(read(spark, d, "events"), NOW, "event_type", "user_id", ["error"])
 
 
 @query("consolidation_candidates", "WITH c AS (SELECT source, lang, count(*) AS cnt FROM documents WHERE source <> 'src0' GROUP BY ALL HAVING count(*) > 20) SELECT doc_id, source, lang FROM (SELECT doc_id, source, lang, cnt, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS r FROM documents JOIN c USING (source, lang)) WHERE r <= cnt - 20")
 def _consolidation(spark, d):
     docs = read(spark, d, "documents").where("source <> 'src0'")  # src0 stands for a protected type
-    big = docs.groupBy("source", "lang").agg(F.count("*").alias("cnt")).where("cnt > 20")
-    w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    return docs.join(big, ["source", "lang"]).withColumn("r", F.row_number().over(w)).where("r <= cnt - 20").select("doc_id", "source", "lang")
+    return consolidation_candidates(docs, ["source", "lang"], "doc_id", 20).select("doc_id", "source", "lang")
 
 
 @query("queue_stats", f"WITH s AS (SELECT count(*) FILTER (WHERE event_type = 'view') AS queued, {', '.join(f'count(*) FILTER (WHERE ts >= TIMESTAMP {chr(39)}{NOW}{chr(39)} - INTERVAL {m} MINUTE AND ts < TIMESTAMP {chr(39)}{NOW}{chr(39)}) AS last_{m}' for m in (1, 10, 30, 60, 600))} FROM events) SELECT *, CASE WHEN last_600 = 0 THEN NULL ELSE round(queued / (last_600 / 36000.0), 3) END AS eta_seconds FROM s")
@@ -123,13 +192,12 @@ def _enrichment(spark, d):
 
 @query("enrichment_status_counts", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
 def _status(spark, d):
-    return read(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    return counts_by(read(spark, d, "orders"), F.col("o_orderstatus").alias("status"))
 
 
 @query("eligible_groups", "SELECT conv_id, string_agg(role || ':' || turn, ',' ORDER BY turn) AS turns, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, conv_id LIMIT 50")
 def _eligible(spark, d):
-    t = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat(x["role"], F.lit(":"), x["turn"].cast("string")))
-    return read(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(t, ",").alias("turns"), F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "conv_id").limit(50)
+    return eligible_groups(read(spark, d, "conversations"), 3, 50)
 
 
 @query("group_content_hash", "SELECT conv_id, sha256(string_agg(turn || chr(0) || text || chr(1), '' ORDER BY turn)) AS source_hash, greatest(1, CAST(ceil(sum(strlen(text)) / 1024.0) AS BIGINT)) AS size_k FROM conversations GROUP BY 1")
@@ -139,7 +207,7 @@ def _hash(spark, d):
 
 @query("reflect_candidates", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) >= 15")
 def _reflect(spark, d):
-    return read(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).where("n >= 15")
+    return counts_by(read(spark, d, "events"), "user_id", "event_type", least=15)
 
 
 @query("history_current_state", "SELECT user_id, event_type, max_by(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
@@ -149,13 +217,12 @@ def _current(spark, d):
 
 @query("history_timeline", "SELECT event_id, ts, event_type, value, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS prev_value FROM events WHERE user_id = 11")
 def _timeline(spark, d):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return read(spark, d, "events").where("user_id = 11").select("event_id", "ts", "event_type", "value", F.lag("value").over(w).alias("prev_value"))
+    return timeline(read(spark, d, "events").where("user_id = 11"), "event_type", "value", ["ts", "event_id"]).select("event_id", "ts", "event_type", "value", "prev_value")
 
 
 @query("history_recent_ids", "SELECT user_id, max(ts) AS last FROM events GROUP BY 1 ORDER BY last DESC, user_id LIMIT 20")
 def _recent(spark, d):
-    return read(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last")).orderBy(F.desc("last"), "user_id").limit(20)
+    return recently_changed(read(spark, d, "events"), "user_id", 20)
 
 
 @query("corroboration_inputs", f"WITH {INPUTS_SQL} SELECT user_id, round(trust_sum, 6) AS trust_sum, sources, contradictions FROM i")
@@ -170,31 +237,30 @@ def _corroboration(spark, d):
 
 @query("files_stats", "SELECT lang, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS chars, count(DISTINCT source) AS sources, max(n_chars) AS longest FROM documents GROUP BY 1")
 def _files(spark, d):
-    return read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"), F.countDistinct("source").alias("sources"), F.max("n_chars").alias("longest"))
+    return files_stats(read(spark, d, "documents"), "lang", "source", "n_chars")
 
 
 @query("corpus_list", "SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS corpus, count(*) AS files FROM pages GROUP BY 1")
 def _corpora(spark, d):
-    return read(spark, d, "pages").groupBy(F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("corpus")).agg(F.count("*").alias("files"))
+    return corpora(read(spark, d, "pages"))
 
 
 @query("extraction_failures", "SELECT user_id, count(*) AS failed, max_by(event_id, (ts, event_id)) AS last_error FROM events WHERE event_type = 'error' GROUP BY 1")
 def _failures(spark, d):
-    return read(spark, d, "events").where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("failed"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_error"))
+    return failures(read(spark, d, "events").where("event_type = 'error'"), "user_id", "event_id")
 
 
 @query("dashboard_counts", "SELECT count(DISTINCT coalesce(nullif(CASE WHEN conv_id % 9 = 0 THEN '' ELSE CAST(conv_id AS VARCHAR) END, ''), 'legacy')) AS sessions, count(DISTINCT md5(text)) AS texts, count(*) AS n FROM conversations")
 def _dashboard(spark, d):
-    c = F.when(F.col("conv_id") % 9 == 0, "").otherwise(F.col("conv_id").cast("string"))
-    return read(spark, d, "conversations").agg(F.countDistinct(F.coalesce(F.nullif(c, F.lit("")), F.lit("legacy"))).alias("sessions"), F.countDistinct(F.md5("text")).alias("texts"), F.count("*").alias("n"))
+    session = F.when(F.col("conv_id") % 9 == 0, "").otherwise(F.col("conv_id").cast("string"))
+    return dashboard_counts(read(spark, d, "conversations"), session, "text")
 
 
 @query("chatlog_row_counts", "SELECT count(*) AS total, count(*) FILTER (WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS unembedded FROM documents")
 def _rows(spark, d):
-    have = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")).distinct().withColumn("have", F.lit(True))
-    return read(spark, d, "documents").join(have, "doc_id", "left").agg(F.count("*").alias("total"), F.count_if(F.col("have").isNull()).alias("unembedded"))
+    return embedded_counts(read(spark, d, "documents"), read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
 
 
 @query("weekly_audit", "SELECT date_trunc('week', ts) AS week, count(*) AS n, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1")
 def _weekly(spark, d):
-    return read(spark, d, "events").groupBy(F.date_trunc("week", "ts").alias("week")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    return weekly_audit(read(spark, d, "events"), "user_id", F.col("event_type") == "error")
