@@ -210,6 +210,19 @@ def staleness(disk: DataFrame, known: DataFrame) -> DataFrame:
     return named.select("path", state.alias("state"))
 
 
+def file_identity(files: DataFrame, declared: Column, path: str, content: str, *columns: str) -> DataFrame:
+    """columns, identity (the declared one, else the path) and content_sha256 of each file."""
+    named = F.coalesce(F.concat(F.lit("doc:"), declared), F.concat(F.lit("path:"), F.col(path)))
+    return files.select(*columns, named.alias("identity"), F.sha2(F.col(content).cast("binary"), 256).alias("content_sha256"))
+
+
+def ingest_actions(files: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """(key, action) of files (key, sha) against current versions (key, sha): new, unchanged or new_version."""
+    was = current.select(key, F.col("sha").alias("_was"))
+    action = F.when(F.col("_was").isNull(), "new").when(F.col("_was") == F.col("sha"), "unchanged").otherwise("new_version")
+    return files.join(was, key, "left").select(key, action.alias("action"))
+
+
 def _docs(spark, d) -> DataFrame:
     return read(spark, d, "documents")
 
@@ -241,16 +254,15 @@ def _markdown(spark, d):
 
 @query("file_identity", "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'doc:' || page_id ELSE 'path:' || url END AS identity, sha256(html) AS content_sha256 FROM pages")
 def _identity(spark, d):
-    declared = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("doc:"), F.col("page_id").cast("string")))
-    return read(spark, d, "pages").select("page_id", F.coalesce(declared, F.concat(F.lit("path:"), F.col("url"))).alias("identity"), F.sha2(F.col("html").cast("binary"), 256).alias("content_sha256"))
+    declared = F.when(F.col("page_id") % 5 == 0, F.col("page_id").cast("string"))
+    return file_identity(read(spark, d, "pages"), declared, "url", "html", "page_id")
 
 
 @query("ingest_one_file", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'unchanged' WHEN page_id % 4 = 1 THEN 'new' ELSE 'new_version' END AS action FROM pages")
 def _ingest(spark, d):
     new = read(spark, d, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha"))
-    current = new.where("page_id % 4 <> 1").select("page_id", F.when(F.col("page_id") % 4 == 0, F.col("sha")).otherwise("old").alias("was"))
-    action = F.when(F.col("was").isNull(), "new").when(F.col("was") == F.col("sha"), "unchanged").otherwise("new_version")
-    return new.join(current, "page_id", "left").select("page_id", action.alias("action"))
+    current = new.where("page_id % 4 <> 1").select("page_id", F.when(F.col("page_id") % 4 == 0, F.col("sha")).otherwise("old").alias("sha"))
+    return ingest_actions(new, current, "page_id")
 
 
 @query("leaf_diff", "SELECT conv_id, turn AS part, CASE WHEN turn = 0 THEN 'carry' WHEN turn < n - 1 OR n = 1 THEN 'evolve' ELSE 'new' END AS kind FROM (SELECT DISTINCT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n > 1")

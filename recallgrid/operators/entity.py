@@ -173,6 +173,53 @@ def unapply_cluster(assigned: DataFrame, cluster) -> DataFrame:
     return assigned.withColumn("cluster", F.when(F.col("cluster") == cluster, F.col("id")).otherwise(F.col("cluster")))
 
 
+def mentions_of(mentions: DataFrame, entity) -> DataFrame:
+    """(memory_id): the items that mention an entity, once each."""
+    return mentions.where(F.col("entity_id") == entity).select("memory_id").distinct()
+
+
+def entity_search(entities: DataFrame, links: DataFrame, like: str, limit: int) -> DataFrame:
+    """(entity_id, name, neighbours) of entities whose name is LIKE a pattern, by how many others they are linked to.
+
+    links is (entity_id, neighbour).
+    """
+    found = entities.where(F.col("name").like(like)).join(links, "entity_id", "left")
+    return found.groupBy("entity_id", "name").agg(F.countDistinct("neighbour").alias("neighbours")).orderBy(F.desc("neighbours"), "entity_id").limit(limit)
+
+
+def entity_get(entities: DataFrame, links: DataFrame, mentions: DataFrame, entity) -> DataFrame:
+    """(entity_id, name, neighbours, mentions) of one entity: the sorted neighbours, and how many items mention it."""
+    one = entities.where(F.col("entity_id") == entity).select("entity_id", "name")
+    near = links.where(F.col("entity_id") == entity).groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_set(F.col("neighbour").cast("string"))), ",").alias("neighbours"))
+    n = mentions.where(F.col("entity_id") == entity).groupBy("entity_id").agg(F.countDistinct("memory_id").alias("mentions"))
+    return one.join(near, "entity_id", "left").join(n, "entity_id", "left")
+
+
+def extraction_backlog(items: DataFrame, done: DataFrame, failed: DataFrame, key: str) -> DataFrame:
+    """Items from which nothing has been extracted and no extraction has failed."""
+    return items.join(done.select(key), key, "left_anti").join(failed.select(key), key, "left_anti")
+
+
+def entity_expand(mentions: DataFrame, seeds: DataFrame, cap: int) -> DataFrame:
+    """(memory_id): items that mention the seeds (entity_id) or entities that share a group with them.
+
+    mentions is (memory_id, entity_id, group_id). At most cap entities are taken, by id: the operator's own bound.
+    """
+    m = mentions.select("group_id", "entity_id").distinct()
+    near = m.join(seeds, "entity_id", "left_semi").select("group_id").distinct().join(m, "group_id").select("entity_id")
+    kept = seeds.select("entity_id").union(near).distinct().orderBy("entity_id").limit(cap)
+    return mentions.join(kept, "entity_id", "left_semi").select("memory_id").distinct()
+
+
+def block_sizes(names: DataFrame, name: str) -> DataFrame:
+    """(block, n): how many names are compared with each other."""
+    return names.groupBy(block_key(F.col(name)).alias("block")).agg(F.count("*").alias("n"))
+
+
+def _lines(spark, d) -> DataFrame:
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("memory_id"), F.col("l_partkey").alias("entity_id"), F.col("l_suppkey").alias("group_id"), F.col("l_suppkey").alias("neighbour"))
+
+
 def _parts(spark, d):
     return read(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("entity_type"))
 
@@ -192,21 +239,19 @@ def _mentions(spark, d):
 
 @query("list_mentions", "SELECT DISTINCT l_orderkey AS memory_id FROM lineitem WHERE l_partkey = 15")
 def _list(spark, d):
-    return read(spark, d, "lineitem").where("l_partkey = 15").select(F.col("l_orderkey").alias("memory_id")).distinct()
+    return mentions_of(_lines(spark, d), 15)
 
 
 @query("entity_search", "SELECT p_partkey AS entity_id, p_name AS name, count(DISTINCT l_suppkey) AS neighbours FROM part LEFT JOIN lineitem ON l_partkey = p_partkey WHERE p_name LIKE '%blue%' AND p_size < 25 GROUP BY ALL ORDER BY neighbours DESC, entity_id LIMIT 25")
 def _esearch(spark, d):
-    p = read(spark, d, "part").where("p_name like '%blue%' and p_size < 25").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"))
-    l = read(spark, d, "lineitem").select(F.col("l_partkey").alias("entity_id"), "l_suppkey")  # noqa: E741
-    return p.join(l, "entity_id", "left").groupBy("entity_id", "name").agg(F.countDistinct("l_suppkey").alias("neighbours")).orderBy(F.desc("neighbours"), "entity_id").limit(25)
+    small = read(spark, d, "part").where("p_size < 25").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"))
+    return entity_search(small, _lines(spark, d).select("entity_id", "neighbour"), "%blue%", 25)
 
 
 @query("entity_get", "SELECT p_partkey AS entity_id, p_name AS name, (SELECT string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) FROM lineitem WHERE l_partkey = 15) AS suppliers, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_partkey = 15) AS orders FROM part WHERE p_partkey = 15")
 def _eget(spark, d):
-    p = read(spark, d, "part").where("p_partkey = 15").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"))
-    l = read(spark, d, "lineitem").where("l_partkey = 15").groupBy(F.col("l_partkey").alias("entity_id")).agg(F.array_join(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))), ",").alias("suppliers"), F.countDistinct("l_orderkey").alias("orders"))  # noqa: E741
-    return p.join(l, "entity_id", "left")
+    found = entity_get(_parts(spark, d), _lines(spark, d), _lines(spark, d), 15)
+    return found.select("entity_id", "name", F.col("neighbours").alias("suppliers"), F.col("mentions").alias("orders"))
 
 
 @query("token_jaccard", r"WITH t AS (SELECT p_partkey, p_type, list_distinct(list_filter(string_split_regex(lower(p_name), '[^\p{L}\p{N}_]+'), lambda t: t <> '')) AS w FROM part) SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS j FROM t a JOIN t b ON b.p_partkey = a.p_partkey + 1")
@@ -240,8 +285,8 @@ def _normalize(spark, d):
 
 @query("extraction_backlog", "SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
 def _backlog(spark, d):
-    docs = read(spark, d, "documents").where("lang in ('en', 'de')").join(read(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
-    return docs.join(read(spark, d, "events").where("event_type = 'error'").select(F.col("user_id").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
+    failed = read(spark, d, "events").where("event_type = 'error'").select(F.col("user_id").alias("doc_id"))
+    return extraction_backlog(read(spark, d, "documents").where("lang in ('en', 'de')"), read(spark, d, "labels"), failed, "doc_id").select("doc_id")
 
 
 @query("build_bypass_surface", "WITH m AS (SELECT l_orderkey, max(l_discount) AS confidence FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') GROUP BY 1) SELECT o_custkey AS conversation_id, o_orderkey AS memory_id, row_number() OVER (PARTITION BY o_custkey ORDER BY confidence DESC, o_orderdate DESC, o_orderkey) AS pos FROM orders JOIN m ON l_orderkey = o_orderkey QUALIFY pos <= 3")
@@ -253,12 +298,8 @@ def _surface(spark, d):
 
 @query("entity_graph_expand", "WITH m AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), s0 AS (SELECT p_partkey AS p FROM part WHERE p_name LIKE '%blue%' ORDER BY p_name, p_partkey LIMIT 5), h1 AS (SELECT DISTINCT b.p FROM m a JOIN m b ON a.s = b.s WHERE a.p IN (SELECT p FROM s0)), k AS (SELECT p FROM (SELECT p FROM s0 UNION SELECT p FROM h1) ORDER BY p LIMIT 100) SELECT DISTINCT l_orderkey AS memory_id FROM lineitem WHERE l_partkey IN (SELECT p FROM k)")
 def _expand(spark, d):
-    line = read(spark, d, "lineitem")
-    m = line.select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
-    seeds = read(spark, d, "part").where("p_name like '%blue%'").orderBy("p_name", "p_partkey").limit(5).select(F.col("p_partkey").alias("p"))
-    near = m.join(seeds, "p", "left_semi").select("s").distinct().join(m, "s").select("p")
-    kept = seeds.union(near).distinct().orderBy("p").limit(100)  # the cap on nodes is the operator's
-    return line.join(kept, line["l_partkey"] == kept["p"], "left_semi").select(F.col("l_orderkey").alias("memory_id")).distinct()
+    seeds = read(spark, d, "part").where("p_name like '%blue%'").orderBy("p_name", "p_partkey").limit(5).select(F.col("p_partkey").alias("entity_id"))
+    return entity_expand(_lines(spark, d), seeds, 100)
 
 
 _NAMES = "(SELECT s_suppkey AS id, s_name AS name FROM supplier)"
@@ -266,7 +307,7 @@ _NAMES = "(SELECT s_suppkey AS id, s_name AS name FROM supplier)"
 
 @query("coalesce_blocking", "SELECT regexp_extract(lower(c_name), '[a-z0-9]+') AS block, count(*) AS n FROM customer GROUP BY 1")
 def _blocks(spark, d):
-    return read(spark, d, "customer").groupBy(block_key(F.col("c_name")).alias("block")).agg(F.count("*").alias("n"))
+    return block_sizes(read(spark, d, "customer"), "c_name")
 
 
 @query("coalesce_detect")

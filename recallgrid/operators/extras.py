@@ -147,6 +147,23 @@ def any_end_join(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.union(nodes.join(edges, nodes["id"] == edges["to_id"]).select("id", "from_id", "to_id")).distinct()
 
 
+def set_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(part, n): how many distinct rows are in both, and only in a."""
+    return a.intersect(b).agg(F.lit("both").alias("part"), F.count("*").alias("n")).union(a.subtract(b).agg(F.lit("only"), F.count("*")))
+
+
+def citation_drift(sources: DataFrame, by: str, survives: Column) -> DataFrame:
+    """(by, sources, surviving) of syntheses some of whose sources don't survive."""
+    counted = sources.groupBy(by).agg(F.count("*").alias("sources"), F.count_if(survives).alias("surviving"))
+    return counted.where("surviving < sources")
+
+
+def feedback_importance(importance: Column, kind: Column, good: str, bad: str, step: float = 0.1) -> Column:
+    """Importance after feedback, between 0 and 1."""
+    change = F.when(kind == good, step).when(kind == bad, -step).otherwise(0.0)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), importance + change))
+
+
 _KINDS = "(SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'claude-x' WHEN 1 THEN 'gemini-2' WHEN 2 THEN 'gpt-4o' WHEN 3 THEN 'o1-mini' WHEN 4 THEN 'grok-1' WHEN 5 THEN 'qwen-7' WHEN 6 THEN '' ELSE 'other' END AS model, CASE event_id % 4 WHEN 0 THEN 'cron' WHEN 1 THEN 'Manual' ELSE '' END AS agent FROM events)"
 
 
@@ -193,17 +210,15 @@ def _or(spark, d):
 
 @query("set_operations", "SELECT 'both' AS part, count(*) AS n FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'only', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)")
 def _sets(spark, d):
-    a, b = read(spark, d, "documents").select("doc_id"), read(spark, d, "labels").select("doc_id")
-    return a.intersect(b).agg(F.lit("both").alias("part"), F.count("*").alias("n")).union(a.subtract(b).agg(F.lit("only"), F.count("*")))
+    return set_counts(read(spark, d, "documents").select("doc_id"), read(spark, d, "labels").select("doc_id"))
 
 
 @query("citation_drift", "SELECT conv_id, count(*) AS sources, count(*) FILTER (WHERE length(text) >= 100) AS surviving FROM conversations WHERE turn > 0 GROUP BY 1 HAVING surviving < sources")
 def _drift(spark, d):
-    s = read(spark, d, "conversations").where("turn > 0").groupBy("conv_id").agg(F.count("*").alias("sources"), F.count_if(F.char_length("text") >= 100).alias("surviving"))
-    return s.where("surviving < sources")
+    return citation_drift(read(spark, d, "conversations").where("turn > 0"), "conv_id", F.char_length("text") >= 100)
 
 
 @query("feedback_update", "SELECT event_id, round(least(1, greatest(0, value / 100 + CASE event_type WHEN 'purchase' THEN 0.1 WHEN 'error' THEN -0.1 ELSE 0 END)), 6) AS importance FROM events")
 def _feedback(spark, d):
-    step = F.when(F.col("event_type") == "purchase", 0.1).when(F.col("event_type") == "error", -0.1).otherwise(0.0)
-    return read(spark, d, "events").select("event_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 100 + step)), 6).alias("importance"))
+    after = feedback_importance(F.col("value") / 100, F.col("event_type"), "purchase", "error")
+    return read(spark, d, "events").select("event_id", F.round(after, 6).alias("importance"))

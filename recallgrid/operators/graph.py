@@ -164,6 +164,36 @@ def low_anchor_flags(measures: DataFrame, adrift: float = 0.15) -> DataFrame:
     return measures.crossJoin(F.broadcast(stats)).select("cluster", ((F.col("kas") < adrift) | low).alias("low"))
 
 
+def coverage(items: DataFrame, covered: DataFrame, key: str, by: str) -> DataFrame:
+    """(by, covered): the share of each group's items that are among the covered ones."""
+    have = covered.select(key).distinct().withColumn("_have", F.lit(1.0))
+    return items.join(have, key, "left").groupBy(by).agg(F.avg(F.coalesce("_have", F.lit(0.0))).alias("covered"))
+
+
+def stale_share(items: DataFrame, by: str, end: str = "valid_to") -> DataFrame:
+    """(by, stale): the share of each group's items that have ended."""
+    return items.groupBy(by).agg(F.avg(F.col(end).isNotNull().cast("double")).alias("stale"))
+
+
+def redundant_pairs(members: DataFrame, least: float) -> DataFrame:
+    """(a, b, jaccard) of clusters (c) that share at least some part of their members (x), a < b.
+
+    Only clusters that share a member meet; how many they share is counted by pair, so no member's list is gathered.
+    """
+    m = members.select("c", "x").distinct()
+    n = m.groupBy("c").agg(F.count("*").alias("n"))
+    a, b = m.select(F.col("c").alias("a"), "x"), m.select(F.col("c").alias("b"), "x")
+    both = a.join(b, "x").where("a < b").groupBy("a", "b").agg(F.count("*").alias("k"))
+    whole = both.join(n.select(F.col("c").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("c").alias("b"), F.col("n").alias("nb")), "b")
+    j = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
+    return whole.where(j >= least).select("a", "b", j.alias("jaccard"))
+
+
+def cluster_ledger(items: DataFrame, by: str, id_col: str, order: str) -> DataFrame:
+    """(id, by): the latest item of each cluster, which stands for its state."""
+    return items.groupBy(by).agg(F.max_by(id_col, F.struct(order, id_col)).alias(id_col)).select(id_col, by)
+
+
 # Edges between consecutive turns, one graph of conversations; nodes are conv_id * 1000 + turn.
 _EDGES = "e AS (SELECT conv_id * 1000 + turn AS from_id, lead(conv_id * 1000 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS to_id FROM conversations QUALIFY to_id IS NOT NULL), p AS (SELECT from_id AS a, to_id AS b FROM e UNION SELECT to_id, from_id FROM e)"
 
@@ -293,30 +323,23 @@ def _gate(spark, d):
 
 @query("coverage", "SELECT source, round(avg(CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 1.0 ELSE 0.0 END), 6) AS covered FROM documents GROUP BY 1")
 def _coverage(spark, d):
-    have = read(spark, d, "labels").select("doc_id").distinct().withColumn("have", F.lit(1.0))
-    return read(spark, d, "documents").join(have, "doc_id", "left").groupBy("source").agg(F.round(F.avg(F.coalesce("have", F.lit(0.0))), 6).alias("covered"))
+    return coverage(read(spark, d, "documents"), read(spark, d, "labels"), "doc_id", "source").withColumn("covered", F.round("covered", 6))
 
 
 @query("stale_share", "SELECT user_id, round(avg(CASE WHEN valid_to IS NULL THEN 0.0 ELSE 1.0 END), 6) AS stale FROM (SELECT user_id, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS valid_to FROM events) GROUP BY 1")
 def _stale(spark, d):
     from .predicates import validity
 
-    return validity(read(spark, d, "events")).groupBy("user_id").agg(F.round(F.avg(F.col("valid_to").isNotNull().cast("double")), 6).alias("stale"))
+    return stale_share(validity(read(spark, d, "events")), "user_id").withColumn("stale", F.round("stale", 6))
 
 
 @query("redundant_pairs", "WITH m AS (SELECT DISTINCT s_nationkey AS c, o_custkey % 200 AS x FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey), n AS (SELECT c, count(*) AS n FROM m GROUP BY 1), o AS (SELECT a.c AS a, b.c AS b, count(*) AS k FROM m a JOIN m b ON a.x = b.x AND a.c < b.c GROUP BY ALL) SELECT a, b, round(k / (p.n + q.n - k), 6) AS jaccard FROM o JOIN n p ON p.c = a JOIN n q ON q.c = b WHERE k / (p.n + q.n - k) >= 0.6")
 def _redundant(spark, d):
     line = read(spark, d, "lineitem").join(read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    m = line.select(F.col("s_nationkey").alias("c"), (F.col("o_custkey") % 200).alias("x")).distinct()
-    n = m.groupBy("c").agg(F.count("*").alias("n"))
-    a, b = m.select(F.col("c").alias("a"), "x"), m.select(F.col("c").alias("b"), "x")
-    both = a.join(b, "x").where("a < b").groupBy("a", "b").agg(F.count("*").alias("k"))
-    whole = both.join(n.select(F.col("c").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("c").alias("b"), F.col("n").alias("nb")), "b")
-    j = F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))
-    return whole.where(j >= 0.6).select("a", "b", F.round(j, 6).alias("jaccard"))
+    members = line.select(F.col("s_nationkey").alias("c"), (F.col("o_custkey") % 200).alias("x"))
+    return redundant_pairs(members, 0.6).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("cluster_ledger", "WITH r AS (SELECT source, max_by(doc_id, (n_chars, doc_id)) AS latest FROM documents WHERE n_chars < 5000 GROUP BY 1) SELECT d.doc_id, d.source FROM documents d JOIN r ON r.source = d.source AND r.latest = d.doc_id")
 def _ledger(spark, d):
-    docs = read(spark, d, "documents")
-    return docs.where("n_chars < 5000").groupBy("source").agg(F.max_by("doc_id", F.struct("n_chars", "doc_id")).alias("doc_id")).select("doc_id", "source")
+    return cluster_ledger(read(spark, d, "documents").where("n_chars < 5000"), "source", "doc_id", "n_chars")

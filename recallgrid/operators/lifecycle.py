@@ -303,6 +303,61 @@ def chain_breaks(log: DataFrame, order: list[str], by: str) -> DataFrame:
     return log.withColumns({"_prev": prev, "_own": own}).where("hash <> _own or prev_hash <> _prev").drop("_prev", "_own")
 
 
+def beta_posterior(feedback: DataFrame, by: str, good: Column) -> DataFrame:
+    """(by, mean) of a Beta(1, 1) prior after each group's feedback, good or not."""
+    alpha, beta = 1 + F.count_if(good), 1 + F.count_if(~good)
+    return feedback.groupBy(by).agg((alpha / (alpha + beta)).alias("mean"))
+
+
+def expired(items: DataFrame, now: str, days: int) -> DataFrame:
+    """Items that aren't pinned and were made more than so many days ago."""
+    return items.where((F.col("created_at") + F.expr(DAY.format(int(days))) < F.to_timestamp(F.lit(now))) & ~F.col("pinned"))
+
+
+def archivable(items: DataFrame, now: str, below: float = 0.05, days: int = 10) -> DataFrame:
+    """Items of low importance that aren't pinned and are old enough."""
+    return items.where((F.col("importance") < below) & (F.col("created_at") < F.to_timestamp(F.lit(now)) - F.expr(DAY.format(int(days)))) & ~F.col("pinned"))
+
+
+def orphans(vectors: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """Vectors whose item is gone."""
+    return vectors.join(items.select(key), key, "left_anti")
+
+
+def refresh_reminders(items: DataFrame, told: DataFrame, by: str, id_col: str, now: str, days: int, time: str = "ts") -> DataFrame:
+    """(by, due, sample) of owners with items older than so many days that haven't been told since now."""
+    t = F.to_timestamp(F.lit(now))
+    since = told.where(F.col(time) >= t).select(by)
+    due = items.where(F.col(time) < t - F.expr(DAY.format(int(days)))).join(since, by, "left_anti")
+    return due.groupBy(by).agg(F.count("*").alias("due"), F.min(id_col).alias("sample"))
+
+
+def linked(links: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Edges (from_id, to_id, relationship_type) with links added, each once."""
+    keys = ["from_id", "to_id", "relationship_type"]
+    return (links if edges is None else edges.select(*keys).union(links.select(*keys))).select(*keys).distinct()
+
+
+def promotable_texts(items: DataFrame, id_col: str, content: str, least: int, most: int, excluded: str, key_chars: int = 60) -> DataFrame:
+    """(id): of items of a fitting length without an excluded mark, the first of each key, the letters of a text's head."""
+    fits = items.where(F.char_length(content).between(least, most) & ~F.col(content).contains(excluded))
+    key = F.lower(F.regexp_replace(F.substring(content, 1, key_chars), "[^A-Za-z]+", " "))
+    return fits.groupBy(key.alias("_key")).agg(F.min(id_col).alias(id_col)).select(id_col)
+
+
+def erasure_flush(derived: DataFrame, erased: DataFrame, key: str) -> DataFrame:
+    """(key): derived rows that hold something of what was erased, once each."""
+    return derived.select(key).distinct().join(erased.select(key), key, "left_semi")
+
+
+def apply_plan(items: DataFrame, plan: DataFrame, id_col: str, step: float = 0.1) -> DataFrame:
+    """items with `action` and importance after a plan (id, action): pins are marked, deletions are left out, boosts add
+    a step, up to 1; items without a plan have action none."""
+    done = items.join(plan, id_col, "left").where("action is null or action <> 'delete'")
+    raised = F.when(F.col("action") == "boost", F.least(F.lit(1.0), F.col("importance") + step)).otherwise(F.col("importance"))
+    return done.withColumns({"importance": raised, "action": F.when(F.col("action") == "pin", "pin").otherwise("none")})
+
+
 def _items(spark, d) -> DataFrame:
     e = read(spark, d, "events")
     return e.select("event_id", "user_id", "event_type", F.col("ts").alias("created_at"), (F.col("value") / 100).alias("importance"), (F.col("event_id") % 50 == 0).alias("pinned"))
@@ -336,23 +391,22 @@ def _access(spark, d):
 
 @query("beta_posterior", "SELECT user_id, round((1 + sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END)) / (2.0 + count(*)), 6) AS mean FROM events GROUP BY 1")
 def _beta(spark, d):
-    alpha, beta = 1 + F.count_if(F.col("event_type") != "error"), 1 + F.count_if(F.col("event_type") == "error")
-    return read(spark, d, "events").groupBy("user_id").agg(F.round(alpha / (alpha + beta), 6).alias("mean"))
+    return beta_posterior(read(spark, d, "events"), "user_id", F.col("event_type") != "error").withColumn("mean", F.round("mean", 6))
 
 
 @query("expire", f"SELECT event_id FROM {_ITEMS} WHERE created_at + INTERVAL 20 DAY < TIMESTAMP '{NOW}' AND NOT pinned")
 def _expire(spark, d):
-    return _items(spark, d).where((F.col("created_at") + F.expr("INTERVAL 20 DAYS") < F.to_timestamp(F.lit(NOW))) & ~F.col("pinned")).select("event_id")
+    return expired(_items(spark, d), NOW, 20).select("event_id")
 
 
 @query("archive_low_importance", f"SELECT event_id, importance FROM {_ITEMS} WHERE importance < 0.05 AND created_at < TIMESTAMP '{NOW}' - INTERVAL 10 DAY AND NOT pinned")
 def _archive(spark, d):
-    return _items(spark, d).where((F.col("importance") < 0.05) & (F.col("created_at") < F.to_timestamp(F.lit(NOW)) - F.expr("INTERVAL 10 DAYS")) & ~F.col("pinned")).select("event_id", "importance")
+    return archivable(_items(spark, d), NOW).select("event_id", "importance")
 
 
 @query("orphan_prune", "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
 def _orphans(spark, d):
-    return read(spark, d, "embeddings").join(read(spark, d, "labels").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_anti").select("vec_id")
+    return orphans(read(spark, d, "embeddings"), read(spark, d, "labels").select(F.col("doc_id").alias("vec_id")), "vec_id").select("vec_id")
 
 
 @query("retention", f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, event_id DESC) AS r FROM {_ITEMS} WHERE user_id % 2 = 1 OR pinned OR created_at >= TIMESTAMP '{NOW}' - INTERVAL 20 DAY) SELECT event_id, user_id FROM r WHERE user_id % 2 = 1 OR r <= 30 OR pinned")
@@ -363,9 +417,8 @@ def _retention(spark, d):
 
 @query("refresh_due", f"SELECT user_id, count(*) AS due, min(event_id) AS sample FROM events WHERE ts < TIMESTAMP '{NOW}' - INTERVAL 14 DAY AND event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND ts >= TIMESTAMP '{NOW}') GROUP BY 1")
 def _refresh(spark, d):
-    now, e = F.to_timestamp(F.lit(NOW)), read(spark, d, "events")
-    told = e.where((F.col("event_type") == "signup") & (F.col("ts") >= now)).select("user_id")
-    return e.where((F.col("ts") < now - F.expr("INTERVAL 14 DAYS")) & (F.col("event_type") == "view")).join(told, "user_id", "left_anti").groupBy("user_id").agg(F.count("*").alias("due"), F.min("event_id").alias("sample"))
+    e = read(spark, d, "events")
+    return refresh_reminders(e.where("event_type = 'view'"), e.where("event_type = 'signup'"), "user_id", "event_id", NOW, 14)
 
 
 _SHORT_SQL = "lower(role) = 'user' AND text <> '' AND NOT contains(text, '?') AND NOT list_has_any(string_split_regex(trim(lower(text)), '\\s+'), ['no', 'stop', 'kill', 'abort', 'wait', 'hold']) AND len(string_split_regex(trim(lower(text)), '\\s+')) <= 4"
@@ -428,7 +481,7 @@ def _writes(spark, d):
 
 @query("link_bulk", "SELECT DISTINCT l_orderkey AS from_id, l_partkey AS to_id, l_returnflag AS relationship_type FROM lineitem")
 def _link(spark, d):
-    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("from_id"), F.col("l_partkey").alias("to_id"), F.col("l_returnflag").alias("relationship_type")).distinct()
+    return linked(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("from_id"), F.col("l_partkey").alias("to_id"), F.col("l_returnflag").alias("relationship_type")))
 
 
 @query("dedup_pairs", """WITH RECURSIVE p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3),
@@ -455,10 +508,9 @@ def _promotable(spark, d):
     return read(spark, d, "events").join(done, "user_id", "left_anti").groupBy("user_id").agg(F.round(score, 6).alias("score")).where("score >= 0.3").orderBy(F.desc("score"), "user_id").limit(40)
 
 
-@query("promotion_select", "WITH s AS (SELECT doc_id, lower(regexp_replace(text[1:60], '[^A-Za-z]+', ' ', 'g')) AS k FROM documents WHERE n_chars BETWEEN 200 AND 20000 AND NOT regexp_matches(text, '!!')) SELECT min(doc_id) AS doc_id FROM s GROUP BY k")
+@query("promotion_select", "WITH s AS (SELECT doc_id, lower(regexp_replace(text[1:60], '[^A-Za-z]+', ' ', 'g')) AS k FROM documents WHERE length(text) BETWEEN 200 AND 20000 AND NOT regexp_matches(text, '!!')) SELECT min(doc_id) AS doc_id FROM s GROUP BY k")
 def _select(spark, d):
-    s = read(spark, d, "documents").where("n_chars between 200 and 20000 and not contains(text, '!!')")
-    return s.groupBy(F.lower(F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z]+", " ")).alias("k")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return promotable_texts(read(spark, d, "documents"), "doc_id", "text", 200, 20_000, "!!")
 
 
 @query("gdpr_forget", "SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND user_id % 5 = 0)")
@@ -470,17 +522,15 @@ def _forget(spark, d):
 @query("erasure_flush", "SELECT DISTINCT conv_id FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE length(text) < 100)")
 def _flush(spark, d):
     c = read(spark, d, "conversations")
-    return c.select("conv_id").distinct().join(c.where("length(text) < 100").select("conv_id"), "conv_id", "left_semi")
+    return erasure_flush(c, c.where("length(text) < 100"), "conv_id")
 
 
 @query("curator_plan", "SELECT event_id, CASE WHEN event_id % 40 = 0 THEN 'pin' WHEN event_id % 40 = 1 THEN 'delete' ELSE 'none' END AS action, round(CASE WHEN event_id % 40 = 2 THEN least(1, value / 100 + 0.1) ELSE value / 100 END, 6) AS importance FROM events WHERE event_id % 40 <> 1")
 def _plan(spark, d):
-    e = read(spark, d, "events")
     kind = F.col("event_id") % 40
+    e = read(spark, d, "events").select("event_id", (F.col("value") / 100).alias("importance"))
     plan = e.where(kind < 3).select("event_id", F.when(kind == 0, "pin").when(kind == 1, "delete").otherwise("boost").alias("action"))
-    done = e.join(plan, "event_id", "left").where("action is null or action <> 'delete'")
-    raised = F.when(F.col("action") == "boost", F.least(F.lit(1.0), F.col("value") / 100 + 0.1)).otherwise(F.col("value") / 100)
-    return done.select("event_id", F.when(F.col("action") == "pin", "pin").otherwise("none").alias("action"), F.round(raised, 6).alias("importance"))
+    return apply_plan(e, plan, "event_id").select("event_id", "action", F.round("importance", 6).alias("importance"))
 
 
 @query("task_transition", "WITH s AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'in_progress' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'blocked' END AS state FROM events), l AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM s) SELECT event_id, prev, state FROM l WHERE prev IS NOT NULL AND prev <> state AND NOT ((prev = 'pending' AND state IN ('in_progress', 'blocked', 'cancelled')) OR (prev = 'in_progress' AND state IN ('blocked', 'completed', 'failed', 'cancelled')) OR (prev = 'blocked' AND state IN ('in_progress', 'cancelled')))")

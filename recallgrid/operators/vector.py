@@ -104,15 +104,25 @@ def _validate(spark, d):
     return _rows(spark, d).select("vec_id", (F.abs(norm(F.col("embedding")) - 1) <= 0.05).alias("unit"))
 
 
+def embed_backlog(items: DataFrame, vectors: DataFrame, key: str, size: str, most: int) -> DataFrame:
+    """Items without a vector that aren't too long for the model."""
+    return items.where(F.col(size) <= most).join(vectors.select(key), key, "left_anti")
+
+
+def space_audit(vectors: DataFrame, kind: Column, low: Column, embedding: str = "embedding") -> DataFrame:
+    """(dim, kind, n, n_low): vectors by size and kind, and how many meet a condition."""
+    return vectors.groupBy(F.size(embedding).cast("long").alias("dim"), kind.alias("kind")).agg(F.count("*").alias("n"), F.count_if(low).alias("n_low"))
+
+
 @query("embed_backlog", "SELECT doc_id, n_chars FROM documents WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = doc_id) AND n_chars <= 8000")
 def _backlog(spark, d):
     have = _rows(spark, d).select(F.col("vec_id").alias("doc_id"))
-    return read(spark, d, "documents").where("n_chars <= 8000").join(have, "doc_id", "left_anti").select("doc_id", "n_chars")
+    return embed_backlog(read(spark, d, "documents"), have, "doc_id", "n_chars", 8000).select("doc_id", "n_chars")
 
 
 @query("embed_space_audit", "SELECT len(embedding) AS dim, label % 2 AS kind, count(*) AS n, count(*) FILTER (WHERE label < 5) AS n_low FROM embeddings GROUP BY ALL")
 def _audit(spark, d):
-    return _rows(spark, d).groupBy(F.size("embedding").cast("long").alias("dim"), (F.col("label") % 2).alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.col("label") < 5).alias("n_low"))
+    return space_audit(_rows(spark, d), F.col("label") % 2, F.col("label") < 5)
 
 
 def hash_embedding(docs: DataFrame) -> DataFrame:

@@ -120,6 +120,11 @@ def unseen(turns: DataFrame, cursor: DataFrame) -> DataFrame:
     return turns.join(cursor.select("session", "id"), ["session", "id"], "left_anti")
 
 
+def subject_rows(tables: dict[str, DataFrame], column: str, subject) -> dict[str, DataFrame]:
+    """Of every table that has the column, the rows of one person."""
+    return {name: t.where(F.col(column) == subject) for name, t in tables.items() if column in t.columns}
+
+
 @query("multi_source_search", "SELECT id, score, store FROM (SELECT event_id AS id, value AS score, 'a' AS store FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, value, 'b' FROM events WHERE event_type = 'click') ORDER BY score DESC, store, id LIMIT 25")
 def _multi(spark, d):
     hits = lambda t: lambda: read(spark, d, "events").where(F.col("event_type") == t).select(F.col("event_id").alias("id"), F.col("value").alias("score"))
@@ -149,7 +154,8 @@ def _import(spark, d):
 
 @query("gdpr_export", "SELECT event_id, ts, event_type, value FROM events WHERE user_id = 42")
 def _gdpr(spark, d):
-    return read(spark, d, "events").where("user_id = 42").select("event_id", "ts", "event_type", "value")
+    found = subject_rows({"events": read(spark, d, "events"), "nation": read(spark, d, "nation")}, "user_id", 42)
+    return found["events"].select("event_id", "ts", "event_type", "value")
 
 
 @query("ingest_cursor", "SELECT conv_id, turn FROM conversations WHERE turn > conv_id % 3")
