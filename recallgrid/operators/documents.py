@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query, read
+from .keyword import bm25_sql, keyword_search
 
 TARGET, MAX, MIN = 1800, 2400, 300
 WINDOW, OVERLAP = 28_000, 8_000
@@ -284,9 +285,8 @@ def _stale(spark, d):
     return staleness(disk, known)
 
 
-@query("files_search", None)
+@query("files_search", f"WITH {bm25_sql('documents', 'doc_id', 'text', ['license'], prefix=True)}, k AS (SELECT id, row_number() OVER (ORDER BY bm25, id) AS r FROM scored WHERE tf0 > 0 QUALIFY r <= 50), v AS (SELECT e.vec_id AS id, row_number() OVER (ORDER BY list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, e.vec_id) AS r FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q QUALIFY r <= 50), f AS (SELECT id, sum(1.0 / (60 + r)) AS score FROM (SELECT * FROM k UNION ALL SELECT * FROM v) GROUP BY id) SELECT f.id, round(score, 9) AS score, content[1:80] AS head FROM f LEFT JOIN scored USING (id) ORDER BY round(f.score, 9) DESC, f.id LIMIT 10")
 def _search(spark, d):
-    from .keyword import keyword_search
     from .ranking import rrf
     from .vector import cosine, with_query
 
@@ -295,4 +295,4 @@ def _search(spark, d):
     v = read(spark, d, "embeddings")
     near = with_query(v, v.where("vec_id = 0")).select(F.col("vec_id").alias("id"), cosine(F.col("embedding"), F.col("q")).alias("s")).orderBy(F.desc("s"), "id").limit(50)
     fused = rrf([words, near.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), "id"))).select("id", "rank")])
-    return fused.orderBy(F.desc("score"), "id").limit(10).join(docs.select("id", F.substring("content", 1, 80).alias("head")), "id", "left")
+    return fused.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "id").limit(10).join(docs.select("id", F.substring("content", 1, 80).alias("head")), "id", "left")

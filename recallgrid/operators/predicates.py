@@ -205,6 +205,16 @@ def _glob(spark, d):
     return read(spark, d, "part").where(F.col("p_name").rlike(X.glob_pattern("*a[^b-k]?e*")) & (F.lower("p_brand") == F.lower(F.lit("BRAND#11")))).select("p_partkey", "p_name")
 
 
+def ci_equals(column: str, value: str) -> Column:
+    """Equality in any case."""
+    return F.lower(column) == value.lower()
+
+
+@query("ci_equals", "SELECT p_partkey FROM part WHERE lower(p_brand) = 'brand#11'")
+def _ci(spark, d):
+    return read(spark, d, "part").where(ci_equals("p_brand", "bRAND#11")).select("p_partkey")
+
+
 @query("age_days_gt", f"SELECT event_id FROM events WHERE ts < TIMESTAMP '{NOW}' - INTERVAL 10 DAY AND ts >= TIMESTAMP '{NOW}' - INTERVAL 20 DAY")
 def _age(spark, d):
     return read(spark, d, "events").where(age_days_over("ts", 10, NOW) & ~age_days_over("ts", 20, NOW)).select("event_id")

@@ -102,9 +102,12 @@ def transcript_lines(spark: SparkSession, path: str) -> DataFrame:
     ).where("text is not null and trim(text) <> ''")
 
 
-def transcript_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Turns of whole-session JSON transcripts; message types other than user are the assistant's."""
-    raw = spark.read.option("wholetext", "true").text(path).select(F.try_parse_json("value").alias("v")).where("v is not null")
+def transcript_sessions(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """Turns of whole-session JSON transcripts; message types other than user are the assistant's.
+
+    A file is one session, or each of its lines is (per_line).
+    """
+    raw = spark.read.option("wholetext", str(not per_line).lower()).text(path).select(F.try_parse_json("value").alias("v")).where("v is not null")
     m = raw.select(F.try_variant_get("v", "$.sessionId", "string").alias("session"), F.explode(F.try_variant_get("v", "$.messages", "array<variant>")).alias("m"))
     get = lambda p, t="string": F.try_variant_get("m", p, t)
     parts = F.from_json(get("$.content"), "array<struct<text:string>>")
@@ -210,6 +213,15 @@ def _lines(spark, d):
     return transcript_lines(spark, _written(c.select(line.alias("value")), "transcript")).select("session", "id", "role", "text")
 
 
+@query("ingest_transcript_sessions", "SELECT CAST(conv_id AS VARCHAR) AS session, CAST(turn AS VARCHAR) AS id, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role, text, CAST(turn AS BIGINT) AS tokens_in FROM conversations WHERE trim(text) <> ''")
+def _sessions(spark, d):
+    c = read(spark, d, "conversations")
+    said = F.struct(F.col("turn").cast("string").alias("id"), F.col("role").alias("type"), F.col("text").alias("content"), F.struct(F.col("turn").alias("input")).alias("tokens"))
+    whole = c.groupBy(F.col("conv_id").cast("string").alias("sessionId")).agg(F.array_sort(F.collect_list(said)).alias("messages"))  # one session is one file
+    path = _written(whole.select(F.to_json(F.struct("sessionId", "messages")).alias("value")), "sessions")
+    return transcript_sessions(spark, path, per_line=True).select("session", "id", "role", "text", "tokens_in")
+
+
 @query("walk_files")
 def _walk(spark, d):
     return walk(spark, _written(read(spark, d, "documents").select(F.regexp_replace("text", "\n", " ").alias("value")), "tree"), ["_SUCCESS", ".crc"]).select("length", "sha256")
