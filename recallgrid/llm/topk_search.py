@@ -129,7 +129,7 @@ def index(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             by_term = np.lexsort((at, term))
             term, at, tf = term[by_term], at[by_term], tf[by_term]
             first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.zeros(0, np.int64)
-            columns = (ids[order], length[order].astype(np.uint32), term[first], np.diff(np.append(first, len(term))).astype(np.uint32), at.astype(np.uint32), tf.astype(np.uint32))
+            columns = (ids[order], length[order].astype(np.uint32), term[first], np.diff(np.append(first, len(term))).astype(np.uint32), narrow(at), narrow(tf))
             yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["ids", "lengths", "terms", "df", "docs", "tf"])
 
     return docs.where(F.col(id_col).isNotNull()).select(id_col, "text").mapInArrow(build, INDEX)
@@ -148,6 +148,17 @@ def query_terms(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.select(id_col, "text").mapInArrow(run, "query_id long, term long, qtf long").groupBy("query_id", "term").agg(F.max("qtf").alias("qtf"))
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """x in as few bytes each as its largest value needs: 1, 2 or 4."""
+    most = int(x.max(initial=0))
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
+
+
+def wide(raw: pa.Buffer, count: int) -> np.ndarray:
+    """count numbers as narrow() wrote them."""
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[raw.size // count] if count else np.uint8)
+
+
 def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[i] .. start[i] + size[i], one after the other."""
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -156,7 +167,7 @@ def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Shard:
     """A shard's postings with their block maxima, for a block of queries' terms."""
 
-    def __init__(self, row: dict, terms: np.ndarray, mean_length: float) -> None:
+    def __init__(self, row: dict[str, pa.Buffer], terms: np.ndarray, mean_length: float) -> None:
         self.ids = np.frombuffer(row["ids"], np.int64)
         length = np.frombuffer(row["lengths"], np.uint32).astype(float)
         own, df = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["df"], np.uint32).astype(np.int64)
@@ -169,8 +180,9 @@ class Shard:
             hit = np.flatnonzero(terms[spot] == own)
             self.at[spot[hit]] = hit
         self.df, self.start = df, np.cumsum(df) - df
-        self.docs = np.frombuffer(row["docs"], np.uint32).astype(np.int64)
-        tf = np.frombuffer(row["tf"], np.uint32).astype(float)
+        n = int(df.sum())
+        self.docs = wide(row["docs"], n).astype(np.int64)
+        tf = wide(row["tf"], n).astype(float)
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.docs] / mean_length))
         # Sparse block maxima: an entry for each block in which a term is.
         block = self.docs // BLOCK
