@@ -55,6 +55,19 @@ def thrifty_group(run: Callable) -> Callable:
     return trimmed
 
 
+def thrifty_pair(run: Callable) -> Callable:
+    """run, a function of two groups for a cogroup's applyInArrow, that trims at its end."""
+
+    @functools.wraps(run)
+    def trimmed(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            trim()
+
+    return trimmed
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

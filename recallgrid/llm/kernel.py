@@ -6,6 +6,7 @@ text longer than a slice is a slice of its own.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,10 +63,14 @@ def slices(texts: pa.ChunkedArray | pa.Array, limit: int = SLICE_BYTES) -> Itera
 
 def words(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of each word: a maximal run of member bytes inside one row."""
-    if not len(data):
+    return runs(member[data], offsets)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of each maximal run of bytes that are inside and in one row."""
+    if not len(inside):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = member[data]
-    edge = np.zeros(len(data) + 1, bool)  # a word can't go on over these places
+    edge = np.zeros(len(inside) + 1, bool)  # a word can't go on over these places
     edge[offsets] = True
     before = np.concatenate(([False], inside[:-1]))
     starts = np.flatnonzero(inside & (~before | edge[:-1]))
@@ -88,6 +93,45 @@ def runs_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix(np.add.reduceat(values, first) + size.astype(np.uint64) * _ODD)
 
 
+def _crc_table() -> np.ndarray:
+    """What each byte adds to a CRC-32 (the reflected polynomial 0xEDB88320), by its definition."""
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, (c >> np.uint32(1)) ^ np.uint32(0xEDB88320), c >> np.uint32(1))
+    return c
+
+
+_CRC = _crc_table()
+#: Runs longer than this are left to zlib, one by one.
+_CRC_BYTES = 64
+
+
+def runs_crc32(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """The unsigned crc32 of each byte run data[start:end], going on from the crc32 in before where it is given."""
+    out = np.zeros(len(starts), np.uint32) if before is None else before.astype(np.uint32)
+    size = ends - starts
+    order = np.argsort(-size, kind="stable")
+    order = order[np.searchsorted(-size[order], -_CRC_BYTES) :]  # of _CRC_BYTES at most, longest first
+    at, sizes = starts[order], -size[order]
+    crc = ~out[order]
+    for k in range(int(-sizes[0]) if len(order) else 0):
+        n = int(np.searchsorted(sizes, -k))  # those of more than k bytes
+        c = crc[:n]
+        crc[:n] = _CRC[(c ^ data[at[:n] + k]) & np.uint32(0xFF)] ^ (c >> np.uint32(8))
+    out[order] = ~crc
+    for i in np.flatnonzero(size > _CRC_BYTES):
+        out[i] = zlib.crc32(data[starts[i] : ends[i]].tobytes(), 0 if before is None else int(before[i]))
+    return out
+
+
+def runs_text(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.LargeStringArray:
+    """The byte runs data[start:end] as strings; they have to be whole UTF-8."""
+    size = ends - starts
+    first = np.cumsum(size) - size
+    gathered = data[np.repeat(starts - first, size) + np.arange(int(size.sum()))]
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(first, size.sum()).astype(np.int64)), pa.py_buffer(gathered))
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of h[i : i + n] for each i; shorter by n - 1 than h. Spans are put together from powers of two."""
     if len(h) < n:
