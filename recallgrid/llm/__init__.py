@@ -5,9 +5,9 @@ All modules are imported at once, so a part that can't be imported shows here an
 
 from __future__ import annotations
 
-from . import decontamination, importance_sampling, language_id, license_scan, line_dedup, ngram_join, quality, sentencepiece_tokens, spelling_variants, substring_dedup, topk_search, warc_fixity
+from . import decontamination, embedding_dedup, importance_sampling, language_id, license_scan, line_dedup, ngram_join, quality, sentencepiece_tokens, spelling_variants, substring_dedup, topk_search, warc_fixity
 
-MODULES = (ngram_join, substring_dedup, language_id, line_dedup, warc_fixity, quality, license_scan, sentencepiece_tokens, decontamination, topk_search, spelling_variants, importance_sampling)
+MODULES = (ngram_join, substring_dedup, language_id, line_dedup, warc_fixity, quality, license_scan, sentencepiece_tokens, decontamination, topk_search, spelling_variants, embedding_dedup, importance_sampling)
 
 
 def queries() -> dict:
