@@ -1,14 +1,18 @@
 """SentencePiece models run by the tokenizers library, and held against the sentencepiece library.
 
 The model's protobuf is parsed here; from it the normaliser, the space marker, the vocabulary (unigram
-scores, or for a BPE model its merges in order of score) and the byte fallback are rebuilt. As no piece
-crosses from a word into the next marker, a text is a sequence of segments (markers and a word) that are
-encoded apart; each task remembers segments it has seen, up to a bound, and encodes new ones in batches on
-several threads. Every new batch is also encoded by the sentencepiece library; where the two differ,
-the library's ids are taken and the row says so (`parity` false).
+scores, or for a BPE model its merges in order of score) and the byte fallback are rebuilt.
+
+Where no piece of the model crosses from a word into the next marker (`separable`, decided once for a model), a
+text is a sequence of segments (markers and a word) that can be encoded apart: each task remembers segments it has
+seen, up to a bound, and encodes new ones in batches on several threads. Every new batch is also encoded by the
+sentencepiece library; where the two differ, the library's ids are taken and the row says so (`parity` false).
+Of any other model (pieces across spaces, the marker as a suffix, spaces that aren't escaped, user-defined or
+unused pieces, models of words or characters) whole texts are encoded, by both libraries, and compared whole.
 
 Defined results: null and empty texts have no ids, and decode to the empty text; nothing is added at a
-text's ends. Repeated rows each get their own result; other columns are ignored.
+text's ends; long texts are taken whole. Repeated rows and rows without an id each get their own result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ TOGETHER = 512
 TEXT_BYTES = 256 << 10
 MARK = "▁"
 # Kinds of pieces and models in the published protobuf schema.
-UNKNOWN, CONTROL, BYTE = 2, 3, 6
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
 
 
@@ -72,22 +76,34 @@ def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 def parse(raw: bytes) -> dict:
     """What encoding needs of a model file."""
-    out: dict = {"pieces": [], "type": UNIGRAM, "byte_fallback": False, "unk_id": 0, "charsmap": b"", "dummy_prefix": True, "squeeze": True}
+    out: dict = {"pieces": [], "type": UNIGRAM, "byte_fallback": False, "unk_id": 0, "charsmap": b"", "dummy_prefix": True, "squeeze": True, "escape": True, "suffix": False}
     for number, value in fields(raw):
         if number == 1:
             f = dict(fields(value))
             out["pieces"].append((f[1].decode(), struct.unpack("<f", f.get(2, bytes(4)))[0], f.get(3, 1)))
         elif number == 2:
             f = dict(fields(value))
-            out |= {"type": f.get(3, UNIGRAM), "byte_fallback": bool(f.get(35, 0)), "unk_id": f.get(40, 0)}
+            out |= {"type": f.get(3, UNIGRAM), "byte_fallback": bool(f.get(35, 0)), "unk_id": f.get(40, 0), "suffix": bool(f.get(24, 0))}
         elif number == 3:
             f = dict(fields(value))
-            out |= {"charsmap": f.get(2, b""), "dummy_prefix": bool(f.get(3, 1)), "squeeze": bool(f.get(4, 1))}
+            out |= {"charsmap": f.get(2, b""), "dummy_prefix": bool(f.get(3, 1)), "squeeze": bool(f.get(4, 1)), "escape": bool(f.get(5, 1))}
     return out
 
 
+def separable(model: dict) -> bool:
+    """No piece crosses from a word into the next marker, so segments can be encoded apart.
+
+    The marker has to be known: the library joins neighbouring unknown characters into one id.
+    """
+    crossing = re.compile(f"[^{MARK}]{MARK}")
+    kinds = {kind for _, _, kind in model["pieces"]}
+    known = model["byte_fallback"] or any(p == MARK for p, _, _ in model["pieces"])
+    plain = model["type"] in (UNIGRAM, BPE) and model["escape"] and not model["suffix"] and kinds <= {NORMAL, UNKNOWN, CONTROL, BYTE}
+    return plain and known and not any(crossing.search(p) for p, _, kind in model["pieces"] if kind == NORMAL)
+
+
 def rebuild(model: dict):
-    """The tokenizers.Tokenizer that encodes a run of segments."""
+    """The tokenizers.Tokenizer that encodes a run of segments, or a whole text; None where it has no such model."""
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
     pieces = model["pieces"]
@@ -100,9 +116,10 @@ def rebuild(model: dict):
             merges += [(-s, i, p[:k], p[k:]) for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable]
         core = models.BPE({p: i for i, (p, _, _) in enumerate(pieces)}, [m[2:] for m in sorted(merges)], unk_token=pieces[model["unk_id"]][0], byte_fallback=model["byte_fallback"], fuse_unk=True)
     else:
-        raise ValueError("only unigram and BPE models are known")
+        return None
     t = Tokenizer(core)
-    t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
+    if separable(model):
+        t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
     return t
 
 
@@ -118,7 +135,7 @@ class Codec:
         from tokenizers import normalizers
 
         self.model, self.threads = parse(raw), threads
-        self.fast = rebuild(self.model)
+        self.fast, self.separable = rebuild(self.model), separable(self.model)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.charsmap = normalizers.Precompiled(self.model["charsmap"]) if self.model["charsmap"] else None
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.encode() for p, _, kind in self.model["pieces"]]
@@ -127,16 +144,32 @@ class Codec:
         self.seen_bytes = 0
         self.differ: set[str] = set()
 
-    def segments(self, text: str | None) -> list[str]:
+    def marked(self, text: str | None) -> str:
+        """text normalised, with markers for its spaces."""
         if not text:
-            return []
+            return ""
         if self.charsmap:
             text = self.charsmap.normalize_str(text)
         if self.model["squeeze"]:
             text = re.sub(" +", " ", text.strip(" "))
-            if not text:
-                return []
-        return self.SEGMENT.findall((MARK if self.model["dummy_prefix"] else "") + text.replace(" ", MARK))
+        if not text:
+            return ""
+        if self.model["suffix"]:
+            text += " " * self.model["dummy_prefix"]
+        else:
+            text = " " * self.model["dummy_prefix"] + text
+        return text.replace(" ", MARK) if self.model["escape"] else text
+
+    def segments(self, text: str | None) -> list[str]:
+        return self.SEGMENT.findall(self.marked(text))
+
+    def encode_whole(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool]]:
+        """(ids, whether both libraries agree) of each text, encoded whole."""
+        sure = self.library.encode([t or "" for t in texts], num_threads=self.threads)
+        if self.fast is None:
+            return [(np.array(ids, np.int32), not t) for ids, t in zip(sure, texts)]
+        got = self.fast.encode_batch([self.marked(t) for t in texts], add_special_tokens=False)
+        return [(np.array(ids, np.int32), ids == fast.ids) for ids, fast in zip(sure, got)]
 
     def by_library(self, text: str) -> list[int]:
         """The sentencepiece library's ids for marked text; the library puts the first marker itself."""
@@ -167,6 +200,8 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, bool]]:
         """(ids, whether both libraries agree) of each text."""
+        if not self.separable:
+            return self.encode_whole(texts)
         parts = [self.segments(t) for t in texts]
         wanted = set().union(*parts) if parts else set()
         new = {s for s in wanted if s not in self.seen}
@@ -187,6 +222,8 @@ class Codec:
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """Pieces' and bytes' text in order; a byte that isn't part of a character becomes U+FFFD."""
+        if not self.separable:
+            return self.library.decode([int(i) for i in ids])
         table = self.bytes
         raw = b"".join([table[i] for i in ids])
         try:
