@@ -124,7 +124,8 @@ def _cut(path: str, label: str, start: int, text: str) -> Iterator[Section]:
     for k, run in enumerate(runs, 1):
         chunk = "\n\n".join(run).strip()
         alone = len(runs) == 1
-        yield Section(path if alone else f"{path}/part-{k}", label if alone else f"{label} (part {k})", start, start + len(chunk), 0.6, chunk)
+        sure = 1.0 if alone else 0.7 if k == len(runs) else 0.6
+        yield Section(path if alone else f"{path}/part-{k}", label if alone else f"{label} (part {k})", start, start + len(chunk), sure, chunk)
         start += len(chunk) + 2
 
 
@@ -185,17 +186,37 @@ def chunk_with(docs: DataFrame, id_col: str, text: str, chunker) -> DataFrame:
     return docs.select(id_col, text).mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, part int, chunk string")
 
 
-def leaf_diff(prior: DataFrame, new: DataFrame, by: str) -> DataFrame:
-    """(by, part, kind, prior_part) of new leaves (by, part, chunk): carry where the text is in the prior version,
-    evolve where the same place is, else new; each prior leaf is used once, carry before evolve."""
-    h = lambda df: df.withColumn("_h", F.sha2(F.col("chunk").cast("binary"), 256))
-    nth = lambda df: h(df).withColumn("_k", F.row_number().over(Window.partitionBy(by, "_h").orderBy("part")))
-    # The first prior leaf of a text can be carried, by the first new leaf with it.
-    p, n = nth(prior).where("_k = 1").select(by, "_h", F.col("part").alias("prior_part")), nth(new)
-    carried = n.where("_k = 1").join(p, [by, "_h"]).select(by, "part", F.lit("carry").alias("kind"), "prior_part")
-    rest = new.select(by, "part").join(carried.select(by, "part"), [by, "part"], "left_anti")
-    free = prior.select(by, F.col("part")).join(carried.select(by, F.col("prior_part").alias("part")), [by, "part"], "left_anti").withColumn("prior_part", F.col("part"))
-    return carried.unionByName(rest.join(free, [by, "part"], "left").select(by, "part", F.when(F.col("prior_part").isNull(), "new").otherwise("evolve").alias("kind"), "prior_part"))
+def leaf_diff(prior: DataFrame, new: DataFrame, by: str, place: str = "part") -> DataFrame:
+    """(by, part, kind, prior_part) of new leaves (by, part, place, chunk) against the prior version's.
+
+    New leaves are taken in order: one carries the first prior leaf with its text if that is still unused, else it
+    evolves the first prior leaf of its place if that is unused, else it is new. A file's leaves meet in one task
+    as hashes and places, without their texts.
+    """
+    kind = dict(new.dtypes)[by]
+    h = lambda df: df.select(F.col(by).alias("file"), F.col("part").cast("long").alias("part"), F.col(place).cast("string").alias("place"), F.sha2(F.col("chunk").cast("binary"), 256).alias("h"))
+
+    def fold(key: tuple, before: pa.Table, after: pa.Table) -> pa.Table:
+        texts: dict[str, int] = {}
+        places: dict[str, int] = {}
+        for part, where, text in sorted(zip(*(before[c].to_pylist() for c in ("part", "place", "h"))), key=lambda r: r[0]):
+            texts.setdefault(text, part)
+            places.setdefault(where, part)
+        used: set[int] = set()
+        out = []
+        for part, where, text in sorted(zip(*(after[c].to_pylist() for c in ("part", "place", "h"))), key=lambda r: r[0]):
+            found = ("new", None)
+            for name, was in (("carry", texts.get(text)), ("evolve", places.get(where))):
+                if was is not None and was not in used:
+                    used.add(was)
+                    found = (name, was)
+                    break
+            out.append((part, *found))
+        columns = zip(*out) if out else ([], [], [])
+        parts, kinds, was = (pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64())))
+        return pa.table({by: pa.array([key[0].as_py()] * len(out), after["file"].type), "part": parts, "kind": kinds, "prior_part": was})
+
+    return h(prior).groupBy("file").cogroup(h(new).groupBy("file")).applyInArrow(fold, f"{by} {kind}, part long, kind string, prior_part long")
 
 
 def staleness(disk: DataFrame, known: DataFrame) -> DataFrame:
@@ -266,13 +287,18 @@ def _ingest(spark, d):
     return ingest_actions(new, current, "page_id")
 
 
-@query("leaf_diff", "SELECT conv_id, turn AS part, CASE WHEN turn = 0 THEN 'carry' WHEN turn < n - 1 OR n = 1 THEN 'evolve' ELSE 'new' END AS kind FROM (SELECT DISTINCT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n > 1")
+@query("leaf_diff", "WITH c AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT conv_id, turn AS part, CASE WHEN conv_id % 3 = 0 THEN CASE WHEN turn = 0 THEN 'carry' WHEN turn < n - 1 THEN 'evolve' ELSE 'new' END WHEN conv_id % 3 = 1 THEN CASE WHEN turn < n - 1 THEN 'evolve' ELSE 'new' END ELSE CASE WHEN turn < n - 1 THEN 'carry' ELSE 'new' END END AS kind, CASE WHEN turn = n - 1 THEN NULL WHEN conv_id % 3 = 2 THEN n - 2 - turn ELSE turn END AS prior_part FROM c WHERE n > 1")
 def _leaves(spark, d):
-    # The new version keeps the first turn, rewrites the others and adds the last one.
-    c = read(spark, d, "conversations").withColumn("n", F.count("*").over(Window.partitionBy("conv_id"))).where("n > 1")
-    prior = c.where("turn < n - 1").select("conv_id", F.col("turn").alias("part"), F.concat(F.col("turn").cast("string"), F.lit(":"), "text").alias("chunk"))
-    new = c.select("conv_id", F.col("turn").alias("part"), F.concat(F.col("turn").cast("string"), F.lit(":"), "text", F.when(F.col("turn") == 0, "").otherwise("!")).alias("chunk"))
-    return leaf_diff(prior, new, "conv_id").select("conv_id", "part", "kind")
+    """A third keeps its first turn, rewrites the others and adds one; a third puts a new first turn before the old
+    ones, so each place is taken before its text is met again; a third turns its order round and adds one."""
+    n, turn, kind = F.col("n"), F.col("turn"), F.col("conv_id") % 3
+    c = read(spark, d, "conversations").withColumn("n", F.count("*").over(Window.partitionBy("conv_id"))).where("n > 1").withColumn("said", F.concat(turn.cast("string"), F.lit(":"), F.coalesce("text", F.lit(""))))
+    old = c.where("turn < n - 1")
+    prior = old.select("conv_id", turn.alias("part"), F.col("said").alias("chunk"))
+    rewritten = c.where(kind == 0).select("conv_id", turn.alias("part"), F.concat("said", F.when(turn == 0, "").otherwise("!")).alias("chunk"))
+    pushed = old.where(kind == 1).select("conv_id", (turn + 1).alias("part"), F.col("said").alias("chunk")).unionByName(c.where((kind == 1) & (turn == 0)).select("conv_id", F.lit(0).alias("part"), F.lit("new first").alias("chunk")))
+    turned = old.where(kind == 2).select("conv_id", (n - 2 - turn).alias("part"), F.col("said").alias("chunk")).unionByName(c.where((kind == 2) & (turn == 0)).select("conv_id", (n - 1).alias("part"), F.lit("new last").alias("chunk")))
+    return leaf_diff(prior, rewritten.unionByName(pushed).unionByName(turned), "conv_id").select("conv_id", "part", "kind", "prior_part")
 
 
 @query("staleness_review", "SELECT url AS path, CASE page_id % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'stale' WHEN 2 THEN 'touched' WHEN 3 THEN 'new' WHEN 4 THEN 'missing' ELSE 'ok' END AS state FROM (SELECT page_id, page_id || url AS url FROM pages) UNION ALL SELECT page_id || url || '.old', 'missing' FROM pages WHERE page_id % 6 = 5 AND page_id % 4 = 1 UNION ALL SELECT page_id || url || '.moved', 'renamed' FROM pages WHERE page_id % 6 = 5 AND page_id % 4 = 1")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..registry import query, read
+from .vector import cosine
 
 FUZZY, COSINE = 0.85, 0.92
 #: Names in one block of the coalescing pass; larger blocks are split by their second token.
@@ -40,18 +41,36 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / union)
 
 
-def resolve(names: DataFrame, entities: DataFrame, fuzzy: float = FUZZY) -> DataFrame:
-    """(name, entity_id, how) of each name (name, type): the exact entity of its type, else the best by token
-    Jaccard of at least fuzzy; ties go to the smaller id. Candidates share a token."""
-    n = names.select("name", "type").distinct()
+#: Entities of a type, newest first, that the cosine step of resolve looks at: the operator's own bound.
+NEWEST = 100
+
+
+def resolve(names: DataFrame, entities: DataFrame, fuzzy: float = FUZZY, name_vectors: DataFrame | None = None, entity_vectors: DataFrame | None = None, least: float = COSINE, newest: int = NEWEST) -> DataFrame:
+    """(name, type, entity_id, how) of each name (name, type) that has an entity (entity_id, name, entity_type, created_at).
+
+    Only entities of the name's type count, at every step: exact (whatever the case); else fuzzy, the best token
+    Jaccard of at least fuzzy (candidates share a token); else, where vectors are given (name, embedding and
+    entity_id, embedding), cosine: the best of at least `least` among the type's newest entities. Ties go to the
+    smaller id, those of the cosine to the newer entity.
+    """
+    key = ["name", "type"]
+    n = names.select(*key).distinct()
     e = entities.select("entity_id", F.col("name").alias("e_name"), F.col("entity_type").alias("type"))
-    exact = n.join(e, (F.lower(n["name"]) == F.lower(e["e_name"])) & (n["type"] == e["type"])).groupBy("name").agg(F.min("entity_id").alias("entity_id")).withColumn("how", F.lit("exact"))
-    rest = n.join(exact.select("name"), "name", "left_anti")
+    low = lambda df, c: df.withColumn("_low", F.lower(c))
+    exact = low(n, "name").join(low(e, "e_name"), ["_low", "type"]).groupBy(*key).agg(F.min("entity_id").alias("entity_id")).withColumn("how", F.lit("exact"))
+    rest = n.join(exact.select(*key), key, "left_anti")
     a = rest.withColumn("t", F.explode(F.array_distinct(X.tokens(F.col("name")))))
     b = e.withColumn("t", F.explode(F.array_distinct(X.tokens(F.col("e_name")))))
-    pairs = a.join(b, ["t", "type"]).select("name", "e_name", "entity_id").distinct().withColumn("j", token_jaccard(F.col("name"), F.col("e_name"))).where(F.col("j") >= fuzzy)
-    best = pairs.groupBy("name").agg(F.max_by("entity_id", F.struct("j", -F.col("entity_id"))).alias("entity_id")).withColumn("how", F.lit("fuzzy"))
-    return exact.unionByName(best)
+    pairs = a.join(b, ["t", "type"]).select(*key, "e_name", "entity_id").distinct().withColumn("j", token_jaccard(F.col("name"), F.col("e_name"))).where(F.col("j") >= fuzzy)
+    best = pairs.groupBy(*key).agg(F.max_by("entity_id", F.struct("j", -F.col("entity_id"))).alias("entity_id")).withColumn("how", F.lit("fuzzy"))
+    found = exact.unionByName(best)
+    if name_vectors is None or entity_vectors is None:
+        return found
+    left = rest.join(best.select(*key), key, "left_anti").join(name_vectors.select("name", F.col("embedding").alias("_q")), "name")
+    nth = F.row_number().over(Window.partitionBy("entity_type").orderBy(F.desc("created_at"), "entity_id"))
+    recent = entities.withColumn("_nth", nth).where(F.col("_nth") <= newest).join(entity_vectors, "entity_id").select("entity_id", F.col("entity_type").alias("type"), "_nth", F.col("embedding").alias("_v"))
+    near = left.join(recent, "type").withColumn("s", cosine(F.col("_q"), F.col("_v"))).where(F.col("s") >= least)
+    return found.unionByName(near.groupBy(*key).agg(F.max_by("entity_id", F.struct("s", -F.col("_nth"))).alias("entity_id")).withColumn("how", F.lit("cosine")))
 
 
 def normalized_id(name: Column, type_: Column) -> Column:
@@ -261,16 +280,27 @@ def _jaccard(spark, d):
     return a.join(b, "a").select("a", "b", F.round(token_jaccard(F.col("na"), F.col("nb")), 6).alias("j"))
 
 
-@query("entity_resolve", r"""WITH e AS (SELECT p_partkey AS id, p_name AS name, list_distinct(list_filter(string_split_regex(lower(p_name), '[^\p{L}\p{N}_]+'), lambda t: t <> '')) AS w FROM part),
-n AS (SELECT DISTINCT CASE WHEN id % 2 = 0 THEN upper(name) ELSE name || ' extra' END AS name FROM e), nw AS (SELECT name, list_distinct(list_filter(string_split_regex(lower(name), '[^\p{L}\p{N}_]+'), lambda t: t <> '')) AS w FROM n),
-x AS (SELECT n.name, min(e.id) AS entity_id, 'exact' AS how FROM n JOIN e ON lower(n.name) = lower(e.name) GROUP BY 1),
-f AS (SELECT nw.name, e.id, len(list_intersect(nw.w, e.w)) / len(list_distinct(list_concat(nw.w, e.w))) AS j FROM nw JOIN e ON list_has_any(nw.w, e.w) WHERE nw.name NOT IN (SELECT name FROM x)),
-g AS (SELECT name, max_by(id, (j, -id)) AS entity_id, 'fuzzy' AS how FROM f WHERE j >= 0.6 GROUP BY 1) SELECT * FROM x UNION ALL SELECT * FROM g""")
+@query("entity_resolve", r"""WITH e AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 4 < 2 THEN 'part' ELSE 'item' END AS type, list_distinct(list_filter(string_split_regex(lower(p_name), '[^\p{L}\p{N}_]+'), lambda t: t <> '')) AS w FROM part),
+n0 AS (SELECT CASE WHEN id % 3 = 0 THEN upper(name) WHEN id % 3 = 1 THEN name || ' extra' ELSE 'zz' || id END AS name, id FROM e),
+n AS (SELECT DISTINCT name, type FROM n0, (SELECT unnest(['part', 'item']) AS type)),
+nw AS (SELECT name, type, list_distinct(list_filter(string_split_regex(lower(name), '[^\p{L}\p{N}_]+'), lambda t: t <> '')) AS w FROM n),
+x AS (SELECT n.name, n.type, min(e.id) AS entity_id, 'exact' AS how FROM n JOIN e ON lower(n.name) = lower(e.name) AND n.type = e.type GROUP BY 1, 2),
+f AS (SELECT nw.name, nw.type, e.id, len(list_intersect(nw.w, e.w)) / len(list_distinct(list_concat(nw.w, e.w))) AS j FROM nw JOIN e ON nw.type = e.type AND list_has_any(nw.w, e.w) WHERE (nw.name, nw.type) NOT IN (SELECT name, type FROM x)),
+g AS (SELECT name, type, max_by(id, (j, -id)) AS entity_id, 'fuzzy' AS how FROM f WHERE j >= 0.6 GROUP BY 1, 2),
+q AS (SELECT 'zz' || (vec_id * 3 + 2) AS name, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+r AS (SELECT e.id, e.type, row_number() OVER (PARTITION BY type ORDER BY id) AS nth FROM e QUALIFY nth <= 100),
+c AS (SELECT n.name, n.type, r.id, r.nth, list_cosine_similarity(q.v, CAST(embedding AS DOUBLE[])) AS s FROM n JOIN q USING (name) JOIN r ON r.type = n.type JOIN embeddings ON vec_id = r.id),
+h AS (SELECT name, type, max_by(id, (s, -nth)) AS entity_id, 'cosine' AS how FROM c WHERE s >= 0.25 GROUP BY 1, 2)
+SELECT * FROM x UNION ALL SELECT * FROM g UNION ALL SELECT * FROM h""")
 def _resolve(spark, d):
-    e = read(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.lit("part").alias("entity_type"))
-    name = F.when(F.col("entity_id") % 2 == 0, F.upper("name")).otherwise(F.concat("name", F.lit(" extra")))
-    names = e.select(name.alias("name"), F.lit("part").alias("type"))
-    return resolve(names, e, 0.6)
+    """Two types, with every name in both; names of the last third have no token in common with any entity."""
+    e = read(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 4 < 2, "part").otherwise("item").alias("entity_type"), (-F.col("p_partkey")).alias("created_at"))
+    k = F.col("entity_id") % 3
+    name = F.when(k == 0, F.upper("name")).when(k == 1, F.concat("name", F.lit(" extra"))).otherwise(F.concat(F.lit("zz"), F.col("entity_id").cast("string")))
+    names = e.select(name.alias("name"), F.explode(F.array(F.lit("part"), F.lit("item"))).alias("type"))
+    v = read(spark, d, "embeddings")
+    of_names = v.select(F.concat(F.lit("zz"), (F.col("vec_id") * 3 + 2).cast("string")).alias("name"), "embedding")
+    return resolve(names, e, 0.6, of_names, v.select(F.col("vec_id").alias("entity_id"), "embedding"), least=0.25)
 
 
 @query("entity_extract_rules", r"SELECT doc_id, mention, CAST(strpos(text, mention) AS BIGINT) AS 'offset' FROM (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+'))) AS mention FROM documents)")

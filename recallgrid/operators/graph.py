@@ -81,7 +81,7 @@ def _shared(spark) -> str:
     """The folder that all executors share; a temporary one where none is set, as in local tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(str(found))
@@ -108,18 +108,28 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select("b", "b").distinct()).distinct()
 
 
-def dependents(edges: DataFrame, seeds: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id): what depends on seeds (id) over edges from_id -> to_id (from depends on to), seeds excluded; cycles end."""
+#: Levels of a walk after which what has been reached is put together again.
+LEVELS = 8
+
+
+def dependents(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id): what depends on seeds (id) over edges from_id -> to_id (from depends on to), seeds excluded.
+
+    The walk goes on for as many levels as there are; cycles end, as no node is walked twice. Each level reads its
+    frontier's edges only and ends in a checkpoint.
+    """
     _shared(edges.sparkSession)
-    reached = seeds.select("id").distinct().checkpoint()
-    frontier = reached
-    for _ in range(rounds):
-        step = frontier.join(edges, frontier["id"] == edges["to_id"]).select(F.col("from_id").alias("id")).distinct()
+    start = seeds.select("id").distinct().checkpoint()
+    back = edges.where("from_id <> to_id").select(F.col("to_id").alias("id"), F.col("from_id").alias("next")).distinct().checkpoint()
+    reached, frontier, level = start, start, 0
+    while not frontier.isEmpty():
+        level += 1
+        step = back.join(frontier, "id", "left_semi").select(F.col("next").alias("id")).distinct()
         frontier = step.join(reached, "id", "left_anti").checkpoint()
-        if frontier.isEmpty():
-            return reached.join(seeds.select("id"), "id", "left_anti")
-        reached = reached.union(frontier).checkpoint()
-    raise RuntimeError("dependents didn't settle")
+        reached = reached.union(frontier)
+        if level % LEVELS == 0:
+            reached = reached.checkpoint()
+    return reached.join(start, "id", "left_anti")
 
 
 def comention_edges(mentions: DataFrame, low: int = 2, high: int = 8) -> DataFrame:

@@ -190,12 +190,12 @@ def _overlap(spark, d):
     return read(spark, d, "part").select("p_partkey", F.round(X.title_overlap(F.lit("antique-blue GREEN of steel"), F.col("p_name")), 6).alias("overlap"))
 
 
-@query("title_role_augment", "SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN t WHEN 1 THEN t WHEN 2 THEN trim('[Caroline] ' || t) WHEN 3 THEN '[x] ' || t ELSE trim('[unknown] ' || t) END AS title FROM (SELECT conv_id, turn, regexp_replace(text[1:30], '^\\s+|\\s+$', '', 'g') AS t FROM conversations)")
+@query("title_role_augment", "SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN t WHEN 1 THEN t WHEN 2 THEN trim('[Caroline] ' || t) WHEN 3 THEN '[x] ' || t ELSE trim('[unknown] ' || t) END AS title FROM (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM conversations)")
 def _role(spark, d):
     k = F.col("turn") % 5
     role = F.when(k == 0, "Tool").when(k == 1, " user ").when(k == 2, " Caroline ").when(k == 3, "Caroline").otherwise("unknown")
-    title = F.concat(F.when(k == 3, "  [x] ").otherwise(" "), F.substring("text", 1, 30), F.lit(" \n"))
-    clean = F.when(k == 3, F.concat(F.lit("[x] "), X.strip(F.substring("text", 1, 30)))).otherwise(title)
+    title = F.concat(F.when(k == 3, "  [x] ").otherwise(" "), F.col("text"), F.lit(" \n"))
+    clean = F.when(k == 3, F.concat(F.lit("[x] "), X.strip(F.col("text")))).otherwise(title)
     return read(spark, d, "conversations").select("conv_id", "turn", X.title_with_role(clean, role).alias("title"))
 
 

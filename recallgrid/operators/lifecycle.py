@@ -11,7 +11,6 @@ from ..functions import text as X
 from ..registry import query, read
 from .predicates import validity
 from .reports import INPUTS_SQL, LEDGER_SQL, corroboration_inputs, ledger
-from .vector import cosine
 
 NOW = "2024-01-25 00:00:00"
 DAY = "INTERVAL {} DAYS"
@@ -78,13 +77,11 @@ def latest(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, id_col: str, block: str) -> DataFrame:
-    """(a, b, score) of vectors of one block with cosine of at least threshold.
+    """(a, b, score) of all vectors of one block (a model, an owner, a label) with cosine of at least threshold, a < b.
 
-    Blocks are the candidates' groups of the caller (a model, an owner, an LSH bucket); they must be bounded.
+    Exact; a block of any size is dealt into pairs of shares, as in block_pairs.
     """
-    a = vectors.select(F.col(id_col).alias("a"), F.col("embedding").alias("ea"), block)
-    b = vectors.select(F.col(id_col).alias("b"), F.col("embedding").alias("eb"), block)
-    return a.join(b, block).where("a < b").withColumn("score", cosine(F.col("ea"), F.col("eb"))).where(F.col("score") >= threshold).select("a", "b", "score")
+    return block_pairs(vectors.select(F.col(id_col).alias("id"), "embedding", F.col(block).alias("g")), threshold)
 
 
 #: Vectors in one side of a cell of cross_pairs.
@@ -145,18 +142,51 @@ def _cell(rows: pa.Table, threshold: float, differ: bool) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "score": pa.array(score, pa.float64())})
 
 
-def greedy_dedup(pairs: DataFrame, rounds: int = 100) -> DataFrame:
+#: Pairs of a component beyond which it is settled in rounds and not by one task.
+COMPONENT_PAIRS = 500_000
+
+
+def _claimed(rows: pa.Table) -> pa.Table:
+    """(id, parent) of the pairs of one component, in one pass over them in order."""
+    parent: dict[int, int] = {}
+    order = np.lexsort((rows["a"].to_numpy(), rows["b"].to_numpy()))
+    for a, b in zip(rows["a"].to_numpy()[order].tolist(), rows["b"].to_numpy()[order].tolist()):
+        if a not in parent and b not in parent:  # a's own pairs came before, as a < b
+            parent[b] = a
+    return pa.table({"id": pa.array(list(parent), pa.int64()), "parent": pa.array(list(parent.values()), pa.int64())})
+
+
+def greedy_dedup(pairs: DataFrame, component_pairs: int = COMPONENT_PAIRS) -> DataFrame:
     """(id, parent): each row claimed by its first unclaimed earlier neighbour, from sparse pairs (a < b).
 
     The lexicographically first maximal independent set: a row whose earlier neighbours are all settled is kept
-    if none of them is kept, else it belongs to the earliest kept one. Rounds follow chains of pairs.
+    if none of them is kept, else it belongs to the earliest kept one. Components are found in rounds whose number
+    grows with the logarithm of their size; each is settled in one pass by one task, whatever the length of its
+    chains. A component with more than component_pairs pairs is settled by settle_in_rounds.
     """
+    from .graph import _shared, components
+
+    _shared(pairs.sparkSession)
+    p = pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a < b").distinct().checkpoint()
+    label = components(p.toDF("from_id", "to_id")).checkpoint()
+    sizes = p.join(label, p["a"] == label["id"]).groupBy("component").agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > component_pairs).select("component").checkpoint()
+    of = p.join(label.withColumnRenamed("id", "a"), "a").select("a", "b", "component")
+    small = of.join(large, "component", "left_anti").groupBy("component").applyInArrow(_claimed, "id long, parent long")
+    if large.isEmpty():
+        return small
+    return small.unionByName(settle_in_rounds(of.join(large, "component", "left_semi").select("a", "b")))
+
+
+def settle_in_rounds(pairs: DataFrame) -> DataFrame:
+    """greedy_dedup in rounds of joins, as many as the longest chain of waiting rows needs; the smallest open row of
+    all is always settled, so they end."""
     from .graph import _shared
 
     _shared(pairs.sparkSession)
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     state = nodes.withColumn("parent", F.lit(None).cast("long")).withColumn("done", F.lit(False)).checkpoint()
-    for _ in range(rounds):
+    while True:
         if state.where("not done").isEmpty():
             return state.where("parent is not null").select("id", "parent")
         open_ = pairs.join(state.where("not done").select(F.col("id").alias("b")), "b")
@@ -166,7 +196,25 @@ def greedy_dedup(pairs: DataFrame, rounds: int = 100) -> DataFrame:
         # An earliest kept neighbour settles a row once no earlier one is still open.
         ready = ~F.col("done") & F.coalesce(F.col("waiting").isNull() | (F.col("kept") < F.col("waiting")), F.lit(False))
         state = merged.select("id", F.when(ready, F.col("kept")).otherwise(F.col("parent")).alias("parent"), (F.col("done") | ready).alias("done")).checkpoint()
-    raise RuntimeError("dedup didn't settle")
+
+
+# Cosines above which items are related, contradict (with equal titles) and corroborate each other.
+RELATED, CONFLICT, CORROBORATE = 0.70, 0.92, 0.95
+
+
+def contradictions(items: DataFrame, related: float = RELATED, conflict: float = CONFLICT, corroborate: float = CORROBORATE) -> DataFrame:
+    """(a, b, kind) of items (id, type, embedding, title, content) of one type with cosine above related, a < b.
+
+    supersede: above conflict with equal titles and other contents; else corroborate from its cosine on; else related.
+    Contents are compared by hash, so pairs carry no text.
+    """
+    pairs = block_pairs(items.select("id", "embedding", F.col("type").alias("g")), related).where(F.col("score") > related)
+    said = items.select("id", "title", F.xxhash64("content").alias("h1"), F.sha2(F.col("content").cast("binary"), 256).alias("h2"))
+    side = lambda s: said.select(F.col("id").alias(s), F.struct("h1", "h2").alias(f"h_{s}"), F.col("title").alias(f"t_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    differs = (F.col("t_a") == F.col("t_b")) & (F.col("h_a") != F.col("h_b"))
+    kind = F.when((F.col("score") > conflict) & differs, "supersede").when(F.col("score") >= corroborate, "corroborate").otherwise("related")
+    return both.select("a", "b", kind.alias("kind"))
 
 
 def forget(table: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -424,7 +472,8 @@ def _refresh(spark, d):
 _SHORT_SQL = "lower(role) = 'user' AND text <> '' AND NOT contains(text, '?') AND NOT list_has_any(string_split_regex(trim(lower(text)), '\\s+'), ['no', 'stop', 'kill', 'abort', 'wait', 'hold']) AND len(string_split_regex(trim(lower(text)), '\\s+')) <= 4"
 _SAID = ["run PID 123 now please and then go on", "it lies in C:\\Users\\me\\AppData\\Local\\Temp for now", "so far 40% is through, I would say", "we go with plan b because it scales", "from now on we go by train"]
 _SAID_SQL = "['run PID 123 now please and then go on', 'it lies in C:\\Users\\me\\AppData\\Local\\Temp for now', 'so far 40% is through, I would say', 'we go with plan b because it scales', 'from now on we go by train']"
-_CHAT = f"(SELECT conv_id, turn, role, TIMESTAMP '{NOW}' - to_days(CAST(conv_id % 60 AS INT)) AS created_at, CASE WHEN turn % 3 = 0 THEN text[1:12] WHEN (conv_id + turn) % 7 < 5 THEN {_SAID_SQL}[CAST((conv_id + turn) % 7 + 1 AS INT)] ELSE text END AS text FROM conversations)"
+_CHAT = f"""(WITH c AS (SELECT conv_id, turn, role, TIMESTAMP '{NOW}' - to_days(CAST(conv_id % 60 AS INT)) AS created_at, text FROM conversations)
+ SELECT * FROM c UNION ALL SELECT conv_id, turn + 500, role, created_at, text[1:12] FROM c WHERE turn % 3 = 0 UNION ALL SELECT conv_id, turn + 500, role, created_at, {_SAID_SQL}[CAST((conv_id + turn) % 5 + 1 AS INT)] FROM c WHERE turn % 3 <> 0)"""
 # What the patterns find in these texts, written as SQL by itself.
 _EPH_SQL = r"(regexp_matches(text[1:2000], '\bPID \d+|AppData[\\/]+Local[\\/]+Temp') OR (length(trim(text[1:2000])) <= 30 AND regexp_matches(trim(text[1:2000]), '^\{|^[-+]*\d+$')))"
 _SIGNAL_SQL = r"regexp_matches(text[1:20000], '(?i)```|\b(?:decide|decided|because|therefore|remember|never|always|important|note that|gotcha|todo)\b')"
@@ -433,11 +482,12 @@ _CLASS_SQL = f"CASE WHEN imp > 0.4 OR contains(text[1:200], '?') OR {_SIGNAL_SQL
 
 
 def _chat(spark, d) -> DataFrame:
-    k = (F.col("conv_id") + F.col("turn")) % 7
-    said = F.element_at(F.array(*map(F.lit, _SAID)), (F.least(k, F.lit(4)) + 1).cast("int"))
-    text = F.when(F.col("turn") % 3 == 0, F.substring("text", 1, 12)).when(k < 5, said).otherwise(F.col("text"))
+    """All turns, whole; and beside each one more of a few words, as the patterns look for."""
     created = F.to_timestamp(F.lit(NOW)) - F.make_dt_interval((F.col("conv_id") % 60).cast("int"))
-    return read(spark, d, "conversations").select("conv_id", "turn", "role", text.alias("text"), created.alias("created_at"), ((F.col("turn") % 5) / 10).alias("imp"))
+    c = read(spark, d, "conversations").select("conv_id", "turn", "role", "text", created.alias("created_at"))
+    said = F.element_at(F.array(*map(F.lit, _SAID)), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
+    brief = c.withColumns({"text": F.when(F.col("turn") % 3 == 0, F.substring("text", 1, 12)).otherwise(said), "turn": F.col("turn") + 500})
+    return c.unionByName(brief).withColumn("imp", (F.col("turn") % 5) / 10)
 
 
 @query("chatlog_decay", f"SELECT conv_id, turn, CASE WHEN {_SHORT_SQL} THEN CASE WHEN conv_id % 10 < 1 THEN 0.5 WHEN conv_id % 10 < 3 THEN 0.1 ELSE 0.02 END WHEN {_EPH_SQL} THEN CASE WHEN conv_id % 10 < 1 THEN 1.0 WHEN conv_id % 10 < 3 THEN 0.5 WHEN conv_id % 10 < 7 THEN 0.2 ELSE 0.05 END END AS factor FROM {_CHAT}")
@@ -458,11 +508,11 @@ def _prune(spark, d):
     return chat_prune(turns, NOW)
 
 
-@query("contradiction_detect", "WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, CASE WHEN s > 0.92 AND a % 5 <> b % 5 THEN 'supersede' WHEN s >= 0.95 THEN 'corroborate' ELSE 'related' END AS kind FROM p WHERE s > 0.7")
+@query("contradiction_detect", "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, text[1:3] AS title, text FROM embeddings JOIN documents ON doc_id = vec_id), p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.title = b.title AS titled, a.text = b.text AS same, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, CASE WHEN s > 0.25 AND titled AND NOT same THEN 'supersede' WHEN s >= 0.4 THEN 'corroborate' ELSE 'related' END AS kind FROM p WHERE s > 0.2")
 def _contradiction(spark, d):
-    p = similar_pairs(read(spark, d, "embeddings"), 0.7, "vec_id", "label").where("score > 0.7")
-    differs = (F.col("a") % 5) != (F.col("b") % 5)  # stands for contents that differ
-    return p.select("a", "b", F.when((F.col("score") > 0.92) & differs, "supersede").when(F.col("score") >= 0.95, "corroborate").otherwise("related").alias("kind"))
+    texts = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 3).alias("title"), F.col("text").alias("content"))
+    items = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("type")).join(texts, "id")
+    return contradictions(items, related=0.2, conflict=0.25, corroborate=0.4)
 
 
 @query("supersede", "SELECT event_id, user_id, lead(event_id) OVER w AS superseded_by, lead(ts) OVER w AS valid_to, lead(ts) OVER w IS NOT NULL AS is_deleted FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)")

@@ -164,9 +164,9 @@ def _scope(spark, d):
     return documents_as_items(spark, d).where(scope_predicates("u1", "agent", "src1%", "AGENT2")).select("id", "type")
 
 
-@query("scope_predicates_quoted", f"SELECT id, type FROM {ITEMS_SQL} WHERE type = 'src1' AND agent_id = 'Agent2'")
+@query("scope_predicates_quoted", f"SELECT id, type FROM {ITEMS_SQL} WHERE type = 'src1' AND agent_id = 'Agent1'")
 def _scope_quoted(spark, d):
-    return documents_as_items(spark, d).where(scope_predicates(type_='"src1"', agent='"Agent2"')).select("id", "type")
+    return documents_as_items(spark, d).where(scope_predicates(type_='"src1"', agent='"Agent1"')).select("id", "type")
 
 
 @query("agent_isolation", f"SELECT id, scope, agent_id FROM {ITEMS_SQL} WHERE scope <> 'agent' OR agent_id = 'Agent1'")
@@ -311,9 +311,9 @@ def _inbox(spark, d):
     return listed(read(spark, d, "events"), [F.desc("ts"), "event_id"], 20, mine).select("event_id", "user_id", "ts")
 
 
-@query("refresh_queue", f"SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND ts < TIMESTAMP '{NOW}' ORDER BY ts, event_id LIMIT 50")
+@query("refresh_queue", f"SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 AND ts < TIMESTAMP '2024-01-30 20:00:00' ORDER BY ts, event_id LIMIT 50")
 def _refresh(spark, d):
-    return refresh_due(read(spark, d, "events"), "user_id", NOW, 50)
+    return refresh_due(read(spark, d, "events"), "user_id", "2024-01-30 20:00:00", 50)
 
 
 @query("agent_list", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0 ORDER BY s_name, s_suppkey LIMIT 100")

@@ -41,8 +41,9 @@ def export_rows(items: DataFrame, vectors: DataFrame, edges: DataFrame, id_col:
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """current with the rows of incoming put in place of those with their keys."""
-    return current.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming.select(*current.columns))
+    """current with the rows of incoming put in place of those with their keys; of rows that repeat a key, one is taken."""
+    once = incoming.select(*current.columns).dropDuplicates(keys)
+    return current.join(once.select(*keys), keys, "left_anti").unionByName(once)
 
 
 def delta(rows: DataFrame, column: str, mark: str) -> DataFrame:
@@ -59,7 +60,10 @@ def newer_wins(target: DataFrame, source: DataFrame, keys: list[str], time: str)
 
 def sync_items(target: DataFrame, source: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """target, with columns taken from source where that is newer (or target has no time) and the stored row isn't
-    a person's or the system's, unless the incoming one is a person's; rows that are only in source are added."""
+    a person's or the system's, unless the incoming one is a person's; rows that are only in source are added.
+    Of source's rows of one key only the newest counts."""
+    newest = Window.partitionBy(key).orderBy(F.desc_nulls_last("updated_at"), *[F.desc_nulls_last(c) for c in columns if c != key])
+    source = source.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").drop("_nth")
     s = source.select(key, *[F.col(c).alias(f"_{c}") for c in [*columns, "updated_at", "change_agent"] if c != key])
     j = target.join(s, key, "left")
     newer = F.col("_updated_at").isNotNull() & (F.col("updated_at").isNull() | (F.col("_updated_at") > F.col("updated_at")))
@@ -75,14 +79,23 @@ def promote(source: DataFrame, target: DataFrame, key: str, type_: str) -> DataF
 
 
 def walk(spark: SparkSession, path: str, ignore: list[str] | None = None, most_bytes: int = 10 << 20) -> DataFrame:
-    """(path, length, sha256, text) of the text files under path: without ignored globs, large and binary files."""
+    """(path, length, sha256, text, left_out) of the files under path, without those that ignored globs match.
+
+    Every file has a row: those that aren't taken have no text, and say why in left_out: large (more than
+    most_bytes; their content isn't read), binary (a zero byte in the first 8,000) or encoding (not UTF-8).
+    """
     from ..functions.text import glob_pattern
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= most_bytes)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     for g in ignore or []:
         files = files.where(~F.col("path").rlike(glob_pattern(f"*{g}*")))
+    none = F.lit(None).cast("string")
+    large = files.where(F.col("length") > most_bytes).select("path", "length", none.alias("sha256"), none.alias("text"), F.lit("large").alias("left_out"))
+    binary = F.position(F.lit(b"\0"), F.substring("content", 1, 8000)) > 0
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    return files.where(F.locate("\0", F.substring(F.col("content").cast("string"), 1, 8000)) == 0).select("path", "length", F.sha2("content", 256).alias("sha256"), text.alias("text")).where("text is not null")
+    why = F.when(binary, "binary").when(text.isNull(), "encoding")
+    small = files.where(F.col("length") <= most_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"), F.when(why.isNull(), text).alias("text"), why.alias("left_out"))
+    return small.unionByName(large)
 
 
 TURN = "session string, id string, ts string, role string, model string, text string, tokens_in long, tokens_out long"
@@ -195,11 +208,16 @@ def _promote(spark, d):
     return promote(docs, docs.where("doc_id % 2 = 0"), "doc_id", "promoted")
 
 
-def _written(df: DataFrame, name: str) -> str:
-    """df's lines as text files in a folder that all executors share."""
+def _shared(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
     from ..streaming.jobs import shared
 
-    path = f"{shared(df.sparkSession)}/{name}"
+    return shared(spark)
+
+
+def _written(df: DataFrame, name: str) -> str:
+    """df's lines as text files in a folder that all executors share."""
+    path = f"{_shared(df.sparkSession)}/{name}"
     df.write.text(path)
     return path
 
@@ -222,9 +240,12 @@ def _sessions(spark, d):
     return transcript_sessions(spark, path, per_line=True).select("session", "id", "role", "text", "tokens_in")
 
 
-@query("walk_files")
+@query("walk_files", "WITH f AS (SELECT coalesce(text, '') || chr(10) AS t FROM documents) SELECT CAST(octet_length(encode(t)) AS BIGINT) AS length, CASE WHEN octet_length(encode(t)) <= 20000 THEN sha256(t) END AS sha256, CASE WHEN octet_length(encode(t)) > 20000 THEN 'large' END AS left_out, CASE WHEN octet_length(encode(t)) <= 20000 THEN length(t) END AS n_chars FROM f")
 def _walk(spark, d):
-    return walk(spark, _written(read(spark, d, "documents").select(F.regexp_replace("text", "\n", " ").alias("value")), "tree"), ["_SUCCESS", ".crc"]).select("length", "sha256")
+    """Every document as a file of its own; those above 20,000 bytes are left out, and listed as such."""
+    path = f"{_shared(spark)}/tree"
+    read(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return walk(spark, path, ["_SUCCESS", ".crc"], 20_000).select("length", "sha256", "left_out", F.char_length("text").cast("long").alias("n_chars"))
 
 
 @query("sync_tasks", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM orders")
