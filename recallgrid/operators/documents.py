@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query, read
-from .keyword import bm25_sql, keyword_search
+from .keyword import bm25_sql, documents_index, keyword_search
 
 TARGET, MAX, MIN = 1800, 2400, 300
 WINDOW, OVERLAP = 28_000, 8_000
@@ -317,7 +317,7 @@ def _search(spark, d):
     from .vector import cosine, with_query
 
     docs = _docs(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    words = keyword_search(docs, "license", 50).withColumn("rank", F.row_number().over(Window.orderBy("bm25", "id"))).select("id", "rank")
+    words = keyword_search(docs.select("id"), "license", 50, index=documents_index(spark, d)).withColumn("rank", F.row_number().over(Window.orderBy("bm25", "id"))).select("id", "rank")
     v = read(spark, d, "embeddings")
     near = with_query(v, v.where("vec_id = 0")).select(F.col("vec_id").alias("id"), cosine(F.col("embedding"), F.col("q")).alias("s")).orderBy(F.desc("s"), "id").limit(50)
     fused = rrf([words, near.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), "id"))).select("id", "rank")])

@@ -1,4 +1,4 @@
-"""Keyword retrieval: query compilation, BM25 from one scan, short circuit, fallback, chat search."""
+"""Keyword retrieval: query compilation, BM25 by stored postings or from one scan, short circuit, fallback, chat search."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..registry import query, read
+from .postings import KeywordIndex, index_of
 
 K1, B = 1.2, 0.75
 
@@ -104,16 +105,21 @@ def bm25(items: DataFrame, terms: list[str], text: str = "content", k1: float =
     return counted.crossJoin(F.broadcast(stats)).withColumn("bm25", -score).select(*items.columns, "bm25")
 
 
-def keyword_search(items: DataFrame, raw: str, limit: int = 20, mode: str = "hybrid", id_col: str = "id", text: str = "content") -> DataFrame:
-    """Matching rows with bm25, best first."""
+def keyword_search(items: DataFrame, raw: str, limit: int = 20, mode: str = "hybrid", id_col: str = "id", text: str = "content", index: KeywordIndex | None = None) -> DataFrame:
+    """Matching rows with bm25, best first; by the index of items where there is one, else by a scan of their texts."""
     q = compile_query(raw, mode)
+    if index is not None:
+        hits = index.matches(q).orderBy("bm25", "id").limit(limit).withColumnRenamed("id", id_col)
+        if items.columns == [id_col]:
+            return hits
+        return items.join(F.broadcast(hits), id_col).select(*items.columns, "bm25").orderBy("bm25", id_col)
     scored = bm25(items, q.terms, text, prefix=q.prefix).where(q.matches(F.col(text)))
     return scored.orderBy("bm25", id_col).limit(limit)
 
 
-def short_circuit(items: DataFrame, raw: str, k: int, id_col: str = "id", text: str = "content") -> DataFrame:
+def short_circuit(items: DataFrame, raw: str, k: int, id_col: str = "id", text: str = "content", index: KeywordIndex | None = None) -> DataFrame:
     """The first k of max(4k, 20) keyword hits that hold the query verbatim, whatever its case; score 1."""
-    hits = keyword_search(items, raw, max(4 * k, 20), id_col=id_col, text=text)
+    hits = keyword_search(items, raw, max(4 * k, 20), id_col=id_col, text=text, index=index)
     exact = hits.where(F.lower(text).contains(raw.lower()))
     return exact.orderBy("bm25", id_col).limit(k).withColumn("score", F.lit(1.0))
 
@@ -135,28 +141,32 @@ def _items(spark, d) -> DataFrame:
     return read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang", "source")
 
 
+def documents_index(spark, d) -> KeywordIndex:
+    return index_of(spark, d, "documents", F.col("doc_id"), "text")
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("bm25", F.round("bm25", 6))
 
 
 @query("keyword_search", f"WITH {bm25_sql('documents', 'doc_id', 'text', ['mit', 'license'])} SELECT id, round(bm25, 6) AS bm25 FROM scored WHERE list_contains(words, 'mit') AND list_contains(words, 'license') ORDER BY scored.bm25, id LIMIT 20")
 def _search(spark, d):
-    return _rounded(keyword_search(_items(spark, d).select("id", "content"), "MIT License!").select("id", "bm25"))
+    return _rounded(keyword_search(_items(spark, d).select("id"), "MIT License!", index=documents_index(spark, d)))
 
 
 @query("keyword_search_rows", f"WITH {bm25_sql('documents', 'doc_id', 'text', ['apache', 'gnu'], ', lang, source')} SELECT id, lang, source, round(bm25, 6) AS bm25, content[1:40] AS head FROM scored WHERE list_contains(words, 'apache') OR list_contains(words, 'gnu') ORDER BY scored.bm25, id LIMIT 20")
 def _search_rows(spark, d):
-    return _rounded(keyword_search(_items(spark, d), "Apache OR GNU", mode="fts5").select("id", "lang", "source", "bm25", F.substring("content", 1, 40).alias("head")))
+    return _rounded(keyword_search(_items(spark, d), "Apache OR GNU", mode="fts5", index=documents_index(spark, d)).select("id", "lang", "source", "bm25", F.substring("content", 1, 40).alias("head")))
 
 
 @query("keyword_search_prefix", f"WITH {bm25_sql('documents', 'doc_id', 'text', ['licens'], prefix=True)} SELECT id, round(bm25, 6) AS bm25 FROM scored WHERE len(list_filter(words, lambda w: starts_with(w, 'licens'))) > 0 ORDER BY scored.bm25, id LIMIT 20")
 def _search_prefix(spark, d):
-    return _rounded(keyword_search(_items(spark, d).select("id", "content"), "licens").select("id", "bm25"))
+    return _rounded(keyword_search(_items(spark, d).select("id"), "licens", index=documents_index(spark, d)))
 
 
 @query("keyword_search_phrase", f"WITH {bm25_sql('documents', 'doc_id', 'text', ['gnu', 'general', 'public'])} SELECT id, round(bm25, 6) AS bm25 FROM scored WHERE contains(' ' || array_to_string(words, ' ') || ' ', ' gnu general public ') ORDER BY scored.bm25, id LIMIT 20")
 def _search_phrase(spark, d):
-    return _rounded(keyword_search(_items(spark, d).select("id", "content"), '"GNU General Public"').select("id", "bm25"))
+    return _rounded(keyword_search(_items(spark, d).select("id"), '"GNU General Public"', index=documents_index(spark, d)))
 
 
 @query("fts_sanitize", r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text[1:500], '\b(?:OR|AND|NOT|NEAR)\b', ' ', 'g'), '[^\p{L}\p{N}\p{M}_\s]', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS q FROM documents")
@@ -171,14 +181,14 @@ def _normalize(spark, d):
 
 @query("fts_short_circuit", f"WITH {bm25_sql('documents', 'doc_id', 'text', ['apache', 'license'])}, hits AS (SELECT * FROM scored WHERE list_contains(words, 'apache') AND list_contains(words, 'license') ORDER BY bm25, id LIMIT 40) SELECT id, 1.0 AS score FROM hits WHERE contains(lower(content), 'apache license') ORDER BY bm25, id LIMIT 10")
 def _short(spark, d):
-    return short_circuit(_items(spark, d).select("id", "content"), "Apache License", 10).select("id", "score")
+    return short_circuit(_items(spark, d).select("id", "content"), "Apache License", 10, index=documents_index(spark, d)).select("id", "score")
 
 
 @query("fts_only_fallback", f"WITH {bm25_sql('documents', 'doc_id', 'text', ['mit', 'license'])} SELECT id, 1.0 AS score, row_number() OVER (ORDER BY bm25, id) AS pos FROM scored WHERE list_contains(words, 'mit') AND list_contains(words, 'license') QUALIFY pos <= 10")
 def _fallback(spark, d):
     from pyspark.sql import Window
 
-    hits = keyword_search(_items(spark, d).select("id", "content"), "mit license", 10)
+    hits = keyword_search(_items(spark, d).select("id"), "mit license", 10, index=documents_index(spark, d))
     return hits.select("id", F.lit(1.0).alias("score"), F.row_number().over(Window.orderBy("bm25", "id")).alias("pos"))  # at most ten rows
 
 
@@ -211,9 +221,9 @@ def _compile(spark, d):
 
 @query("chatlog_search", f"WITH {bm25_sql('conversations', 'conv_id * 1000 + turn', 'text', ['the'], ', role', True)} SELECT id, role, round(bm25, 6) AS bm25 FROM scored WHERE len(list_filter(words, lambda w: starts_with(w, 'the'))) > 0 AND role = 'assistant' ORDER BY scored.bm25, id LIMIT 15")
 def _chat(spark, d):
-    turns = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"), "role")
-    q = compile_query("the")
-    hits = bm25(turns, q.terms, prefix=q.prefix).where(q.matches(F.col("content")) & (F.col("role") == "assistant"))
+    number = F.col("conv_id") * 1000 + F.col("turn")
+    turns = read(spark, d, "conversations").select(number.alias("id"), "role").where("role = 'assistant'")
+    hits = index_of(spark, d, "conversations", number, "text").matches(compile_query("the")).join(turns, "id")
     return _rounded(hits.orderBy("bm25", "id").limit(15).select("id", "role", "bm25"))
 
 

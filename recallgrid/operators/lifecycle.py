@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..registry import query, read
+from .nearby import document_pairs, shares_for
 from .predicates import validity
 from .reports import INPUTS_SQL, LEDGER_SQL, corroboration_inputs, ledger
 
@@ -84,18 +85,19 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str, block: str)
     return block_pairs(vectors.select(F.col(id_col).alias("id"), "embedding", F.col(block).alias("g")), threshold)
 
 
-#: Vectors in one side of a cell of cross_pairs.
+#: Vectors in one side of a cell of block_pairs.
 CELL_ROWS = 2000
 
 
-def cross_pairs(vectors: DataFrame, threshold: float, id_col: str, group: str, cell_rows: int = CELL_ROWS) -> DataFrame:
+def cross_pairs(vectors: DataFrame, threshold: float, id_col: str, group: str, cell_rows: int | None = None) -> DataFrame:
     """(a, b, score) of all vectors of different groups with cosine of at least threshold, a < b.
 
-    Exact: ids are dealt by hash into shares of about cell_rows vectors, and each pair of shares meets in one
-    task, so no key gathers more than two shares. The work grows with the square of the rows.
+    Exact, for thresholds too low for nearby.near_pairs: ids are dealt by hash into shares, and each pair of shares
+    meets in one task; shares are as large as memory allows (nearby.SHARE_BYTES, or cell_rows), as a vector is copied
+    once for each share. The work grows with the square of the rows.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("id"), "embedding", F.col(group).alias("g")).dropna()
-    shares = max(1, -(-v.count() // cell_rows))
+    shares = shares_for(v, cell_rows)
     share = F.pmod(F.xxhash64("id"), F.lit(shares))
     both = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<bigint>"))
     dealt = v.withColumn("share", share).withColumn("other", both).withColumns({"x": F.least("share", "other"), "y": F.greatest("share", "other")})
@@ -544,9 +546,21 @@ def _dedup(spark, d):
     return greedy_dedup(similar_pairs(read(spark, d, "embeddings"), 0.3, "vec_id", "label").select("a", "b"))
 
 
-@query("files_dedup", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.label <> b.label AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.2")
+@query("files_dedup", "WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), v AS (SELECT id, e, label % 2 AS model, label AS file FROM e UNION ALL SELECT -1 - id, list_prepend(e[1] + 0.1, e[2:]), label % 2, CASE WHEN id % 3 = 0 THEN label ELSE label + 100 END FROM e) SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.model = b.model AND a.id < b.id WHERE a.file <> b.file AND NOT (a.id = -1 - b.id AND (b.id % 5 = 0 OR b.id % 7 = 0)) AND list_cosine_similarity(a.e, b.e) >= 0.92")
 def _fdedup(spark, d):
-    p = cross_pairs(read(spark, d, "embeddings"), 0.2, "vec_id", "label")
+    """All vectors, and beside each one a slightly turned one of another file (or, each third, of the same)."""
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    turned = F.transform("embedding", lambda x, i: F.when(i == 0, x + 0.1).otherwise(x))
+    none = F.lit(None).cast("long")
+    old = e.select("id", "embedding", (F.col("label") % 2).alias("model"), F.col("label").alias("file"), none.alias("evolved_from"))
+    new = e.select((-1 - F.col("id")).alias("id"), turned.alias("embedding"), (F.col("label") % 2).alias("model"), F.when(F.col("id") % 3 == 0, F.col("label")).otherwise(F.col("label") + 100).alias("file"), F.when(F.col("id") % 5 == 0, F.col("id")).otherwise(none).alias("evolved_from"))
+    pending = e.where("id % 7 = 0").select(F.col("id").alias("a"), (-1 - F.col("id")).alias("b"))
+    return document_pairs(old.unionByName(new), pending).select("a", "b", F.round("score", 6).alias("score"))
+
+
+@query("cross_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.label <> b.label AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.4")
+def _cross(spark, d):
+    p = cross_pairs(read(spark, d, "embeddings"), 0.4, "vec_id", "label")
     return p.select("a", "b", F.round("score", 6).alias("score"))
 
 

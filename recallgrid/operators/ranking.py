@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..registry import query, read
-from .keyword import bm25, bm25_sql
+from .keyword import bm25_sql, documents_index
 from .vector import cosine, with_query
 
 VECTOR_WEIGHT, TITLE_BOOST, IMPORTANCE_WEIGHT, SHORT_TURN = 0.7, 0.15, 0.15, 20
@@ -172,7 +172,8 @@ TERMS = ["license", "the"]
 
 def candidates(spark, d) -> DataFrame:
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source", "lang")
-    scored = bm25(docs, TERMS)
+    hits = documents_index(spark, d).bm25(TERMS).select("id", "bm25")
+    scored = docs.join(hits, "id", "left").withColumn("bm25", F.coalesce("bm25", F.lit(-0.0)))
     v = read(spark, d, "embeddings")
     near = with_query(v, v.where("vec_id = 0")).select(F.col("vec_id").alias("id"), cosine(F.col("embedding"), F.col("q")).alias("cos"), "embedding")
     importance = read(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("double").alias("importance"))

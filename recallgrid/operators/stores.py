@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..registry import query, read
 from ..sources.transfer import newer_wins
+from .nearby import near_neighbours, shares_for
 
 NOW = "2024-01-25 00:00:00"
 # Renamed vocabulary, types that aren't knowledge, relations of provenance, days a review may take.
@@ -38,14 +39,15 @@ def link_adjacent(turns: DataFrame, id_col: str, conversation: str, order: str,
     return known.select(F.col(id_col).alias("from_id"), F.lead(id_col).over(w).alias("to_id"), F.lit(relation).alias("relationship_type")).where("to_id is not null")
 
 
-def knn_graph(vectors: DataFrame, top: int, threshold: float, id_col: str = "id", cell_rows: int = 2000) -> DataFrame:
+def knn_graph(vectors: DataFrame, top: int, threshold: float, id_col: str = "id", cell_rows: int | None = None) -> DataFrame:
     """(from_id, to_id, score): of each vector the top others with cosine of at least threshold, exactly; ties to smaller ids.
 
-    Rows are dealt into shares by hash; every two shares meet in a cell of bounded size, which keeps each row's best
-    alone, so a cell gives top rows for each of its rows at most. The work grows with the square of the rows.
+    Rows are dealt into shares by hash, as few as memory allows (nearby.shares_for); every two shares meet in a cell,
+    which keeps each row's best alone, so a cell gives top rows for each of its rows at most. The work grows with the
+    square of the rows: for thresholds above some 0.8, nearby.near_neighbours looks at buckets of near vectors only.
     """
     v = vectors.select(F.col(id_col).cast("long").alias("id"), "embedding").dropna()
-    shares = max(1, -(-v.count() // cell_rows))
+    shares = shares_for(v, cell_rows)
     dealt = v.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(shares))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shares - 1).cast("bigint"))))
     cells = dealt.withColumns({"x": F.least("share", "other"), "y": F.greatest("share", "other")})
 
@@ -364,6 +366,15 @@ def _knn(spark, d):
     return knn_graph(read(spark, d, "embeddings"), 3, 0.25, "vec_id").withColumn("score", F.round("score", 6))
 
 
+@query("knn_graph_near", "WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), v AS (SELECT id * 4 + k AS id, list_prepend(e[1] + 0.05 * k, e[2:]) AS e FROM e, (SELECT unnest(range(0, 4)) AS k)), p AS (SELECT a.id AS from_id, b.id AS to_id, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.id <> b.id) SELECT from_id, to_id, round(s, 6) AS score FROM p WHERE s >= 0.9 QUALIFY row_number() OVER (PARTITION BY from_id ORDER BY s DESC, to_id) <= 2")
+def _knn_near(spark, d):
+    """Each vector, and three that are turned a little further each."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    e = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), k.alias("k"))
+    v = e.select((F.col("vec_id") * 4 + F.col("k")).alias("id"), F.expr("transform(e, (x, i) -> if(i = 0, x + 0.05D * k, x))").alias("embedding"))
+    return near_neighbours(v, 2, 0.9).withColumn("score", F.round("score", 6))
+
+
 @query("copy_variant", "SELECT md5('v2|' || doc_id) AS id, 'v2' AS variant, source, CASE WHEN vec_id IS NOT NULL THEN 1 ELSE 0 END AS vectors FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE lang = 'en' AND doc_id % 9 <> 0")
 def _copy(spark, d):
     items = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("variant"), "source", (F.col("doc_id") % 9 == 0).alias("is_deleted"))
