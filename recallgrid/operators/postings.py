@@ -18,6 +18,7 @@ of the index but its ids; changed rows are added again after `remove`.
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,12 @@ _TOGETHER = 2_000_000
 
 
 def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(F.left(term, F.lit(LEAD))), F.lit(buckets).cast("long")).cast("int")
+    return (F.crc32(F.left(term, F.lit(LEAD)).cast("binary")) % buckets).cast("int")
+
+
+def bucket_of_word(term: str, buckets: int = BUCKETS) -> int:
+    """bucket_of, for a term that is at hand."""
+    return zlib.crc32(term[:LEAD].encode()) % buckets
 
 
 def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,11 +88,22 @@ class KeywordIndex:
         index.spark.createDataFrame([], f"id {dict(items.dtypes)[id_col]}, upto int").write.parquet(f"{path}/gone")
         return index
 
+    @functools.cached_property
+    def _kind(self) -> str:
+        return dict(self.spark.read.parquet(f"{self.path}/rows").dtypes)["id"]
+
     def _read(self, name: str) -> DataFrame:
-        if name != "postings":
-            return self.spark.read.parquet(f"{self.path}/{name}")
-        kind = dict(self._read("rows").dtypes)["id"]  # an index without words has no file of postings
-        return self.spark.read.schema(f"id {kind}, term string, positions array<int>, length int, generation int, bucket int").parquet(f"{self.path}/postings")
+        """A table of the index, by its known schema: no file is opened to find it out."""
+        fields = {
+            "postings": f"id {self._kind}, term string, positions array<int>, length int, generation int, bucket int", "rows": f"id {self._kind}, length int, generation int",
+            "gone": f"id {self._kind}, upto int", "sums": "n long, total long, generation int",
+        }
+        return self.spark.read.schema(fields[name]).parquet(f"{self.path}/{name}")
+
+    def _state(self) -> tuple[int, int, list[int], bool]:
+        """Rows, words, whole generations, and whether any row has been removed; one row of sums for each change."""
+        sums = self._read("sums").collect()
+        return sum(r["n"] for r in sums), sum(r["total"] for r in sums), [r["generation"] for r in sums if r["generation"] is not None], any(r["generation"] is None for r in sums)
 
     def _append(self, rows: DataFrame, generation: int) -> int:
         """Writes the postings of rows (id, text) as a generation; the sums come last and make it count."""
@@ -122,32 +139,31 @@ class KeywordIndex:
             self._sum(-n, -total, None)
         return n
 
-    def _live(self, rows: DataFrame) -> DataFrame:
+    def _live(self, rows: DataFrame, state: tuple | None = None) -> DataFrame:
         """Rows with id and generation whose generation is whole and that haven't been removed."""
-        whole = [r[0] for r in self._read("sums").where("generation is not null").select("generation").collect()]
+        _, _, whole, removed = state or self._state()
         rows = rows.where(F.col("generation").isin(whole))
-        gone = self._read("gone").groupBy("id").agg(F.max("upto").alias("_upto"))
-        if gone.isEmpty():
+        if not removed:
             return rows
+        gone = self._read("gone").groupBy("id").agg(F.max("upto").alias("_upto"))
         return rows.join(gone, "id", "left").where(F.col("_upto").isNull() | (F.col("generation") > F.col("_upto"))).drop("_upto")
 
     def live_rows(self) -> DataFrame:
         return self._live(self._read("rows"))
 
-    def postings(self, terms: list[str], prefix: bool = False) -> DataFrame:
+    def postings(self, terms: list[str], prefix: bool = False, state: tuple | None = None) -> DataFrame:
         """(q, id, positions, length): the postings of terms, numbered by q; with prefix, of all words that start with a term.
 
         Only the terms' buckets are read; a prefix shorter than LEAD letters is in all of them.
         """
         if not prefix or all(len(t) >= LEAD for t in terms):
-            found = self.spark.range(1).select(F.array(*[bucket_of(F.lit(t), self.buckets) for t in terms]).alias("b")).first()["b"]
-            rows = self._read("postings").where(F.col("bucket").isin(sorted(set(found))))
+            rows = self._read("postings").where(F.col("bucket").isin(sorted({bucket_of_word(t, self.buckets) for t in terms})))
         else:
             rows = self._read("postings")
         test = lambda t: F.col("term").startswith(t) if prefix else F.col("term") == t
         rows = rows.where(functools.reduce(lambda a, b: a | b, [test(t) for t in terms]))
         q = F.explode(F.array_compact(F.array(*[F.when(test(t), F.lit(i)) for i, t in enumerate(terms)])))
-        return self._live(rows).select(q.alias("q"), "id", "positions", "length")
+        return self._live(rows, state).select(q.alias("q"), "id", "positions", "length")
 
     def bm25(self, terms: list[str], prefix: bool = False, placed: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """(id, tf, bm25) of every row with a term, tf by the terms' numbers; bm25 is negated, lower is better.
@@ -155,18 +171,18 @@ class KeywordIndex:
         placed adds places, the terms' positions.
         """
         n = len(terms)
-        each = self.postings(terms, prefix)
+        state = self._state()
+        each = self.postings(terms, prefix, state)
         here = lambda i, c: F.when(F.col("q") == i, c)
         tf = [F.coalesce(F.sum(here(i, F.size("positions"))), F.lit(0)).alias(f"tf{i}") for i in range(n)]
         places = [F.flatten(F.collect_list(here(i, F.col("positions")))).alias(f"p{i}") for i in range(n)] if placed else []
         rows = each.groupBy("id").agg(F.max("length").alias("length"), *tf, *places)
-        total = self._read("sums").agg(F.sum("n").alias("_n"), (F.sum("total") / F.sum("n")).alias("_mean"))
-        df = rows.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"_df{i}") for i in range(n)])
-        stats = total.crossJoin(df)  # a row each
+        count, mean = F.lit(float(state[0])), F.lit(state[1] / max(1, state[0]))
+        stats = rows.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"_df{i}") for i in range(n)])  # one row
         score = F.lit(0.0)
         for i in range(n):
-            idf = F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
-            some = idf * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("length") / F.col("_mean")))
+            idf = F.log(1 + (count - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
+            some = idf * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("length") / mean))
             score = score + F.when(F.col(f"tf{i}") > 0, some).otherwise(0.0)
         every = lambda name: F.array(*[F.col(f"{name}{i}") for i in range(n)])
         return rows.crossJoin(F.broadcast(stats)).select("id", every("tf").alias("tf"), *[every("p").alias("places")] * placed, (-score).alias("bm25"))
