@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import query, read
+from .leases import leases, with_rocksdb
 
 LEASE_SECONDS, ATTEMPTS, BACKOFF = 3600, 3, 30
 
@@ -24,7 +25,7 @@ def shared(spark: SparkSession) -> str:
     """A new folder in what all executors share (spark.checkpoint.dir), or a temporary one in local tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     return f"{base}/{uuid.uuid4().hex}"
@@ -60,7 +61,11 @@ def run_now(stream: DataFrame, mode: str = "append", keys: list[str] | None = No
 
 
 def tumbling(events: DataFrame, minutes: int = 10, late: str = "1 hour") -> DataFrame:
-    """(start, n, total) of windows by event time; times without a zone are taken in the session's."""
+    """(start, n, total) of windows by event time; times without a zone are taken in the session's.
+
+    On a stream, for output mode append: a window comes out once, when the watermark (the latest time less late) has
+    passed its end, and its state goes; rows of windows that are gone are dropped.
+    """
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     w = events.withWatermark("ts", late) if events.isStreaming else events
     return w.groupBy(F.window("ts", f"{minutes} minutes").alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "n", "total")
@@ -77,6 +82,7 @@ def write_behind(stream: DataFrame, keys: list[str], path: str, checkpoint: str)
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """(user_id, start, end, n): on a stream, for append, a session comes out once the watermark has passed its end."""
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     w = events.withWatermark("ts", late) if events.isStreaming else events
     return w.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
@@ -149,22 +155,36 @@ def lease_state(log: DataFrame, now: str, by: str = "group_id") -> DataFrame:
 
 
 def notices(events: DataFrame, key: list[str], column: str, order: str, seconds: int = 3600, late: str = "1 hour") -> DataFrame:
-    """The first row of each key within each period (by time, then order); on streams the watermark bounds the state."""
+    """The first row of each key within each period (by time, then order); on a stream, for append, when the period is over."""
     timed = events.withColumn(column, F.col(column).cast("timestamp"))
     timed = timed.withWatermark(column, late) if events.isStreaming else timed
     first = F.min_by(F.struct(*events.columns), F.struct(column, order)).alias("e")
     return timed.groupBy(*key, F.window(column, f"{seconds} seconds").alias("_w")).agg(first).select("e.*")
 
 
-@query("tumbling_throughput", "SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def notices_now(events: DataFrame, key: list[str], column: str, seconds: int = 3600, late: str = "1 hour") -> DataFrame:
+    """A row of each key within each period, at once: the first that arrives; with period, the start of its period.
+
+    Keys are kept until the watermark has passed them by late, and go then.
+    """
+    timed = events.withColumn(column, F.col(column).cast("timestamp"))
+    timed = timed.withColumn("period", F.window(column, f"{seconds} seconds")["start"])
+    if not events.isStreaming:
+        return timed.dropDuplicates([*key, "period"])
+    return timed.withWatermark(column, late).dropDuplicatesWithinWatermark([*key, "period"])
+
+
+@query("tumbling_throughput", "SELECT start, n, total FROM (SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1) WHERE start + INTERVAL 10 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)")
 def _tumbling(spark, d):
-    out = run_now(tumbling(stream_of(spark, d, "events")), "complete")
+    """Windows that are over: the watermark is an hour behind the latest event."""
+    out = run_now(tumbling(stream_of(spark, d, "events")))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
-@query("session_grouping", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")
+@query("session_grouping", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)")
 def _sessions(spark, d):
-    out = run_now(sessions(stream_of(spark, d, "events")), "complete")
+    """Sessions that are over: the watermark is an hour behind the latest event."""
+    out = run_now(sessions(stream_of(spark, d, "events")))
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
@@ -204,6 +224,23 @@ def _lease(spark, d):
     return lease_state(log, "2024-01-31 00:00:00").withColumn("retry_at", F.date_format("retry_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("file_watch", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, floor(epoch(ts) / 3600) ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
+@query("file_watch", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, floor(epoch(ts) / 3600) ORDER BY ts, event_id) AS r, ts FROM events) WHERE r = 1 AND time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)")
 def _watch(spark, d):
-    return run_now(notices(stream_of(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id"), "complete").select("event_id")
+    return run_now(notices(stream_of(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id")).select("event_id")
+
+
+@query("file_watch_now", "SELECT DISTINCT user_id, event_type, time_bucket(INTERVAL 1 HOUR, ts) AS period FROM events")
+def _watch_now(spark, d):
+    out = run_now(notices_now(stream_of(spark, d, "events").select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts"))
+    return out.select("user_id", "event_type", F.col("period").cast("timestamp_ntz").alias("period"))
+
+
+@query("claim_stream")
+def _claims(spark, d):
+    """Every change of every work item, with leases and back-offs that end, from the log of requests."""
+    t = F.col("event_type")
+    event = F.when(t == "error", "failed").when(t.isin("view", "click"), "claim").when(t == "purchase", "success").otherwise("limited")
+    item = F.concat_ws("-", "user_id", F.floor(F.unix_timestamp("ts") / 86400))
+    log = stream_of(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).select(item.alias("group_id"), "ts", event.alias("event"))
+    out = with_rocksdb(spark, lambda: run_now(leases(log)))
+    return out.select("group_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("ts"), "state", "attempts", F.date_format("until", "yyyy-MM-dd HH:mm:ss.SSS").alias("until"))
