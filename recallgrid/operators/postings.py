@@ -2,17 +2,18 @@
 
 An index is a folder of Parquet tables:
 
-  postings/bucket=B  (term, id, positions, length, generation), sorted by term: a term's bucket follows from its first
-                     two letters, so a term or a prefix of two letters and more is in one folder, and within it the row
-                     groups' bounds leave few to be read
+  postings/bucket=B  (term, ids, lengths, starts, positions, generation), sorted by term: lists of rows with the term;
+                     positions are those of all the rows, and starts says where each row's begin. A term's bucket follows
+                     from its first two letters, so a term or a prefix of two letters and more is in one folder, and
+                     within it the row groups' bounds leave few to be read
   rows               (id, length, generation): what has been indexed
   gone               (id, upto): of these ids, postings of generations up to upto don't count any more
   sums               (n, total, generation): rows and words added by a generation, and with a minus those taken
                      away; written last, so a generation counts once it is whole
 
-Frequent terms are spread over files by a hash of the id. A row's postings are put together in the task that reads
-the row, so what is shuffled is a record for each different word of a row. Adding rows appends files and reads nothing
-of the index but its ids; changed rows are added again after `remove`.
+A list is put together in the task that reads its rows, from some millions of words at a time, so what is shuffled is a
+record for each term of so many words; a frequent term is many lists, dealt to several files. Adding rows appends files
+and reads nothing of the index but its ids; changed rows are added again after `remove`.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from ..functions import text as X
 BUCKETS = 64
 #: Bytes of text, on average, of which the words of one bucket are written by one task; beyond it rows are dealt to more.
 SALT_BYTES = 128 << 20
+#: Rows of a list, as compacting makes them.
+LIST_ROWS = 4096
 #: Letters of a term that decide its bucket.
 LEAD = 2
 #: Words of a batch of rows that are put together at once.
@@ -47,8 +50,8 @@ def bucket_of_word(term: str, buckets: int = BUCKETS) -> int:
     return zlib.crc32(term[:LEAD].encode()) % buckets
 
 
-def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, term, positions, length) of rows (id, tokens)."""
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, ids, lengths, starts, positions) of rows (id, tokens)."""
     for whole in batches:
         sizes = np.cumsum(whole["tokens"].value_lengths().to_numpy())
         start = 0
@@ -62,16 +65,30 @@ def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(words):
                 continue
             row = np.repeat(np.arange(len(batch)), length)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
-            key = row.astype(np.int64) * len(words.dictionary) + words.indices.to_numpy()
+            place = (np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)
+            key = words.indices.to_numpy().astype(np.int64) * len(batch) + row
             order = np.argsort(key, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
-            mine = row[order[first]]
-            positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+            code, mine = np.divmod(key[order], len(batch))
+            first = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))  # where a row's positions begin
+            term = np.flatnonzero(np.concatenate(([True], np.diff(code[first]) != 0)))  # where a term's rows begin
+            ends = np.append(term, len(first))
+            begin = first[term]
+            # A list has one start more than it has rows: the end of its last one's positions.
+            bounds = np.insert(np.append(first, len(order)), ends[1:-1], first[term[1:]])
+            lists = np.arange(len(ends)) + ends
+            starts = bounds - np.repeat(begin, np.diff(lists))
+            of = lambda cuts, values: pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), values)
+            rows = mine[first]
             yield pa.RecordBatch.from_arrays(
-                [batch["id"].take(pa.array(mine)), words.dictionary.take(pa.array(key[order[first]] % len(words.dictionary))), positions, pa.array(length[mine].astype(np.int32))],
-                names=["id", "term", "positions", "length"],
-            )
+                [
+                    words.dictionary.take(pa.array(code[begin])), of(ends, batch["id"].take(pa.array(rows))), of(ends, pa.array(length[rows].astype(np.int32))),
+                    of(lists, pa.array(starts.astype(np.int32))), of(np.append(begin, len(order)), pa.array(place[order])),
+                ],
+                names=["term", "ids", "lengths", "starts", "positions"],
+            )
+
+
+_LISTS = "term string, ids array<{}>, lengths array<int>, starts array<int>, positions array<int>"
 
 
 class KeywordIndex:
@@ -95,7 +112,7 @@ class KeywordIndex:
     def _read(self, name: str) -> DataFrame:
         """A table of the index, by its known schema: no file is opened to find it out."""
         fields = {
-            "postings": f"id {self._kind}, term string, positions array<int>, length int, generation int, bucket int", "rows": f"id {self._kind}, length int, generation int",
+            "postings": f"{_LISTS.format(self._kind)}, generation int, bucket int", "rows": f"id {self._kind}, length int, generation int",
             "gone": f"id {self._kind}, upto int", "sums": "n long, total long, generation int",
         }
         return self.spark.read.schema(fields[name]).parquet(f"{self.path}/{name}")
@@ -114,13 +131,14 @@ class KeywordIndex:
         mine = self._read("rows").where(F.col("generation") == generation)
         n, total = mine.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         salts = 1 + total * 6 // (SALT_BYTES * self.buckets)
-        postings = tokens.mapInArrow(_by_row, f"id {kind}, term string, positions array<int>, length int")
-        placed = postings.withColumns({"bucket": bucket_of(F.col("term"), self.buckets), "generation": F.lit(generation), "_salt": F.pmod(F.xxhash64("id"), F.lit(salts).cast("long"))})
-        dealt = placed.repartition("bucket", "_salt").sortWithinPartitions("bucket", "term", "id").drop("_salt")
-        dealt.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+        self._write(tokens.mapInArrow(_lists, _LISTS.format(kind)), generation, F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(salts).cast("long")))
         self._sum(n, total, generation)
         return n
 
+    def _write(self, lists: DataFrame, generation: int, salt: Column) -> None:
+        placed = lists.withColumns({"bucket": bucket_of(F.col("term"), self.buckets), "generation": F.lit(generation), "_salt": salt})
+        placed.repartition("bucket", "_salt").sortWithinPartitions("bucket", "term").drop("_salt").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+
     def _sum(self, n: int, total: int, generation: int | None) -> None:
         self.spark.createDataFrame([(n, int(total), generation)], "n long, total long, generation int").coalesce(1).write.mode("append").parquet(f"{self.path}/sums")
 
@@ -151,8 +169,16 @@ class KeywordIndex:
     def live_rows(self) -> DataFrame:
         return self._live(self._read("rows"))
 
-    def postings(self, terms: list[str], prefix: bool = False, state: tuple | None = None) -> DataFrame:
-        """(q, id, positions, length): the postings of terms, numbered by q; with prefix, of all words that start with a term.
+    def _rows(self, lists: DataFrame, *columns: Column | str, placed: bool = True, state: tuple | None = None) -> DataFrame:
+        """columns, id, length, tf and (placed) positions of the live rows of lists."""
+        each = lists.select(*columns, "lengths", "starts", "generation", *["positions"] * placed, F.posexplode("ids").alias("_k", "id"))
+        tf = (F.col("starts")[F.col("_k") + 1] - F.col("starts")[F.col("_k")]).alias("tf")
+        places = [F.slice("positions", F.col("starts")[F.col("_k")] + 1, F.greatest(tf, F.lit(0))).alias("positions")] * placed
+        return self._live(each.select(*columns, "id", "generation", F.col("lengths")[F.col("_k")].alias("length"), tf, *places), state).drop("generation")
+
+    def postings(self, terms: list[str], prefix: bool = False, placed: bool = True, state: tuple | None = None) -> DataFrame:
+        """(q, id, length, tf, and, placed, positions): the postings of terms, numbered by q; with prefix, of all words
+        that start with a term.
 
         Only the terms' buckets are read; a prefix shorter than LEAD letters is in all of them.
         """
@@ -163,7 +189,7 @@ class KeywordIndex:
         test = lambda t: F.col("term").startswith(t) if prefix else F.col("term") == t
         rows = rows.where(functools.reduce(lambda a, b: a | b, [test(t) for t in terms]))
         q = F.explode(F.array_compact(F.array(*[F.when(test(t), F.lit(i)) for i, t in enumerate(terms)])))
-        return self._live(rows, state).select(q.alias("q"), "id", "positions", "length")
+        return self._rows(rows.withColumn("q", q), "q", placed=placed, state=state)
 
     def bm25(self, terms: list[str], prefix: bool = False, placed: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """(id, tf, bm25) of every row with a term, tf by the terms' numbers; bm25 is negated, lower is better.
@@ -172,9 +198,9 @@ class KeywordIndex:
         """
         n = len(terms)
         state = self._state()
-        each = self.postings(terms, prefix, state)
+        each = self.postings(terms, prefix, placed, state)
         here = lambda i, c: F.when(F.col("q") == i, c)
-        tf = [F.coalesce(F.sum(here(i, F.size("positions"))), F.lit(0)).alias(f"tf{i}") for i in range(n)]
+        tf = [F.coalesce(F.sum(here(i, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i in range(n)]
         places = [F.flatten(F.collect_list(here(i, F.col("positions")))).alias(f"p{i}") for i in range(n)] if placed else []
         rows = each.groupBy("id").agg(F.max("length").alias("length"), *tf, *places)
         count, mean = F.lit(float(state[0])), F.lit(state[1] / max(1, state[0]))
@@ -205,10 +231,13 @@ class KeywordIndex:
     def compact(self, path: str) -> KeywordIndex:
         """This index written anew under path, without what has been removed, as one generation."""
         out = KeywordIndex(self.spark, path, self.buckets)
-        zero = {"generation": F.lit(0)}
-        rows = self.live_rows().withColumns(zero)
+        rows = self.live_rows().withColumn("generation", F.lit(0))
         rows.write.parquet(f"{path}/rows")
-        self._live(self._read("postings")).withColumns(zero).repartition("bucket").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
+        salt = F.pmod(F.xxhash64("id"), F.lit(1 + rows.count() // LIST_ROWS).cast("long"))
+        each = self._rows(self._read("postings"), "term").groupBy("term", salt.alias("_of")).agg(F.array_sort(F.collect_list(F.struct("id", "length", "positions"))).alias("p"))
+        starts = F.expr("aggregate(p.positions, array(0), (a, x) -> concat(a, array(element_at(a, -1) + size(x))))")
+        lists = each.select("term", F.col("p.id").alias("ids"), F.col("p.length").alias("lengths"), starts.alias("starts"), F.flatten("p.positions").alias("positions"), "_of")
+        out._write(lists.drop("_of"), 0, F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(1).cast("long")))
         rows.select("id", F.col("generation").alias("upto")).where("false").write.parquet(f"{path}/gone")
         n, total = rows.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         out._sum(n, total, 0)

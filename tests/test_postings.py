@@ -117,7 +117,7 @@ def test_a_word_of_most_rows_is_spread_over_files(spark, tmp_path, monkeypatch,
     monkeypatch.setattr(postings, "SALT_BYTES", 400)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
-    docs = spark.range(400).select("id", F.lit("the same words").alias("content"))
+    docs = spark.range(0, 400, 1, 8).select("id", F.lit("the same words").alias("content"))
     index = KeywordIndex.build(docs, f"{tmp_path}/i", buckets=2)
     files = index.postings(["the"]).select(F.input_file_name().alias("f")).distinct().count()
     assert files > 1
