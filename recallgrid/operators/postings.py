@@ -2,10 +2,10 @@
 
 An index is a folder of Parquet tables:
 
-  postings/bucket=B  (term, ids, lengths, starts, positions, generation), sorted by term: lists of rows with the term;
-                     positions are those of all the rows, and starts says where each row's begin. A term's bucket follows
-                     from its first two letters, so a term or a prefix of two letters and more is in one folder, and
-                     within it the row groups' bounds leave few to be read
+  postings/bucket=B  (term, ids, lengths, positions, generation), sorted by term: lists of rows with the term; positions
+                     are those of all the rows, the first of each row as -1 - position. A term's bucket follows from its
+                     first two letters, so a term or a prefix of two letters and more is in one folder, and within it
+                     the row groups' bounds leave few to be read
   rows               (id, length, generation): what has been indexed
   gone               (id, upto): of these ids, postings of generations up to upto don't count any more
   sums               (n, total, generation): rows and words added by a generation, and with a minus those taken
@@ -38,7 +38,7 @@ LIST_ROWS = 4096
 #: Letters of a term that decide its bucket.
 LEAD = 2
 #: Words of a batch of rows that are put together at once.
-_TOGETHER = 2_000_000
+_TOGETHER = 4_000_000
 
 
 def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
@@ -51,7 +51,7 @@ def bucket_of_word(term: str, buckets: int = BUCKETS) -> int:
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, ids, lengths, starts, positions) of rows (id, tokens)."""
+    """(term, ids, lengths, positions) of rows (id, tokens)."""
     for whole in batches:
         sizes = np.cumsum(whole["tokens"].value_lengths().to_numpy())
         start = 0
@@ -73,22 +73,20 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             term = np.flatnonzero(np.concatenate(([True], np.diff(code[first]) != 0)))  # where a term's rows begin
             ends = np.append(term, len(first))
             begin = first[term]
-            # A list has one start more than it has rows: the end of its last one's positions.
-            bounds = np.insert(np.append(first, len(order)), ends[1:-1], first[term[1:]])
-            lists = np.arange(len(ends)) + ends
-            starts = bounds - np.repeat(begin, np.diff(lists))
+            place = place[order]
+            place[first] = -1 - place[first]
             of = lambda cuts, values: pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), values)
             rows = mine[first]
             yield pa.RecordBatch.from_arrays(
                 [
                     words.dictionary.take(pa.array(code[begin])), of(ends, batch["id"].take(pa.array(rows))), of(ends, pa.array(length[rows].astype(np.int32))),
-                    of(lists, pa.array(starts.astype(np.int32))), of(np.append(begin, len(order)), pa.array(place[order])),
+                    of(np.append(begin, len(order)), pa.array(place)),
                 ],
-                names=["term", "ids", "lengths", "starts", "positions"],
+                names=["term", "ids", "lengths", "positions"],
             )
 
 
-_LISTS = "term string, ids array<{}>, lengths array<int>, starts array<int>, positions array<int>"
+_LISTS = "term string, ids array<{}>, lengths array<int>, positions array<int>"
 
 
 class KeywordIndex:
@@ -171,9 +169,11 @@ class KeywordIndex:
 
     def _rows(self, lists: DataFrame, *columns: Column | str, placed: bool = True, state: tuple | None = None) -> DataFrame:
         """columns, id, length, tf and (placed) positions of the live rows of lists."""
-        each = lists.select(*columns, "lengths", "starts", "generation", *["positions"] * placed, F.posexplode("ids").alias("_k", "id"))
-        tf = (F.col("starts")[F.col("_k") + 1] - F.col("starts")[F.col("_k")]).alias("tf")
-        places = [F.slice("positions", F.col("starts")[F.col("_k")] + 1, F.greatest(tf, F.lit(0))).alias("positions")] * placed
+        begin = F.expr("array_append(array_compact(transform(positions, (p, i) -> if(p < 0, i, null))), size(positions))")
+        each = lists.withColumn("_begin", begin).select(*columns, "lengths", "_begin", "generation", *["positions"] * placed, F.posexplode("ids").alias("_k", "id"))
+        tf = (F.col("_begin")[F.col("_k") + 1] - F.col("_begin")[F.col("_k")]).alias("tf")
+        own = F.slice("positions", F.col("_begin")[F.col("_k")] + 1, F.greatest(tf, F.lit(0)))
+        places = [F.transform(own, lambda p: F.when(p < 0, -1 - p).otherwise(p)).alias("positions")] * placed
         return self._live(each.select(*columns, "id", "generation", F.col("lengths")[F.col("_k")].alias("length"), tf, *places), state).drop("generation")
 
     def postings(self, terms: list[str], prefix: bool = False, placed: bool = True, state: tuple | None = None) -> DataFrame:
@@ -235,8 +235,8 @@ class KeywordIndex:
         rows.write.parquet(f"{path}/rows")
         salt = F.pmod(F.xxhash64("id"), F.lit(1 + rows.count() // LIST_ROWS).cast("long"))
         each = self._rows(self._read("postings"), "term").groupBy("term", salt.alias("_of")).agg(F.array_sort(F.collect_list(F.struct("id", "length", "positions"))).alias("p"))
-        starts = F.expr("aggregate(p.positions, array(0), (a, x) -> concat(a, array(element_at(a, -1) + size(x))))")
-        lists = each.select("term", F.col("p.id").alias("ids"), F.col("p.length").alias("lengths"), starts.alias("starts"), F.flatten("p.positions").alias("positions"), "_of")
+        marked = F.transform("p", lambda r: F.transform(r["positions"], lambda x, i: F.when(i == 0, -1 - x).otherwise(x)))
+        lists = each.select("term", F.col("p.id").alias("ids"), F.col("p.length").alias("lengths"), F.flatten(marked).alias("positions"), "_of")
         out._write(lists.drop("_of"), 0, F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(1).cast("long")))
         rows.select("id", F.col("generation").alias("upto")).where("false").write.parquet(f"{path}/gone")
         n, total = rows.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
