@@ -78,10 +78,10 @@ def promote(source: DataFrame, target: DataFrame, key: str, type_: str) -> DataF
     return target.unionByName(source.join(target.select(key), key, "left_anti").withColumn("type", F.lit(type_)).select(*target.columns))
 
 
-def walk(spark: SparkSession, path: str, ignore: list[str] | None = None, most_bytes: int = 10 << 20) -> DataFrame:
-    """(path, length, sha256, text, left_out) of the files under path, without those that ignored globs match.
+def walk(spark: SparkSession, path: str, ignore: list[str] | None = None, most_bytes: int = 10 << 20, listed: bool = False) -> DataFrame:
+    """(path, length, sha256, text, left_out) of the text files under path, without those that ignored globs match.
 
-    Every file has a row: those that aren't taken have no text, and say why in left_out: large (more than
+    With listed, every file has a row: those that aren't taken have no text, and say why in left_out: large (more than
     most_bytes; their content isn't read), binary (a zero byte in the first 8,000) or encoding (not UTF-8).
     """
     from ..functions.text import glob_pattern
@@ -95,7 +95,7 @@ def walk(spark: SparkSession, path: str, ignore: list[str] | None = None, most_b
     text = F.try_validate_utf8(F.col("content").cast("string"))
     why = F.when(binary, "binary").when(text.isNull(), "encoding")
     small = files.where(F.col("length") <= most_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"), F.when(why.isNull(), text).alias("text"), why.alias("left_out"))
-    return small.unionByName(large)
+    return small.unionByName(large) if listed else small.where("left_out is null")
 
 
 TURN = "session string, id string, ts string, role string, model string, text string, tokens_in long, tokens_out long"
@@ -245,7 +245,7 @@ def _walk(spark, d):
     """Every document as a file of its own; those above 20,000 bytes are left out, and listed as such."""
     path = f"{_shared(spark)}/tree"
     read(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    return walk(spark, path, ["_SUCCESS", ".crc"], 20_000).select("length", "sha256", "left_out", F.char_length("text").cast("long").alias("n_chars"))
+    return walk(spark, path, ["_SUCCESS", ".crc"], 20_000, listed=True).select("length", "sha256", "left_out", F.char_length("text").cast("long").alias("n_chars"))
 
 
 @query("sync_tasks", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM orders")

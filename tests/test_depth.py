@@ -89,7 +89,7 @@ def test_files_that_are_left_out_are_listed(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, content in {"a.txt": b"hello", "in/b.txt": b"x" * 200, "c.bin": b"a\0b", "d.txt": b"\xff\xfe", "e.log": b"no"}.items():
         (tmp_path / name).write_bytes(content)
-    rows = {r["path"].rpartition("/")[2]: (r["length"], r["text"], r["left_out"]) for r in transfer.walk(spark, str(tmp_path), ["e.log"], most_bytes=100).collect()}
+    rows = {r["path"].rpartition("/")[2]: (r["length"], r["text"], r["left_out"]) for r in transfer.walk(spark, str(tmp_path), ["e.log"], most_bytes=100, listed=True).collect()}
     assert rows == {"a.txt": (5, "hello", None), "b.txt": (200, None, "large"), "c.bin": (3, None, "binary"), "d.txt": (2, None, "encoding")}
 
 
