@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import registry
 
 MODULES = (
-    "operators.predicates", "operators.keyword", "operators.vector", "operators.ranking", "operators.routing", "operators.graph", "operators.entity", "operators.extraction", "operators.temporal", "operators.erasure",
+    "operators.predicates", "operators.keyword", "operators.vector", "operators.ranking", "operators.routing", "operators.graph", "operators.entity", "operators.extraction", "operators.temporal", "operators.erasure", "operators.sketches",
     "operators.reports", "operators.lifecycle", "operators.documents", "operators.extras", "sources.transfer", "operators.stores", "streaming.jobs", "plans.search",
 )
 
