@@ -46,7 +46,7 @@ SENTENCES = {
     "bsd_grant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "bsd_source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
     "bsd_binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
-    "bsd_endorse": ["neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "neither the name of * nor the names of * may be used to endorse or promote products derived from this software without specific prior written permission", "the name of * may not be used to endorse or promote products derived from this software without specific prior written permission", "the names of * may not be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd_endorse": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "neither the name of * nor the names of * may be used to endorse or promote products derived from this software without specific prior written permission", "the name of * may not be used to endorse or promote products derived from this software without specific prior written permission", "the names of * may not be used to endorse or promote products derived from this software without specific prior written permission"],
     "ccbync4_notice": ["licensed under cc by nc 4.0", "this work is licensed under cc by nc 4.0"],
     "ccby4_notice": ["licensed under cc by 4.0", "this work is licensed under cc by 4.0"],
     "ccbysa4_notice": ["licensed under cc by sa 4.0", "this work is licensed under cc by sa 4.0"],
