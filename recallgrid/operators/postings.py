@@ -32,7 +32,7 @@ from ..functions import text as X
 #: Folders of postings.
 BUCKETS = 64
 #: Bytes of text, on average, of which the words of one bucket are written by one task; beyond it rows are dealt to more.
-SALT_BYTES = 128 << 20
+SALT_BYTES = 4 << 20
 #: Rows of a list, as compacting makes them.
 LIST_ROWS = 4096
 #: Letters of a term that decide its bucket.
