@@ -40,6 +40,8 @@ def _marks() -> str:
 #: Runs of what may be letters; numerals that aren't decimal digits are taken out afterwards.
 WORD = re.compile(r"[^\W\d_]+")
 MARK = re.compile(f"[{_marks()}]")
+#: What a text with marks has, and is looked for faster.
+BEYOND_LATIN = re.compile("[\u0300-\U0010ffff]")
 #: The same with marks.
 MARKED_WORD = re.compile(rf"(?:[^\W\d_]|{MARK.pattern})+")
 #: Documents per language that are learned from, as a bound on the expected sample.
@@ -52,7 +54,7 @@ MAX_N = 5
 MAX_LANGS = 1000
 MAX_ENTRIES = 1_000_000
 #: Bytes of scores of words that a worker remembers.
-REMEMBER_BYTES = 32 << 20
+REMEMBER_BYTES = 64 << 20
 #: log10 frequency given to what a language's model lacks.
 PENALTY = -7.0
 #: Texts weigh as at most so many words when the score is made a probability.
@@ -64,7 +66,7 @@ def word_counts(text: str | None) -> Counter:
     if not text:
         return Counter()
     low = text.lower()
-    marks = not low.isascii() and MARK.search(low)
+    marks = BEYOND_LATIN.search(low) and MARK.search(low)
     counts = Counter((MARKED_WORD if marks else WORD).findall(low))
     for w in [w for w in counts if not w.isalpha()]:
         n = counts.pop(w)
@@ -129,7 +131,7 @@ class Scorer:
     def __init__(self, model: dict, remember: int | None = None) -> None:
         self.langs, self.orders = model["langs"], model["orders"]
         self.first, self.lang, self.log10 = (model.get(k) for k in ("first", "lang", "log10"))
-        self.remember = remember or max(1000, REMEMBER_BYTES // (8 * max(1, len(self.langs)) + 100))
+        self.remember = remember or max(1000, REMEMBER_BYTES // (8 * max(1, len(self.langs)) + 120))
         self.at: dict[str, int] = {}
         self.table = np.zeros((1024, max(1, len(self.langs))))
 
@@ -176,9 +178,8 @@ class Scorer:
         n = np.fromiter(counts.values(), float, len(counts))
         mean = n @ self.table[[at[w] for w in counts]] / n.sum()
         best = int(mean.argmax())
-        if len(at) > self.remember:  # what came first is mostly what is frequent
-            for w in new:
-                del at[w]
+        if len(at) > self.remember:  # frequent words are soon there again
+            at.clear()
         p = np.exp((mean - mean[best]) * np.log(10) * min(n.sum(), CONFIDENT_WORDS))
         return self.langs[best], float(1 / p.sum())
 
