@@ -6,6 +6,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from recallgrid.plans import catalogue
 from recallgrid.streaming import jobs, leases
 
 START = datetime(2024, 1, 1)
@@ -117,3 +118,13 @@ def test_notices_come_at_once_and_once(spark, feed, tmp_path):
 def test_first_rows_of_periods_are_appended_when_the_period_is_over(spark, feed, tmp_path):
     rows, _ = run(jobs.notices(feed(event_batches(), SCHEMA), ["user_id"], "ts", "event_id", late="10 minutes"), tmp_path)
     assert sorted(r["event_id"] for r in rows.collect()) == [h * 100 + k for h in range(7) for k in range(5)]
+
+
+def test_a_table_is_streamed_whether_it_is_a_file_or_a_folder(spark, tmp_path):
+    rows = spark.createDataFrame([(1, t, "user", f"t{t}") for t in range(5)], "conv_id long, turn long, role string, text string")
+    rows.repartition(1).sortWithinPartitions("turn").write.parquet(f"{tmp_path}/folder/conversations.parquet")
+    (tmp_path / "file").mkdir()
+    part = next((tmp_path / "folder/conversations.parquet").glob("part-*"))
+    (tmp_path / "file/conversations.parquet").write_bytes(part.read_bytes())
+    for kind in ("file", "folder"):
+        assert catalogue.queries()["sliding_turn_window"](spark, f"{tmp_path}/{kind}").count() == 2
