@@ -76,6 +76,16 @@ def test_leases_over_micro_batches_equal_a_replay(spark, feed, tmp_path):
     assert got == replay(log, now + timedelta(hours=3))
 
 
+def test_items_share_the_state_of_their_bucket(spark, feed, tmp_path):
+    log = [(g, START + timedelta(minutes=m), e) for g in range(40) for m, e in ((0, "claim"), (g, "failed" if g % 2 else "release"))]
+    log.append((99, START + timedelta(hours=3), "add"))
+    stream = leases.leases(feed([log[:30], log[30:]], "group_id long, ts timestamp, event string"), late="2 hours", buckets=3)
+    rows, progress = leases.with_rocksdb(spark, lambda: run(stream, tmp_path))
+    got = sorted(((r["group_id"], r["ts"], r["state"], r["attempts"], r["until"]) for r in rows.collect()), key=str)
+    assert got == replay(log, START + timedelta(hours=1))
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= 3
+
+
 def event_batches(hours=8):
     """An hour of events in each batch; the last batch also holds a row that is hours late."""
     out = []
