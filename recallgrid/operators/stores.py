@@ -551,9 +551,10 @@ def _activity(spark, d):
 @query("derivability_review", f"WITH s AS (SELECT conv_id AS id, max(CASE WHEN turn = 0 THEN 1 ELSE 0 END) AS pin, count(*) AS n FROM conversations GROUP BY 1), r AS (SELECT id, CASE WHEN id % 4 = 0 THEN 0 ELSE (SELECT count(*) FROM conversations c WHERE c.conv_id = s.id AND c.turn % 2 = 1) END AS surviving_sources, id % 60 AS age FROM s WHERE id % 2 = 0) SELECT id, surviving_sources, CAST(age AS DOUBLE) AS age_days, age > 30 AS overdue, surviving_sources > 0 AS derivable_candidate, row_number() OVER (ORDER BY (id % 17) / 17.0 DESC, id) AS position FROM r")
 def _review(spark, d):
     c = read(spark, d, "conversations")
-    source = (F.col("conv_id") + 1) * 10_000 + F.col("turn")
+    of = lambda kind, turn: F.struct(F.lit(kind).alias("kind"), F.col("conv_id").alias("conv_id"), turn.alias("turn"))
+    page, source = of("page", F.lit(0).cast("long")), of("turn", F.col("turn"))  # no page has a turn's id, however many there are
     erased = F.to_timestamp(F.lit(NOW)) - F.make_dt_interval((F.col("conv_id") % 60).cast("int"))
-    pages = c.select("conv_id").distinct().select(F.col("conv_id").alias("id"), F.lit("synthesis").alias("type"), (F.col("conv_id") % 2 == 0).alias("restricted"), F.array(erased - F.expr("INTERVAL 5 DAYS"), erased).alias("erased_at"), F.lit(False).alias("pinned"), ((F.col("conv_id") % 17) / 17).alias("importance"))
+    pages = c.select("conv_id").distinct().select(page.alias("id"), F.lit("synthesis").alias("type"), (F.col("conv_id") % 2 == 0).alias("restricted"), F.array(erased - F.expr("INTERVAL 5 DAYS"), erased).alias("erased_at"), F.lit(False).alias("pinned"), ((F.col("conv_id") % 17) / 17).alias("importance"))
     turns = c.where("turn % 2 = 1").select(source.alias("id"), F.lit("note").alias("type"), F.lit(False).alias("restricted"), F.lit(None).cast("array<timestamp>").alias("erased_at"), F.lit(False).alias("pinned"), F.lit(0.0).alias("importance"))
-    edges = c.select(F.col("conv_id").alias("from_id"), source.alias("to_id"), F.when(F.col("conv_id") % 4 == 0, "related").otherwise("distills_from").alias("relationship_type"))
-    return derivability_review(pages.unionByName(turns), edges, NOW).select("id", "surviving_sources", "age_days", "overdue", "derivable_candidate", "position")
+    edges = c.select(page.alias("from_id"), source.alias("to_id"), F.when(F.col("conv_id") % 4 == 0, "related").otherwise("distills_from").alias("relationship_type"))
+    return derivability_review(pages.unionByName(turns), edges, NOW).select(F.col("id.conv_id").alias("id"), "surviving_sources", "age_days", "overdue", "derivable_candidate", "position")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallgrid.operators import stores
+from recallgrid.plans import catalogue
 
 
 def rows(df, *columns):
@@ -156,6 +157,13 @@ def test_reviews(spark):
     assert got == [(1, 2, 0, 0, None, False, False), (2, 5, 2, 1, 40.0, True, True), (3, 1, 1, 2, 21.0, False, True)]
 
 
+def test_a_review_keeps_pages_and_turns_apart(spark, tmp_path):
+    turns = [(c, t, "user", "x") for c in (2, 30000, 30001) for t in (0, 1)]  # 2's first turn was 30000 once
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = rows(catalogue.queries()["derivability_review"](spark, str(tmp_path)), "id", "surviving_sources")
+    assert got == [(2, 1), (30000, 0)]
+
+
 def test_activity(spark):
     log = spark.createDataFrame([(dt.datetime(2024, 1, 1, 5, 6, 7), "p", "ab <think>why"), (dt.datetime(2024, 1, 1), "q", "x" * 600)], "timestamp timestamp, query string, response string")
     assert rows(stores.activity_view(log), "time", "project", "preview", "full_size") == [("00:00:00", "q", "x" * 500 + "...", 600), ("05:06:07", "p", "why...", 13)]
