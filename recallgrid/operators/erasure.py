@@ -98,14 +98,14 @@ def entity_profile(entities: DataFrame, relations: DataFrame, mentions: DataFram
 
 
 def _store(spark, d) -> dict[str, DataFrame]:
-    """Events as items of users; other tables of a store follow from them."""
+    """Events as items of users; other tables of a store follow from them. Ids of the archive are below 0, so no item has them."""
     e = read(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", F.lit(False).alias("restricted"))
     m = e.select(F.col("id").alias("memory_id"), "user_id", "event_type")
     kind = F.when(F.col("id") % 4 == 0, CONSOLIDATES).otherwise("related")
     return {
         "items": e, "vectors": m.where("event_type <> 'view'").select("memory_id"), "history": m.where("event_type = 'purchase'").select("memory_id"),
         "edges": e.select(F.col("id").alias("from_id"), (F.col("id") + 1).alias("to_id"), kind.alias("relationship_type")),
-        "surface": m.where("event_type = 'click'").select("memory_id", "user_id"), "archive": e.where("event_type = 'signup'").select((F.col("id") + 5_000_000).alias("id"), "user_id"),
+        "surface": m.where("event_type = 'click'").select("memory_id", "user_id"), "archive": e.where("event_type = 'signup'").select((-1 - F.col("id")).alias("id"), "user_id"),
         "members": m.select((F.col("memory_id") % 97).alias("run_id"), "memory_id").where("memory_id % 5 = 0"),
     }
 

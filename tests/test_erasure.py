@@ -3,6 +3,7 @@
 from datetime import datetime
 
 from recallgrid.operators import erasure
+from recallgrid.plans import catalogue
 
 AT = "2024-02-01 00:00:00"
 
@@ -65,3 +66,10 @@ def test_profile_has_both_directions(spark):
     assert [tuple(x) for x in got["outgoing"]] == [("is", 3), ("knows", 2)] and [tuple(x) for x in got["incoming"]] == [("likes", 2)] and got["items"] == [11, 10]
     assert erasure.entity_profile(entities, relations, mentions, items, 2, 0).collect()[0]["items"] == []
     assert erasure.entity_profile(entities, relations, mentions, items, 9).collect() == []
+
+
+def test_no_item_has_an_id_of_the_archive(spark, tmp_path):
+    events = [(1, 7, "signup"), (2, 50, "signup"), (5_000_001, 50, "view")]  # the first one's archived id was 5000001 once
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    left = {r["table"]: r["n"] for r in catalogue.queries()["gdpr_erase"](spark, str(tmp_path)).collect()}
+    assert left["items"] == 1 and left["archive"] == 1
