@@ -140,7 +140,7 @@ def test_a_table_is_streamed_whether_it_is_a_file_or_a_folder(spark, tmp_path):
         assert catalogue.queries()["sliding_turn_window"](spark, f"{tmp_path}/{kind}").count() == 2
 
 
-@pytest.mark.parametrize("name, rows", [("tumbling_throughput", 2), ("session_grouping", 3)])
+@pytest.mark.parametrize("name, rows", [("tumbling_throughput", 2), ("session_grouping", 3), ("file_watch", 3)])
 def test_what_is_open_when_the_files_end_comes_out_too(spark, tmp_path, name, rows):
     events = [(k, u, "view", START + timedelta(minutes=m), 1.0) for k, (u, m) in enumerate([(1, 0), (1, 1), (1, 70), (2, 71)])]
     spark.createDataFrame(events, "event_id long, user_id long, event_type string, ts timestamp, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
