@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -145,6 +145,10 @@ def segment_keys(text: str, fuzzy: float) -> set[tuple[bool, str]]:
     return out
 
 
+def _coalescible(entities: DataFrame) -> DataFrame:
+    return entities.where(~F.col("name").rlike(r"^\s*$|^[^\w]|^\d"))
+
+
 def coalesce_candidates(entities: DataFrame, fuzzy: float = MERGE_FUZZY, vectors: DataFrame | None = None) -> DataFrame:
     """(a, b, ratio, band) of names (id, name) that share a block, their first token.
 
@@ -153,7 +157,7 @@ def coalesce_candidates(entities: DataFrame, fuzzy: float = MERGE_FUZZY, vectors
     """
     from .lifecycle import block_pairs
 
-    kept = entities.where(~F.col("name").rlike(r"^\s*$|^[^\w]|^\d")).select("id", "name", block_key(F.col("name")).alias("g"))
+    kept = _coalescible(entities).select("id", "name", block_key(F.col("name")).alias("g"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,6 +177,20 @@ def coalesce_candidates(entities: DataFrame, fuzzy: float = MERGE_FUZZY, vectors
     return both.select("a", "b", "ratio", F.when(guarded | ~sure, "review").otherwise("merge").alias("band"))
 
 
+def coalesce_classes(entities: DataFrame, fuzzy: float = MERGE_FUZZY, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """coalesce_candidates of names, not of rows: a class is all rows (id, name) of one name, its smallest id stands for it.
+
+    Pairs are those between classes' ids, and (smallest id, id) for each other row of a class. A pair of rows is near as
+    the pair of their classes is; rows of one class merge. embed makes vectors (id, embedding) of the classes (id, name).
+    """
+    kept = _coalescible(entities).select("id", "name")
+    classes = kept.groupBy("name").agg(F.min("id").alias("id")).select("id", "name")
+    between = coalesce_candidates(classes, fuzzy, embed(classes) if embed else None)
+    copies = kept.join(classes.withColumnRenamed("id", "a"), "name").where("id <> a")
+    within = copies.select("a", F.col("id").alias("b"), F.lit(100.0).alias("ratio"), F.lit("merge").alias("band"))
+    return between.unionByName(within)
+
+
 def representative(members: DataFrame) -> DataFrame:
     """(cluster, id): the member of the highest degree, then the longest name, then the smallest id."""
     return members.groupBy("cluster").agg(F.max_by("id", F.struct("degree", F.char_length("name"), -F.col("id"))).alias("id"))
@@ -345,7 +363,7 @@ def _coalesce(spark, d):
     from .vector import hash_embedding
 
     names = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return coalesce_candidates(names, vectors=hash_embedding(names.toDF("doc_id", "text")).toDF("id", "embedding"))
+    return coalesce_classes(names, embed=lambda c: hash_embedding(c.toDF("doc_id", "text")).toDF("id", "embedding"))
 
 
 @query("pick_representative", "SELECT s_nationkey AS cluster, max_by(s_suppkey, (n, length(s_name), -s_suppkey)) AS id FROM supplier JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey GROUP BY 1")

@@ -127,3 +127,20 @@ def test_coalescing_meets_all_pairs_of_a_block(spark):
     edge = {(r["a"], r["b"]) for r in every if r["r"] < 90 and abs(r["c"] - 0.8) < 1e-9}
     assert set(got) - edge == {(r["a"], r["b"]) for r in every if r["r"] >= 90 or r["c"] >= 0.8} - edge
     assert all(got[r["a"], r["b"]] == "review" for r in every if (r["a"], r["b"]) in got and r["r"] < 95)
+
+
+def test_copies_of_a_name_are_one_class_and_no_pair_is_lost(spark):
+    from recallgrid.operators.vector import hash_embedding
+
+    names = ["large ring", "large rings", "Large ring", "large  bolt", "old plate", "9 lives", " ", None, "old_plate 1", "old_plate 2"]
+    rows = [(k, n) for k, n in enumerate(names * 4)]
+    frame = spark.createDataFrame(rows, "id long, name string")
+    embed = lambda df: hash_embedding(df.toDF("doc_id", "text")).toDF("id", "embedding")
+    every = {(r["a"], r["b"]): (r["ratio"], r["band"]) for r in entity.coalesce_candidates(frame, vectors=embed(frame)).collect()}
+    got = {(r["a"], r["b"]): (r["ratio"], r["band"]) for r in entity.coalesce_classes(frame, embed=embed).collect()}
+    head = {b: a for (a, b), (ratio, _) in got.items() if rows[a][1] == rows[b][1]}
+    assert len(head) == 7 * 3 and len(got) < len(every) / 4
+    of = lambda i: head.get(i, i)
+    assert got == {k: v for k, v in every.items() if of(k[0]) == k[0] and (of(k[1]) in k)}
+    spread = {(a, b): got[min(of(a), of(b)), max(of(a), of(b))] if of(a) != of(b) else (100.0, "merge") for a in range(len(rows)) for b in range(a + 1, len(rows)) if (of(a) == of(b) and a in (*head, *head.values())) or (min(of(a), of(b)), max(of(a), of(b))) in got and of(a) != of(b)}
+    assert spread == every
