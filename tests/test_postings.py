@@ -5,10 +5,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recallgrid.operators import keyword
+from recallgrid.operators import keyword, postings
 from recallgrid.operators.postings import KeywordIndex, bucket_of, bucket_of_word
 
 WORDS = "alpha beta gamma the theory then licence license élan über data_1 x 日本 a1".split()
@@ -129,3 +130,19 @@ def test_an_empty_table(spark, items, tmp_path):
     assert index.matches(keyword.compile_query("the")).collect() == []
     assert index.add(items) == len(texts())
     equal(index.matches(keyword.compile_query("the theory")), plain(texts(), ["the", "theory"]))
+
+
+def test_lists_are_put_together_in_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    words = pa.array([f"w{k}" for k in range(500)]).take(pa.array(rng.integers(0, 500, 1_000_000)))
+    batch = pa.record_batch({"id": pa.array(np.arange(5000)), "tokens": pa.ListArray.from_arrays(pa.array(np.arange(5001) * 200, pa.int32()), words)})
+    tracemalloc.start()
+    out = list(postings._lists(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(b["positions"].flatten()) for b in out) == 1_000_000
+    assert peak < 55_000_000  # of numpy; 55 bytes a word
