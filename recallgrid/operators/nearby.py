@@ -52,8 +52,9 @@ def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return m / np.where(norm > 0, norm, 1), size
 
 
-def grouped(rows: DataFrame, keys: list[str], run: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
-    """run on each group of rows with equal keys, one after the other in a partition; a group is all that is held."""
+def grouped(rows: DataFrame, keys: list[str], run: Callable[[pa.Table], Iterator[pa.Table]], schema: str) -> DataFrame:
+    """run on each group of rows with equal keys, one after the other in a partition; a group is all that is held, and
+    what run yields goes out at once."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -64,13 +65,13 @@ def grouped(rows: DataFrame, keys: list[str], run: Callable[[pa.Table], pa.Table
             for k in range(1, len(values) + 1):
                 if k == len(values) or values[k] != values[start]:
                     if held and values[start] != holds:
-                        if (out := run(pa.Table.from_batches(held))) is not None:
+                        for out in run(pa.Table.from_batches(held)):
                             yield from out.to_batches()
                         held = []
                     holds = values[start]
                     held.append(batch.slice(start, k - start))
                     start = k
-        if held and (out := run(pa.Table.from_batches(held))) is not None:
+        for out in run(pa.Table.from_batches(held)) if held else ():
             yield from out.to_batches()
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
@@ -138,13 +139,10 @@ def close(cell: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.nda
 def near_pairs(vectors: DataFrame, threshold: float, recall: float = RECALL, seed: int = SEED, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(a, b, score), a < b, of vectors (id, embedding, g, f) of equal g and, where f isn't null, of different f."""
 
-    def run(cell: pa.Table) -> pa.Table | None:
-        found = list(close(cell, threshold)) if len(cell) > 1 else []
-        if not found:
-            return None
-        i, j, s = (np.concatenate(x) for x in zip(*found))
+    def run(cell: pa.Table) -> Iterator[pa.Table]:
         ids = cell["id"].to_numpy()
-        return pa.table({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "score": s})
+        for i, j, s in close(cell, threshold) if len(cell) > 1 else ():
+            yield pa.table({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "score": s})
 
     v = vectors.select(F.col("id").cast("long").alias("id"), "g", "f", "embedding").where("id is not null and g is not null")
     return grouped(dealt(v, threshold, recall, seed, cell_rows), KEYS, run, "a long, b long, score double")
@@ -154,10 +152,10 @@ def near_neighbours(vectors: DataFrame, top: int, threshold: float, recall: floa
     """(from_id, to_id, score): of each vector (id, embedding) the top others with cosine of at least threshold; ties
     to smaller ids. A cell gives top rows for each of its rows at most."""
 
-    def run(cell: pa.Table) -> pa.Table | None:
+    def run(cell: pa.Table) -> Iterator[pa.Table]:
         found = list(close(cell, threshold)) if len(cell) > 1 else []
         if not found:
-            return None
+            return
         i, j, s = (np.concatenate(x) for x in zip(*found))
         ids = cell["id"].to_numpy()
         a, b, s = np.concatenate((ids[i], ids[j])), np.concatenate((ids[j], ids[i])), np.concatenate((s, s))
@@ -166,7 +164,7 @@ def near_neighbours(vectors: DataFrame, top: int, threshold: float, recall: floa
         first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
         nth = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
         keep = nth < top
-        return pa.table({"from_id": a[keep], "to_id": b[keep], "score": s[keep]})
+        yield pa.table({"from_id": a[keep], "to_id": b[keep], "score": s[keep]})
 
     v = vectors.select(F.col("id").cast("long").alias("id"), F.lit(0).alias("g"), F.lit(None).cast("int").alias("f"), "embedding").where("id is not null")
     found = grouped(dealt(v, threshold, recall, seed, cell_rows), KEYS, run, "from_id long, to_id long, score double")
@@ -174,8 +172,19 @@ def near_neighbours(vectors: DataFrame, top: int, threshold: float, recall: floa
     return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).drop("_r")
 
 
-#: Bytes of vectors in one side of a cell where all pairs are looked at.
-SHARE_BYTES = 64 << 20
+#: Bytes of vectors in one side of a cell where all pairs are looked at, and the rows and columns of scores that are
+#: held of it at a time.
+SHARE_BYTES = 32 << 20
+TILE_ROWS, TILE_COLUMNS = 512, 2048
+
+
+def filled(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A cell's vectors as they are (shorter ones are filled up), their numbers of components and their lengths."""
+    lists = cell["embedding"].combine_chunks()
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    m = np.zeros((len(size), int(size.max(initial=0))))
+    m[np.arange(m.shape[1]) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return m, size, np.sqrt(np.einsum("ij,ij->i", m, m))
 
 
 def shares_for(vectors: DataFrame, cell_rows: int | None = None) -> int:

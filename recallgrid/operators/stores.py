@@ -5,6 +5,7 @@ Every operator takes DataFrames and gives the rows that a store should hold afte
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..registry import query, read
 from ..sources.transfer import newer_wins
-from .nearby import near_neighbours, shares_for
+from .nearby import TILE_COLUMNS, TILE_ROWS, filled, grouped, near_neighbours, shares_for
 
 NOW = "2024-01-25 00:00:00"
 # Renamed vocabulary, types that aren't knowledge, relations of provenance, days a review may take.
@@ -51,35 +52,59 @@ def knn_graph(vectors: DataFrame, top: int, threshold: float, id_col: str = "id"
     dealt = v.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(shares))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shares - 1).cast("bigint"))))
     cells = dealt.withColumns({"x": F.least("share", "other"), "y": F.greatest("share", "other")})
 
-    def best(rows: pa.Table) -> pa.Table:
-        ids, share = rows["id"].to_numpy(), rows["share"].to_numpy()
-        lists = rows["embedding"].combine_chunks()
-        size = lists.value_lengths().to_numpy(zero_copy_only=False)
-        m = np.zeros((len(ids), int(size.max(initial=0))))
-        m[np.arange(m.shape[1]) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
-        norm = np.sqrt((m * m).sum(1))
-        m /= np.where(norm > 0, norm, 1.0)[:, None]
-        x, y = rows["x"][0].as_py(), rows["y"][0].as_py()
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for one, two in ([(x, y)] if x == y else [(x, y), (y, x)]):
-            a, b = np.flatnonzero(share == one), np.flatnonzero(share == two)
-            b = b[np.argsort(ids[b], kind="stable")]
-            for i in range(0, len(a), 500):
-                part = a[i : i + 500]
-                score = m[part] @ m[b].T
-                fits = (ids[part][:, None] != ids[b]) & (size[part][:, None] == size[b]) & (norm[part][:, None] > 0) & (norm[b] > 0) & (score >= threshold)
-                score = np.where(fits, score, -2.0)
-                order = np.argsort(-score, axis=1, kind="stable")[:, :top]
-                p, q = np.nonzero(np.take_along_axis(score, order, 1) > -2)
-                out.append((ids[part[p]], ids[b[order[p, q]]], score[p, order[p, q]]))
-        cols = [np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(3)]
-        return pa.table({"from_id": pa.array(cols[0], pa.int64()), "to_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    found = cells.groupBy("x", "y").applyInArrow(best, "from_id long, to_id long, score double")
+    found = grouped(cells, ["x", "y"], lambda cell: _nearest(cell, top, threshold), "from_id long, to_id long, score double")
     w = Window.partitionBy("from_id").orderBy(F.desc("score"), "to_id")
     return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).drop("_r")
 
 
+def _nearest(cell: pa.Table, top: int, threshold: float) -> Iterator[pa.Table]:
+    """(from_id, to_id, score): of each row of a cell the top others of the other side, by tiles of the two sides.
+
+    A tile's scores go both ways. They only say which pairs are looked at: a pair's score is then summed in one order, so
+    that equal vectors have equal scores wherever they stand.
+    """
+    ids, share = cell["id"].to_numpy(), cell["share"].to_numpy()
+    m, size, norm = filled(cell)
+    m /= np.where(norm > 0, norm, 1.0)[:, None]
+    one_size = size.min() == size.max()
+    rows = np.flatnonzero(norm > 0)
+    x, y = cell["x"][0].as_py(), cell["y"][0].as_py()
+    left, right = rows[share[rows] == x], rows[share[rows] == y]
+    best = np.full((len(ids), top), -2.0)
+    whom = np.zeros((len(ids), top), np.int64)
+    for at in range(0, len(left), TILE_ROWS):
+        one = left[at : at + TILE_ROWS]
+        for nth in range(at // TILE_COLUMNS * TILE_COLUMNS if x == y else 0, len(right), TILE_COLUMNS):
+            two = right[nth : nth + TILE_COLUMNS]
+            score = m[one] @ m[two].T
+            least = [np.maximum(best[side, -1], threshold) - 1e-9 for side in (one, two)]
+            good = (score >= least[0][:, None]) | (score >= least[1])
+            if not one_size:
+                good &= size[one][:, None] == size[two]
+            if x == y:
+                good &= (one[:, None] < two) & (ids[one][:, None] != ids[two])
+            p, q = np.nonzero(good)
+            for k in range(0, len(p), 1 << 16):
+                i, j = one[p[k : k + (1 << 16)]], two[q[k : k + (1 << 16)]]
+                s = (m[i] * m[j]).sum(1)
+                i, j, s = i[s >= threshold], j[s >= threshold], s[s >= threshold]
+                _better(best, whom, np.concatenate((i, j)), ids[np.concatenate((j, i))], np.concatenate((s, s)))
+    row, nth = np.nonzero(best > -2)
+    yield pa.table({"from_id": ids[row], "to_id": whom[row, nth], "score": best[row, nth]})
+
+
+def _better(best: np.ndarray, whom: np.ndarray, row: np.ndarray, to: np.ndarray, score: np.ndarray) -> None:
+    """Puts scores of rows where they belong among the rows' best; equal ones by id."""
+    met = np.unique(row)
+    top = best.shape[1]
+    row, to, score = np.concatenate((row, np.repeat(met, top))), np.concatenate((to, whom[met].ravel())), np.concatenate((score, best[met].ravel()))
+    order = np.lexsort((to, -score, row))
+    row, to, score = row[order], to[order], score[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = nth < top
+    best[row[keep], nth[keep]], whom[row[keep], nth[keep]] = score[keep], to[keep]
+
+
 def copy_variant(items: DataFrame, vectors: DataFrame, source: str, target: str, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
     """(items, vectors) of the live rows of variant source, as new rows of variant target; new ids follow from the old.
 
