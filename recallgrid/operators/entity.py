@@ -16,6 +16,8 @@ from .vector import cosine
 FUZZY, COSINE = 0.85, 0.92
 #: Names in one block of the coalescing pass; larger blocks are split by their second token.
 MERGE_FUZZY, MERGE_COSINE, FLAG_COSINE = 90, 0.95, 0.80
+#: Vectors in one side of a cell where all vectors of a block are compared.
+CELL_ROWS = 2000
 
 
 def count_entities(items: DataFrame, mentions: DataFrame, entities: DataFrame, conversation, type_: str | None = None, name: str | None = None) -> DataFrame:
@@ -168,7 +170,7 @@ def coalesce_candidates(entities: DataFrame, fuzzy: float = MERGE_FUZZY, vectors
     near = keys.where("not far").select(F.col("id").alias("i"), "g", "key").join(keys.where("far").select(F.col("id").alias("j"), "g", "key"), ["g", "key"]).where("i <> j")
     found = near.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct().withColumn("close", F.lit(False))
     if vectors is not None:
-        found = found.unionByName(block_pairs(kept.join(vectors, "id"), FLAG_COSINE).select("a", "b").withColumn("close", F.lit(True)))
+        found = found.unionByName(block_pairs(kept.join(vectors, "id"), FLAG_COSINE, CELL_ROWS).select("a", "b").withColumn("close", F.lit(True)))
         found = found.groupBy("a", "b").agg(F.max("close").alias("close"))
     name = kept.select("id", "name")
     both = found.join(name.toDF("a", "na"), "a").join(name.toDF("b", "nb"), "b").withColumn("ratio", token_sort_ratio(F.col("na"), F.col("nb"))).where((F.col("ratio") >= fuzzy) | F.col("close"))

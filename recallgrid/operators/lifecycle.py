@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..registry import query, read
-from .nearby import document_pairs, shares_for
+from .nearby import SHARE_BYTES, TILE_COLUMNS, TILE_ROWS, document_pairs, filled, grouped, shares_for
 from .predicates import validity
 from .reports import INPUTS_SQL, LEDGER_SQL, corroboration_inputs, ledger
 
@@ -85,10 +88,6 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str, block: str)
     return block_pairs(vectors.select(F.col(id_col).alias("id"), "embedding", F.col(block).alias("g")), threshold)
 
 
-#: Vectors in one side of a cell of block_pairs.
-CELL_ROWS = 2000
-
-
 def cross_pairs(vectors: DataFrame, threshold: float, id_col: str, group: str, cell_rows: int | None = None) -> DataFrame:
     """(a, b, score) of all vectors of different groups with cosine of at least threshold, a < b.
 
@@ -101,47 +100,73 @@ def cross_pairs(vectors: DataFrame, threshold: float, id_col: str, group: str, c
     share = F.pmod(F.xxhash64("id"), F.lit(shares))
     both = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<bigint>"))
     dealt = v.withColumn("share", share).withColumn("other", both).withColumns({"x": F.least("share", "other"), "y": F.greatest("share", "other")})
-
-    return dealt.groupBy("x", "y").applyInArrow(lambda rows: _cell(rows, threshold, True), "a long, b long, score double")
+    return grouped(dealt, ["x", "y"], lambda cell: _pairs(cell, threshold, True), PAIRS)
 
 
-def block_pairs(vectors: DataFrame, threshold: float, cell_rows: int = CELL_ROWS) -> DataFrame:
+def block_pairs(vectors: DataFrame, threshold: float, cell_rows: int | None = None) -> DataFrame:
     """(a, b, score) of all (id, embedding, g) of equal g with cosine of at least threshold, a < b; a block is
     dealt into shares as in cross_pairs."""
-    v = vectors.select(F.col("id").cast("long").alias("id"), "embedding", "g").dropna()
+    v = vectors.select("id", "embedding", "g")
+    return grouped(_blocks(v, cell_rows), ["g", "x", "y"], lambda cell: _pairs(cell, threshold, False), PAIRS)
+
+
+def _blocks(vectors: DataFrame, cell_rows: int | None) -> DataFrame:
+    """(id, embedding, g and other columns) in cells of two shares of one block. Shares are of one size in all blocks: as
+    large as memory allows, but with cells for all cores."""
+    v = vectors.withColumn("id", F.col("id").cast("long")).dropna(subset=["id", "embedding", "g"])
+    if not cell_rows:
+        n = v.groupBy("g").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("size"))
+        pairs, size = n.agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("n")), F.lit(0.0)), F.coalesce(F.max("size"), F.lit(1))).first()
+        cores = v.sparkSession.sparkContext.defaultParallelism
+        cell_rows = min(max(1000, math.ceil(math.sqrt(pairs / (4 * cores)))), max(1, SHARE_BYTES // (8 * max(1, size))))
     shares = v.groupBy("g").agg(F.ceil(F.count("*") / cell_rows).alias("shares"))
     dealt = v.join(shares, "g").withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)))
-    cells = dealt.drop("shares").withColumns({"x": F.least("share", "other"), "y": F.greatest("share", "other")})
-    return cells.groupBy("g", "x", "y").applyInArrow(lambda rows: _cell(rows, threshold, False), "a long, b long, score double")
-
-
-def _cell(rows: pa.Table, threshold: float, differ: bool) -> pa.Table:
-    ids, share = (rows[c].to_numpy() for c in ("id", "share"))
-    codes = rows["g"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    lists = rows["embedding"].combine_chunks()
-    size = lists.value_lengths().to_numpy(zero_copy_only=False)
-    m = np.zeros((len(ids), int(size.max())))
-    m[np.arange(m.shape[1]) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
-    norm = np.sqrt((m * m).sum(1))
-    left = np.flatnonzero(share == rows["x"][0].as_py())
-    right = np.flatnonzero(share == rows["y"][0].as_py())
-    alone = rows["x"][0] == rows["y"][0]
-    out = []
-    for i in range(0, len(left), 500):
-        one = left[i : i + 500]
-        length = norm[one][:, None] * norm[right]
-        fits = (length != 0) & (size[one][:, None] == size[right])
-        score = np.where(fits, m[one] @ m[right].T / np.where(fits, length, 1.0), 0.0)
-        wanted = score >= threshold
-        if differ:
-            wanted &= codes[one][:, None] != codes[right]
-        if alone:
-            wanted &= ids[one][:, None] < ids[right]
-        p, q = np.nonzero(wanted)
-        s, t = ids[one[p]], ids[right[q]]
-        out.append((np.minimum(s, t), np.maximum(s, t), score[p, q]))
-    a, b, score = (np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(3))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "score": pa.array(score, pa.float64())})
+    return dealt.drop("shares").withColumns({"x": F.least("share", "other"), "y": F.greatest("share", "other")})
+
+
+PAIRS = "a long, b long, score double"
+
+
+def _pairs(cell: pa.Table, threshold: float, differ: bool) -> Iterator[pa.Table]:
+    ids = cell["id"].to_numpy()
+    for i, j, score in _scored(cell, threshold, differ):
+        yield pa.table({"a": ids[i], "b": ids[j], "score": score})
+
+
+def _scored(cell: pa.Table, threshold: float, differ: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, row, cosine) of a cell's pairs, that of the smaller id first, by tiles of the two sides; the cosine is 0 where
+    a vector has no length or the sizes differ."""
+    ids, share = (cell[c].to_numpy() for c in ("id", "share"))
+    codes = cell["g"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    m, size, norm = filled(cell)
+    norm = np.where(norm > 0, norm, 1.0)
+    unit = m / norm[:, None]
+    one_size = size.min() == size.max()
+    order = np.argsort(ids, kind="stable")
+    left = order[share[order] == cell["x"][0].as_py()]
+    right = order[share[order] == cell["y"][0].as_py()]
+    alone = cell["x"][0] == cell["y"][0]
+    for at in range(0, len(left), TILE_ROWS):
+        one = left[at : at + TILE_ROWS]
+        for nth in range(0, len(right), TILE_COLUMNS):
+            two = right[nth : nth + TILE_COLUMNS]
+            if alone and ids[two[-1]] <= ids[one[0]]:
+                continue
+            score = unit[one] @ unit[two].T
+            if not one_size:
+                score[size[one][:, None] != size[two]] = 0.0
+            p, q = np.nonzero(score >= threshold - 1e-9)
+            i, j, s = one[p], two[q], score[p, q]
+            keep = ids[i] < ids[j] if alone else np.ones(len(i), bool)
+            if differ:
+                keep &= codes[i] != codes[j]
+            edge = np.flatnonzero(keep & (np.abs(s - threshold) < 1e-9) & (size[i] == size[j]))
+            s[edge] = (m[i[edge]] * m[j[edge]]).sum(1) / (norm[i[edge]] * norm[j[edge]])
+            keep &= s >= threshold
+            if keep.any():
+                i, j, s = i[keep], j[keep], s[keep]
+                turned = ids[i] > ids[j]
+                yield np.where(turned, j, i), np.where(turned, i, j), s
 
 
 #: Pairs of a component beyond which it is settled in rounds and not by one task.
