@@ -229,19 +229,28 @@ def settle_in_rounds(pairs: DataFrame) -> DataFrame:
 RELATED, CONFLICT, CORROBORATE = 0.70, 0.92, 0.95
 
 
-def contradictions(items: DataFrame, related: float = RELATED, conflict: float = CONFLICT, corroborate: float = CORROBORATE) -> DataFrame:
+def contradictions(items: DataFrame, related: float = RELATED, conflict: float = CONFLICT, corroborate: float = CORROBORATE, cell_rows: int | None = None) -> DataFrame:
     """(a, b, kind) of items (id, type, embedding, title, content) of one type with cosine above related, a < b.
 
     supersede: above conflict with equal titles and other contents; else corroborate from its cosine on; else related.
-    Contents are compared by hash, so pairs carry no text.
+    Contents and titles are compared by hash; the hashes go with the vectors, so pairs are made whole in their cell and aren't
+    shuffled.
     """
-    pairs = block_pairs(items.select("id", "embedding", F.col("type").alias("g")), related).where(F.col("score") > related)
-    said = items.select("id", "title", F.xxhash64("content").alias("h1"), F.sha2(F.col("content").cast("binary"), 256).alias("h2"))
-    side = lambda s: said.select(F.col("id").alias(s), F.struct("h1", "h2").alias(f"h_{s}"), F.col("title").alias(f"t_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    differs = (F.col("t_a") == F.col("t_b")) & (F.col("h_a") != F.col("h_b"))
-    kind = F.when((F.col("score") > conflict) & differs, "supersede").when(F.col("score") >= corroborate, "corroborate").otherwise("related")
-    return both.select("a", "b", kind.alias("kind"))
+    digest = lambda c: F.unhex(F.sha2(F.col(c).cast("binary"), 256))
+    v = items.select("id", "embedding", F.col("type").alias("g"), digest("title").alias("title"), digest("content").alias("content"))
+
+    def kinds(cell: pa.Table) -> Iterator[pa.Table]:
+        ids = cell["id"].to_numpy()
+        title, content = (cell[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in ("title", "content"))
+        for i, j, score in _scored(cell, related, False):
+            above = score > related
+            i, j, score = i[above], j[above], score[above]
+            differs = (title[i] == title[j]) & (title[i] >= 0) & (content[i] != content[j])
+            kind = np.where((score > conflict) & differs, 1, np.where(score >= corroborate, 2, 3))
+            yield pa.table({"a": ids[i], "b": ids[j], "kind": kind.astype(np.int32)})
+
+    named = F.element_at(F.array(*map(F.lit, ["supersede", "corroborate", "related"])), F.col("kind"))
+    return grouped(_blocks(v, cell_rows), ["g", "x", "y"], kinds, "a long, b long, kind int").withColumn("kind", named)
 
 
 def forget(table: DataFrame, ids: DataFrame, column: str) -> DataFrame:
