@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..registry import query, read
-from .vector import cosine
+from .nearby import filled
 
 FUZZY, COSINE = 0.85, 0.92
 #: Names in one block of the coalescing pass; larger blocks are split by their second token.
@@ -59,22 +60,53 @@ def resolve(names: DataFrame, entities: DataFrame, fuzzy: float = FUZZY, name_ve
     n = names.select(*key).distinct()
     e = entities.select("entity_id", F.col("name").alias("e_name"), F.col("entity_type").alias("type"))
     low = lambda df, c: df.withColumn("_low", F.lower(c))
-    exact = low(n, "name").join(low(e, "e_name"), ["_low", "type"]).groupBy(*key).agg(F.min("entity_id").alias("entity_id")).withColumn("how", F.lit("exact"))
+    first = low(e, "e_name").groupBy("_low", "type").agg(F.min("entity_id").alias("entity_id"))
+    exact = low(n, "name").join(first, ["_low", "type"]).select(*key, "entity_id", F.lit("exact").alias("how"))
     rest = n.join(exact.select(*key), key, "left_anti")
-    a = rest.withColumn("t", F.explode(F.array_distinct(X.tokens(F.col("name")))))
-    b = e.withColumn("t", F.explode(F.array_distinct(X.tokens(F.col("e_name")))))
-    pairs = a.join(b, ["t", "type"]).select(*key, "e_name", "entity_id").distinct().withColumn("j", token_jaccard(F.col("name"), F.col("e_name"))).where(F.col("j") >= fuzzy)
-    best = pairs.groupBy(*key).agg(F.max_by("entity_id", F.struct("j", -F.col("entity_id"))).alias("entity_id")).withColumn("how", F.lit("fuzzy"))
+    # Names with the same tokens have the same matches: only sets of tokens are compared, each with its smallest id.
+    bag = lambda c: F.array_sort(F.array_distinct(X.tokens(F.col(c))))
+    named = rest.withColumn("a", bag("name"))
+    x = named.select("type", "a").distinct().withColumn("t", F.explode("a"))
+    y = e.groupBy("type", bag("e_name").alias("b")).agg(F.min("entity_id").alias("entity_id")).withColumn("t", F.explode("b"))
+    pairs = x.join(y, ["t", "type"]).withColumn("j", F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))).where(F.col("j") >= fuzzy)
+    sets = pairs.groupBy("type", "a").agg(F.max_by("entity_id", F.struct("j", -F.col("entity_id"))).alias("entity_id"))
+    best = named.join(sets, ["type", "a"]).select(*key, "entity_id", F.lit("fuzzy").alias("how"))
     found = exact.unionByName(best)
     if name_vectors is None or entity_vectors is None:
         return found
-    left = rest.join(best.select(*key), key, "left_anti").join(name_vectors.select("name", F.col("embedding").alias("_q")), "name")
+    left = rest.join(best.select(*key), key, "left_anti").join(name_vectors.where("embedding is not null").select("name", F.col("embedding").alias("embedding")), "name")
     nth = F.row_number().over(Window.partitionBy("entity_type").orderBy(F.desc("created_at"), "entity_id"))
-    recent = entities.withColumn("_nth", nth).where(F.col("_nth") <= newest).join(entity_vectors, "entity_id").select("entity_id", F.col("entity_type").alias("type"), "_nth", F.col("embedding").alias("_v"))
-    near = left.join(recent, "type").withColumn("s", cosine(F.col("_q"), F.col("_v"))).where(F.col("s") >= least)
+    recent = entities.withColumn("_nth", nth).where(F.col("_nth") <= newest).join(entity_vectors.where("embedding is not null"), "entity_id").select("entity_id", F.col("entity_type").alias("type"), "_nth", "embedding")
+    # Names of a type are dealt into shares, and its newest entities go to each of them.
+    shares = max(1, -(-name_vectors.count() // SHARE_NAMES))
+    left = left.withColumn("_share", F.pmod(F.xxhash64("name"), F.lit(shares)))
+    recent = recent.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<bigint>")))
+    schema = ", ".join(f"{c} {dict(df.dtypes)[c]}" for df, c in ((n, "name"), (n, "type"), (e, "entity_id"))) + ", s double, _nth int"
+    near = left.groupBy("type", "_share").cogroup(recent.groupBy("type", "_share")).applyInArrow(lambda a, b: _closest(a, b, least), schema)
     return found.unionByName(near.groupBy(*key).agg(F.max_by("entity_id", F.struct("s", -F.col("_nth"))).alias("entity_id")).withColumn("how", F.lit("cosine")))
 
 
+#: Vectors of names that are compared with a type's newest entities by one task at a time.
+SHARE_NAMES = 20_000
+
+
+def _closest(names: pa.Table, entities: pa.Table, least: float) -> pa.Table:
+    """(name, type, entity_id, s, _nth): of each name the entity of the best cosine of at least `least`, the first by _nth."""
+    entities = entities.sort_by("_nth")
+    (q, size, length), (v, dims, norms) = filled(names), filled(entities)
+    best, whom = np.full(len(q), -np.inf), np.zeros(len(q), np.int64)
+    for k, d in enumerate(dims):
+        over = length * norms[k]
+        fits = (size == d) & (over > 0)
+        w = min(int(d), q.shape[1])
+        s = np.where(fits, np.einsum("ij,j->i", q[:, :w], v[k, :w]) / np.where(fits, over, 1.0), 0.0)
+        better = s > best
+        best[better], whom[better] = s[better], k
+    mine = np.flatnonzero(best >= least)
+    e = entities.take(pa.array(whom[mine]))
+    return pa.table({"name": names["name"].take(pa.array(mine)), "type": names["type"].take(pa.array(mine)), "entity_id": e["entity_id"], "s": best[mine], "_nth": e["_nth"]})
+
+
 def normalized_id(name: Column, type_: Column) -> Column:
     clean = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"(?U)[^\w\s-]", ""), r"[\s_]+", "_")
     return F.concat(F.lower(F.trim(type_)), F.lit(":"), clean)
