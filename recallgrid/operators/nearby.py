@@ -22,13 +22,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RECALL = 0.99
-BUCKET_ROWS, CELL_ROWS = 256, 2048
+BUCKET_ROWS, LEAST_BITS = 16384, 8
+LEAST_CELL_ROWS, CELL_ROWS = 2048, 32768
 MOST_TABLES = 128
 SEED = 7
+#: Bytes of vectors in one side of a cell where all pairs are looked at, and the rows and columns of scores that are
+#: held of it at a time.
+SHARE_BYTES = 32 << 20
+TILE_ROWS, TILE_COLUMNS = 512, 2048
 
 
 def bits_for(rows: int) -> int:
-    return min(24, max(4, math.ceil(math.log2(max(1, rows / BUCKET_ROWS)))))
+    return min(24, max(LEAST_BITS, math.ceil(math.log2(max(1, rows / BUCKET_ROWS)))))
+
+
+def cell_rows_for(rows: int) -> int:
+    """Four times a bucket of random vectors, so that only hot ones are split, in bounds."""
+    return min(CELL_ROWS, max(LEAST_CELL_ROWS, rows * 4 >> bits_for(rows)))
 
 
 def tables_for(threshold: float, bits: int, recall: float) -> int:
@@ -80,10 +90,11 @@ def grouped(rows: DataFrame, keys: list[str], run: Callable[[pa.Table], Iterator
 KEYS = ["g", "dim", "tab", "code", "x", "y"]
 
 
-def dealt(vectors: DataFrame, threshold: float, recall: float, seed: int, cell_rows: int) -> DataFrame:
+def dealt(vectors: DataFrame, threshold: float, recall: float, seed: int, cell_rows: int | None) -> DataFrame:
     """vectors (id, g, f, embedding) in cells of KEYS, with the part of a split bucket that each row is of."""
     v = vectors.where("embedding is not null and size(embedding) > 0")
-    bits = bits_for(v.count())
+    count = v.count()
+    bits, cell_rows = bits_for(count), cell_rows or cell_rows_for(count)
     tables = tables_for(threshold, bits, recall)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,38 +116,41 @@ def dealt(vectors: DataFrame, threshold: float, recall: float, seed: int, cell_r
     rows = coded.select("*", F.posexplode("codes").alias("tab", "code"))
     bucket = ["g", "dim", "tab", "code"]
     hot = rows.groupBy(*bucket).agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select(*bucket, F.ceil(F.col("n") / cell_rows).cast("int").alias("chunks"))
-    rows = rows.join(hot, bucket, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    # As hot buckets are at most one in cell_rows of the rows, they are broadcast; else all vectors would be shuffled twice.
+    rows = rows.join(F.broadcast(hot), bucket, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda d: F.struct(F.least("part", d).alias("x"), F.greatest("part", d).alias("y")))
     return rows.withColumn("cell", F.explode(cells)).select("*", "cell.x", "cell.y").drop("cell", "chunks")
 
 
 def close(cell: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, row, cosine) of a cell's pairs that no earlier table has, by blocks of rows."""
+    """(row, row, cosine) of a cell's pairs that no earlier table has, by tiles; the cosine is summed in one order, so that
+    equal vectors have equal ones."""
     unit, _ = matrix(cell["embedding"].combine_chunks())
-    part, tab = cell["part"].to_numpy(), cell["tab"][0].as_py()
+    part, tab, x, y = cell["part"].to_numpy(), cell["tab"][0].as_py(), cell["x"][0].as_py(), cell["y"][0].as_py()
     codes = cell["codes"].combine_chunks().flatten().to_numpy().reshape(len(cell), -1)
     files = cell["f"].combine_chunks()
     known, f = files.is_valid().to_numpy(zero_copy_only=False), files.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-    live = (unit != 0).any(axis=1)
-    across = cell["x"][0].as_py() != cell["y"][0].as_py()
-    for at in range(0, len(cell), 512):
-        rows = np.arange(at, min(at + 512, len(cell)))
-        score = unit[rows] @ unit.T
-        good = (score >= threshold) & (np.arange(len(cell)) > rows[:, None]) & live & live[rows][:, None]
-        good &= (part[rows][:, None] != part) if across else (part[rows][:, None] == part)
-        good &= ~((f[rows][:, None] == f) & known)
-        i, j = np.nonzero(good)
-        s, i = score[i, j], rows[i]
-        if tab and len(i):
-            new = np.ones(len(i), bool)
-            for t in range(tab):
-                new &= codes[i, t] != codes[j, t]
-            i, j, s = i[new], j[new], s[new]
-        if len(i):
-            yield i, j, s
-
-
-def near_pairs(vectors: DataFrame, threshold: float, recall: float = RECALL, seed: int = SEED, cell_rows: int = CELL_ROWS) -> DataFrame:
+    live = np.flatnonzero((unit != 0).any(axis=1))
+    left, right = live[part[live] == x], live[part[live] == y]
+    for at in range(0, len(left), TILE_ROWS):
+        one = left[at : at + TILE_ROWS]
+        for nth in range(0 if x != y else at // TILE_COLUMNS * TILE_COLUMNS, len(right), TILE_COLUMNS):
+            two = right[nth : nth + TILE_COLUMNS]
+            p, q = np.nonzero(unit[one] @ unit[two].T >= threshold - 1e-9)
+            for k in range(0, len(p), 1 << 16):
+                i, j = one[p[k : k + (1 << 16)]], two[q[k : k + (1 << 16)]]
+                good = ~((f[i] == f[j]) & known[i])
+                if x == y:
+                    good &= i < j
+                for t in range(tab):
+                    good &= codes[i, t] != codes[j, t]
+                i, j = i[good], j[good]
+                s = (unit[i] * unit[j]).sum(1)
+                if (s >= threshold).any():
+                    yield i[s >= threshold], j[s >= threshold], s[s >= threshold]
+
+
+def near_pairs(vectors: DataFrame, threshold: float, recall: float = RECALL, seed: int = SEED, cell_rows: int | None = None) -> DataFrame:
     """(a, b, score), a < b, of vectors (id, embedding, g, f) of equal g and, where f isn't null, of different f."""
 
     def run(cell: pa.Table) -> Iterator[pa.Table]:
@@ -148,23 +162,29 @@ def near_pairs(vectors: DataFrame, threshold: float, recall: float = RECALL, see
     return grouped(dealt(v, threshold, recall, seed, cell_rows), KEYS, run, "a long, b long, score double")
 
 
-def near_neighbours(vectors: DataFrame, top: int, threshold: float, recall: float = RECALL, seed: int = SEED, cell_rows: int = CELL_ROWS) -> DataFrame:
+def better(best: np.ndarray, whom: np.ndarray, row: np.ndarray, to: np.ndarray, score: np.ndarray) -> None:
+    """Puts scores of rows where they belong among the rows' best; equal ones by id."""
+    met = np.unique(row)
+    top = best.shape[1]
+    row, to, score = np.concatenate((row, np.repeat(met, top))), np.concatenate((to, whom[met].ravel())), np.concatenate((score, best[met].ravel()))
+    order = np.lexsort((to, -score, row))
+    row, to, score = row[order], to[order], score[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = nth < top
+    best[row[keep], nth[keep]], whom[row[keep], nth[keep]] = score[keep], to[keep]
+
+
+def near_neighbours(vectors: DataFrame, top: int, threshold: float, recall: float = RECALL, seed: int = SEED, cell_rows: int | None = None) -> DataFrame:
     """(from_id, to_id, score): of each vector (id, embedding) the top others with cosine of at least threshold; ties
     to smaller ids. A cell gives top rows for each of its rows at most."""
 
     def run(cell: pa.Table) -> Iterator[pa.Table]:
-        found = list(close(cell, threshold)) if len(cell) > 1 else []
-        if not found:
-            return
-        i, j, s = (np.concatenate(x) for x in zip(*found))
         ids = cell["id"].to_numpy()
-        a, b, s = np.concatenate((ids[i], ids[j])), np.concatenate((ids[j], ids[i])), np.concatenate((s, s))
-        order = np.lexsort((b, -s, a))
-        a, b, s = a[order], b[order], s[order]
-        first = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-        nth = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
-        keep = nth < top
-        yield pa.table({"from_id": a[keep], "to_id": b[keep], "score": s[keep]})
+        best, whom = np.full((len(ids), top), -2.0), np.zeros((len(ids), top), np.int64)
+        for i, j, s in close(cell, threshold):
+            better(best, whom, np.concatenate((i, j)), ids[np.concatenate((j, i))], np.concatenate((s, s)))
+        row, nth = np.nonzero(best > -2)
+        yield pa.table({"from_id": ids[row], "to_id": whom[row, nth], "score": best[row, nth]})
 
     v = vectors.select(F.col("id").cast("long").alias("id"), F.lit(0).alias("g"), F.lit(None).cast("int").alias("f"), "embedding").where("id is not null")
     found = grouped(dealt(v, threshold, recall, seed, cell_rows), KEYS, run, "from_id long, to_id long, score double")
@@ -172,12 +192,6 @@ def near_neighbours(vectors: DataFrame, top: int, threshold: float, recall: floa
     return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).drop("_r")
 
 
-#: Bytes of vectors in one side of a cell where all pairs are looked at, and the rows and columns of scores that are
-#: held of it at a time.
-SHARE_BYTES = 32 << 20
-TILE_ROWS, TILE_COLUMNS = 512, 2048
-
-
 def filled(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A cell's vectors as they are (shorter ones are filled up), their numbers of components and their lengths."""
     lists = cell["embedding"].combine_chunks()

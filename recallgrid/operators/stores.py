@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..registry import query, read
 from ..sources.transfer import newer_wins
-from .nearby import TILE_COLUMNS, TILE_ROWS, filled, grouped, near_neighbours, shares_for
+from .nearby import TILE_COLUMNS, TILE_ROWS, better, filled, grouped, near_neighbours, shares_for
 
 NOW = "2024-01-25 00:00:00"
 # Renamed vocabulary, types that aren't knowledge, relations of provenance, days a review may take.
@@ -88,23 +88,11 @@ def _nearest(cell: pa.Table, top: int, threshold: float) -> Iterator[pa.Table]:
                 i, j = one[p[k : k + (1 << 16)]], two[q[k : k + (1 << 16)]]
                 s = (m[i] * m[j]).sum(1)
                 i, j, s = i[s >= threshold], j[s >= threshold], s[s >= threshold]
-                _better(best, whom, np.concatenate((i, j)), ids[np.concatenate((j, i))], np.concatenate((s, s)))
+                better(best, whom, np.concatenate((i, j)), ids[np.concatenate((j, i))], np.concatenate((s, s)))
     row, nth = np.nonzero(best > -2)
     yield pa.table({"from_id": ids[row], "to_id": whom[row, nth], "score": best[row, nth]})
 
 
-def _better(best: np.ndarray, whom: np.ndarray, row: np.ndarray, to: np.ndarray, score: np.ndarray) -> None:
-    """Puts scores of rows where they belong among the rows' best; equal ones by id."""
-    met = np.unique(row)
-    top = best.shape[1]
-    row, to, score = np.concatenate((row, np.repeat(met, top))), np.concatenate((to, whom[met].ravel())), np.concatenate((score, best[met].ravel()))
-    order = np.lexsort((to, -score, row))
-    row, to, score = row[order], to[order], score[order]
-    nth = np.arange(len(row)) - np.searchsorted(row, row)
-    keep = nth < top
-    best[row[keep], nth[keep]], whom[row[keep], nth[keep]] = score[keep], to[keep]
-
-
 def copy_variant(items: DataFrame, vectors: DataFrame, source: str, target: str, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
     """(items, vectors) of the live rows of variant source, as new rows of variant target; new ids follow from the old.
 

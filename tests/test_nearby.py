@@ -74,3 +74,9 @@ def test_documents_of_one_model_and_different_files(spark):
     got = sorted((r["a"], r["b"]) for r in nearby.document_pairs(leaves, pending).collect())
     assert got == [(1, 2), (1, 5), (3, 5)]
     assert nearby.document_pairs(leaves.limit(0), pending).collect() == []
+
+
+def test_tables_do_not_grow_with_the_rows():
+    """A vector is shuffled once for each table."""
+    assert {nearby.tables_for(0.9, nearby.bits_for(n), 0.99) for n in (40_000, 400_000, 2_400_000)} == {14}
+    assert nearby.cell_rows_for(40_000) == 2048 and nearby.cell_rows_for(2_400_000) > 2 * 2_400_000 >> nearby.bits_for(2_400_000)
