@@ -86,7 +86,7 @@ def walk(spark: SparkSession, path: str, ignore: list[str] | None = None, most_b
     """
     from ..functions.text import glob_pattern
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = _many_files(spark).read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     for g in ignore or []:
         files = files.where(~F.col("path").rlike(glob_pattern(f"*{g}*")))
     none = F.lit(None).cast("string")
@@ -98,6 +98,20 @@ def walk(spark: SparkSession, path: str, ignore: list[str] | None = None, most_b
     return small.unionByName(large) if listed else small.where("left_out is null")
 
 
+#: What opening a file counts as, in bytes, when files are dealt to tasks: Spark's 4 MB would give a task 32 files at most.
+OPEN_BYTES = 16 << 10
+
+
+def _many_files(spark: SparkSession) -> SparkSession:
+    """A session with spark's own settings, but for tasks of many small files; spark's session stays as it is."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if spark.conf.isModifiable(k):
+            own.conf.set(k, v)
+    own.conf.set("spark.sql.files.openCostInBytes", OPEN_BYTES)
+    return own
+
+
 TURN = "session string, id string, ts string, role string, model string, text string, tokens_in long, tokens_out long"
 
 
@@ -242,9 +256,12 @@ def _sessions(spark, d):
 
 @query("walk_files", "WITH f AS (SELECT coalesce(text, '') || chr(10) AS t FROM documents) SELECT CAST(octet_length(encode(t)) AS BIGINT) AS length, CASE WHEN octet_length(encode(t)) <= 20000 THEN sha256(t) END AS sha256, CASE WHEN octet_length(encode(t)) > 20000 THEN 'large' END AS left_out, CASE WHEN octet_length(encode(t)) <= 20000 THEN length(t) END AS n_chars FROM f")
 def _walk(spark, d):
-    """Every document as a file of its own; those above 20,000 bytes are left out, and listed as such."""
+    """Every document as a file of its own; those above 20,000 bytes are left out, and listed as such.
+
+    A task writes to folders of its own, which are moved as a whole when the job commits, and listed by several tasks."""
     path = f"{_shared(spark)}/tree"
-    read(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    folder = F.concat_ws("-", F.spark_partition_id(), F.pmod(F.col("doc_id"), F.lit(16)))
+    read(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("value"), folder.alias("folder")).write.partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
     return walk(spark, path, ["_SUCCESS", ".crc"], 20_000, listed=True).select("length", "sha256", "left_out", F.char_length("text").cast("long").alias("n_chars"))
 
 
