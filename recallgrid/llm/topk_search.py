@@ -1,11 +1,12 @@
 """Exact top-k search by BM25: an inverted index per shard, block-max WAND, an exact merge by rounds.
 
 A shard is a run of documents of one map task, indexed where it is read. Alike documents lie side by side in
-blocks; a term's postings are in order of document, with the largest contribution of each block in which the
-term is (block-max WAND, Ding and Suel, 2011). For each query, the sum of its terms' block maxima bounds what
-a block can give, and blocks below the threshold are skipped. In the others, the lists of rarer terms are scored;
-then a block goes when its best document and the maxima of the frequent terms stay below the threshold (the
-pivot is between the two). What is left is scored in full, so nothing is lost. Every shard scores with the collection's own counts, so shards' best lists merge exactly.
+blocks; a term's postings are in order of document. The lists of rarer terms are scored, those of many queries at
+a time. Those of frequent terms are kept as rows, with the largest contribution in each block (block-max WAND,
+Ding and Suel, 2011): a block goes when its best document and the maxima of the frequent terms stay below the
+threshold (the pivot is between rare and frequent). In the others, the frequent terms of all queries that are left
+are scored by a matrix product in single precision, and what may reach the threshold is scored in full, so
+nothing is lost. Every shard scores with the collection's own counts, so shards' best lists merge exactly.
 
 Shards are searched in rounds, a small part of them first and GROWTH times as many in each further round. After
 each round, the k-th best score so far is a query's threshold in all shards of the next, so a round gives few
@@ -39,13 +40,18 @@ from .kernel import ALNUM, LOWER, SLICE_BYTES, runs_hash, slices, words
 
 K1, B, K = 1.2, 0.75, 10
 SHARD_BYTES = 16 << 20
-BLOCK = 64
+BLOCK = 256
 #: Query terms searched for in one pass over the index.
 PASS_TERMS = 2_000_000
-#: Share of a shard's documents from which a term's list is kept as a row.
-COMMON = 0.125
-#: Bound of half precision's error, as a share of the largest score.
+#: Share of a shard's documents from which a term's list is kept as a row, and how many such rows there are at most.
+COMMON = 0.04
+MOST_COMMON = 1500
+#: Bound of single precision's error, as a share of the score: a sum of MOST_COMMON products, none of them negative.
 ROUGH = 1e-4
+#: Queries scored together at most, scores that are held at a time, and postings of rarer terms that are added up at a time.
+TOGETHER = 256
+CELLS = 1 << 21
+PIECE = 1 << 15
 #: Shards of the first round, at most, and how many times as many there are after each round.
 FIRST_SHARDS = 8
 GROWTH = 8
@@ -165,14 +171,13 @@ def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """A shard's postings with their block maxima, for a block of queries' terms."""
+    """A shard's postings for a block of queries' terms, those of frequent terms as rows with their block maxima."""
 
     def __init__(self, row: dict[str, pa.Buffer], terms: np.ndarray, mean_length: float) -> None:
         self.ids = np.frombuffer(row["ids"], np.int64)
         length = np.frombuffer(row["lengths"], np.uint32).astype(float)
         own, df = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["df"], np.uint32).astype(np.int64)
         self.n = len(self.ids)
-        self.blocks = -(-self.n // BLOCK)
         #: Where each of the queries' terms is among the shard's, or -1.
         self.at = np.full(len(terms), -1)
         if len(terms) and len(own):
@@ -184,82 +189,95 @@ class Shard:
         self.docs = wide(row["docs"], n).astype(np.int64)
         tf = wide(row["tf"], n).astype(float)
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.docs] / mean_length))
-        # Sparse block maxima: an entry for each block in which a term is.
-        block = self.docs // BLOCK
-        new = np.ones(len(block), bool)
-        new[1:] = block[1:] != block[:-1]
-        new[self.start] = True
-        self.entry = np.flatnonzero(new)
-        self.entry_size = np.diff(np.append(self.entry, len(block)))
-        self.entry_block = block[self.entry]
-        self.entry_most = np.maximum.reduceat(self.impact, self.entry) if len(self.entry) else self.impact
-        self.first = np.searchsorted(self.entry, self.start)
-        self.n_entries = np.diff(np.append(self.first, len(self.entry)))
-        self.edges = np.arange(0, self.n, BLOCK)
-        self.sizes = np.diff(np.append(self.edges, self.n))
-        # Lists as long as an eighth of the shard are kept as rows of contributions, once more in half the precision.
-        common = np.flatnonzero((df >= max(2, self.n * COMMON)) & np.isin(own, terms, assume_unique=True)) if len(terms) else own[:0]
+        # The most frequent of the queries' terms, as rows.
+        asked = np.zeros(len(own), bool)
+        asked[self.at[self.at >= 0]] = True
+        common = np.flatnonzero(asked & (df >= max(2, self.n * COMMON)))
+        common = np.sort(common[np.argsort(-df[common], kind="stable")[:MOST_COMMON]])
+        self.n_common = len(common)
         self.row = np.full(len(own), -1)
         self.row[common] = np.arange(len(common))
-        self.long = np.zeros((len(common), self.n))
-        for k, t in enumerate(common):
-            p = slice(self.start[t], self.start[t] + df[t])
-            self.long[k, self.docs[p]] = self.impact[p]
-        self.long_rough = self.long.astype(np.float32)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the best k documents here that reach the threshold; terms are places in the queries' terms."""
+        at = spans(self.start[common], df[common])
+        doc, place, impact = self.docs[at], np.repeat(np.arange(len(common)), df[common]), self.impact[at]
+        by_doc = np.argsort(doc, kind="stable")
+        doc, self.doc_row, self.doc_impact = doc[by_doc], place[by_doc], impact[by_doc]
+        self.doc_first = np.searchsorted(doc, np.arange(self.n + 1))
+        self.edges = np.arange(0, self.n, BLOCK)
+        self.blocks = []  # for each block, the rows that have an entry in it, and these in single precision
+        self.most = np.zeros((len(common), len(self.edges)), np.float32)
+        for k, a in enumerate(self.edges):
+            mine = slice(self.doc_first[a], self.doc_first[min(a + BLOCK, self.n)])
+            dense = np.zeros((len(common), min(BLOCK, self.n - a)), np.float32)
+            dense[self.doc_row[mine], doc[mine] - a] = self.doc_impact[mine]
+            self.most[:, k] = dense.max(axis=1)
+            some = np.flatnonzero(self.most[:, k])
+            self.blocks.append((some, dense[some]))
+
+    def rare(self, query: np.ndarray, at: np.ndarray, weight: np.ndarray, n_queries: int) -> np.ndarray:
+        """What the lists at (of query, a sorted array) give to each query's documents; a piece of queries at a time."""
+        size = self.df[at]
+        out = np.zeros((n_queries, self.n))
+        first = np.searchsorted(query, np.arange(n_queries + 1))
+        done = np.concatenate(([0], np.cumsum(size)))[first]  # postings before each query
+        a = 0
+        while a < n_queries:
+            b = max(a + 1, int(np.searchsorted(done, done[a] + PIECE, "right")) - 1)
+            if done[b] > done[a]:
+                mine = slice(first[a], first[b])
+                p = spans(self.start[at[mine]], size[mine])
+                where = self.docs[p]
+                where += np.repeat((query[mine] - a) * self.n, size[mine])
+                what = self.impact[p]
+                what *= np.repeat(weight[mine], size[mine])
+                out[a:b] = np.bincount(where, what, (b - a) * self.n).reshape(b - a, self.n)
+            a = b
+        return out
+
+    def search(self, query: np.ndarray, terms: np.ndarray, weights: np.ndarray, threshold: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, ids, scores) of the best k documents here of each query that reach its threshold, best first.
+
+        query (sorted, below len(threshold)), terms (places in the queries' terms) and weights are the queries' terms.
+        """
         at = self.at[terms]
-        weights, at = weights[at >= 0], at[at >= 0]
-        none = self.ids[:0], self.impact[:0]
-        if not len(at):
-            return none
-        order = np.argsort(self.df[at], kind="stable")  # rare terms first: they decide most and cost least
-        at, weights = at[order], weights[order]
-        n_entries = self.n_entries[at]
-        entry = spans(self.first[at], n_entries)
-        block = self.entry_block[entry]
-        most = self.entry_most[entry] * np.repeat(weights, n_entries)
-        rest = np.bincount(block, most, self.blocks)  # what terms not yet scored can add in each block
+        query, weights, at = query[at >= 0], weights[at >= 0], at[at >= 0]
+        n_queries = len(threshold)
+        row = self.row[at]
+        is_rare = row < 0
+        score = self.rare(query[is_rare], at[is_rare], weights[is_rare], n_queries)
+        long = np.zeros((n_queries, self.n_common))
+        long[query[~is_rare], row[~is_rare]] = weights[~is_rare]
+        long_rough = long.astype(np.float32)
+        # The pivot: blocks whose best document can't reach the threshold with the frequent terms' maxima are skipped.
         least = threshold - SLACK
-        live = rest >= least
-        if not live.any():
-            return none
-        score = np.zeros(self.n)
-        rare = int(np.searchsorted(self.row[at] >= 0, True))  # longer lists come last
-        if rare:
-            n_rare = int(n_entries[:rare].sum())
-            if live.mean() > 0.5:  # few blocks to skip: whole lists
-                start, size, w = self.start[at[:rare]], self.df[at[:rare]], weights[:rare]
-            else:
-                some = np.flatnonzero(live[block[:n_rare]])
-                start = self.entry[entry[some]]
-                size = self.entry_size[entry[some]]
-                w = np.repeat(weights[:rare], n_entries[:rare])[some]
-            p = spans(start, size)
-            score = np.bincount(self.docs[p], self.impact[p] * np.repeat(w, size), self.n)
-            # The pivot moves: blocks whose best document can't reach the threshold with the long lists' maxima are skipped.
-            rest -= np.bincount(block[:n_rare], most[:n_rare], self.blocks)
-            live &= np.maximum.reduceat(score, self.edges) + rest >= least
-            if not live.any():
-                return none
-        inside = np.flatnonzero(np.repeat(live, self.sizes))
-        if rare < len(at):
-            rows, w = self.row[at[rare:]], weights[rare:]
-            total = score[inside] + (w.astype(np.float32) @ self.long_rough[rows])[inside]
-            # Half precision decides only what can't be near the threshold, or near the k-th best.
-            slack = SLACK + ROUGH * float(np.abs(total).max(initial=0.0))
-            if len(total) > k:
-                least = max(least, np.partition(total, len(total) - k)[len(total) - k] - slack)
-            near = total >= least - slack
-            inside = inside[near]
-            score = score[inside] + w @ self.long[np.ix_(rows, inside)]
-        else:
-            score = score[inside]
-        found = score >= max(threshold - SLACK, 1e-9)
-        ids, s = self.ids[inside[found]], np.round(score[found], PLACES)
-        best = np.lexsort((ids, -s))[:k]
-        return ids[best], s[best]
+        most = (np.maximum.reduceat(score, self.edges, axis=1) + long_rough @ self.most) * (1 + ROUGH)
+        live = (most > 0) & (most >= least[:, None])
+        total = np.full((n_queries, self.n), -1, np.float32)
+        for b, (some, dense) in enumerate(self.blocks):
+            rows = np.flatnonzero(live[:, b])
+            if len(rows):
+                mine = slice(self.edges[b], self.edges[b] + BLOCK)
+                total[rows, mine] = score[rows, mine] + long_rough.take(rows, axis=0).take(some, axis=1) @ dense
+        # Single precision decides only what can't be near the threshold, or near the k-th best.
+        least = np.maximum(least * (1 - ROUGH), np.finfo(np.float32).tiny)
+        many = np.flatnonzero(np.count_nonzero(total >= least.astype(np.float32)[:, None], axis=1) > 4 * k)
+        if len(many):
+            kth = np.partition(total[many], self.n - k, axis=1)[:, self.n - k].astype(float)
+            least[many] = np.maximum(least[many], kth * (1 - 3 * ROUGH) - SLACK)
+        q, d = np.divmod(np.flatnonzero(total >= np.nextafter(least.astype(np.float32), np.float32(0))[:, None]), self.n)
+        size = self.doc_first[d + 1] - self.doc_first[d]
+        p, pair = spans(self.doc_first[d], size), np.repeat(np.arange(len(d)), size)
+        s = score[q, d] + np.bincount(pair, long[q[pair], self.doc_row[p]] * self.doc_impact[p], len(d))
+        found = s >= np.maximum(threshold[q] - SLACK, 1e-9)
+        q, ids, s = q[found], self.ids[d[found]], np.round(s[found], PLACES)
+        return best_k(q, ids, s, k)
+
+
+def best_k(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query, by query, falling score and id."""
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    some = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[some], ids[some], score[some]
 
 
 FOUND = "query_id long, doc_id long, score double"
@@ -335,29 +353,24 @@ def search(shards: DataFrame, queries: DataFrame, k: int = K, pass_terms: int =
             def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 term, inverse, weight, ids, cut, threshold = shared.value
                 threshold = threshold.copy()
-                best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # a query's best k of the task's shards
+                best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # the queries' best k of the task's shards
                 for b in batches:
                     for r in range(b.num_rows):
                         shard = Shard({c: b[c][r].as_buffer() for c in ("ids", "lengths", "terms", "df", "docs", "tf")}, term, mean_length)
-                        for q in range(len(ids)):
-                            mine = slice(cut[q], cut[q + 1])
-                            doc, s = shard.search(inverse[mine], weight[mine], threshold[q], k)
-                            if len(doc):
-                                if q in best:
-                                    doc, s = np.concatenate((best[q][0], doc)), np.concatenate((best[q][1], s))
-                                    order = np.lexsort((doc, -s))[:k]
-                                    doc, s = doc[order], s[order]
-                                best[q] = doc, s
-                                if len(s) == k:
-                                    threshold[q] = max(threshold[q], s[-1])
+                        found = [best]
+                        step = max(1, min(TOGETHER, CELLS // shard.n))
+                        for q in range(0, len(ids), step):
+                            to = min(q + step, len(ids))
+                            mine = slice(cut[q], cut[to])
+                            of, doc, s = shard.search(np.repeat(np.arange(to - q), np.diff(cut[q : to + 1])), inverse[mine], weight[mine], threshold[q:to], k)
+                            found.append((of + q, doc, s))
+                        best = best_k(*(np.concatenate(x) for x in zip(*found)), k)
+                        full = np.flatnonzero(np.arange(len(best[0])) - np.searchsorted(best[0], best[0]) == k - 1)
+                        threshold[best[0][full]] = np.maximum(threshold[best[0][full]], best[2][full])
                         del shard
-                qs = sorted(best)
-                for a in range(0, len(qs), 10_000):
-                    some = qs[a : a + 10_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(ids[some], [len(best[q][0]) for q in some]), pa.int64()), pa.array(np.concatenate([best[q][0] for q in some]), pa.int64()), pa.array(np.concatenate([best[q][1] for q in some]), pa.float64())],
-                        names=["query_id", "doc_id", "score"],
-                    )
+                for a in range(0, len(best[0]), 100_000):
+                    q, doc, s = (x[a : a + 100_000] for x in best)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(doc, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "doc_id", "score"])
 
             here = shards.where((place >= low) & (place < high))
             got = here.select("ids", "lengths", "terms", "df", "docs", "tf").mapInArrow(run, FOUND)
