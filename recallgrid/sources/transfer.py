@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import os
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote, urlsplit
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -78,8 +83,8 @@ def promote(source: DataFrame, target: DataFrame, key: str, type_: str) -> DataF
     return target.unionByName(source.join(target.select(key), key, "left_anti").withColumn("type", F.lit(type_)).select(*target.columns))
 
 
-def walk(spark: SparkSession, path: str, ignore: list[str] | None = None, most_bytes: int = 10 << 20, listed: bool = False) -> DataFrame:
-    """(path, length, sha256, text, left_out) of the text files under path, without those that ignored globs match.
+def walk(spark: SparkSession, path: str | list[str], ignore: list[str] | None = None, most_bytes: int = 10 << 20, listed: bool = False) -> DataFrame:
+    """(path, length, sha256, text, left_out) of the text files under path, or paths, without those that ignored globs match.
 
     With listed, every file has a row: those that aren't taken have no text, and say why in left_out: large (more than
     most_bytes; their content isn't read), binary (a zero byte in the first 8,000) or encoding (not UTF-8).
@@ -98,8 +103,9 @@ def walk(spark: SparkSession, path: str, ignore: list[str] | None = None, most_b
     return small.unionByName(large) if listed else small.where("left_out is null")
 
 
-#: What opening a file counts as, in bytes, when files are dealt to tasks: Spark's 4 MB would give a task 32 files at most.
-OPEN_BYTES = 16 << 10
+#: Bytes and files of a task at most. Spark's 4 MB for opening a file would give a task 32 files. But it goes over a file of which
+#: a filter leaves no row by a call within a call, so that a task of thousands of such files ends by a StackOverflowError.
+TASK_BYTES, TASK_FILES = 128 << 20, 512
 
 
 def _many_files(spark: SparkSession) -> SparkSession:
@@ -108,10 +114,69 @@ def _many_files(spark: SparkSession) -> SparkSession:
     for k, v in spark.conf.getAll.items():
         if spark.conf.isModifiable(k):
             own.conf.set(k, v)
-    own.conf.set("spark.sql.files.openCostInBytes", OPEN_BYTES)
+    own.conf.set("spark.sql.files.maxPartitionBytes", TASK_BYTES)
+    own.conf.set("spark.sql.files.openCostInBytes", TASK_BYTES // TASK_FILES)
     return own
 
 
+#: Files in a folder that tasks write, and files that walk_parts lists at a time.
+FOLDER_FILES, LISTED_FILES = 2_000, 100_000
+
+
+def write_files(texts: DataFrame, path: str) -> list[tuple[str, int]]:
+    """Writes the text of each row (its only column) and a line feed as a file of its own; (folder, number of its files).
+
+    In a local folder that is shared, tasks write the files themselves: without its native library, Hadoop's local file
+    system starts chmod as a process, several times for each file. An attempt of a task has folders of its own, and
+    those of attempts that succeed count. In other stores Spark's writer does it, and path is the only folder.
+    """
+    at = urlsplit(path)
+    if at.scheme not in ("", "file"):
+        column = texts.columns[0]
+        folder = F.concat_ws("-", F.spark_partition_id(), F.pmod(F.xxhash64(column), F.lit(16)))
+        texts.withColumn("_folder", folder).write.partitionBy("_folder").option("maxRecordsPerFile", 1).text(path)
+        return [(path, 0)]
+    local = unquote(at.path)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get(), 0
+        name = lambda k: f"{task.partitionId()}-{task.attemptNumber()}-{task.taskAttemptId()}-{k}"
+        for b in batches:
+            for text in b.column(0).cast(pa.binary()):
+                folder = f"{local}/{name(n // FOLDER_FILES)}"
+                if n % FOLDER_FILES == 0:
+                    os.makedirs(folder)
+                with open(f"{folder}/{n}.txt", "wb") as f:
+                    f.write((text.as_py() or b"") + b"\n")
+                n += 1
+        sizes = [min(FOLDER_FILES, n - k) for k in range(0, n, FOLDER_FILES)]
+        yield pa.RecordBatch.from_arrays([pa.array([name(k) for k in range(len(sizes))], pa.string()), pa.array(sizes, pa.int64())], names=["folder", "n"])
+
+    written = texts.mapInArrow(write, "folder string, n long").collect()
+    os.makedirs(local, exist_ok=True)  # no rows, no folders
+    return [(f"{path}/{r['folder']}", r["n"]) for r in written] or [(path, 0)]
+
+
+def walk_parts(spark: SparkSession, folders: list[tuple[str, int]], columns: list, **options) -> DataFrame:
+    """columns of walk(**options) over folders with known numbers of files, stored.
+
+    Spark's driver holds the names of all files of a table, so about LISTED_FILES are listed, walked and stored at a time.
+    """
+    parts: list[list[str]] = []
+    held = 0
+    for folder, n in folders:
+        if not parts or held + n > LISTED_FILES:
+            parts.append([])
+            held = 0
+        parts[-1].append(folder)
+        held += n
+    out = _shared(spark)
+    for part in parts:
+        found = walk(spark, part, **options).select(*columns)
+        found.write.mode("append").parquet(out)
+    return spark.read.schema(found.schema).parquet(out)
+
+
 TURN = "session string, id string, ts string, role string, model string, text string, tokens_in long, tokens_out long"
 
 
@@ -256,13 +321,10 @@ def _sessions(spark, d):
 
 @query("walk_files", "WITH f AS (SELECT coalesce(text, '') || chr(10) AS t FROM documents) SELECT CAST(octet_length(encode(t)) AS BIGINT) AS length, CASE WHEN octet_length(encode(t)) <= 20000 THEN sha256(t) END AS sha256, CASE WHEN octet_length(encode(t)) > 20000 THEN 'large' END AS left_out, CASE WHEN octet_length(encode(t)) <= 20000 THEN length(t) END AS n_chars FROM f")
 def _walk(spark, d):
-    """Every document as a file of its own; those above 20,000 bytes are left out, and listed as such.
-
-    A task writes to folders of its own, which are moved as a whole when the job commits, and listed by several tasks."""
-    path = f"{_shared(spark)}/tree"
-    folder = F.concat_ws("-", F.spark_partition_id(), F.pmod(F.col("doc_id"), F.lit(16)))
-    read(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("value"), folder.alias("folder")).write.partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
-    return walk(spark, path, ["_SUCCESS", ".crc"], 20_000, listed=True).select("length", "sha256", "left_out", F.char_length("text").cast("long").alias("n_chars"))
+    """Every document as a file of its own; those above 20,000 bytes are left out, and listed as such."""
+    folders = write_files(read(spark, d, "documents").select("text"), f"{_shared(spark)}/tree")
+    columns = ["length", "sha256", "left_out", F.char_length("text").cast("long").alias("n_chars")]
+    return walk_parts(spark, folders, columns, ignore=["_SUCCESS", ".crc"], most_bytes=20_000, listed=True)
 
 
 @query("sync_tasks", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM orders")
